@@ -113,3 +113,42 @@ def ocsf_class_coverage(spark, sf_dir):
 @register("ocsf_class_coverage_documents", _coverage_sql(DOCUMENT_LINES_SQL))
 def ocsf_class_coverage_documents(spark, sf_dir):
     return class_coverage_job(document_lines(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# OCSF events (P10-P17): rule label on the masked line, event from the raw line
+# ---------------------------------------------------------------------------
+
+def _events_query(lines: DataFrame) -> DataFrame:
+    from logweave.functions.events import event_uid, flat_event_columns, ocsf_event
+
+    # every line is kept (event NULL when no rule matches): a filter on the label would be
+    # pushed below the projection and evaluate the whole mask + rule chain twice
+    lab = labelled_lines(lines)
+    ts = F.col("arrival_ts") if "arrival_ts" in lines.columns else None
+    ev = lab.withColumn("ocsf_event", F.when(F.col("ocsf").isNotNull(), ocsf_event(
+        F.col("line"), F.col("ocsf"), ts, event_uid(F.col("line_id")))))
+    return ev.select("line_id", *flat_event_columns("ocsf_event"))
+
+
+def _events_sql(src: str) -> str:
+    from logweave.functions.events import sql_flat_event
+
+    masked = M.sql_mask_chain(src, "line_id, line", with_extractions=False)
+    lab = (f"SELECT line_id, line, {N.sql_label_case('processed', field='class_uid')} AS l_cls, "
+           f"{N.sql_label_case('processed', field='severity_id')} AS l_sev, "
+           f"{N.sql_label_case('processed', field='activity_id')} AS l_act, "
+           f"{N.sql_label_case('processed', field='class_name')} AS l_cname, "
+           f"{N.sql_label_case('processed', field='activity_name')} AS l_aname FROM ({masked})")
+    flat = sql_flat_event("line", "l_cls", "l_sev", "l_act", "l_cname", "l_aname")
+    return f"SELECT line_id, {flat} FROM ({lab})"
+
+
+@register("ocsf_events", _events_sql(EVENT_LINES_SQL))
+def ocsf_events(spark, sf_dir):
+    return _events_query(event_log_lines(spark, sf_dir))
+
+
+@register("ocsf_events_documents", _events_sql(DOCUMENT_LINES_SQL))
+def ocsf_events_documents(spark, sf_dir):
+    return _events_query(document_lines(spark, sf_dir))
