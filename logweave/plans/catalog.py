@@ -152,3 +152,159 @@ def ocsf_events(spark, sf_dir):
 @register("ocsf_events_documents", _events_sql(DOCUMENT_LINES_SQL))
 def ocsf_events_documents(spark, sf_dir):
     return _events_query(document_lines(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# Mining family. sim_th = 0 puts every line of a mining key into one cluster, which
+# makes the whole chain (A2 templates, W3 change types, W4 versions, A4-A11 reports)
+# SQL-expressible; the default threshold (0.4) has no SQL form (ordered fold).
+# Outputs name clusters by their mining key, which both sides can compute.
+# ---------------------------------------------------------------------------
+
+def _ingest_key_groups(spark, sf_dir):
+    from logweave.plans.ingest import ingest
+
+    out = ingest(event_log_lines(spark, sf_dir), sim_th=0.0, with_extractions=False)
+    keys = out.cluster_templates.select("cluster_id", "key")
+    return out, out.results.join(keys, "cluster_id", "left")
+
+
+def _kg_sql(src: str = EVENT_LINES_SQL) -> str:
+    """DuckDB: per-line results for key-group clustering (sim_th = 0)."""
+    masked = M.sql_mask_chain(src, "line_id, line", with_extractions=False)
+    lab = N.sql_label_case("template", field="rule_order")
+    lab_cls = N.sql_label_case("template", field="class_name")
+    return f"""WITH m AS ({masked}),
+t AS (SELECT line_id, processed, regexp_split_to_array(regexp_replace(processed, '^\\s+|\\s+$', '', 'g'), '\\s+') AS toks FROM m),
+k AS (SELECT *, CAST(len(toks) AS VARCHAR) || '|' || CASE WHEN regexp_matches(toks[1], '\\d') THEN '<*>' ELSE toks[1] END AS key FROM t),
+d AS (SELECT key, processed, min(line_id) AS first_line_id, any_value(toks) AS toks FROM k GROUP BY key, processed),
+p AS (SELECT key, first_line_id, unnest(toks) AS tok, unnest(range(1, len(toks) + 1)) AS pos FROM d),
+f AS (SELECT key, pos, arg_min(tok, first_line_id) AS t0 FROM p GROUP BY key, pos),
+c0 AS (SELECT key, min(first_line_id) AS c0 FROM d GROUP BY key),
+cp AS (SELECT p.key, p.pos, min(p.first_line_id) AS change_line FROM p JOIN f ON p.key = f.key AND p.pos = f.pos
+       WHERE f.t0 <> '<*>' AND p.tok <> f.t0 GROUP BY p.key, p.pos),
+vl AS (SELECT key, c0 AS trig FROM c0 UNION SELECT key, change_line FROM cp),
+v AS (SELECT vl.key, vl.trig, string_agg(CASE WHEN cp.change_line IS NOT NULL AND cp.change_line <= vl.trig THEN '<*>' ELSE f.t0 END, ' ' ORDER BY f.pos) AS template
+      FROM vl JOIN f ON f.key = vl.key LEFT JOIN cp ON cp.key = f.key AND cp.pos = f.pos GROUP BY vl.key, vl.trig),
+r0 AS (SELECT k.line_id, k.key,
+        CASE WHEN k.line_id = c0.c0 THEN 'CREATE'
+             WHEN k.line_id = d.first_line_id AND EXISTS (SELECT 1 FROM cp WHERE cp.key = k.key AND cp.change_line = k.line_id) THEN 'UPDATE'
+             ELSE 'NONE' END AS change_type,
+        (SELECT arg_max(v.template, v.trig) FROM v WHERE v.key = k.key AND v.trig <= k.line_id) AS template
+      FROM k JOIN d ON d.key = k.key AND d.processed = k.processed JOIN c0 ON c0.key = k.key),
+r AS (SELECT *, {lab} AS rule_order, {lab_cls} AS class_name FROM r0),
+vers AS (SELECT key, CAST(row_number() OVER (PARTITION BY key ORDER BY trig) AS BIGINT) AS version, template, trig AS trigger_line_id FROM v)
+"""
+
+
+@register("key_group_templates", _kg_sql() + """SELECT v.key, arg_max(v.template, v.trig) AS template,
+  (SELECT count(*) FROM k WHERE k.key = v.key) AS lines FROM v GROUP BY v.key""")
+def key_group_templates(spark, sf_dir):
+    """A1 at sim_th=0 + A2: final template per mining key, with its line count."""
+    out, res = _ingest_key_groups(spark, sf_dir)
+    counts = res.groupBy("key").agg(F.count(F.lit(1)).alias("lines"))
+    return out.cluster_templates.select("key", "template").join(counts, "key")
+
+
+@register("key_group_change_types", _kg_sql() + "SELECT line_id, key, change_type, template FROM r0")
+def key_group_change_types(spark, sf_dir):
+    """Change type and the template as of each line."""
+    _, res = _ingest_key_groups(spark, sf_dir)
+    return res.select("line_id", "key", "change_type", "template")
+
+
+@register("key_group_versions", _kg_sql() + "SELECT key, version, template, trigger_line_id FROM vers")
+def key_group_versions(spark, sf_dir):
+    """Numbered template versions with the line that triggered each."""
+    out, _ = _ingest_key_groups(spark, sf_dir)
+    keys = out.cluster_templates.select("cluster_id", "key")
+    return (out.versions.join(keys, "cluster_id")
+            .select("key", F.col("version").cast("bigint").alias("version"), "template", "trigger_line_id"))
+
+
+@register("upload_report_events", _kg_sql() + """SELECT count(*) AS total_logs, count(DISTINCT key) AS unique_templates,
+  round_even((1.0 - count(DISTINCT key) / greatest(count(*), 1)) * 100.0, 1) AS compression_pct,
+  count(*) FILTER (WHERE rule_order IS NOT NULL) AS ocsf_matched,
+  count(*) FILTER (WHERE rule_order IS NULL) AS ocsf_unmatched FROM r""")
+def upload_report_events(spark, sf_dir):
+    """A4 on ingest results (labels on the mined template)."""
+    _, res = _ingest_key_groups(spark, sf_dir)
+    return R.upload_report(res)
+
+
+@register("change_type_breakdown_events", _kg_sql() + "SELECT change_type, count(*) AS lines FROM r GROUP BY change_type")
+def change_type_breakdown_events(spark, sf_dir):
+    """A5."""
+    _, res = _ingest_key_groups(spark, sf_dir)
+    return R.change_type_breakdown(res)
+
+
+@register("class_breakdown_events", _kg_sql() + "SELECT class_name AS ocsf_class, count(*) AS lines FROM r WHERE class_name IS NOT NULL GROUP BY 1")
+def class_breakdown_events(spark, sf_dir):
+    """A6 on mined templates."""
+    _, res = _ingest_key_groups(spark, sf_dir)
+    return R.class_breakdown(res)
+
+
+@register("unmatched_templates_events", _kg_sql() + """SELECT key, count(*) AS count, min(line_id) AS first_line_id,
+  arg_min(coalesce(template, ''), line_id) AS template FROM r WHERE rule_order IS NULL
+  GROUP BY key ORDER BY count DESC, first_line_id LIMIT 5""")
+def unmatched_templates_events(spark, sf_dir):
+    """Top 5 unlabelled clusters."""
+    out, res = _ingest_key_groups(spark, sf_dir)
+    top = R.unmatched_templates(res)
+    keys = out.cluster_templates.select("cluster_id", "key")
+    return top.join(keys, "cluster_id").select("key", "count", "first_line_id", "template")
+
+
+@register("pipeline_counters_events", _kg_sql() + """SELECT counter, value FROM (
+  SELECT 'logs_ingested' AS counter, count(*) AS value FROM r UNION ALL
+  SELECT 'templates_created', count(*) FILTER (WHERE change_type = 'CREATE') FROM r UNION ALL
+  SELECT 'templates_updated', count(*) FILTER (WHERE change_type = 'UPDATE') FROM r UNION ALL
+  SELECT 'templates_merged', 0 UNION ALL SELECT 'templates_split', 0 UNION ALL
+  SELECT 'llm_calls', 0 UNION ALL SELECT 'llm_errors', 0 UNION ALL SELECT 'llm_fallback_keep', 0 UNION ALL
+  SELECT 'queue_drops', 0 UNION ALL
+  SELECT 'ocsf_matched', count(*) FILTER (WHERE rule_order IS NOT NULL) FROM r UNION ALL
+  SELECT 'ocsf_unmatched', count(*) FILTER (WHERE rule_order IS NULL) FROM r UNION ALL
+  SELECT 'fast_path_hits', 0 UNION ALL SELECT 'near_match_queued', 0)""")
+def pipeline_counters_events(spark, sf_dir):
+    """A10 counters (long form)."""
+    _, res = _ingest_key_groups(spark, sf_dir)
+    return R.pipeline_counters(res)
+
+
+@register("cluster_sizes_events", _kg_sql() + "SELECT key, count(*) AS n FROM r GROUP BY key")
+def cluster_sizes_events(spark, sf_dir):
+    """Lines per cluster."""
+    out, res = _ingest_key_groups(spark, sf_dir)
+    return R.cluster_sizes(res).join(out.cluster_templates.select("cluster_id", "key"), "cluster_id").select("key", "n")
+
+
+@register("coverage_events", _kg_sql() + """SELECT count(*) FILTER (WHERE rule_order IS NOT NULL) AS matched, count(*) AS total,
+  count(*) FILTER (WHERE rule_order IS NULL) AS unmatched,
+  CAST(floor(count(*) FILTER (WHERE rule_order IS NOT NULL) * 100 / count(*)) AS BIGINT) AS coverage_pct FROM r""")
+def coverage_events(spark, sf_dir):
+    """A9 on mined templates."""
+    _, res = _ingest_key_groups(spark, sf_dir)
+    return R.coverage(res)
+
+
+# default threshold: no SQL form (ordered fold); checked by tests against a brute-force fold
+@register("mine_event_templates")
+def mine_event_templates(spark, sf_dir):
+    """A1 (sim_th 0.4) on all event lines: final template and line count per cluster."""
+    from logweave.plans.ingest import ingest
+
+    out = ingest(event_log_lines(spark, sf_dir), with_extractions=False)
+    counts = out.results.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("lines"))
+    return out.cluster_templates.join(counts, "cluster_id").select("cluster_id", "key", "template", "lines")
+
+
+@register("mine_document_templates")
+def mine_document_templates(spark, sf_dir):
+    """A1 on every line of every document (prose: nearly one key per line)."""
+    from logweave.plans.ingest import ingest
+
+    out = ingest(document_lines(spark, sf_dir), with_extractions=False)
+    counts = out.results.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("lines"))
+    return out.cluster_templates.join(counts, "cluster_id").select("cluster_id", "key", "template", "lines")
