@@ -308,3 +308,99 @@ def mine_document_templates(spark, sf_dir):
     out = ingest(document_lines(spark, sf_dir), with_extractions=False)
     counts = out.results.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("lines"))
     return out.cluster_templates.join(counts, "cluster_id").select("cluster_id", "key", "template", "lines")
+
+
+# ---------------------------------------------------------------------------
+# Fast path on raw lines (J1/W1 strict, J2/F1/W2 near). Templates are derived by Spark
+# from the data: the position-wise template of each mining key of the masked lines,
+# ordered by first appearance.
+# ---------------------------------------------------------------------------
+
+def _key_templates(spark, sf_dir):
+    from logweave.functions.tokens import tokens
+    from logweave.operators.compile import compile_templates
+    from logweave.operators.mining import mining_key, template_of_cluster
+
+    lines = event_log_lines(spark, sf_dir)
+    keyed = M.mask_only(lines).withColumn("key", mining_key(tokens(F.col("processed"))))
+    tpl = template_of_cluster(keyed, "key", "processed")
+    seq = keyed.groupBy(F.col("key").alias("cluster_id")).agg(F.min("line_id").alias("registry_seq"))
+    compiled = compile_templates(tpl.join(seq, "cluster_id"), "template")
+    return lines, compiled
+
+
+def _render_map(c):
+    return F.array_join(F.array_sort(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
+
+
+_KEY_TPL_SQL = """WITH m AS ({masked}),
+k AS (SELECT line_id, processed, regexp_split_to_array(regexp_replace(processed, '^\\s+|\\s+$', '', 'g'), '\\s+') AS toks FROM m),
+kk AS (SELECT *, CAST(len(toks) AS VARCHAR) || '|' || CASE WHEN regexp_matches(toks[1], '\\d') THEN '<*>' ELSE toks[1] END AS key FROM k),
+p AS (SELECT key, unnest(toks) AS tok, unnest(range(1, len(toks) + 1)) AS pos FROM kk),
+f AS (SELECT key, pos, CASE WHEN min(tok) = max(tok) THEN min(tok) ELSE '<*>' END AS tok FROM p GROUP BY key, pos),
+tp AS (SELECT key, list(tok ORDER BY pos) AS ttoks FROM f GROUP BY key),
+ct AS (SELECT tp.key, ttoks, len(ttoks) AS n,
+          len(list_filter(ttoks, lambda x: NOT regexp_matches(x, '^<[^>]*>$'))) AS literal_count,
+          (SELECT min(line_id) FROM kk WHERE kk.key = tp.key) AS seq FROM tp),
+ln AS (SELECT line_id, line, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS s FROM ({src})),
+lt AS (SELECT line_id, line, (line = s OR line = s || chr(10)) AS ws_ok,
+          regexp_split_to_array(s, '\\s+') AS ltoks FROM ln),
+cand AS (SELECT lt.line_id, lt.ltoks, ct.key, ct.ttoks, ct.literal_count,
+          row_number() OVER (PARTITION BY lt.line_id ORDER BY ct.literal_count DESC, ct.seq) AS rn
+        FROM lt JOIN ct ON len(lt.ltoks) = ct.n
+        WHERE lt.ws_ok AND list_bool_and(list_transform(list_zip(ct.ttoks, lt.ltoks),
+              lambda x: regexp_matches(x[1], '^<[^>]*>$') OR x[1] = x[2]))),
+best AS (SELECT * FROM cand WHERE rn = 1),
+ent AS (SELECT line_id, unnest(ttoks) AS tt, unnest(ltoks) AS v, unnest(range(1, len(ttoks) + 1)) AS i FROM best),
+ent2 AS (SELECT line_id, regexp_extract(tt, '^<([^>]*)>$', 1) AS k, v, i FROM ent WHERE regexp_matches(tt, '^<[^>]*>$')),
+fld AS (SELECT line_id, k, arg_max(v, i) AS v FROM ent2 WHERE k NOT IN ('*', 'unknown', '') GROUP BY line_id, k),
+fl AS (SELECT line_id, string_agg(k || '=' || v, ';' ORDER BY k) AS fields FROM fld GROUP BY line_id)
+SELECT best.line_id, best.key, CAST(best.literal_count AS INTEGER) AS literal_count, coalesce(fl.fields, '') AS fields
+FROM best LEFT JOIN fl ON fl.line_id = best.line_id"""
+
+
+@register("strict_match_event_lines", _KEY_TPL_SQL.format(
+    masked=M.sql_mask_chain(EVENT_LINES_SQL, "line_id", with_extractions=False), src=EVENT_LINES_SQL))
+def strict_match_event_lines(spark, sf_dir):
+    """J1 + W1: raw lines matched to the most specific template (literal count, then
+    first appearance); fields named by the placeholder labels."""
+    from logweave.operators.matching import strict_match
+
+    lines, compiled = _key_templates(spark, sf_dir)
+    m = strict_match(lines, compiled).where(F.col("exact_cluster_id").isNotNull())
+    return m.select("line_id", F.col("exact_cluster_id").alias("key"),
+                    F.col("exact_literal_count").alias("literal_count"),
+                    F.coalesce(_render_map(F.col("matched_fields")), F.lit("")).alias("fields"))
+
+
+@register("near_match_event_lines")
+def near_match_event_lines(spark, sf_dir):
+    """U1 dispatch (J1 strict, then J2 loose + F1 similarity >= 0.85) of every raw line:
+    per match kind and template, the number of lines and the mean similarity."""
+    from logweave.operators.matching import fast_path
+
+    lines, compiled = _key_templates(spark, sf_dir)
+    r = fast_path(lines, compiled)
+    return r.groupBy("match_kind", "cluster_id").agg(F.count(F.lit(1)).alias("lines"),
+                                                    F.avg("similarity").alias("mean_similarity"))
+
+
+# ---------------------------------------------------------------------------
+# Sampling (W6 reservoir, A11 counts)
+# ---------------------------------------------------------------------------
+
+@register("reservoir_sample_events", """WITH m AS ({masked}),
+k AS (SELECT line_id, line, regexp_split_to_array(regexp_replace(processed, '^\\s+|\\s+$', '', 'g'), '\\s+') AS toks FROM m),
+kk AS (SELECT line_id, line, CAST(len(toks) AS VARCHAR) || '|' || CASE WHEN regexp_matches(toks[1], '\\d') THEN '<*>' ELSE toks[1] END AS key FROM k),
+r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY md5('logweave:' || CAST(line_id AS VARCHAR)), line_id) AS rn FROM kk)
+SELECT key, CAST(row_number() OVER (PARTITION BY key ORDER BY line_id) AS INTEGER) AS slot, line_id, line FROM r WHERE rn <= 200""".format(
+    masked=M.sql_mask_chain(EVENT_LINES_SQL, "line_id, line", with_extractions=False)))
+def reservoir_sample_events(spark, sf_dir):
+    """200 lines per mining key, uniform, deterministic, in arrival order."""
+    from logweave.functions.tokens import tokens
+    from logweave.operators.mining import mining_key
+    from logweave.operators.sampling import reservoir_sample
+
+    keyed = M.mask_only(event_log_lines(spark, sf_dir)).withColumn("key", mining_key(tokens(F.col("processed"))))
+    s = reservoir_sample(keyed.select("line_id", "line", "key"), 200, cluster_col="key")
+    return s.select("key", "slot", "line_id", "line")
