@@ -155,9 +155,10 @@ def mine_templates(lines: DataFrame, text_col: str = "processed", id_col: str =
     results (:func:`assign_lines`). ``seeds(cluster_id, template)`` are existing clusters
     that lines may join; they keep their ids.
     """
-    d = (lines.where(F.col(text_col).isNotNull())
-         .groupBy(F.col(text_col).alias("text")).agg(F.min(id_col).alias("first_line_id")))
-    d = d.withColumn("toks", tokens(F.col("text")))
+    # no null filter here: it would be pushed below the projection that computes the text
+    # (the mask chain) and evaluate it twice; a null text folds as an empty line instead
+    d = lines.groupBy(F.col(text_col).alias("text")).agg(F.min(id_col).alias("first_line_id"))
+    d = d.withColumn("toks", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")))
     d = d.select(mining_key(F.col("toks")).alias("key"), "text", "first_line_id", "toks",
                  F.lit(False).alias("is_seed"), F.lit(None).cast("string").alias("seed_id"))
     if seeds is not None:

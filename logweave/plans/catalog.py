@@ -19,6 +19,7 @@ from logweave.functions import masks as M
 from logweave.operators import normalize as N
 from logweave.operators import reports as R
 from logweave.plans.coverage import class_coverage_job, labelled_lines
+from logweave.session import cut_lineage, tune
 from logweave.sources.tables import (DOCUMENT_LINES_SQL, EVENT_LINES_SQL, document_lines,
                                      event_log_lines)
 
@@ -28,10 +29,14 @@ ORACLES: dict[str, str] = {}
 
 def register(name: str, sql: str | None = None):
     def deco(fn):
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            tune(spark)
+            return fn(spark, sf_dir)
+        run.__name__, run.__doc__ = fn.__name__, fn.__doc__
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
-        return fn
+        return run
     return deco
 
 
@@ -325,7 +330,9 @@ def _key_templates(spark, sf_dir):
     keyed = M.mask_only(lines).withColumn("key", mining_key(tokens(F.col("processed"))))
     tpl = template_of_cluster(keyed, "key", "processed")
     seq = keyed.groupBy(F.col("key").alias("cluster_id")).agg(F.min("line_id").alias("registry_seq"))
-    compiled = compile_templates(tpl.join(seq, "cluster_id"), "template")
+    # derived once and written to the checkpoint folder: both passes (strict, near) and
+    # the size check read the small template table instead of re-deriving it
+    compiled = cut_lineage(compile_templates(tpl.join(seq, "cluster_id"), "template"))
     return lines, compiled
 
 

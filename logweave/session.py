@@ -22,6 +22,26 @@ _DEFAULTS = {
     "spark.ui.showConsoleProgress": "false",
 }
 
+# Runtime SQL settings the jobs rely on, applied to any session (also one the caller made).
+# Constraint propagation is off because it infers `isnotnull(key)` filters from joins on
+# computed keys and pushes them below the projection, so the 21-regex mask chain would be
+# evaluated twice per line (once inside the pushed filter, once in the projection).
+JOB_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.constraintPropagation.enabled": "false",
+    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    for k, v in JOB_CONF.items():
+        try:
+            spark.conf.set(k, v)
+        except Exception:  # noqa: BLE001 - a locked conf keeps the session's value
+            pass
+    return spark
+
 
 def get_session(master: str | None = None, app: str = "logweave",
                 shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
@@ -41,7 +61,7 @@ def get_session(master: str | None = None, app: str = "logweave",
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return tune(spark)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

@@ -50,7 +50,8 @@ def read_log_lines(spark: SparkSession, paths, source: str | None = None,
            .where(non_blank(F.col("line"))))
     if limit is not None:
         out = out.orderBy("line_id").limit(limit)
-    return out
+    from logweave.sources.tables import ensure_parallelism
+    return ensure_parallelism(out, "line_id")
 
 
 def lines_from_strings(spark: SparkSession, lines, source: str = "inline",

@@ -49,8 +49,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ensure_parallelism(df: DataFrame, key: str) -> DataFrame:
+    """Spread a scan over at least ``defaultParallelism`` tasks.
+
+    The work per line (21 regex masks, 20 rule regexes, event extraction) is CPU-bound;
+    a small input file is a single split and would run as one task. Large inputs already
+    have more splits than cores and are left as they are (no extra shuffle). Hash
+    partitioning on the id keeps the layout deterministic for task retries.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < n:
+        return df.repartition(n, key)
+    return df
+
+
 def event_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events")
+    ev = ensure_parallelism(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type"),
+                            "event_id")
     return ev.select(
         F.col("event_id").alias("line_id"),
         F.col("ts").alias("arrival_ts"),
@@ -60,7 +75,7 @@ def event_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs = ensure_parallelism(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
     x = docs.select("doc_id", "source", F.posexplode(F.split(F.col("text"), "\n", -1)).alias("pos", "line"))
     return (x.where(F.col("line").rlike(r"\S"))
             .select((F.col("doc_id") * F.lit(LINE_ID_DOC_SHIFT) + F.col("pos")).alias("line_id"),
