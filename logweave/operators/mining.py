@@ -32,6 +32,8 @@ first occurrence's cluster, stable cluster ids = xxhash64(key, ordinal).
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -107,30 +109,54 @@ _FOLD_SCHEMA = T.StructType([
 ])
 
 
-def _fold_one(g: pd.DataFrame, sim_th: float) -> pd.DataFrame:
-    seeds = g[g["is_seed"]].sort_values("seed_id", kind="stable")
-    lines = g[~g["is_seed"]].sort_values("first_line_id", kind="stable")
-    if lines.empty:
-        return None
-    seed_ids = list(seeds["seed_id"])
-    ords, finals = fold_group([list(t) for t in lines["toks"]], sim_th, [list(t) for t in seeds["toks"]])
-    tpl_txt = [" ".join(f) for f in finals]
-    return pd.DataFrame({
-        "key": lines["key"].values, "chunk": lines["chunk"].values.astype("int32"),
-        "text": lines["text"].values, "first_line_id": lines["first_line_id"].values,
-        "ordinal": ords.astype("int32"), "cluster_template": [tpl_txt[o] for o in ords],
-        "seed_id": [seed_ids[o] if o < len(seed_ids) else None for o in ords],
-    })
+_JAVA_WS = " \t\n\x0b\f\r"  # the characters of Java's \\s (tokens() splits on these)
+
+
+def _split(text) -> list[str]:
+    if text is None:
+        return []
+    return [t for t in re.split("[" + re.escape(_JAVA_WS) + "]+", text.strip(_JAVA_WS)) if t] if text else []
 
 
 def _fold_fn(sim_th: float):
-    """One call folds every (key, chunk) group of a hash bucket, each on its own."""
+    """One call folds every (key, chunk) group of a hash bucket, each on its own.
+
+    Rows are sorted once (group, seeds first, then arrival) and groups are walked as
+    contiguous runs of plain lists; a group of one line with no seed is its own cluster.
+    """
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        outs = [o for _, g in pdf.groupby(["key", "chunk"], sort=False)
-                if (o := _fold_one(g, sim_th)) is not None]
-        if not outs:
-            return pd.DataFrame({c.name: pd.Series(dtype="object") for c in _FOLD_SCHEMA})
-        return pd.concat(outs, ignore_index=True)
+        pdf = pdf.sort_values(["key", "chunk", "is_seed", "seed_id", "first_line_id"],
+                              ascending=[True, True, False, True, True], kind="stable")
+        keys, chunks = pdf["key"].tolist(), pdf["chunk"].tolist()
+        texts, firsts = pdf["text"].tolist(), pdf["first_line_id"].tolist()
+        ftexts = pdf["fold_text"].tolist()
+        seeds, sids = pdf["is_seed"].tolist(), pdf["seed_id"].tolist()
+        o_key, o_chunk, o_text, o_first, o_ord, o_tpl, o_seed = [], [], [], [], [], [], []
+        i, n = 0, len(keys)
+        while i < n:
+            j = i
+            while j < n and keys[j] == keys[i] and chunks[j] == chunks[i]:
+                j += 1
+            s_idx = [x for x in range(i, j) if seeds[x]]
+            l_idx = [x for x in range(i, j) if not seeds[x]]
+            if l_idx:
+                if len(l_idx) == 1 and not s_idx:
+                    ords, finals = [0], [_split(ftexts[l_idx[0]])]
+                else:
+                    ords, finals = fold_group([_split(ftexts[x]) for x in l_idx], sim_th,
+                                              [_split(ftexts[x]) for x in s_idx])
+                tpl_txt = [" ".join(f) for f in finals]
+                seed_ids = [sids[x] for x in s_idx]
+                for x, o in zip(l_idx, ords):
+                    o = int(o)
+                    o_key.append(keys[x]); o_chunk.append(chunks[x]); o_text.append(texts[x])
+                    o_first.append(firsts[x]); o_ord.append(o); o_tpl.append(tpl_txt[o])
+                    o_seed.append(seed_ids[o] if o < len(seed_ids) else None)
+            i = j
+        return pd.DataFrame({"key": o_key, "chunk": pd.array(o_chunk, dtype="int32"), "text": o_text,
+                             "first_line_id": pd.array(o_first, dtype="int64"),
+                             "ordinal": pd.array(o_ord, dtype="int32"), "cluster_template": o_tpl,
+                             "seed_id": o_seed})
     return run
 
 
@@ -142,6 +168,7 @@ def _bucketed_fold(df: DataFrame, sim_th: float, buckets: int) -> DataFrame:
 def _seed_rows(seeds: DataFrame) -> DataFrame:
     t = tokens(F.col("template"))
     return seeds.select(mining_key(t).alias("key"), F.col("template").alias("text"),
+                        F.col("template").alias("fold_text"),
                         F.lit(-1).cast("bigint").alias("first_line_id"), t.alias("toks"),
                         F.lit(True).alias("is_seed"), F.col("cluster_id").cast("string").alias("seed_id"))
 
@@ -159,8 +186,8 @@ def mine_templates(lines: DataFrame, text_col: str = "processed", id_col: str =
     # (the mask chain) and evaluate it twice; a null text folds as an empty line instead
     d = lines.groupBy(F.col(text_col).alias("text")).agg(F.min(id_col).alias("first_line_id"))
     d = d.withColumn("toks", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")))
-    d = d.select(mining_key(F.col("toks")).alias("key"), "text", "first_line_id", "toks",
-                 F.lit(False).alias("is_seed"), F.lit(None).cast("string").alias("seed_id"))
+    d = d.select(mining_key(F.col("toks")).alias("key"), "text", F.col("text").alias("fold_text"),
+                 "first_line_id", "toks", F.lit(False).alias("is_seed"), F.lit(None).cast("string").alias("seed_id"))
     if seeds is not None:
         d = d.unionByName(_seed_rows(seeds))
     # chunks per key: one per `group_lines` distinct lines (key counts: partial aggregate)
@@ -171,7 +198,8 @@ def mine_templates(lines: DataFrame, text_col: str = "processed", id_col: str =
     d = d.withColumn("chunk", F.explode(
         F.when(F.col("is_seed"), F.sequence(F.lit(0), nchunks - 1))
         .otherwise(F.array(F.pmod(F.xxhash64("text"), nchunks).cast("int")))))
-    fold_cols = ["key", "chunk", "text", "first_line_id", "toks", "is_seed", "seed_id"]
+    # `text` identifies a row, `fold_text` is what gets tokenised (they differ in level 2)
+    fold_cols = ["key", "chunk", "text", "fold_text", "first_line_id", "is_seed", "seed_id"]
     buckets = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     # a key with one distinct line and no seed is its own cluster: no Python needed
     single = (F.col("key_lines") == 1) & ~F.col("is_seed")
@@ -192,13 +220,13 @@ def mine_templates(lines: DataFrame, text_col: str = "processed", id_col: str =
            .agg(F.first("cluster_template").alias("tpl"), F.min("first_line_id").alias("first_line_id")))
     l2_lines = l1c.select("key", F.lit(0).alias("chunk"),
                           F.concat_ws("#", F.col("chunk").cast("string"), F.col("ordinal").cast("string")).alias("text"),
-                          "first_line_id", tokens(F.col("tpl")).alias("toks"),
+                          F.col("tpl").alias("fold_text"), "first_line_id",
                           F.lit(False).alias("is_seed"), F.lit(None).cast("string").alias("seed_id"))
     l2_in = l2_lines
     if seeds is not None:
         l2_in = l2_in.unionByName(_seed_rows(seeds).join(split_keys, "key")
-                                  .select("key", F.lit(0).alias("chunk"), "text", "first_line_id",
-                                          "toks", "is_seed", "seed_id"))
+                                  .select("key", F.lit(0).alias("chunk"), "text", "fold_text",
+                                          "first_line_id", "is_seed", "seed_id"))
     l2 = _bucketed_fold(l2_in, sim_th, buckets)
     ck = F.split("text", "#")
     l2map = l2.select("key", ck[0].cast("int").alias("chunk"), ck[1].cast("int").alias("ordinal"),

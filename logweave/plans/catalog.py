@@ -411,3 +411,187 @@ def reservoir_sample_events(spark, sf_dir):
     keyed = M.mask_only(event_log_lines(spark, sf_dir)).withColumn("key", mining_key(tokens(F.col("processed"))))
     s = reservoir_sample(keyed.select("line_id", "line", "key"), 200, cluster_col="key")
     return s.select("key", "slot", "line_id", "line")
+
+
+# ---------------------------------------------------------------------------
+# Template life cycle (U2, L1-L5, W9), review inputs (J13, P3, W5), parsed records
+# (L14/P18/P22), views (P23) and state.
+#
+# Stand-in input: a template table whose ids are the mining keys of the masked event
+# lines (template = position-wise template of the key, created at its first line), and a
+# stand-in reviewer that gives, by rank of the key, keep / merge into the previous
+# template / split in two / reset to a generalised pattern. Both only shape input rows;
+# every step after them is the library's operator.
+# ---------------------------------------------------------------------------
+
+_GEN = "<[^>]*>"  # a placeholder token, generalised to <*> by the stand-in reviewer
+
+
+def _kg_template_table(spark, sf_dir):
+    from logweave.functions.tokens import tokens
+    from logweave.operators.mining import mining_key, template_of_cluster
+
+    lines = event_log_lines(spark, sf_dir)
+    keyed = M.mask_only(lines).withColumn("key", mining_key(tokens(F.col("processed"))))
+    tpl = template_of_cluster(keyed, "key", "processed")
+    first = keyed.groupBy(F.col("key").alias("cluster_id")).agg(
+        F.min_by("arrival_ts", "line_id").cast("timestamp").alias("created_at"))
+    t = tpl.join(first, "cluster_id").select(
+        "cluster_id", F.col("template").alias("pattern"), F.lit("ACTIVE").alias("status"),
+        F.lit(None).cast("string").alias("merge_target_id"), F.lit(0).cast("int").alias("confirmation_count"),
+        "created_at", F.lit(None).cast("string").alias("labeled_template"),
+        F.lit(None).cast("string").alias("decision"), F.lit(None).cast("string").alias("reasoning"))
+    return lines, keyed, cut_lineage(t)
+
+
+def _standin_decisions(templates):
+    from pyspark.sql import Window
+
+    from logweave.functions.tokens import unknown_label
+
+    # the template table is small (one row per template): ranking it in one window is fine
+    r = templates.select("cluster_id", "pattern", (F.row_number().over(Window.orderBy("cluster_id")) - 1).alias("r"))
+    p = r.select(F.col("r").alias("pr"), F.col("cluster_id").alias("prev_id"), F.col("pattern").alias("prev_pattern"))
+    x = r.join(p, F.col("pr") == F.col("r") - 1, "left")
+    k = F.col("r") % 4
+    gen = F.regexp_replace("pattern", _GEN, "<*>")
+    return x.select(
+        F.lit("b1").alias("batch_id"), "cluster_id",
+        F.when(k == 0, "keep").when(k == 1, "merge").when(k == 2, "split").otherwise("reset").alias("decision"),
+        F.when(k == 1, F.col("prev_id")).alias("merge_into_cluster_id"),
+        F.when(k == 1, F.regexp_replace("prev_pattern", _GEN, "<*>")).alias("merged_template"),
+        F.when(k == 2, F.array(F.col("pattern"), gen)).alias("sub_templates"),
+        F.when(k == 3, gen).alias("reset_template"),
+        F.when(k == 0, unknown_label(F.col("pattern"))).alias("labeled_template"),
+        F.concat(F.lit("stand-in "), k.cast("string")).alias("reasoning"))
+
+
+_TPL_OUT = ["cluster_id", "pattern", "status", "merge_target_id", "confirmation_count", "labeled_template",
+            "decision", "reasoning"]
+
+
+def _applied_sql() -> str:
+    masked = M.sql_mask_chain(EVENT_LINES_SQL, "line_id", with_extractions=False)
+    return f"""WITH m AS ({masked}),
+k AS (SELECT line_id, regexp_split_to_array(regexp_replace(processed, '^\\s+|\\s+$', '', 'g'), '\\s+') AS toks FROM m),
+kk AS (SELECT *, CAST(len(toks) AS VARCHAR) || '|' || CASE WHEN regexp_matches(toks[1], '\\d') THEN '<*>' ELSE toks[1] END AS key FROM k),
+p AS (SELECT key, unnest(toks) AS tok, unnest(range(1, len(toks) + 1)) AS pos FROM kk),
+f AS (SELECT key, pos, CASE WHEN min(tok) = max(tok) THEN min(tok) ELSE '<*>' END AS tok FROM p GROUP BY key, pos),
+tp AS (SELECT key AS cluster_id, string_agg(tok, ' ' ORDER BY pos) AS pattern FROM f GROUP BY key),
+t AS (SELECT cluster_id, pattern, row_number() OVER (ORDER BY cluster_id) - 1 AS r FROM tp),
+d AS (SELECT t.cluster_id, t.pattern, t.r % 4 AS k, pv.cluster_id AS prev_id, pv.pattern AS prev_pattern FROM t LEFT JOIN t pv ON pv.r = t.r - 1),
+dec AS (SELECT cluster_id, pattern, k,
+          CASE k WHEN 0 THEN 'keep' WHEN 1 THEN 'merge' WHEN 2 THEN 'split' ELSE 'reset' END AS decision,
+          CASE WHEN k = 1 THEN prev_id END AS merge_into,
+          CASE WHEN k = 1 THEN regexp_replace(prev_pattern, '{_GEN}', '<*>', 'g') END AS merged_template,
+          CASE WHEN k = 3 THEN regexp_replace(pattern, '{_GEN}', '<*>', 'g') END AS reset_template,
+          CASE WHEN k = 0 THEN replace(pattern, '<*>', '<unknown>') END AS label,
+          'stand-in ' || CAST(k AS VARCHAR) AS reasoning FROM d),
+mi AS (SELECT merge_into AS cluster_id, arg_max(merged_template, cluster_id) AS merged FROM dec
+       WHERE k = 1 AND merged_template IS NOT NULL GROUP BY merge_into),
+kept AS (SELECT dec.cluster_id,
+           CASE WHEN k = 3 THEN reset_template WHEN mi.merged IS NOT NULL THEN mi.merged ELSE pattern END AS pattern,
+           CASE WHEN k = 1 THEN 'PENDING_MERGE' ELSE 'ACTIVE' END AS status,
+           CASE WHEN k = 1 THEN merge_into END AS merge_target_id, 0 AS confirmation_count,
+           label AS labeled_template, decision, reasoning
+         FROM dec LEFT JOIN mi ON mi.cluster_id = dec.cluster_id WHERE k <> 2),
+kids AS (SELECT 'split_' || cluster_id || '_0' AS cluster_id, pattern FROM dec WHERE k = 2 UNION ALL
+         SELECT 'split_' || cluster_id || '_1', regexp_replace(pattern, '{_GEN}', '<*>', 'g') FROM dec WHERE k = 2),
+applied AS (SELECT * FROM kept UNION ALL
+            SELECT cluster_id, pattern, 'ACTIVE', NULL, 0, NULL, NULL, NULL FROM kids)
+"""
+
+
+@register("lifecycle_apply_decisions", _applied_sql() + "SELECT * FROM applied")
+def lifecycle_apply_decisions(spark, sf_dir):
+    """L1-L5 + U2: keep / merge / split / reset decisions applied to the template table."""
+    from logweave.operators.lifecycle import apply_decisions
+
+    _, _, t = _kg_template_table(spark, sf_dir)
+    out = apply_decisions(t, _standin_decisions(t))["templates"]
+    return out.select(*_TPL_OUT).withColumn("confirmation_count", F.col("confirmation_count").cast("int"))
+
+
+@register("lifecycle_confirm_merges", _applied_sql() + """,
+hits AS (SELECT key AS merge_target_id, count(*) AS h FROM kk GROUP BY key),
+fl AS (SELECT line_id, key FROM kk),
+firsts AS (SELECT key, min(line_id) AS first_line FROM kk GROUP BY key),
+none_hits AS (SELECT kk.key AS merge_target_id, count(*) AS h FROM kk JOIN firsts ON firsts.key = kk.key
+              WHERE kk.line_id <> firsts.first_line GROUP BY kk.key)
+SELECT a.cluster_id, a.pattern, a.status, a.merge_target_id,
+       CAST(CASE WHEN a.status = 'PENDING_MERGE' THEN a.confirmation_count + coalesce(n.h, 0) ELSE a.confirmation_count END AS INTEGER) AS confirmation_count,
+       a.labeled_template, a.decision, a.reasoning
+FROM applied a LEFT JOIN none_hits n ON n.merge_target_id = a.merge_target_id
+WHERE NOT (a.status = 'PENDING_MERGE' AND a.confirmation_count + coalesce(n.h, 0) >= 100000)""")
+def lifecycle_confirm_merges(spark, sf_dir):
+    """Each later line of a merge target confirms the templates pending into it; a
+    pending template reaching the threshold is deleted. Threshold 100 000 keeps the
+    counts visible at small scale; lines are the key-group clustering's results."""
+    from logweave.operators.lifecycle import apply_decisions, confirm_merges
+
+    lines, keyed, t = _kg_template_table(spark, sf_dir)
+    applied = apply_decisions(t, _standin_decisions(t))["templates"]
+    firsts = keyed.groupBy("key").agg(F.min("line_id").alias("__first"))
+    results = (keyed.join(firsts, "key")
+               .select(F.col("key").alias("cluster_id"), "line_id",
+                       F.when(F.col("line_id") == F.col("__first"), "CREATE").otherwise("NONE").alias("change_type"),
+                       F.lit(False).alias("fast_path"), F.lit(False).alias("near_match")))
+    return confirm_merges(applied, results, threshold=100_000).select(*_TPL_OUT)
+
+
+@register("review_items_events", _applied_sql() + """,
+smp AS (SELECT key, line, row_number() OVER (PARTITION BY key ORDER BY md5('logweave:' || CAST(line_id AS VARCHAR)), line_id) AS rn,
+               line_id FROM (SELECT kk.key, m2.line, kk.line_id FROM kk JOIN ({EVENT_LINES_SQL}) m2 ON m2.line_id = kk.line_id)),
+s3 AS (SELECT key, line, row_number() OVER (PARTITION BY key ORDER BY line_id) AS slot FROM smp WHERE rn <= 200)
+SELECT tp.cluster_id, tp.pattern AS template,
+       len(list_filter(string_split_regex(tp.pattern, '\\s+'), lambda x: x = '<*>')) / greatest(len(string_split_regex(tp.pattern, '\\s+')), 1) AS wildcard_ratio,
+       (SELECT string_agg(line, ' || ' ORDER BY slot) FROM s3 WHERE s3.key = tp.cluster_id AND slot <= 3) AS samples
+FROM tp""".replace("{EVENT_LINES_SQL}", EVENT_LINES_SQL))
+def review_items_events(spark, sf_dir):
+    """J13 + P3 + W5/W6: every template touched by a CREATE, once, with its wildcard ratio
+    and the first three of its 200 reservoir samples."""
+    from logweave.operators.review import review_new_or_changed
+    from logweave.operators.sampling import reservoir_sample
+
+    lines, keyed, t = _kg_template_table(spark, sf_dir)
+    firsts = keyed.groupBy("key").agg(F.min("line_id").alias("__first"))
+    results = keyed.join(firsts, "key").select(
+        F.col("key").alias("cluster_id"), F.when(F.col("line_id") == F.col("__first"), "CREATE").otherwise("NONE").alias("change_type"))
+    samples = reservoir_sample(keyed.select("line_id", "line", F.col("key").alias("cluster_id")), 200)
+    items = review_new_or_changed(results, t, samples)
+    return items.select("cluster_id", "template", "wildcard_ratio",
+                        F.array_join("samples", " || ").alias("samples"))
+
+
+@register("templates_view_events", _kg_sql() + """SELECT key AS cluster_id, arg_max(template, trig) AS pattern,
+  CAST(count(*) AS BIGINT) AS versions, 'ACTIVE' AS status FROM v GROUP BY key""")
+def templates_view_events(spark, sf_dir):
+    """P23 (+ U2 from CREATE lines, W4): ACTIVE templates with their number of versions."""
+    from logweave.operators.lifecycle import add_templates, empty_templates, new_templates_from_results
+    from logweave.operators.parse import templates_view
+
+    out, res = _ingest_key_groups(spark, sf_dir)
+    keys = out.cluster_templates.select("cluster_id", "key")
+    t = add_templates(empty_templates(spark), new_templates_from_results(out.results))
+    latest = out.cluster_templates.select("cluster_id", F.col("template").alias("__latest"))
+    t = t.join(latest, "cluster_id").withColumn("pattern", F.col("__latest")).drop("__latest")
+    v = templates_view(t, out.versions)
+    return v.join(keys, "cluster_id").select(F.col("key").alias("cluster_id"), "pattern", "versions", "status")
+
+
+@register("state_roundtrip_templates", _applied_sql() + "SELECT * FROM applied")
+def state_roundtrip_templates(spark, sf_dir):
+    """S5 then S4: the applied template table written as a snapshot and read back."""
+    import tempfile
+
+    from logweave.operators.lifecycle import apply_decisions
+    from logweave.session import checkpoint_dir
+    from logweave.sources.state import load_state, save_state, state_exists
+
+    _, _, t = _kg_template_table(spark, sf_dir)
+    applied = apply_decisions(t, _standin_decisions(t))["templates"]
+    root = checkpoint_dir(spark).rstrip("/") + "/state-" + next(tempfile._get_candidate_names())
+    assert not state_exists(spark, root)
+    assert save_state(spark, root, {"templates": applied})
+    back = load_state(spark, root)["templates"]
+    return back.select(*_TPL_OUT)
