@@ -101,6 +101,35 @@ def fold_group(token_lists, sim_th: float, seed_templates=()):
     return out, finals
 
 
+def fold_with_kinds(token_lists, sim_th: float, templates=()):
+    """Streaming form of the fold: clusters start from ``templates`` (state of earlier
+    micro-batches); returns per line (ordinal, CREATE/UPDATE/NONE, template after the line)
+    and the final templates."""
+    tpls = [list(t) for t in templates]
+    ords, kinds, after = [], [], []
+    for toks in token_lists:
+        n = len(toks)
+        best, best_sim, best_par = -1, -1, -1
+        for i, t in enumerate(tpls):
+            if len(t) != n:
+                continue
+            sim = sum(1 for a, b in zip(t, toks) if a != WILDCARD and a == b)
+            par = sum(1 for a in t if a == WILDCARD)
+            if sim > best_sim or (sim == best_sim and par > best_par):
+                best, best_sim, best_par = i, sim, par
+        if best >= 0 and (n == 0 or best_sim / n >= sim_th):
+            new = [a if a == b else WILDCARD for a, b in zip(tpls[best], toks)]
+            kinds.append("UPDATE" if new != tpls[best] else "NONE")
+            tpls[best] = new
+        else:
+            tpls.append(list(toks))
+            best = len(tpls) - 1
+            kinds.append("CREATE")
+        ords.append(best)
+        after.append(" ".join(tpls[best]))
+    return ords, kinds, after, [" ".join(t) for t in tpls]
+
+
 _FOLD_SCHEMA = T.StructType([
     T.StructField("key", T.StringType()), T.StructField("chunk", T.IntegerType()),
     T.StructField("text", T.StringType()), T.StructField("first_line_id", T.LongType()),

@@ -595,3 +595,156 @@ def state_roundtrip_templates(spark, sf_dir):
     assert save_state(spark, root, {"templates": applied})
     back = load_state(spark, root)["templates"]
     return back.select(*_TPL_OUT)
+
+
+def _parse_sql() -> str:
+    from logweave.functions.events import sql_flat_event
+
+    lab = ", ".join(f"{N.sql_label_case('template', field=f)} AS {a}" for f, a in
+                    [("class_uid", "l_cls"), ("severity_id", "l_sev"), ("activity_id", "l_act"),
+                     ("class_name", "l_cname"), ("activity_name", "l_aname")])
+    flat = sql_flat_event("line", "l_cls", "l_sev", "l_act", "l_cname", "l_aname")
+    return _applied_sql() + f""",
+pl AS (SELECT cluster_id, coalesce(nullif(labeled_template, ''), pattern) AS template FROM applied
+       WHERE status = 'ACTIVE' AND decision IS NOT NULL),
+ln AS (SELECT kk.line_id, kk.key AS cluster_id, e.line FROM kk JOIN ({EVENT_LINES_SQL}) e ON e.line_id = kk.line_id),
+x AS (SELECT ln.line_id, ln.cluster_id, ln.line, pl.template, {lab} FROM ln JOIN pl ON pl.cluster_id = ln.cluster_id),
+ev AS (SELECT x.*, {flat} FROM x)
+SELECT line_id, cluster_id, template,
+  CASE WHEN l_cls IS NOT NULL THEN l_cname ELSE 'Unknown' END AS ocsf_class,
+  CASE WHEN l_cls IS NOT NULL THEN l_aname ELSE 'Unknown' END AS activity,
+  CASE WHEN l_cls IS NOT NULL THEN severity ELSE 'Informational' END AS severity,
+  coalesce(status, '') AS status, coalesce(user_name, '') AS username, coalesce(src_ip, '') AS src_ip,
+  coalesce(dst_ip, '') AS dst_ip, coalesce(http_method, '') AS http_method, coalesce(url_path, '') AS http_path,
+  coalesce(CAST(http_code AS VARCHAR), '') AS http_status, coalesce(db_name, '') AS db_name,
+  coalesce(nullif(regexp_extract(line, '(?i)\\bservice\\s+(\\w+)', 1), ''), app_name, '') AS service
+FROM ev"""
+
+
+@register("parse_events_events", _parse_sql())
+def parse_events_events(spark, sf_dir):
+    """L14 + P18/P19: parsed records for every line of the reviewed, ACTIVE templates
+    (label else pattern), event fields from the rule label of the template."""
+    from logweave.operators.lifecycle import apply_decisions
+    from logweave.operators.parse import parse_events
+
+    lines, keyed, t = _kg_template_table(spark, sf_dir)
+    applied = apply_decisions(t, _standin_decisions(t))["templates"]
+    src = keyed.select("line_id", "line", "arrival_ts", F.col("key").alias("cluster_id"))
+    p = parse_events(src, applied)
+    return p.select("line_id", "cluster_id", "template", "ocsf_class", "activity", "severity", "status", "username",
+                    "src_ip", "dst_ip", "http_method", "http_path", "http_status", "db_name", "service")
+
+
+_DEC_OUT = ["batch_id", "cluster_id", "decision", "merge_into_cluster_id", "labeled_template", "reasoning"]
+
+
+def _replies(t):
+    """Stand-in reviewer replies: the stand-in decisions as JSON text, every other chunk
+    wrapped in a code fence; resets are left out of the reply (to be completed)."""
+    d = _standin_decisions(t).where(~(F.col("decision") == "reset"))
+    body = d.groupBy("batch_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct(
+        "cluster_id", "decision", "merge_into_cluster_id", "merged_template", "sub_templates", "reset_template",
+        "labeled_template", "reasoning"))).alias("templates"))).alias("response"))
+    return body.select("batch_id", F.concat(F.lit("```json\n"), F.col("response"), F.lit("\n```")).alias("response"))
+
+
+@register("decisions_from_replies", _applied_sql() + """SELECT 'b1' AS batch_id, cluster_id,
+  CASE WHEN k = 3 THEN 'keep' ELSE decision END AS decision,
+  CASE WHEN k = 3 THEN NULL ELSE merge_into END AS merge_into_cluster_id,
+  replace(pattern, '<*>', '<unknown>') AS labeled_template,
+  CASE WHEN k = 3 THEN 'not_returned_by_llm' ELSE reasoning END AS reasoning FROM dec""")
+def decisions_from_replies(spark, sf_dir):
+    """S7 + J10 (+P6-P8): reviewer replies (fenced JSON) parsed into decisions, completed
+    for templates the reply left out, labels validated against each template."""
+    from logweave.operators.lifecycle import complete_decisions, read_decisions
+
+    _, _, t = _kg_template_table(spark, sf_dir)
+    requests = t.select(F.lit("b1").alias("batch_id"), "cluster_id", F.col("pattern").alias("template"))
+    got = read_decisions(_replies(t))
+    return complete_decisions(requests, got).select(*_DEC_OUT)
+
+
+@register("decisions_after_responses", _applied_sql() + """, rr AS (SELECT *, row_number() OVER (ORDER BY cluster_id) - 1 AS q FROM dec)
+SELECT 'b1' AS batch_id, cluster_id,
+  CASE WHEN q % 3 = 0 THEN decision WHEN q % 3 = 1 THEN 'keep' ELSE 'keep' END AS decision,
+  CASE WHEN q % 5 = 0 THEN 'reviewed' ELSE merge_into END AS merge_into_cluster_id,
+  CASE WHEN k = 0 THEN replace(pattern, '<*>', '<unknown>') END AS labeled_template,
+  CASE WHEN q % 3 = 0 THEN reasoning WHEN q % 3 = 1 THEN 'user_rejected' ELSE 'web_timeout' END AS reasoning FROM rr""")
+def decisions_after_responses(spark, sf_dir):
+    """J12 + L13: a field edit applied to some decisions, then accept / reject / no answer
+    (timeout) responses."""
+    from pyspark.sql import Window
+
+    from logweave.operators.lifecycle import override_decisions, response_override
+
+    _, _, t = _kg_template_table(spark, sf_dir)
+    d = _standin_decisions(t)
+    q = d.select("batch_id", "cluster_id", (F.row_number().over(Window.orderBy("cluster_id")) - 1).alias("q"))
+    upd = q.where(F.col("q") % 5 == 0).select("batch_id", "cluster_id", F.lit("reviewed").alias("merge_into_cluster_id"))
+    d2 = override_decisions(d, upd)
+    resp = q.where(F.col("q") % 3 != 2).select(
+        "batch_id", "cluster_id", F.when(F.col("q") % 3 == 0, "accept").otherwise("reject").alias("action"),
+        F.lit(None).cast("string").alias("edited_decision"), F.lit(None).cast("string").alias("edited_reasoning"),
+        F.lit(5).alias("responded_after_s"))
+    return response_override(d2, resp).select(*_DEC_OUT)
+
+
+# ---------------------------------------------------------------------------
+# Structured Streaming (R1-R3, R6): the event rows read as a file stream, run with an
+# availableNow trigger into the checkpoint folder, and read back.
+# ---------------------------------------------------------------------------
+
+@register("stream_metrics_events", """SELECT strftime(time_bucket(INTERVAL 60 SECOND, ts), '%Y-%m-%d %H:%M:%S') AS window_start,
+  count(*) AS logs_ingested FROM events GROUP BY 1""")
+def stream_metrics_events(spark, sf_dir):
+    """Lines per 60 s event-time window, streaming with a watermark."""
+    from logweave.streaming.ingest import event_line_stream, run_foreach_batch, stream_dir, stream_metrics
+
+    base = stream_dir(spark, "metrics")
+    m = stream_metrics(event_line_stream(spark, sf_dir))
+    # update mode: every micro-batch emits the windows it changed, so the newest value of a
+    # window is final even for the last window, which append mode would hold back until the
+    # watermark passes it
+    run_foreach_batch(m.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "logs_ingested"),
+                      f"{base}/out", f"{base}/ckpt", "update")
+    r = spark.read.parquet(f"{base}/out")
+    return r.groupBy("window_start").agg(F.max_by("logs_ingested", "batch_id").alias("logs_ingested"))
+
+
+@register("stream_mine_events")
+def stream_mine_events(spark, sf_dir):
+    """R1 + R2: stateful streaming mining of the event lines (state = cluster templates
+    per key, RocksDB-compatible); per cluster the latest template and its line count."""
+    from logweave.functions.masks import mask_only
+    from logweave.streaming.ingest import event_line_stream, run_to_completion, stream_dir, stream_mine
+
+    base = stream_dir(spark, "mine")
+    run_to_completion(stream_mine(mask_only(event_line_stream(spark, sf_dir))), f"{base}/out", f"{base}/ckpt")
+    r = spark.read.parquet(f"{base}/out")
+    return r.groupBy("cluster_id", "key").agg(F.max_by("template", "line_id").alias("template"),
+                                            F.count(F.lit(1)).alias("lines"))
+
+
+@register("stream_reservoir_events", """WITH m AS ({masked}),
+k AS (SELECT line_id, line, regexp_split_to_array(regexp_replace(processed, '^\\s+|\\s+$', '', 'g'), '\\s+') AS toks FROM m),
+kk AS (SELECT line_id, line, CAST(len(toks) AS VARCHAR) || '|' || CASE WHEN regexp_matches(toks[1], '\\d') THEN '<*>' ELSE toks[1] END AS key FROM k),
+r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY md5('logweave:' || CAST(line_id AS VARCHAR)), line_id) AS rn,
+        count(*) OVER (PARTITION BY key) AS n FROM kk)
+SELECT key AS cluster_id, line_id, line, n FROM r WHERE rn <= 200""".format(
+    masked=M.sql_mask_chain(EVENT_LINES_SQL, "line_id, line", with_extractions=False)))
+def stream_reservoir_events(spark, sf_dir):
+    """Keyed-state reservoir per mining key, fed by the line stream; the last
+    micro-batch's sample per key (equal to the batch sampler's)."""
+    from logweave.functions.masks import mask_only
+    from logweave.functions.tokens import tokens
+    from logweave.operators.mining import mining_key
+    from logweave.streaming.ingest import event_line_stream, run_foreach_batch, stream_dir, stream_reservoir
+
+    base = stream_dir(spark, "reservoir")
+    keyed = mask_only(event_line_stream(spark, sf_dir)).select(
+        "line_id", "line", mining_key(tokens(F.col("processed"))).alias("cluster_id"))
+    run_foreach_batch(stream_reservoir(keyed, 200), f"{base}/out", f"{base}/ckpt")
+    r = spark.read.parquet(f"{base}/out")
+    last = r.groupBy("cluster_id").agg(F.max("batch_id").alias("batch_id"))
+    return r.join(last, ["cluster_id", "batch_id"]).select("cluster_id", "line_id", "line", "n")
