@@ -27,13 +27,14 @@ def read_log_lines(spark: SparkSession, paths, source: str | None = None,
     """Read text files as log lines. ``limit`` keeps the first n lines in arrival order
     (the reference caps uploads at 200 000; no cap by default)."""
     raw = spark.read.text(paths)
-    files = sorted(raw.inputFiles())
+    # the listing writes local files as file:///x, the scan metadata as file:/x
+    files = sorted(f.replace("file:///", "file:/", 1) if f.startswith("file:///") else f for f in raw.inputFiles())
     file_idx = spark.createDataFrame(list(enumerate(files)),
                                      T.StructType([T.StructField("file_index", T.LongType()),
                                                    T.StructField("file_path", T.StringType())]))
     df = raw.select(
         F.col("value").alias("line"),
-        F.col("_metadata.file_path").alias("file_path"),
+        F.regexp_replace(F.col("_metadata.file_path"), "^file:///", "file:/").alias("file_path"),
         F.col("_metadata.file_block_start").alias("block_start"),
         F.col("_metadata.file_modification_time").alias("arrival_ts"),
         F.monotonically_increasing_id().alias("mid"),
