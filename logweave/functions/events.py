@@ -270,3 +270,9 @@ def sql_flat_event(raw: str, cls: str, sev: str, act: str, cname: str, aname: st
         "observables": "concat_ws(';', " + ", ".join(obs_parts) + ")",
     }
     return ", ".join(f"{v} AS {k}" for k, v in cols.items())
+
+
+FLAT_EVENT_NAMES = ("class_uid", "type_uid", "type_name", "severity", "status_id", "status", "auth_protocol_id",
+                    "auth_protocol", "user_name", "src_ip", "dst_ip", "dst_port", "dst_hostname", "http_method",
+                    "url_path", "http_code", "http_length", "db_name", "db_table", "actor_user", "affected_rows",
+                    "duration", "app_name", "observables")

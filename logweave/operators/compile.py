@@ -54,4 +54,7 @@ def matchable_templates(templates: DataFrame, fallback_to_pattern: bool = False)
         text = F.coalesce(text, F.nullif(F.col("pattern"), F.lit("")))
     t = (templates.where((F.col("status") == "ACTIVE") & F.col("decision").isNotNull())
          .withColumn("__text", text).where(F.col("__text").isNotNull()))
+    if "registry_seq" not in t.columns:
+        # registry order = registration order (creation time)
+        t = t.withColumn("registry_seq", F.unix_micros(F.col("created_at").cast("timestamp")))
     return compile_templates(t, "__text")

@@ -145,8 +145,11 @@ def _events_sql(src: str) -> str:
            f"{N.sql_label_case('processed', field='activity_id')} AS l_act, "
            f"{N.sql_label_case('processed', field='class_name')} AS l_cname, "
            f"{N.sql_label_case('processed', field='activity_name')} AS l_aname FROM ({masked})")
+    from logweave.functions.events import FLAT_EVENT_NAMES
+
     flat = sql_flat_event("line", "l_cls", "l_sev", "l_act", "l_cname", "l_aname")
-    return f"SELECT line_id, {flat} FROM ({lab})"
+    outer = ", ".join(f"CASE WHEN l_cls IS NOT NULL THEN {c} END AS {c}" for c in FLAT_EVENT_NAMES)
+    return f"SELECT line_id, {outer} FROM (SELECT line_id, l_cls, {flat} FROM ({lab}))"
 
 
 @register("ocsf_events", _events_sql(EVENT_LINES_SQL))
@@ -748,3 +751,97 @@ def stream_reservoir_events(spark, sf_dir):
     r = spark.read.parquet(f"{base}/out")
     last = r.groupBy("cluster_id").agg(F.max("batch_id").alias("batch_id"))
     return r.join(last, ["cluster_id", "batch_id"]).select("cluster_id", "line_id", "line", "n")
+
+
+# ---------------------------------------------------------------------------
+# Review side without an SQL form (difflib scores, hash-bucketed request groups, mining)
+# ---------------------------------------------------------------------------
+
+@register("candidate_templates_events")
+def candidate_templates_events(spark, sf_dir):
+    """J3 + F2 + T2: for each mined template (threshold 0.4), the up-to-5 key-group
+    templates with a character similarity ratio above 0.5."""
+    from logweave.operators.review import candidate_templates
+    from logweave.plans.ingest import ingest
+
+    _, _, t = _kg_template_table(spark, sf_dir)
+    mined = ingest(event_log_lines(spark, sf_dir), with_extractions=False).cluster_templates
+    new = mined.select("cluster_id", F.col("template").alias("pattern"))
+    return candidate_templates(new, t)
+
+
+@register("review_requests_events")
+def review_requests_events(spark, sf_dir):
+    """P24 + W8 + J7, P26, J8 + P28: review request texts (groups of 3 templates), the
+    over-general ones, and classification requests for reviewed templates with no cached
+    classification."""
+    from logweave.operators.lifecycle import apply_decisions
+    from logweave.operators.review import (classify_requests, degraded_review_requests, label_review_requests,
+                                           review_all_active, unclassified_templates)
+    from logweave.operators.sampling import reservoir_sample
+
+    _, keyed, t = _kg_template_table(spark, sf_dir)
+    samples = reservoir_sample(keyed.select("line_id", "line", F.col("key").alias("cluster_id")), 200)
+    items = review_all_active(t, samples)
+    prior = _standin_decisions(t).select("cluster_id", "decision", F.col("labeled_template").alias("template"), "reasoning")
+    a = label_review_requests(items, prior).select(F.lit("label").alias("kind"), F.col("batch_id").alias("id"), "request")
+    b = degraded_review_requests(items).select(F.lit("degraded").alias("kind"), F.col("cluster_id").alias("id"), "request")
+    applied = apply_decisions(t, _standin_decisions(t))["templates"]
+    cls = spark.createDataFrame([], "template string, classification string")
+    c = classify_requests(unclassified_templates(applied, cls), samples).select(
+        F.lit("classify").alias("kind"), F.col("cluster_id").alias("id"), "request")
+    return a.unionByName(b).unionByName(c)
+
+
+@register("near_match_queue_events")
+def near_match_queue_events(spark, sf_dir):
+    """U1 -> L9 -> J9 -> P27 -> J11 -> L10: near matches (threshold 0.5) queued, given
+    context and request texts, completed with the default decision and resolved; per
+    candidate template, the items and the lines sent back to mining."""
+    from logweave.operators.lifecycle import complete_near_match_decisions, near_match_enqueue, near_match_resolve
+    from logweave.operators.matching import fast_path
+    from logweave.operators.review import near_match_context, near_match_review_requests
+
+    lines, compiled = _key_templates(spark, sf_dir)
+    _, _, t = _kg_template_table(spark, sf_dir)
+    r = fast_path(lines, compiled, threshold=0.5)
+    res = r.select("line_id", "line", "arrival_ts", "cluster_id", "similarity",
+                   (F.col("match_kind") == "NEAR").alias("near_match"))
+    items = near_match_enqueue(res)
+    ctx = near_match_context(items, t)
+    req = near_match_review_requests(ctx)
+    empty = spark.createDataFrame([], "item_id string, decision string, corrected_template string, reasoning string")
+    out = near_match_resolve(items, complete_near_match_decisions(items, empty), t)
+    kinds = r.groupBy("match_kind").agg(F.count(F.lit(1)).alias("lines"))
+    queued = (out["items"].join(req, "item_id", "left")
+              .agg(F.count(F.lit(1)).alias("items"), F.count_if(F.col("status") == "rejected").alias("sent_to_mining"),
+                   F.count(F.col("request")).alias("requests")))
+    # one row per dispatch kind; the queue counters (one row) are attached to the NEAR row
+    return kinds.join(queued.withColumn("match_kind", F.lit("NEAR")), "match_kind", "full")
+
+
+@register("approve_and_remine_events")
+def approve_and_remine_events(spark, sf_dir):
+    """E2 + L11 + L12 + A12: ingest (threshold 0.4), review every new template with the
+    default reviewer, approve, then re-mine all samples of the ACTIVE templates with the
+    approved templates as seeds; re-mine counts per change type."""
+    from logweave.operators.lifecycle import add_templates, empty_templates, new_templates_from_results
+    from logweave.operators.reports import remine_stats
+    from logweave.operators.sampling import reservoir_sample
+    from logweave.plans.ingest import ingest
+    from logweave.plans.review_cycle import approve, review_batch
+
+    lines = event_log_lines(spark, sf_dir)
+    out = ingest(lines, with_extractions=False)
+    # each stage's output is a table of its own (results, samples, templates): writing them
+    # to the checkpoint folder keeps later plans small and survives executor loss
+    res = cut_lineage(out.results)
+    t = cut_lineage(add_templates(empty_templates(spark), new_templates_from_results(res)))
+    samples = cut_lineage(reservoir_sample(res.select("line_id", "line", "cluster_id"), 200))
+    requests, _ = review_batch(res, t, samples)
+    appr = approve(res, t, requests, samples=samples)
+    active = cut_lineage(appr["templates"]).where(F.col("status") == "ACTIVE")
+    again = samples.join(active.select("cluster_id"), "cluster_id", "left_semi").select("line_id", "line")
+    seeds = active.select("cluster_id", F.col("pattern").alias("template"))
+    re_out = ingest(again, seeds=seeds, with_extractions=False)
+    return remine_stats(re_out.results)
