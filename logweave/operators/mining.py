@@ -207,13 +207,15 @@ def mine_templates(lines: DataFrame, text_col: str = "processed", id_col: str =
                    group_lines: int = DEFAULT_GROUP_LINES) -> DataFrame:
     """A1: cluster assignment per *distinct* text.
 
-    Returns ``(text, key, first_line_id, cluster_id)``; join back on ``text`` for per-line
-    results (:func:`assign_lines`). ``seeds(cluster_id, template)`` are existing clusters
+    Returns ``(text, key, first_line_id, cluster_id, n)`` (n = lines with this text); join
+    back on ``text`` for per-line results (:func:`assign_lines`). ``seeds(cluster_id, template)`` are existing clusters
     that lines may join; they keep their ids.
     """
     # no null filter here: it would be pushed below the projection that computes the text
     # (the mask chain) and evaluate it twice; a null text folds as an empty line instead
-    d = lines.groupBy(F.col(text_col).alias("text")).agg(F.min(id_col).alias("first_line_id"))
+    d = lines.groupBy(F.col(text_col).alias("text")).agg(F.min(id_col).alias("first_line_id"),
+                                                         F.count(F.lit(1)).alias("n"))
+    counts = d.select("text", "n")
     d = d.withColumn("toks", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")))
     d = d.select(mining_key(F.col("toks")).alias("key"), "text", F.col("text").alias("fold_text"),
                  "first_line_id", "toks", F.lit(False).alias("is_seed"), F.lit(None).cast("string").alias("seed_id"))
@@ -261,10 +263,10 @@ def mine_templates(lines: DataFrame, text_col: str = "processed", id_col: str =
     l2map = l2.select("key", ck[0].cast("int").alias("chunk"), ck[1].cast("int").alias("ordinal"),
                       F.col("ordinal").alias("ord2"), F.col("seed_id").alias("seed2"))
 
-    a = l1.join(l2map, ["key", "chunk", "ordinal"], "left")
+    a = l1.join(l2map, ["key", "chunk", "ordinal"], "left").join(counts, "text", "left")
     final_ord = F.coalesce(F.col("ord2"), F.col("ordinal"))
     cid = F.coalesce(F.col("seed_id"), F.col("seed2"), F.lower(F.hex(F.xxhash64(F.col("key"), final_ord))))
-    return a.select("text", "key", "first_line_id", cid.alias("cluster_id"))
+    return a.select("text", "key", "first_line_id", cid.alias("cluster_id"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 # ---------------------------------------------------------------------------

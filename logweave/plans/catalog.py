@@ -304,8 +304,8 @@ def mine_event_templates(spark, sf_dir):
     from logweave.plans.ingest import ingest
 
     out = ingest(event_log_lines(spark, sf_dir), with_extractions=False)
-    counts = out.results.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("lines"))
-    return out.cluster_templates.join(counts, "cluster_id").select("cluster_id", "key", "template", "lines")
+    # lines per cluster from the pre-aggregated distinct counts (no per-line join-back)
+    return out.cluster_templates.join(out.cluster_lines, "cluster_id").select("cluster_id", "key", "template", "lines")
 
 
 @register("mine_document_templates")
@@ -314,8 +314,8 @@ def mine_document_templates(spark, sf_dir):
     from logweave.plans.ingest import ingest
 
     out = ingest(document_lines(spark, sf_dir), with_extractions=False)
-    counts = out.results.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("lines"))
-    return out.cluster_templates.join(counts, "cluster_id").select("cluster_id", "key", "template", "lines")
+    # lines per cluster from the pre-aggregated distinct counts (no per-line join-back)
+    return out.cluster_templates.join(out.cluster_lines, "cluster_id").select("cluster_id", "key", "template", "lines")
 
 
 # ---------------------------------------------------------------------------

@@ -32,6 +32,7 @@ class IngestOutput:
     results: DataFrame
     versions: DataFrame         # (cluster_id, version, template, trigger_line_id)
     cluster_templates: DataFrame  # (cluster_id, key, template): latest version per cluster
+    cluster_lines: DataFrame      # (cluster_id, lines): mining-path lines per cluster, from distinct counts
 
 
 def ingest(lines: DataFrame, compiled: DataFrame | None = None, rules=DEFAULT_RULES,
@@ -90,4 +91,5 @@ def ingest(lines: DataFrame, compiled: DataFrame | None = None, rules=DEFAULT_RU
     )
     latest = vl.groupBy("cluster_id").agg(F.max_by("template", "version").alias("template"))
     keys = mined.select("cluster_id", "key").distinct()
-    return IngestOutput(out, versions, latest.join(keys, "cluster_id", "left"))
+    lines_per = mined.groupBy("cluster_id").agg(F.sum("n").alias("lines"))
+    return IngestOutput(out, versions, latest.join(keys, "cluster_id", "left"), lines_per)
