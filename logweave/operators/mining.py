@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logweave.functions.tokens import WILDCARD, tokens
+from logweave.session import cut_lineage
 
 DEFAULT_SIM_TH = 0.4
 DEFAULT_GROUP_LINES = 20_000
@@ -134,7 +135,7 @@ _FOLD_SCHEMA = T.StructType([
     T.StructField("key", T.StringType()), T.StructField("chunk", T.IntegerType()),
     T.StructField("text", T.StringType()), T.StructField("first_line_id", T.LongType()),
     T.StructField("ordinal", T.IntegerType()), T.StructField("cluster_template", T.StringType()),
-    T.StructField("seed_id", T.StringType()),
+    T.StructField("seed_id", T.StringType()), T.StructField("n", T.LongType()),
 ])
 
 
@@ -159,8 +160,9 @@ def _fold_fn(sim_th: float):
         keys, chunks = pdf["key"].tolist(), pdf["chunk"].tolist()
         texts, firsts = pdf["text"].tolist(), pdf["first_line_id"].tolist()
         ftexts = pdf["fold_text"].tolist()
+        counts = pdf["n"].tolist()
         seeds, sids = pdf["is_seed"].tolist(), pdf["seed_id"].tolist()
-        o_key, o_chunk, o_text, o_first, o_ord, o_tpl, o_seed = [], [], [], [], [], [], []
+        o_key, o_chunk, o_text, o_first, o_ord, o_tpl, o_seed, o_n = [], [], [], [], [], [], [], []
         i, n = 0, len(keys)
         while i < n:
             j = i
@@ -181,11 +183,12 @@ def _fold_fn(sim_th: float):
                     o_key.append(keys[x]); o_chunk.append(chunks[x]); o_text.append(texts[x])
                     o_first.append(firsts[x]); o_ord.append(o); o_tpl.append(tpl_txt[o])
                     o_seed.append(seed_ids[o] if o < len(seed_ids) else None)
+                    o_n.append(counts[x])
             i = j
         return pd.DataFrame({"key": o_key, "chunk": pd.array(o_chunk, dtype="int32"), "text": o_text,
                              "first_line_id": pd.array(o_first, dtype="int64"),
                              "ordinal": pd.array(o_ord, dtype="int32"), "cluster_template": o_tpl,
-                             "seed_id": o_seed})
+                             "seed_id": o_seed, "n": pd.array(o_n, dtype="int64")})
     return run
 
 
@@ -199,7 +202,8 @@ def _seed_rows(seeds: DataFrame) -> DataFrame:
     return seeds.select(mining_key(t).alias("key"), F.col("template").alias("text"),
                         F.col("template").alias("fold_text"),
                         F.lit(-1).cast("bigint").alias("first_line_id"), t.alias("toks"),
-                        F.lit(True).alias("is_seed"), F.col("cluster_id").cast("string").alias("seed_id"))
+                        F.lit(True).alias("is_seed"), F.col("cluster_id").cast("string").alias("seed_id"),
+                        F.lit(0).cast("bigint").alias("n"))
 
 
 def mine_templates(lines: DataFrame, text_col: str = "processed", id_col: str = "line_id",
@@ -215,12 +219,15 @@ def mine_templates(lines: DataFrame, text_col: str = "processed", id_col: str =
     # (the mask chain) and evaluate it twice; a null text folds as an empty line instead
     d = lines.groupBy(F.col(text_col).alias("text")).agg(F.min(id_col).alias("first_line_id"),
                                                          F.count(F.lit(1)).alias("n"))
-    counts = d.select("text", "n")
     d = d.withColumn("toks", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")))
     d = d.select(mining_key(F.col("toks")).alias("key"), "text", F.col("text").alias("fold_text"),
-                 "first_line_id", "toks", F.lit(False).alias("is_seed"), F.lit(None).cast("string").alias("seed_id"))
+                 "first_line_id", "toks", F.lit(False).alias("is_seed"), F.lit(None).cast("string").alias("seed_id"),
+                 "n")
     if seeds is not None:
         d = d.unionByName(_seed_rows(seeds))
+    # the distinct lines feed the key counts, the fold and the level-2 merge: written once to
+    # the checkpoint folder so the input (and its mask chain) is evaluated exactly once
+    d = cut_lineage(d)
     # chunks per key: one per `group_lines` distinct lines (key counts: partial aggregate)
     kc = d.where(~F.col("is_seed")).groupBy("key").agg(F.count(F.lit(1)).alias("key_lines"))
     d = d.join(kc, "key")
@@ -230,7 +237,7 @@ def mine_templates(lines: DataFrame, text_col: str = "processed", id_col: str =
         F.when(F.col("is_seed"), F.sequence(F.lit(0), nchunks - 1))
         .otherwise(F.array(F.pmod(F.xxhash64("text"), nchunks).cast("int")))))
     # `text` identifies a row, `fold_text` is what gets tokenised (they differ in level 2)
-    fold_cols = ["key", "chunk", "text", "fold_text", "first_line_id", "is_seed", "seed_id"]
+    fold_cols = ["key", "chunk", "text", "fold_text", "first_line_id", "is_seed", "seed_id", "n"]
     buckets = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     # a key with one distinct line and no seed is its own cluster: no Python needed
     single = (F.col("key_lines") == 1) & ~F.col("is_seed")
@@ -240,7 +247,7 @@ def mine_templates(lines: DataFrame, text_col: str = "processed", id_col: str =
         single = single & F.col("has_seed").isNull()
     singles = d.where(single).select(
         "key", "chunk", "text", "first_line_id", F.lit(0).cast("int").alias("ordinal"),
-        F.array_join("toks", " ").alias("cluster_template"), F.lit(None).cast("string").alias("seed_id"))
+        F.array_join("toks", " ").alias("cluster_template"), F.lit(None).cast("string").alias("seed_id"), "n")
     l1 = _bucketed_fold(d.where(~single).select(*fold_cols), sim_th, buckets).unionByName(singles)
 
     # level 2, only for keys split into chunks: fold the chunk clusters (not pinned to a
@@ -252,18 +259,19 @@ def mine_templates(lines: DataFrame, text_col: str = "processed", id_col: str =
     l2_lines = l1c.select("key", F.lit(0).alias("chunk"),
                           F.concat_ws("#", F.col("chunk").cast("string"), F.col("ordinal").cast("string")).alias("text"),
                           F.col("tpl").alias("fold_text"), "first_line_id",
-                          F.lit(False).alias("is_seed"), F.lit(None).cast("string").alias("seed_id"))
+                          F.lit(False).alias("is_seed"), F.lit(None).cast("string").alias("seed_id"),
+                          F.lit(0).cast("bigint").alias("n"))
     l2_in = l2_lines
     if seeds is not None:
         l2_in = l2_in.unionByName(_seed_rows(seeds).join(split_keys, "key")
                                   .select("key", F.lit(0).alias("chunk"), "text", "fold_text",
-                                          "first_line_id", "is_seed", "seed_id"))
+                                          "first_line_id", "is_seed", "seed_id", F.lit(0).cast("bigint").alias("n")))
     l2 = _bucketed_fold(l2_in, sim_th, buckets)
     ck = F.split("text", "#")
     l2map = l2.select("key", ck[0].cast("int").alias("chunk"), ck[1].cast("int").alias("ordinal"),
                       F.col("ordinal").alias("ord2"), F.col("seed_id").alias("seed2"))
 
-    a = l1.join(l2map, ["key", "chunk", "ordinal"], "left").join(counts, "text", "left")
+    a = l1.join(l2map, ["key", "chunk", "ordinal"], "left")
     final_ord = F.coalesce(F.col("ord2"), F.col("ordinal"))
     cid = F.coalesce(F.col("seed_id"), F.col("seed2"), F.lower(F.hex(F.xxhash64(F.col("key"), final_ord))))
     return a.select("text", "key", "first_line_id", cid.alias("cluster_id"), F.coalesce("n", F.lit(0)).alias("n"))
