@@ -4,11 +4,12 @@ Strict match (J1/W1). A line matches a template when it has no leading whitespac
 single trailing newline is tolerated), the same number of whitespace tokens, and equal
 tokens at every literal position; wildcard positions take any token. This is exactly the
 anchored ``^lit\\s+(\\S+)\\s+lit$`` test, without regex. Plan: compiled templates are
-grouped per token count into one array per count, sorted most-specific first
-(``literal_count`` desc, ``registry_seq`` asc), and that small table is broadcast-joined
-on ``n_tokens``. Every line gets exactly one lookup row, so the join never multiplies
-rows and the "best template" is ``filter(candidates, matches)[0]`` — no per-line shuffle,
-window or aggregate. The template table is bounded by the number of approved templates;
+grouped per (token count, first token) into arrays sorted most-specific first
+(``literal_count`` desc, ``registry_seq`` asc); templates starting with a wildcard form a
+second lookup per token count. Both small tables are broadcast-joined on unique keys, so
+every line gets at most one row from each, the join never multiplies rows, a line only
+meets templates that can match its length and first token, and the "best template" is
+``filter(candidates, matches)[0]`` — no per-line shuffle, window or aggregate. The template table is bounded by the number of approved templates;
 its size is counted before broadcasting, and beyond ``max_broadcast_templates`` the same
 join runs as a shuffle join (AQE splits skewed token-count partitions).
 
@@ -41,14 +42,19 @@ def _priority_sorted(cands: Column) -> Column:
 
 
 def templates_by_token_count(compiled: DataFrame) -> DataFrame:
-    """One row per token count with its templates, most specific first."""
+    """One lookup row per (token count, first token) with its templates, most specific
+    first. Templates whose first token is a wildcard sit under the key '<*>'."""
+    first_wild = F.get(F.col("tpl_tokens"), 0).rlike(r"^<[^>]*>$")
     c = compiled.select(
         "n_tokens",
+        F.when(F.size("tpl_tokens") == 0, F.lit("")).when(first_wild, F.lit("<*>"))
+        .otherwise(F.get(F.col("tpl_tokens"), 0)).alias("first"),
         F.struct(F.col("literal_count").cast("int").alias("literal_count"), "registry_seq", "cluster_id",
                  F.transform("tpl_tokens", lambda t: F.when(~t.rlike(r"^<[^>]*>$"), t)).alias("lits"),
                  "label_paths").alias("t"))
-    g = c.groupBy("n_tokens").agg(F.collect_list("t").alias("cands"))
-    return g.select(F.col("n_tokens").alias("__n"), _priority_sorted(F.col("cands")).alias("__cands"))
+    g = c.groupBy("n_tokens", "first").agg(F.collect_list("t").alias("cands"))
+    return g.select(F.col("n_tokens").alias("__n"), F.col("first").alias("__f"),
+                    _priority_sorted(F.col("cands")).alias("__cands"))
 
 
 def _dedupe_last(entries: Column) -> Column:
@@ -70,8 +76,14 @@ def strict_match(lines: DataFrame, compiled: DataFrame, line_col: str = "line",
     n_templates = compiled.count()  # bounded config table: a cheap, explicit size check
     if n_templates <= max_broadcast_templates:
         lookup = F.broadcast(lookup)
-    j = x.join(lookup, "__n", "left")
-    hit = F.filter(F.coalesce(F.col("__cands"), F.array()), lambda c: F.forall(
+    # two lookups per line, each on a unique key (no row multiplication): templates whose
+    # first token equals the line's first token, and templates starting with a wildcard
+    x = x.withColumn("__f", F.coalesce(F.get(F.col("__toks"), 0), F.lit("")))
+    lit_first = lookup.where(F.col("__f") != "<*>").withColumnRenamed("__cands", "__c1")
+    wild_first = lookup.where(F.col("__f") == "<*>").select("__n", F.col("__cands").alias("__c2"))
+    j = x.join(lit_first, ["__n", "__f"], "left").join(wild_first, "__n", "left")
+    both = F.concat(F.coalesce(F.col("__c1"), F.array()), F.coalesce(F.col("__c2"), F.array()))
+    hit = F.filter(_priority_sorted(both), lambda c: F.forall(
         F.zip_with(c["lits"], F.col("__toks"), lambda a, b: a.isNull() | (a == b)), lambda ok: ok))
     j = j.withColumn("__best", F.when(F.col("__ws_ok"), F.get(hit, 0)))
     entries = F.filter(F.zip_with(F.col("__best.label_paths"), F.col("__toks"),
@@ -81,7 +93,7 @@ def strict_match(lines: DataFrame, compiled: DataFrame, line_col: str = "line",
     return (j.withColumn("exact_cluster_id", F.col("__best.cluster_id"))
             .withColumn("exact_literal_count", F.col("__best.literal_count"))
             .withColumn("matched_fields", fields)
-            .drop("__toks", "__ws_ok", "__n", "__cands", "__best"))
+            .drop("__toks", "__ws_ok", "__n", "__f", "__c1", "__c2", "__best"))
 
 
 def _loose_expr(chunk, line: Column) -> Column:
