@@ -38,10 +38,20 @@ class IngestOutput:
 def ingest(lines: DataFrame, compiled: DataFrame | None = None, rules=DEFAULT_RULES,
            sim_th: float = DEFAULT_SIM_TH, seeds: DataFrame | None = None,
            near_threshold: float = DEFAULT_NEAR_THRESHOLD, with_extractions: bool = True,
-           group_lines: int = DEFAULT_GROUP_LINES) -> IngestOutput:
+           group_lines: int = DEFAULT_GROUP_LINES, match_on: str = "raw",
+           label_on: str = "template") -> IngestOutput:
+    """``match_on``: 'raw' (default, as the reference) or 'processed' (match the masked
+    line, so masks that change the token count cannot defeat the fast path).
+    ``label_on``: 'template' (default, as the reference), 'masked' or 'line' (per line)."""
+    if match_on not in ("raw", "processed") or label_on not in ("template", "masked", "line"):
+        raise ValueError("match_on in {raw, processed}, label_on in {template, masked, line}")
     if compiled is not None:
         comp = compiled.withColumn("ocsf", label_column(F.col("labeled_template"), rules))
-        fp = fast_path(lines, comp)
+        if match_on == "processed":
+            fp = fast_path(mask_only(lines, out_col="__m"), comp, line_col="__m",
+                           threshold=near_threshold).drop("__m")
+        else:
+            fp = fast_path(lines, comp, threshold=near_threshold)
         lookup = comp.select(F.col("cluster_id").alias("__cid"), F.col("labeled_template").alias("__tpl"),
                              F.col("ocsf").alias("__tocsf"))
     else:
@@ -84,7 +94,8 @@ def ingest(lines: DataFrame, compiled: DataFrame | None = None, rules=DEFAULT_RU
         .when(kind == "EXACT", F.lit("NONE")).otherwise(F.lit("NEAR_MATCH")).alias("change_type"),
         (F.when(none, F.col("extractions")) if with_extractions else F.lit(None).cast("map<string,array<string>>")).alias("extractions"),
         F.when(kind == "EXACT", F.col("matched_fields")).alias("matched_fields"),
-        F.when(none, cur["ocsf"]).when(kind == "EXACT", exact_ocsf).alias("ocsf"),
+        (F.when(none, cur["ocsf"]).when(kind == "EXACT", exact_ocsf) if label_on == "template" else
+         label_column(F.col("processed") if label_on == "masked" else F.col("line"), rules)).alias("ocsf"),
         (kind == "EXACT").alias("fast_path"),
         (kind == "NEAR").alias("near_match"),
         F.col("similarity"),

@@ -40,3 +40,15 @@ def test_list_clusters_and_batch_summary(spark):
                               "batch_id string, cluster_id string, decision string")
     s = {r.batch_id: r for r in batch_summary(d).collect()}
     assert s["b1"]["count"] == 2 and s["b1"].decisions == "a:keep,b:merge" and s["b1"].approved is False
+
+
+def test_match_on_processed_and_label_on_masked(spark):
+    tpl = spark.createDataFrame([("db", "DB connection established <*> port <PORT> user <USERNAME> db=production", 0)],
+                                "cluster_id string, labeled_template string, registry_seq long")
+    lines = lines_from_strings(spark, ["DB connection established host=db-1 port=5432 user=app_user db=production"])
+    raw = ingest(lines, compile_templates(tpl), with_extractions=False).results.first()
+    assert not raw.fast_path  # port=5432 / user=x are one token in the raw line
+    proc = ingest(lines, compile_templates(tpl), match_on="processed", with_extractions=False,
+                  label_on="masked").results.first()
+    assert proc.fast_path and proc.cluster_id == "db" and dict(proc.matched_fields)["USERNAME"] == "<USERNAME>"
+    assert proc.ocsf.class_name == "Datastore Activity"
