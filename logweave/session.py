@@ -35,12 +35,38 @@ JOB_CONF = {
 }
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``logweave`` importable in the Python workers (pandas UDFs, applyInPandas):
+    the package is zipped once and added with ``addPyFile`` (what ``--py-files`` does at
+    submit time), once per SparkContext."""
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import zipfile
+
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    zpath = os.path.join(tempfile.mkdtemp(prefix="logweave-pyfiles-"), "logweave.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(app)
+
+
 def tune(spark: SparkSession) -> SparkSession:
     for k, v in JOB_CONF.items():
         try:
             spark.conf.set(k, v)
         except Exception:  # noqa: BLE001 - a locked conf keeps the session's value
             pass
+    ship_package(spark)
     return spark
 
 
