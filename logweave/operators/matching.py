@@ -26,12 +26,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logweave.functions.similarity import literal_similarities
+from logweave.functions.similarity import literal_similarities, literal_similarity
 from logweave.functions.tokens import tokens
 
 DEFAULT_NEAR_THRESHOLD = 0.85
 MAX_BROADCAST_TEMPLATES = 200_000
 LOOSE_CHUNK = 5_000
+MAX_INLINE_TEMPLATES = 2_000
 
 
 def _priority_sorted(cands: Column) -> Column:
@@ -110,22 +111,25 @@ def _loose_expr(chunk, line: Column) -> Column:
     return F.filter(cands, found)
 
 
-def near_match(lines: DataFrame, compiled: DataFrame, line_col: str = "line",
-               threshold: float = DEFAULT_NEAR_THRESHOLD, only_when: Column | None = None,
-               chunk_size: int = LOOSE_CHUNK) -> DataFrame:
-    """J2 + F1 + W2: adds ``near_cluster_id`` and ``similarity`` (NULL when below threshold).
-
-    Templates with literals are read once (bounded table) in priority order and compiled
-    into the expression; lines with ``only_when`` false skip the test."""
+def _near_match_inline(lines: DataFrame, compiled: DataFrame, line_col: str = "line",
+                       threshold: float = DEFAULT_NEAR_THRESHOLD, only_when: Column | None = None,
+                       chunk_size: int = LOOSE_CHUNK, with_priority: bool = False) -> DataFrame:
+    """Inline form: template literals are compiled into the expression (small registries)."""
     rows = (compiled.where(F.col("literal_count") > 0)
             .select("cluster_id", "literal_tokens", "literal_count", "registry_seq")
             .orderBy(F.desc("literal_count"), F.asc("registry_seq")).collect())
     line = F.col(line_col)
     gate = only_when if only_when is not None else F.lit(True)
     if not rows:
-        return lines.withColumn("near_cluster_id", F.lit(None).cast("string")).withColumn(
+        out = lines.withColumn("near_cluster_id", F.lit(None).cast("string")).withColumn(
             "similarity", F.lit(None).cast("double"))
+        if with_priority:
+            out = out.withColumn("near_literal_count", F.lit(None).cast("int")).withColumn(
+                "near_seq", F.lit(None).cast("bigint"))
+        return out
     ids = [r.cluster_id for r in rows]
+    lcs = [int(r.literal_count) for r in rows]
+    seqs = [int(r.registry_seq) if r.registry_seq is not None else 0 for r in rows]
     out = lines
     parts = []
     for start in range(0, len(rows), chunk_size):
@@ -141,9 +145,77 @@ def near_match(lines: DataFrame, compiled: DataFrame, line_col: str = "line",
     idx = F.when(F.size("__cand") > 0, F.try_element_at("__cand", first_best.cast("int"))["idx"])
     id_arr = F.array(*[F.lit(i) for i in ids])
     ok = best >= F.lit(threshold)
-    return (out.withColumn("near_cluster_id", F.when(ok, F.try_element_at(id_arr, (idx + 1).cast("int"))))
-            .withColumn("similarity", F.when(ok, best))
-            .drop("__cand", "__scores", *[f"__loose{s}" for s in range(0, len(rows), chunk_size)]))
+    out = (out.withColumn("near_cluster_id", F.when(ok, F.try_element_at(id_arr, (idx + 1).cast("int"))))
+           .withColumn("similarity", F.when(ok, best)))
+    if with_priority:
+        out = (out.withColumn("near_literal_count", F.when(ok, F.try_element_at(
+                   F.array(*[F.lit(v) for v in lcs]), (idx + 1).cast("int"))))
+               .withColumn("near_seq", F.when(ok, F.try_element_at(
+                   F.array(*[F.lit(v).cast("bigint") for v in seqs]), (idx + 1).cast("int")))))
+    return out.drop("__cand", "__scores", *[f"__loose{s}" for s in range(0, len(rows), chunk_size)])
+
+
+def _loose_col(lits: Column, line: Column) -> Column:
+    """All literals occur in order as substrings (column form of the inline test)."""
+    pos = F.aggregate(lits, F.lit(1), lambda p, lit: F.when(
+        (p > 0) & (F.instr(F.substring(line, p, 1 << 30), lit) > 0),
+        p + F.instr(F.substring(line, p, 1 << 30), lit) - 1 + F.length(lit)).otherwise(F.lit(0)))
+    return (F.size(lits) > 0) & (pos > 0)
+
+
+def _near_match_indexed(lines: DataFrame, compiled: DataFrame, line_col: str, threshold: float,
+                        only_when: Column | None, q: int = 3) -> DataFrame:
+    """Indexed form for large registries (exact). A template can loosely match a line only
+    if the line contains its longest literal, hence every q-gram of it: the line's distinct
+    q-grams are equi-joined to the first q-gram of each template's longest literal,
+    candidates are verified with the exact in-order test and scored, and the best template
+    per line is an aggregate over candidate pairs already partitioned by line id.
+    Templates whose literals are all shorter than q use the inline form."""
+    longest = F.get(F.array_sort(F.transform("literal_tokens", lambda x: F.struct(
+        (-F.length(x)).alias("neg_len"), x.alias("tok")))), 0)["tok"]
+    t = compiled.where(F.col("literal_count") > 0).select(
+        "cluster_id", "literal_tokens", F.col("literal_count").cast("int").alias("literal_count"),
+        F.col("registry_seq").cast("bigint").alias("registry_seq"), longest.alias("__longest"))
+    long_t = t.where(F.length("__longest") >= q)
+    short_t = t.where(F.length("__longest") < q)
+    gate = only_when if only_when is not None else F.lit(True)
+    need = lines.where(gate).select(F.col("line_id").alias("__lid"), F.col(line_col).alias("__line"))
+    grams = need.select("__lid", F.explode(F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length("__line") - q + 1, F.lit(1))),
+        lambda i: F.substring("__line", i, q)))).alias("__g"))
+    idx = long_t.select(F.substring("__longest", 1, q).alias("__g"), "cluster_id", "literal_tokens",
+                        "literal_count", "registry_seq")
+    pairs = grams.join(idx, "__g").drop("__g").join(need, "__lid")
+    pairs = pairs.where(_loose_col(F.col("literal_tokens"), F.col("__line")))
+    pairs = pairs.withColumn("__score", literal_similarity(F.col("literal_tokens"), F.col("__line")))
+    # best = highest score, then the most specific template (literal count desc, seq asc)
+    order = F.struct(F.col("__score").alias("s"), F.col("literal_count").alias("lc"),
+                     (-F.col("registry_seq")).alias("ns"), F.col("cluster_id").alias("id"))
+    best = pairs.groupBy("__lid").agg(F.max(order).alias("__bl"))
+    out = lines.join(best, F.col("line_id") == F.col("__lid"), "left").drop("__lid")
+    out = _near_match_inline(out, short_t, line_col, 0.0, only_when, with_priority=True)
+    short = F.when(F.col("near_cluster_id").isNotNull(), F.struct(
+        F.col("similarity").alias("s"), F.col("near_literal_count").alias("lc"),
+        (-F.col("near_seq")).alias("ns"), F.col("near_cluster_id").alias("id")))
+    win = F.greatest(F.col("__bl"), short)
+    out = out.withColumn("__win", win).drop("near_cluster_id", "similarity", "near_literal_count", "near_seq")
+    ok = F.col("__win.s") >= F.lit(threshold)
+    return (out.withColumn("near_cluster_id", F.when(ok, F.col("__win.id")))
+            .withColumn("similarity", F.when(ok, F.col("__win.s")))
+            .drop("__bl", "__win"))
+
+
+def near_match(lines: DataFrame, compiled: DataFrame, line_col: str = "line",
+               threshold: float = DEFAULT_NEAR_THRESHOLD, only_when: Column | None = None,
+               chunk_size: int = LOOSE_CHUNK, max_inline_templates: int = MAX_INLINE_TEMPLATES) -> DataFrame:
+    """J2 + F1 + W2: adds ``near_cluster_id`` and ``similarity`` (NULL below threshold).
+
+    Registries up to ``max_inline_templates`` templates with literals (counted first) are
+    compiled into the expression; larger ones use the exact q-gram candidate index."""
+    n = compiled.where(F.col("literal_count") > 0).count()
+    if n <= max_inline_templates:
+        return _near_match_inline(lines, compiled, line_col, threshold, only_when, chunk_size)
+    return _near_match_indexed(lines, compiled, line_col, threshold, only_when)
 
 
 def fast_path(lines: DataFrame, compiled: DataFrame, line_col: str = "line",

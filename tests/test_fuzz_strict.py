@@ -40,3 +40,24 @@ def test_strict_match_equals_anchored_regex(spark):
     got = {r.line_id: r.exact_cluster_id for r in
            strict_match(lines_from_strings(spark, lines), compile_templates(tpl)).collect()}
     assert got == want
+
+
+def test_near_match_indexed_equals_inline(spark):
+    from logweave.operators.matching import near_match
+
+    rnd = random.Random(11)
+    vocab = ["Accepted", "for", "from", "port", "ssh2", "ab", "x", "<*>", "DB", "query", "rows=", "on"]
+    words = ["Accepted", "for", "from", "port", "ssh2", "ab", "x", "alice", "DB", "query", "rows=5", "on", "10.0.0.1"]
+    templates = [" ".join(rnd.choice(vocab) for _ in range(rnd.randint(1, 6))) for _ in range(60)]
+    lines = [" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 9))) for _ in range(300)]
+    # registry order is unique (a permutation of the ids, so it differs from id order)
+    tpl = spark.createDataFrame([(str(i), t, (i * 7) % 61) for i, t in enumerate(templates)],
+                                "cluster_id string, labeled_template string, registry_seq long")
+    comp = compile_templates(tpl)
+    df = lines_from_strings(spark, lines)
+    for th in (0.85, 0.3):
+        a = {r.line_id: (r.near_cluster_id, r.similarity) for r in near_match(df, comp, threshold=th).collect()}
+        b = {r.line_id: (r.near_cluster_id, r.similarity) for r in
+             near_match(df, comp, threshold=th, max_inline_templates=0).collect()}
+        assert a == b
+        assert any(v[0] is not None for v in a.values())
