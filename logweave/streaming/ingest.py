@@ -48,6 +48,19 @@ MINE_OUT = T.StructType([
 MINE_STATE = T.StructType([T.StructField("templates", T.ArrayType(T.StringType()))])
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """Keyed state (templates per mining key, samples per cluster) grows with the number of
+    keys: keep it in RocksDB (off-heap, spills to local disk, checkpointed) rather than the
+    in-memory HDFS-backed provider. Only applies to queries started afterwards."""
+    try:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    except Exception:  # noqa: BLE001 - locked conf: keep the session's provider
+        pass
+
+
 def stream_dir(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex[:12]}"
 
@@ -164,6 +177,7 @@ def stream_ingest(lines: DataFrame, out_path: str, ckpt: str, rules_path: str |
                 "fast_path", F.col("__cid").isNotNull()).drop("__cid")
         out.write.mode("append").parquet(out_path)
 
+    use_rocksdb(mined.sparkSession)
     w = mined.writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt)
     w = w.trigger(**(trigger or {"availableNow": True}))
     return w.start()
@@ -171,6 +185,7 @@ def stream_ingest(lines: DataFrame, out_path: str, ckpt: str, rules_path: str |
 
 def run_to_completion(df: DataFrame, out_path: str, ckpt: str, mode: str = "append") -> None:
     """Run a streaming query with availableNow into parquet and wait for it."""
+    use_rocksdb(df.sparkSession)
     q = (df.writeStream.format("parquet").option("path", out_path).option("checkpointLocation", ckpt)
          .outputMode(mode).trigger(availableNow=True).start())
     q.awaitTermination()
@@ -180,6 +195,7 @@ def run_foreach_batch(df: DataFrame, out_path: str, ckpt: str, mode: str = "upda
     """Run a stateful streaming query (update mode) and append each micro-batch's rows."""
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_path)
+    use_rocksdb(df.sparkSession)
     q = (df.writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt).outputMode(mode)
          .trigger(availableNow=True).start())
     q.awaitTermination()

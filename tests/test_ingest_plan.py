@@ -1,5 +1,3 @@
-from pyspark.sql import functions as F
-
 from logweave.operators.compile import compile_templates
 from logweave.operators.mining import list_clusters
 from logweave.operators.reports import batch_summary

@@ -1,5 +1,3 @@
-from pyspark.sql import functions as F
-
 from logweave.functions.masks import mask_only
 from logweave.operators.mining import change_points, fold_group, mine_templates, template_of_cluster
 from logweave.plans.ingest import ingest

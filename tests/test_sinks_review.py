@@ -11,7 +11,7 @@ from logweave.operators.review import candidate_templates
 from logweave.sources.lines import lines_from_strings
 from logweave.sources.sinks import results_preview, write_metrics_jsonl, write_parsed_events, write_results
 from logweave.sources.tables import event_log_lines
-from logweave.streaming.ingest import LINE_SCHEMA, run_to_completion, stream_ingest, stream_merge_hits
+from logweave.streaming.ingest import LINE_SCHEMA, stream_ingest, stream_merge_hits
 
 
 def test_candidates_equal_brute_force(spark):

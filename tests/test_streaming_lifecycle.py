@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 
 from logweave.functions.masks import mask_only
 from logweave.operators.lifecycle import (add_templates, apply_decisions, complete_near_match_decisions,
-                                          confirm_merges, empty_templates, near_match_enqueue,
+                                          confirm_merges, near_match_enqueue,
                                           near_match_resolve, read_decisions, rollback_merge)
 from logweave.plans.ingest import ingest
-from logweave.sources.lines import lines_from_strings, read_log_lines
+from logweave.sources.lines import read_log_lines
 from logweave.sources.state import load_state, save_state, state_exists
 from logweave.sources.tables import event_log_lines
 from logweave.streaming.ingest import LINE_SCHEMA, inflight_dedup, queue_latest, run_to_completion, stream_mine
