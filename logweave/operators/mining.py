@@ -16,9 +16,11 @@ Spark plan
    hash-split into chunks so no task folds an unbounded group.
 3. ``groupBy(key, chunk).applyInPandas`` runs the ordered fold (numpy similarity kernel)
    on distinct lines in ``line_id`` order.
-4. Keys that were split fold their chunk clusters once more, per key, in first-line order
-   (templates are folded like lines). This hierarchical merge is the one deliberate
-   difference from a strictly sequential fold, and only for oversized keys.
+4. Keys that were split fold their chunk clusters again, per key, in first-line order
+   (templates are folded like lines), re-chunking while a key still holds more than
+   ``group_lines`` clusters (at most ``max_levels`` levels; then clusters of different
+   chunks stay apart). This hierarchical merge is the one deliberate difference from a
+   strictly sequential fold, and only for oversized keys.
 5. Change types and versions come from the cluster assignment with native aggregates
    (:func:`change_points`), not from the fold: per (cluster, position) the first line
    whose token differs from the cluster's first line is where that position became
@@ -208,7 +210,7 @@ def _seed_rows(seeds: DataFrame) -> DataFrame:
 
 def mine_templates(lines: DataFrame, text_col: str = "processed", id_col: str = "line_id",
                    sim_th: float = DEFAULT_SIM_TH, seeds: DataFrame | None = None,
-                   group_lines: int = DEFAULT_GROUP_LINES) -> DataFrame:
+                   group_lines: int = DEFAULT_GROUP_LINES, max_levels: int = 3) -> DataFrame:
     """A1: cluster assignment per *distinct* text.
 
     Returns ``(text, key, first_line_id, cluster_id, n)`` (n = lines with this text); join
@@ -250,30 +252,61 @@ def mine_templates(lines: DataFrame, text_col: str = "processed", id_col: str =
         F.array_join("toks", " ").alias("cluster_template"), F.lit(None).cast("string").alias("seed_id"), "n")
     l1 = _bucketed_fold(d.where(~single).select(*fold_cols), sim_th, buckets).unionByName(singles)
 
-    # level 2, only for keys split into chunks: fold the chunk clusters (not pinned to a
-    # seed) once more, in first-line order, with the key's seeds as existing clusters
+    # levels 2..: keys that were split fold their chunk clusters again (templates folded
+    # like lines, in first-line order, with the key's seeds). A key still holding more than
+    # `group_lines` clusters is re-chunked (a fresh hash per level), so no group ever exceeds
+    # `group_lines`; after `max_levels` levels, clusters of different chunks stay apart.
     split_keys = kc.where(F.col("key_lines") > group_lines).select("key")
-    l1c = (l1.where(F.col("seed_id").isNull()).join(split_keys, "key")
-           .groupBy("key", "chunk", "ordinal")
-           .agg(F.first("cluster_template").alias("tpl"), F.min("first_line_id").alias("first_line_id")))
-    l2_lines = l1c.select("key", F.lit(0).alias("chunk"),
-                          F.concat_ws("#", F.col("chunk").cast("string"), F.col("ordinal").cast("string")).alias("text"),
-                          F.col("tpl").alias("fold_text"), "first_line_id",
-                          F.lit(False).alias("is_seed"), F.lit(None).cast("string").alias("seed_id"),
-                          F.lit(0).cast("bigint").alias("n"))
-    l2_in = l2_lines
-    if seeds is not None:
-        l2_in = l2_in.unionByName(_seed_rows(seeds).join(split_keys, "key")
-                                  .select("key", F.lit(0).alias("chunk"), "text", "fold_text",
-                                          "first_line_id", "is_seed", "seed_id", F.lit(0).cast("bigint").alias("n")))
-    l2 = _bucketed_fold(l2_in, sim_th, buckets)
-    ck = F.split("text", "#")
-    l2map = l2.select("key", ck[0].cast("int").alias("chunk"), ck[1].cast("int").alias("ordinal"),
-                      F.col("ordinal").alias("ord2"), F.col("seed_id").alias("seed2"))
+    items = cut_lineage(
+        l1.where(F.col("seed_id").isNull()).join(split_keys, "key")
+        .groupBy("key", "chunk", "ordinal")
+        .agg(F.first("cluster_template").alias("tpl"), F.min("first_line_id").alias("first_line_id"))
+        .select("key", F.concat_ws("#", F.col("chunk").cast("string"), F.col("ordinal").cast("string")).alias("id"),
+                "tpl", "first_line_id"))
+    mapping = items.select("key", F.col("id").alias("id0"), F.col("id").alias("cur"),
+                           F.lit(None).cast("string").alias("seed_up"))
+    seed_rows = _seed_rows(seeds).join(split_keys, "key") if seeds is not None else None
+    for level in range(2, max_levels + 2):
+        if items.limit(1).count() == 0:
+            break
+        cnt = items.groupBy("key").agg(F.count(F.lit(1)).alias("__c"))
+        nch = F.greatest(F.ceil(F.col("__c") / F.lit(group_lines)), F.lit(1)).cast("int")
+        it = items.join(cnt, "key").withColumn("__n", nch)
+        last = level == max_levels + 1
+        lines_in = it.select("key", F.pmod(F.xxhash64("id", F.lit(level)), F.col("__n")).cast("int").alias("chunk"),
+                             F.col("id").alias("text"), F.col("tpl").alias("fold_text"), "first_line_id",
+                             F.lit(False).alias("is_seed"), F.lit(None).cast("string").alias("seed_id"),
+                             F.lit(0).cast("bigint").alias("n"))
+        fold_in = lines_in
+        if seed_rows is not None:
+            chunks = it.select("key", "__n").distinct()
+            fold_in = fold_in.unionByName(
+                seed_rows.join(chunks, "key")
+                .select("key", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("chunk"), "text",
+                        "fold_text", "first_line_id", "is_seed", "seed_id", "n"))
+        folded = _bucketed_fold(fold_in, sim_th, buckets)
+        new_id = F.concat(F.lit(f"{level}:"), F.col("chunk").cast("string"), F.lit("#"), F.col("ordinal").cast("string"))
+        step = cut_lineage(folded.select("key", F.col("text").alias("cur"), new_id.alias("new"),
+                                         F.col("seed_id").alias("seed_new"), "cluster_template", "first_line_id"))
+        mapping = cut_lineage(
+            mapping.join(step.select("key", "cur", "new", "seed_new"), ["key", "cur"], "left")
+            .select("key", "id0", F.coalesce("new", "cur").alias("cur"),
+                    F.coalesce("seed_up", "seed_new").alias("seed_up")))
+        items = (step.where(F.col("seed_new").isNull())
+                 .groupBy("key", F.col("new").alias("id"))
+                 .agg(F.first("cluster_template").alias("tpl"), F.min("first_line_id").alias("first_line_id")))
+        more = cnt.where(F.col("__c") > group_lines).limit(1).count() > 0
+        if not more or last:
+            break
+        items = cut_lineage(items)
+    ck = F.split("id0", "#")
+    l2map = mapping.select("key", ck[0].cast("int").alias("chunk"), ck[1].cast("int").alias("ordinal"),
+                           F.col("cur").alias("merged_id"), F.col("seed_up").alias("seed2"))
 
     a = l1.join(l2map, ["key", "chunk", "ordinal"], "left")
-    final_ord = F.coalesce(F.col("ord2"), F.col("ordinal"))
-    cid = F.coalesce(F.col("seed_id"), F.col("seed2"), F.lower(F.hex(F.xxhash64(F.col("key"), final_ord))))
+    own = F.when(F.col("merged_id").isNotNull(), F.xxhash64(F.col("key"), F.col("merged_id"))).otherwise(
+        F.xxhash64(F.col("key"), F.col("ordinal")))
+    cid = F.coalesce(F.col("seed_id"), F.col("seed2"), F.lower(F.hex(own)))
     return a.select("text", "key", "first_line_id", cid.alias("cluster_id"), F.coalesce("n", F.lit(0)).alias("n"))
 
 

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from logweave.functions.masks import mask_only
 from logweave.operators.mining import change_points, fold_group, mine_templates, template_of_cluster
 from logweave.plans.ingest import ingest
@@ -99,3 +101,22 @@ def test_template_of_cluster(spark):
     df = spark.createDataFrame([("c", "a b c"), ("c", "a x c"), ("d", "z")], "cluster_id string, processed string")
     got = {r.cluster_id: r.template for r in template_of_cluster(df).collect()}
     assert got == {"c": "a <*> c", "d": "z"}
+
+
+def test_multi_level_merge_of_oversized_key(spark):
+    from logweave.sources.lines import lines_from_strings
+
+    similar = [f"user u{i} logged in from host h{i % 13}" for i in range(60)]
+    m = mine_templates(lines_from_strings(spark, similar).withColumnRenamed("line", "processed"), group_lines=5)
+    assert m.select("cluster_id").distinct().count() == 1  # same as a sequential fold
+    words = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta", "iota", "kappa", "lambda", "mu"]
+    prose = [" ".join(["The"] + [words[(i * 7 + j * 5 + i * j) % 12] + str(i) for j in range(5)]) for i in range(60)]
+    lines = lines_from_strings(spark, prose).withColumnRenamed("line", "processed")
+    m2 = mine_templates(lines, group_lines=5)
+    assert m2.count() == 60
+    lc, vers = change_points(m2)
+    latest = {r.cluster_id: r.template for r in vers.groupBy("cluster_id").agg(
+        F.max_by("template", "version").alias("template")).collect()}
+    for r in m2.collect():
+        a, b = r.text.split(), latest[r.cluster_id].split()
+        assert len(a) == len(b) and all(y == "<*>" or x == y for x, y in zip(a, b))
