@@ -257,6 +257,10 @@ def mine_templates(lines: DataFrame, text_col: str = "processed", id_col: str =
     # `group_lines` clusters is re-chunked (a fresh hash per level), so no group ever exceeds
     # `group_lines`; after `max_levels` levels, clusters of different chunks stay apart.
     split_keys = kc.where(F.col("key_lines") > group_lines).select("key")
+    if split_keys.limit(1).count() == 0:  # no oversized key: level 1 is final
+        own = F.lower(F.hex(F.xxhash64(F.col("key"), F.col("ordinal"))))
+        return l1.select("text", "key", "first_line_id", F.coalesce(F.col("seed_id"), own).alias("cluster_id"),
+                         F.coalesce("n", F.lit(0)).alias("n"))
     items = cut_lineage(
         l1.where(F.col("seed_id").isNull()).join(split_keys, "key")
         .groupBy("key", "chunk", "ordinal")
