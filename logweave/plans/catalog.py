@@ -668,27 +668,29 @@ def decisions_from_replies(spark, sf_dir):
     return complete_decisions(requests, got).select(*_DEC_OUT)
 
 
-@register("decisions_after_responses", _applied_sql() + """, rr AS (SELECT *, row_number() OVER (ORDER BY cluster_id) - 1 AS q FROM dec)
-SELECT 'b1' AS batch_id, cluster_id,
-  CASE WHEN q % 3 = 0 THEN decision WHEN q % 3 = 1 THEN 'keep' ELSE 'keep' END AS decision,
-  CASE WHEN q % 5 = 0 THEN 'reviewed' ELSE merge_into END AS merge_into_cluster_id,
+@register("decisions_after_responses", _applied_sql() + """SELECT 'b1' AS batch_id, cluster_id,
+  'keep' AS decision,
+  CASE WHEN k = 1 THEN 'reviewed' ELSE merge_into END AS merge_into_cluster_id,
   CASE WHEN k = 0 THEN replace(pattern, '<*>', '<unknown>') END AS labeled_template,
-  CASE WHEN q % 3 = 0 THEN reasoning WHEN q % 3 = 1 THEN 'user_rejected' ELSE 'web_timeout' END AS reasoning FROM rr""")
+  CASE k WHEN 0 THEN reasoning WHEN 1 THEN 'user_rejected' WHEN 2 THEN 'edited to keep' ELSE 'web_timeout' END AS reasoning
+FROM dec""")
 def decisions_after_responses(spark, sf_dir):
-    """J12 + L13: a field edit applied to some decisions, then accept / reject / no answer
-    (timeout) responses."""
-    from pyspark.sql import Window
-
+    """J12 + L13: merge decisions get a field edit (new target), then the stand-in
+    responses: keep accepted, merge rejected, split edited to keep, reset unanswered
+    (times out)."""
     from logweave.operators.lifecycle import override_decisions, response_override
 
     _, _, t = _kg_template_table(spark, sf_dir)
     d = _standin_decisions(t)
-    q = d.select("batch_id", "cluster_id", (F.row_number().over(Window.orderBy("cluster_id")) - 1).alias("q"))
-    upd = q.where(F.col("q") % 5 == 0).select("batch_id", "cluster_id", F.lit("reviewed").alias("merge_into_cluster_id"))
+    upd = d.where(F.col("decision") == "merge").select("batch_id", "cluster_id",
+                                                      F.lit("reviewed").alias("merge_into_cluster_id"))
     d2 = override_decisions(d, upd)
-    resp = q.where(F.col("q") % 3 != 2).select(
-        "batch_id", "cluster_id", F.when(F.col("q") % 3 == 0, "accept").otherwise("reject").alias("action"),
-        F.lit(None).cast("string").alias("edited_decision"), F.lit(None).cast("string").alias("edited_reasoning"),
+    dec = F.col("decision")
+    resp = d.where(dec != "reset").select(
+        "batch_id", "cluster_id",
+        F.when(dec == "keep", "accept").when(dec == "merge", "reject").otherwise("edit").alias("action"),
+        F.when(dec == "split", F.lit("keep")).alias("edited_decision"),
+        F.when(dec == "split", F.lit("edited to keep")).alias("edited_reasoning"),
         F.lit(5).alias("responded_after_s"))
     return response_override(d2, resp).select(*_DEC_OUT)
 
