@@ -103,11 +103,20 @@ def class_coverage(results: DataFrame, label_col: str = "ocsf") -> DataFrame:
                     F.floor(F.col("lines") * 100 / total).cast("bigint").alias("pct"))
 
 
+def _long(agg: DataFrame, names) -> DataFrame:
+    """One-row aggregate -> (counter, value) rows."""
+    return agg.select(F.explode(F.array(*[F.struct(F.lit(c).alias("counter"), F.col(c).cast("bigint").alias("value"))
+                                          for c in names])).alias("kv")).select("kv.counter", "kv.value")
+
+
 def pipeline_counters(results: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
     """A10: counters in long form (counter, value). OCSF counters count only the mining
-    path (not fast-path or near-match lines), like the reference."""
+    path (not fast-path or near-match lines), like the reference. Counters of the outside
+    reviewer (calls, errors, fallbacks) and of the unused queue are 0 here."""
     mining = ~F.coalesce(F.col("fast_path"), F.lit(False)) & ~F.coalesce(F.col("near_match"), F.lit(False))
-    a = results.agg(
+    res_names = ["logs_ingested", "templates_created", "templates_updated", "ocsf_matched", "ocsf_unmatched",
+                 "fast_path_hits", "near_match_queued"]
+    out = _long(results.agg(
         F.count(F.lit(1)).alias("logs_ingested"),
         F.count_if(F.col("change_type") == "CREATE").alias("templates_created"),
         F.count_if(F.col("change_type") == "UPDATE").alias("templates_updated"),
@@ -115,20 +124,21 @@ def pipeline_counters(results: DataFrame, decisions: DataFrame | None = None) ->
         F.count_if(mining & F.col("ocsf").isNull()).alias("ocsf_unmatched"),
         F.count_if(F.coalesce(F.col("fast_path"), F.lit(False))).alias("fast_path_hits"),
         F.count_if(F.coalesce(F.col("near_match"), F.lit(False))).alias("near_match_queued"),
-    )
+    ), res_names)
+    dec_names = ["templates_merged", "templates_split"]
     if decisions is not None:
-        d = decisions.agg(F.count_if(F.col("decision") == "merge").alias("templates_merged"),
-                          F.count_if(F.col("decision") == "split").alias("templates_split"))
-        a = a.join(d)  # one row each side
-    else:
-        a = a.withColumn("templates_merged", F.lit(0).cast("bigint")).withColumn(
-            "templates_split", F.lit(0).cast("bigint"))
-    for c in COUNTERS:
-        if c not in a.columns:
-            a = a.withColumn(c, F.lit(0).cast("bigint"))
-    stack = F.explode(F.array(*[F.struct(F.lit(c).alias("counter"), F.col(c).cast("bigint").alias("value"))
-                                for c in COUNTERS]))
-    return a.select(stack.alias("kv")).select("kv.counter", "kv.value")
+        from logweave.operators.lifecycle import valid_split
+
+        tgt = F.col("merge_into_cluster_id")
+        # only merges with a real target and accepted splits count, like the reference
+        out = out.unionByName(_long(decisions.agg(
+            F.count_if((F.col("decision") == "merge") & tgt.isNotNull() & (tgt != "") & (tgt != F.col("cluster_id")))
+            .alias("templates_merged"),
+            F.count_if((F.col("decision") == "split") & valid_split(F.col("sub_templates"))).alias("templates_split")),
+            dec_names))
+    rest = [c for c in COUNTERS if c not in res_names and (decisions is None or c not in dec_names)]
+    zeros = results.sparkSession.createDataFrame([(c, 0) for c in rest], "counter string, value bigint")
+    return out.unionByName(zeros)
 
 
 def cluster_sizes(results: DataFrame) -> DataFrame:

@@ -70,3 +70,16 @@ def test_page_and_tail(spark):
     assert [r.line_id for r in R.tail(df, 3).collect()] == [22, 23, 24]
     kept, stats = R.bounded_queue(df.withColumnRenamed("line_id", "seq"), 3)
     assert [r.seq for r in kept.collect()] == [22, 23, 24] and stats.first().dropped == 22
+
+
+def test_counters_count_only_valid_merges_and_splits(spark):
+    res = spark.createDataFrame([(1, "c", "t", "CREATE", True, False, False)],
+                                "line_id long, cluster_id string, template string, change_type string, has_label boolean, "
+                                "fast_path boolean, near_match boolean").select(
+        "*", F.when(F.col("has_label"), F.struct(F.lit("X").alias("class_name"))).alias("ocsf"))
+    dec = spark.createDataFrame([
+        ("a", "merge", "b", None), ("a", "merge", "a", None), ("a", "split", None, ["x", "y"]), ("a", "split", None, ["x"]),
+    ], "cluster_id string, decision string, merge_into_cluster_id string, sub_templates array<string>")
+    got = {r.counter: r.value for r in R.pipeline_counters(res, dec).collect()}
+    assert got["templates_merged"] == 1 and got["templates_split"] == 1 and got["templates_created"] == 1
+    assert got["ocsf_matched"] == 1 and got["logs_ingested"] == 1
