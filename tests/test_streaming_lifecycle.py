@@ -127,3 +127,22 @@ def test_read_log_lines_ids_follow_file_order(spark):
     rows = read_log_lines(spark, d).orderBy("line_id").collect()
     assert [r.line for r in rows] == ["first", "second", "third", "fourth"]
     assert len({r.line_id for r in rows}) == 4
+
+
+def test_restart_from_snapshot(spark):
+    from logweave.plans.review_cycle import restart
+
+    root = tempfile.mkdtemp(prefix="lw-restart-")
+    t = _tpl(spark, [("c1", "service nginx <*>"), ("c2", "DB query executed <*>")]).withColumn(
+        "decision", F.when(F.col("cluster_id") == "c1", F.lit("keep"))).withColumn(
+        "labeled_template", F.when(F.col("cluster_id") == "c1", F.lit("service nginx <unknown>")))
+    samples = spark.createDataFrame([("c1", 1, 10, "service nginx started"), ("c2", 1, 11, "DB query executed x")],
+                                    "cluster_id string, slot int, line_id long, line string")
+    assert save_state(spark, root, {"templates": t, "samples": samples})
+    st = restart(spark, root)
+    assert [r.cluster_id for r in st["compiled"].collect()] == ["c1"]      # reviewed + labelled only
+    parsed = st["parsed"].collect()
+    # the rule runs on the labeled template ("service nginx <unknown>": no class -> fallback),
+    # the service name comes straight from the raw line
+    assert [(r.cluster_id, r.ocsf_class, r.service) for r in parsed] == [("c1", "Unknown", "nginx")]
+    assert restart(spark, tempfile.mkdtemp(prefix="lw-empty-")) is None
