@@ -74,11 +74,11 @@ def _masked_sql(src: str) -> str:
 
 def _label_sql(src: str) -> str:
     t = "processed"
-    return (f"SELECT line_id, {N.sql_label_case(t, field='rule_order')} AS rule_order, "
-            f"{N.sql_label_case(t, field='class_uid')} AS class_uid, "
+    return (f"SELECT line_id, CAST({N.sql_label_case(t, field='rule_order')} AS BIGINT) AS rule_order, "
+            f"CAST({N.sql_label_case(t, field='class_uid')} AS BIGINT) AS class_uid, "
             f"{N.sql_label_case(t, field='class_name')} AS class_name, "
             f"{N.sql_label_case(t, field='activity_name')} AS activity_name, "
-            f"{N.sql_label_case(t, field='severity_id')} AS severity_id "
+            f"CAST({N.sql_label_case(t, field='severity_id')} AS BIGINT) AS severity_id "
             f"FROM ({_masked_sql(src)})")
 
 
