@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from logweave.functions.similarity import literal_similarities, literal_similarity
 from logweave.functions.tokens import tokens
+from logweave.session import cut_lineage
 
 DEFAULT_NEAR_THRESHOLD = 0.85
 MAX_BROADCAST_TEMPLATES = 200_000
@@ -166,25 +167,33 @@ def _loose_col(lits: Column, line: Column) -> Column:
 def _near_match_indexed(lines: DataFrame, compiled: DataFrame, line_col: str, threshold: float,
                         only_when: Column | None, q: int = 3) -> DataFrame:
     """Indexed form for large registries (exact). A template can loosely match a line only
-    if the line contains its longest literal, hence every q-gram of it: the line's distinct
-    q-grams are equi-joined to the first q-gram of each template's longest literal,
-    candidates are verified with the exact in-order test and scored, and the best template
-    per line is an aggregate over candidate pairs already partitioned by line id.
+    if the line contains all its literals, hence every q-gram of them: each template is
+    indexed on its rarest q-gram (by line frequency) and equi-joined to the lines' distinct
+    q-grams; candidates are verified with the exact in-order test and scored, and the best
+    template per line is an aggregate over candidate pairs already partitioned by line id.
     Templates whose literals are all shorter than q use the inline form."""
-    longest = F.get(F.array_sort(F.transform("literal_tokens", lambda x: F.struct(
-        (-F.length(x)).alias("neg_len"), x.alias("tok")))), 0)["tok"]
     t = compiled.where(F.col("literal_count") > 0).select(
         "cluster_id", "literal_tokens", F.col("literal_count").cast("int").alias("literal_count"),
-        F.col("registry_seq").cast("bigint").alias("registry_seq"), longest.alias("__longest"))
-    long_t = t.where(F.length("__longest") >= q)
-    short_t = t.where(F.length("__longest") < q)
+        F.col("registry_seq").cast("bigint").alias("registry_seq"),
+        F.aggregate("literal_tokens", F.lit(0), lambda m, x: F.greatest(m, F.length(x))).alias("__maxlen"))
+    long_t = t.where(F.col("__maxlen") >= q)
+    short_t = t.where(F.col("__maxlen") < q)
     gate = only_when if only_when is not None else F.lit(True)
-    need = lines.where(gate).select(F.col("line_id").alias("__lid"), F.col(line_col).alias("__line"))
+    # the lines to test feed both the gram frequencies and the probe: materialise once
+    need = cut_lineage(lines.where(gate).select(F.col("line_id").alias("__lid"), F.col(line_col).alias("__line")))
     grams = need.select("__lid", F.explode(F.array_distinct(F.transform(
         F.sequence(F.lit(1), F.greatest(F.length("__line") - q + 1, F.lit(1))),
         lambda i: F.substring("__line", i, q)))).alias("__g"))
-    idx = long_t.select(F.substring("__longest", 1, q).alias("__g"), "cluster_id", "literal_tokens",
-                        "literal_count", "registry_seq")
+    # every q-gram of every literal must occur in a matching line: index each template on
+    # its rarest one (line frequency, a partial aggregate over distinct grams)
+    freq = grams.groupBy("__g").agg(F.count(F.lit(1)).alias("__fq"))
+    tgrams = long_t.select("cluster_id", F.explode(F.array_distinct(F.flatten(F.transform(
+        F.filter("literal_tokens", lambda x: F.length(x) >= q),
+        lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - q + 1), lambda i: F.substring(x, i, q)))))).alias("__g"))
+    pick = (tgrams.join(freq, "__g", "left")
+            .groupBy("cluster_id").agg(F.min_by("__g", F.coalesce(F.col("__fq"), F.lit(0))).alias("__g")))
+    idx = long_t.join(pick, "cluster_id").select("__g", "cluster_id", "literal_tokens", "literal_count",
+                                                 "registry_seq")
     pairs = grams.join(idx, "__g").drop("__g").join(need, "__lid")
     pairs = pairs.where(_loose_col(F.col("literal_tokens"), F.col("__line")))
     pairs = pairs.withColumn("__score", literal_similarity(F.col("literal_tokens"), F.col("__line")))

@@ -847,3 +847,25 @@ def approve_and_remine_events(spark, sf_dir):
     seeds = active.select("cluster_id", F.col("pattern").alias("template"))
     re_out = ingest(again, seeds=seeds, with_extractions=False)
     return remine_stats(re_out.results)
+
+
+@register("near_match_document_lines")
+def near_match_document_lines(spark, sf_dir):
+    """U1 dispatch of every raw document line against the position-wise templates of the
+    mining keys holding at least two distinct masked lines (a key with one line is just
+    that line): per match kind the line count and mean similarity. Large template sets take
+    the q-gram candidate index of the near-match pass."""
+    from logweave.functions.tokens import tokens
+    from logweave.operators.compile import compile_templates
+    from logweave.operators.matching import fast_path
+    from logweave.operators.mining import mining_key, template_of_cluster
+
+    lines = document_lines(spark, sf_dir)
+    keyed = M.mask_only(lines).withColumn("key", mining_key(tokens(F.col("processed"))))
+    multi = (keyed.groupBy("key").agg(F.count_distinct("processed").alias("__d"), F.min("line_id").alias("registry_seq"))
+             .where(F.col("__d") >= 2))
+    tpl = template_of_cluster(keyed.join(multi.select("key"), "key"), "key", "processed")
+    compiled = cut_lineage(compile_templates(tpl.join(multi.select(F.col("key").alias("cluster_id"), "registry_seq"),
+                                                      "cluster_id"), "template"))
+    r = fast_path(lines, compiled)
+    return r.groupBy("match_kind").agg(F.count(F.lit(1)).alias("lines"), F.avg("similarity").alias("mean_similarity"))
