@@ -10,12 +10,15 @@ cluster turns every differing position of its template into ``<*>``.
 
 Spark plan
 ----------
-1. ``groupBy(text)`` -> distinct masked lines with their first ``line_id`` (partial
-   aggregation: a line repeated in a third of the input is combined map-side).
+1. ``groupBy(text)`` -> distinct masked lines with their first ``line_id`` and line count
+   (partial aggregation: a line repeated in a third of the input is combined map-side);
+   written once to the checkpoint folder.
 2. Key every distinct line; keys holding more than ``group_lines`` distinct lines are
-   hash-split into chunks so no task folds an unbounded group.
-3. ``groupBy(key, chunk).applyInPandas`` runs the ordered fold (numpy similarity kernel)
-   on distinct lines in ``line_id`` order.
+   hash-split into chunks so no task folds an unbounded group. A key with a single
+   distinct line (and no seed) is its own cluster and never reaches Python.
+3. The other (key, chunk) groups are hash-bucketed and ``groupBy(bucket).applyInPandas``
+   folds each (key, chunk) of the bucket on its own, in ``line_id`` order (numpy
+   similarity kernel), so one Python call serves many small keys.
 4. Keys that were split fold their chunk clusters again, per key, in first-line order
    (templates are folded like lines), re-chunking while a key still holds more than
    ``group_lines`` clusters (at most ``max_levels`` levels; then clusters of different
@@ -29,7 +32,8 @@ Spark plan
 
 Deliberate differences from the reference's outside library (documented in README):
 no child limit per tree node, groups keyed purely from the line, repeats share their
-first occurrence's cluster, stable cluster ids = xxhash64(key, ordinal).
+first occurrence's cluster, stable cluster ids = xxhash64(key, ordinal in key) — for a
+merged oversized key, of the key and the cluster's id at the last merge level.
 """
 
 from __future__ import annotations
