@@ -107,6 +107,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df):
-    """Reliable checkpoint into the shared checkpoint folder (never localCheckpoint)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage by writing the table to the shared checkpoint folder and reading it back.
+
+    One job computes the plan once and writes parquet (columnar, compressed); the returned
+    DataFrame reads the files, so later stages and task retries after an executor loss never
+    recompute the upstream plan. (``Dataset.checkpoint`` would compute the plan twice: once
+    for its eager count and once more to write the checkpoint files.) Never localCheckpoint.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
