@@ -228,10 +228,14 @@ def near_match(lines: DataFrame, compiled: DataFrame, line_col: str = "line",
 
 
 def fast_path(lines: DataFrame, compiled: DataFrame, line_col: str = "line",
-              threshold: float = DEFAULT_NEAR_THRESHOLD) -> DataFrame:
-    """U1 dispatch: exactly one row per line with ``match_kind`` EXACT / NEAR / NONE."""
+              threshold: float = DEFAULT_NEAR_THRESHOLD,
+              max_inline_templates: int = MAX_INLINE_TEMPLATES) -> DataFrame:
+    """U1 dispatch: exactly one row per line with ``match_kind`` EXACT / NEAR / NONE.
+    Works on streaming lines too (stream-static joins; pass a large
+    ``max_inline_templates`` there, the indexed near pass needs a batch input)."""
     s = strict_match(lines, compiled, line_col)
-    n = near_match(s, compiled, line_col, threshold, only_when=F.col("exact_cluster_id").isNull())
+    n = near_match(s, compiled, line_col, threshold, only_when=F.col("exact_cluster_id").isNull(),
+                   max_inline_templates=max_inline_templates)
     kind = (F.when(F.col("exact_cluster_id").isNotNull(), "EXACT")
             .when(F.col("near_cluster_id").isNotNull(), "NEAR").otherwise("NONE"))
     return (n.withColumn("match_kind", kind)

@@ -161,24 +161,43 @@ def queue_latest(log: DataFrame) -> DataFrame:
 
 
 def stream_ingest(lines: DataFrame, out_path: str, ckpt: str, rules_path: str | None = None,
-                  compiled_path: str | None = None, sim_th: float = DEFAULT_SIM_TH, trigger: dict | None = None):
-    """R1 (+R2, R8): masks and stateful mining on the stream; each micro-batch re-reads the
-    rule file and the compiled template snapshot (hot reload), labels the mined template,
-    marks fast-path hits, and appends to ``out_path``."""
-    mined = stream_mine(mask_only(lines), sim_th)
+                  compiled: DataFrame | None = None, sim_th: float = DEFAULT_SIM_TH,
+                  near_threshold: float = 0.85, trigger: dict | None = None):
+    """R1 (+R2, R8): the streaming form of ``plans.ingest``.
+
+    Lines first meet the approved-template snapshot ``compiled`` (stream-static joins, read
+    when the query starts; a new snapshot takes effect on restart, the mining state carries
+    over): EXACT and NEAR lines are emitted directly and never mined, like the reference's
+    fast path. NONE lines are masked and mined with keyed state (R2). Each micro-batch
+    re-reads the rule file (hot reload, R8), labels the template and appends to
+    ``out_path``."""
+    from logweave.operators.matching import fast_path
+
+    cols = ["line_id", "line", "cluster_id", "change_type", "template", "fast_path", "near_match", "similarity"]
+    rest, direct = lines, None
+    if compiled is not None:
+        fp = fast_path(lines, compiled, threshold=near_threshold, max_inline_templates=1 << 30)
+        rest = fp.where(F.col("match_kind") == "NONE").select(*lines.columns)
+        tpl = compiled.select(F.col("cluster_id").alias("__cid"), F.col("labeled_template").alias("__tpl"))
+        direct = (fp.where(F.col("match_kind") != "NONE")
+                  .join(tpl, F.col("cluster_id") == F.col("__cid"), "left")
+                  .select("line_id", "line", "cluster_id",
+                          F.when(F.col("match_kind") == "EXACT", "NONE").otherwise("NEAR_MATCH").alias("change_type"),
+                          F.when(F.col("match_kind") == "EXACT", F.col("__tpl")).alias("template"),
+                          (F.col("match_kind") == "EXACT").alias("fast_path"),
+                          (F.col("match_kind") == "NEAR").alias("near_match"), "similarity"))
+    mined = stream_mine(mask_only(rest), sim_th).select(
+        "line_id", "line", "cluster_id", "change_type", "template", F.lit(False).alias("fast_path"),
+        F.lit(False).alias("near_match"), F.lit(None).cast("double").alias("similarity"))
+    out_stream = mined.unionByName(direct.select(*cols)) if direct is not None else mined
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         rules = read_rules_file(rules_path) if rules_path else DEFAULT_RULES
-        out = batch.withColumn("ocsf", label_column(F.col("template"), rules)).withColumn("batch_id", F.lit(batch_id))
-        if compiled_path:
-            compiled = spark.read.parquet(compiled_path).select(F.col("cluster_id").alias("__cid"))
-            out = out.join(compiled, F.col("cluster_id") == F.col("__cid"), "left").withColumn(
-                "fast_path", F.col("__cid").isNotNull()).drop("__cid")
-        out.write.mode("append").parquet(out_path)
-
-    use_rocksdb(mined.sparkSession)
-    w = mined.writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt)
+        out = batch.withColumn("ocsf", F.when(~F.col("near_match"), label_column(F.col("template"), rules)))
+        out.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_path)
+
+    use_rocksdb(lines.sparkSession)
+    w = out_stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt)
     w = w.trigger(**(trigger or {"availableNow": True}))
     return w.start()
 

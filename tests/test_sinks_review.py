@@ -75,3 +75,25 @@ def test_stream_ingest_hot_reload(spark, sf):
     assert classes == {"Svc", None}  # the rule file read at the micro-batch, not the defaults
     hits = stream_merge_hits(out)  # batch form over the stream's output
     assert hits.agg(F.sum("hits")).first()[0] == out.where("change_type = 'NONE'").count()
+
+
+def test_stream_ingest_fast_path_skips_mining(spark):
+    from logweave.operators.compile import compile_templates
+    from logweave.sources.lines import lines_from_strings
+
+    d = tempfile.mkdtemp(prefix="lw-sfp-")
+    src_rows = lines_from_strings(spark, [
+        "Accepted password for alice from 10.0.0.1 port 22 ssh2",
+        "service nginx started",
+        "Accepted password for bob from 10.0.0.2 port 22 ssh2",
+        "service nginx stopped",
+    ]).withColumn("arrival_ts", F.col("arrival_ts").cast("timestamp"))
+    src_rows.coalesce(1).write.parquet(f"{d}/in")
+    tpl = spark.createDataFrame([("ssh", "Accepted <auth_protocol> for <user.name> from <src_endpoint.ip> port <p> ssh2", 0)],
+                                "cluster_id string, labeled_template string, registry_seq long")
+    src = spark.readStream.schema(LINE_SCHEMA).parquet(f"{d}/in")
+    stream_ingest(src, f"{d}/out", f"{d}/ckpt", compiled=compile_templates(tpl)).awaitTermination()
+    got = {r.line_id: r for r in spark.read.parquet(f"{d}/out").collect()}
+    assert got[0].fast_path and got[2].fast_path and got[0].cluster_id == "ssh" and got[0].change_type == "NONE"
+    assert [got[i].change_type for i in (1, 3)] == ["CREATE", "UPDATE"] and got[3].template == "service nginx <*>"
+    assert got[1].ocsf.class_name == "Application Lifecycle"
