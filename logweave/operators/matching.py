@@ -156,6 +156,23 @@ def _near_match_inline(lines: DataFrame, compiled: DataFrame, line_col: str = "l
     return out.drop("__cand", "__scores", *[f"__loose{s}" for s in range(0, len(rows), chunk_size)])
 
 
+def loose_candidates(lines: DataFrame, compiled: DataFrame, line_col: str = "line",
+                     chunk_size: int = LOOSE_CHUNK) -> DataFrame:
+    """J2 / P5 candidate test: adds ``loose_ids``, the templates (with literals) whose
+    literals all occur in the line in order, most specific first. Templates are a bounded
+    configuration table read once and compiled into the expression."""
+    rows = (compiled.where(F.col("literal_count") > 0)
+            .select("cluster_id", "literal_tokens", "literal_count", "registry_seq")
+            .orderBy(F.desc("literal_count"), F.asc("registry_seq")).collect())
+    if not rows:
+        return lines.withColumn("loose_ids", F.array().cast("array<string>"))
+    ids = F.array(*[F.lit(r.cluster_id) for r in rows])
+    parts = [_loose_expr([(start + i, list(r.literal_tokens)) for i, r in enumerate(rows[start:start + chunk_size])],
+                         F.col(line_col)) for start in range(0, len(rows), chunk_size)]
+    cand = F.concat(*parts) if len(parts) > 1 else parts[0]
+    return lines.withColumn("loose_ids", F.transform(cand, lambda c: F.element_at(ids, c["idx"] + 1)))
+
+
 def _loose_col(lits: Column, line: Column) -> Column:
     """All literals occur in order as substrings (column form of the inline test)."""
     pos = F.aggregate(lits, F.lit(1), lambda p, lit: F.when(

@@ -855,9 +855,18 @@ def near_match_document_lines(spark, sf_dir):
     mining keys holding at least two distinct masked lines (a key with one line is just
     that line): per match kind the line count and mean similarity. Large template sets take
     the q-gram candidate index of the near-match pass."""
+    from logweave.operators.matching import fast_path
+
+    lines, compiled = _doc_templates(spark, sf_dir)
+    r = fast_path(lines, compiled)
+    return r.groupBy("match_kind").agg(F.count(F.lit(1)).alias("lines"), F.avg("similarity").alias("mean_similarity"))
+
+
+def _doc_templates(spark, sf_dir):
+    """Position-wise templates of the document mining keys with >= 2 distinct masked lines,
+    registry order = first line of the key (derived by Spark from the table)."""
     from logweave.functions.tokens import tokens
     from logweave.operators.compile import compile_templates
-    from logweave.operators.matching import fast_path
     from logweave.operators.mining import mining_key, template_of_cluster
 
     lines = document_lines(spark, sf_dir)
@@ -867,5 +876,32 @@ def near_match_document_lines(spark, sf_dir):
     tpl = template_of_cluster(keyed.join(multi.select("key"), "key"), "key", "processed")
     compiled = cut_lineage(compile_templates(tpl.join(multi.select(F.col("key").alias("cluster_id"), "registry_seq"),
                                                       "cluster_id"), "template"))
-    r = fast_path(lines, compiled)
-    return r.groupBy("match_kind").agg(F.count(F.lit(1)).alias("lines"), F.avg("similarity").alias("mean_similarity"))
+    return lines, compiled
+
+
+_LOOSE_SQL = """WITH m AS ({masked}),
+k AS (SELECT line_id, processed, regexp_split_to_array(regexp_replace(processed, '^\\s+|\\s+$', '', 'g'), '\\s+') AS toks FROM m),
+kk AS (SELECT *, CAST(len(toks) AS VARCHAR) || '|' || CASE WHEN regexp_matches(toks[1], '\\d') THEN '<*>' ELSE toks[1] END AS key FROM k),
+mk AS (SELECT key, min(line_id) AS seq FROM kk GROUP BY key HAVING count(DISTINCT processed) >= 2),
+p AS (SELECT kk.key, unnest(toks) AS tok, unnest(range(1, len(toks) + 1)) AS pos FROM kk JOIN mk ON mk.key = kk.key),
+f AS (SELECT key, pos, CASE WHEN min(tok) = max(tok) THEN min(tok) ELSE '<*>' END AS tok FROM p GROUP BY key, pos),
+tl AS (SELECT f.key, list(f.tok ORDER BY f.pos) FILTER (WHERE NOT regexp_matches(f.tok, '^<[^>]*>$')) AS lits FROM f GROUP BY f.key),
+tp AS (SELECT tl.key, tl.lits, len(tl.lits) AS lc, mk.seq FROM tl JOIN mk ON mk.key = tl.key WHERE len(tl.lits) > 0),
+ln AS ({src}),
+pr AS (SELECT ln.line_id, tp.key, tp.lc, tp.seq FROM ln, tp
+       WHERE list_reduce(tp.lits, lambda acc, x: CASE WHEN acc > 0 AND instr(substr(ln.line, acc), x) > 0
+                          THEN acc + instr(substr(ln.line, acc), x) - 1 + length(x) ELSE 0 END, 1) > 0)
+SELECT ln.line_id, CAST(count(pr.key) AS INTEGER) AS n_loose, arg_min(pr.key, [-pr.lc, pr.seq]) AS first_loose
+FROM ln LEFT JOIN pr ON pr.line_id = ln.line_id GROUP BY ln.line_id"""
+
+
+@register("loose_match_document_lines", _LOOSE_SQL.format(
+    masked=M.sql_mask_chain(DOCUMENT_LINES_SQL, "line_id", with_extractions=False), src=DOCUMENT_LINES_SQL))
+def loose_match_document_lines(spark, sf_dir):
+    """For every raw document line, the number of templates whose literals occur
+    in it in order (as substrings) and the most specific of them."""
+    from logweave.operators.matching import loose_candidates
+
+    lines, compiled = _doc_templates(spark, sf_dir)
+    r = loose_candidates(lines, compiled)
+    return r.select("line_id", F.size("loose_ids").alias("n_loose"), F.get(F.col("loose_ids"), 0).alias("first_loose"))
