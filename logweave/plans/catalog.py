@@ -905,3 +905,29 @@ def loose_match_document_lines(spark, sf_dir):
     lines, compiled = _doc_templates(spark, sf_dir)
     r = loose_candidates(lines, compiled)
     return r.select("line_id", F.size("loose_ids").alias("n_loose"), F.get(F.col("loose_ids"), 0).alias("first_loose"))
+
+
+@register("classify_requests_events", _applied_sql() + """,
+smp AS (SELECT key, line, line_id, row_number() OVER (PARTITION BY key ORDER BY md5('logweave:' || CAST(line_id AS VARCHAR)), line_id) AS rn
+        FROM (SELECT kk.key, e.line, kk.line_id FROM kk JOIN ({EVENT_LINES_SQL}) e ON e.line_id = kk.line_id)),
+s3 AS (SELECT key, line, row_number() OVER (PARTITION BY key ORDER BY line_id) AS slot FROM smp WHERE rn <= 200),
+blk AS (SELECT key, string_agg('    sample: ' || substr(line, 1, 120), chr(10) ORDER BY slot) AS block FROM s3 WHERE slot <= 3 GROUP BY key),
+un AS (SELECT cluster_id, coalesce(nullif(labeled_template, ''), pattern) AS template FROM applied
+       WHERE status = 'ACTIVE' AND decision IS NOT NULL)
+SELECT un.cluster_id, un.template,
+  concat_ws(chr(10), 'Classify this log template into an OCSF class; give fields and a regex.',
+            'template: ' || un.template, coalesce(blk.block, '')) AS request
+FROM un LEFT JOIN blk ON blk.key = un.cluster_id""".replace("{EVENT_LINES_SQL}", EVENT_LINES_SQL))
+def classify_requests_events(spark, sf_dir):
+    """J8 + P28 (+W5/W6): classification requests for every reviewed ACTIVE template with no
+    cached classification: the template (label else pattern) and its first three reservoir
+    samples cut to 120 characters."""
+    from logweave.operators.lifecycle import apply_decisions
+    from logweave.operators.review import classify_requests, unclassified_templates
+    from logweave.operators.sampling import reservoir_sample
+
+    _, keyed, t = _kg_template_table(spark, sf_dir)
+    applied = apply_decisions(t, _standin_decisions(t))["templates"]
+    samples = reservoir_sample(keyed.select("line_id", "line", F.col("key").alias("cluster_id")), 200)
+    cls = spark.createDataFrame([], "template string, classification string")
+    return classify_requests(unclassified_templates(applied, cls), samples).select("cluster_id", "template", "request")
