@@ -931,3 +931,22 @@ def classify_requests_events(spark, sf_dir):
     samples = reservoir_sample(keyed.select("line_id", "line", F.col("key").alias("cluster_id")), 200)
     cls = spark.createDataFrame([], "template string, classification string")
     return classify_requests(unclassified_templates(applied, cls), samples).select("cluster_id", "template", "request")
+
+
+@register("status_counts_after_rollback", _applied_sql() + """,
+rb AS (SELECT cluster_id, CASE WHEN status = 'PENDING_MERGE' THEN 'ACTIVE' ELSE status END AS status, decision FROM applied),
+remaining AS (SELECT * FROM rb WHERE decision IS NULL OR decision <> 'reset'),
+st AS (SELECT * FROM (VALUES ('ACTIVE'), ('PENDING_MERGE'), ('MERGED'), ('NEAR_MATCH_REVIEW')) v(status))
+SELECT st.status, CAST(count(remaining.cluster_id) AS BIGINT) AS templates FROM st
+LEFT JOIN remaining ON remaining.status = st.status GROUP BY st.status""")
+def status_counts_after_rollback(spark, sf_dir):
+    """L6 + L7 + A8: every pending merge rolled back, the reset templates deleted, then
+    templates per status with zeros included."""
+    from logweave.operators.lifecycle import apply_decisions, delete_templates, rollback_merge
+    from logweave.operators.reports import status_counts
+
+    _, _, t = _kg_template_table(spark, sf_dir)
+    applied = apply_decisions(t, _standin_decisions(t))["templates"]
+    rolled = rollback_merge(applied, applied.where(F.col("status") == "PENDING_MERGE").select("cluster_id"))
+    kept = delete_templates(rolled, rolled.where(F.col("decision") == "reset").select("cluster_id"))
+    return status_counts(kept)
