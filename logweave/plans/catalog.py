@@ -950,3 +950,41 @@ def status_counts_after_rollback(spark, sf_dir):
     rolled = rollback_merge(applied, applied.where(F.col("status") == "PENDING_MERGE").select("cluster_id"))
     kept = delete_templates(rolled, rolled.where(F.col("decision") == "reset").select("cluster_id"))
     return status_counts(kept)
+
+
+def _parsed(spark, sf_dir):
+    from logweave.operators.lifecycle import apply_decisions
+    from logweave.operators.parse import parse_events
+
+    _, keyed, t = _kg_template_table(spark, sf_dir)
+    applied = apply_decisions(t, _standin_decisions(t))["templates"]
+    src = keyed.select("line_id", "line", "arrival_ts", F.col("key").alias("cluster_id"))
+    return parse_events(src, applied)
+
+
+@register("parsed_page_events", "SELECT line_id, cluster_id, ocsf_class, username FROM (SELECT * FROM (" + _parse_sql()
+          + ") ORDER BY line_id DESC LIMIT 100 OFFSET 200)")
+def parsed_page_events(spark, sf_dir):
+    """T4: the third newest-first page of 100 parsed records (ascending inside the page)."""
+    from logweave.operators.reports import page
+
+    return page(_parsed(spark, sf_dir), n=100, offset=200).select("line_id", "cluster_id", "ocsf_class", "username")
+
+
+@register("events_tail_view", """SELECT line_id, ocsf_class AS class_name, activity AS activity_name, severity, status,
+  CASE WHEN username <> '' THEN username END AS user_name, CASE WHEN src_ip <> '' THEN src_ip END AS src_ip,
+  CASE WHEN http_method <> '' THEN http_method END AS http_method,
+  CASE WHEN http_method <> '' THEN http_path END AS http_path,
+  CASE WHEN http_status <> '' THEN http_status END AS http_code
+FROM (SELECT * FROM (""" + _parse_sql() + ") ORDER BY line_id DESC LIMIT 30)")
+def events_tail_view(spark, sf_dir):
+    """T5 + P22: the last 30 parsed records as panel events (nested parts only when their
+    key field is set), flattened."""
+    from logweave.operators.parse import events_view
+    from logweave.operators.reports import tail
+
+    v = events_view(tail(_parsed(spark, sf_dir), 30))
+    return v.select("line_id", "class_name", "activity_name", "severity", "status",
+                    F.col("user.name").alias("user_name"), F.col("src_endpoint.ip").alias("src_ip"),
+                    F.col("http_request.http_method").alias("http_method"),
+                    F.col("http_request.url.path").alias("http_path"), F.col("http_response.code").alias("http_code"))
