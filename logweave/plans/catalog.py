@@ -988,3 +988,46 @@ def events_tail_view(spark, sf_dir):
                     F.col("user.name").alias("user_name"), F.col("src_endpoint.ip").alias("src_ip"),
                     F.col("http_request.http_method").alias("http_method"),
                     F.col("http_request.url.path").alias("http_path"), F.col("http_response.code").alias("http_code"))
+
+
+@register("list_clusters_events", _kg_sql() + """SELECT key AS cluster_id, arg_max(template, trig) AS template,
+  CAST(len(string_split(arg_max(template, trig), ' ')) AS INTEGER) AS token_count FROM v GROUP BY key""")
+def list_clusters_events(spark, sf_dir):
+    """A3: cluster, latest template and its token count (mining at threshold 0)."""
+    from logweave.operators.mining import list_clusters
+
+    out, _ = _ingest_key_groups(spark, sf_dir)
+    return list_clusters(out.cluster_templates.select(F.col("key").alias("cluster_id"), "template"))
+
+
+@register("batch_summary_events", _applied_sql() + """SELECT 'b1' AS batch_id, CAST(count(*) AS BIGINT) AS count,
+  string_agg(cluster_id || ':' || decision, ',' ORDER BY cluster_id || ':' || decision) AS decisions, false AS approved FROM dec""")
+def batch_summary_events(spark, sf_dir):
+    """Per review batch the decision count, the decisions and the approved flag."""
+    from logweave.operators.reports import batch_summary
+
+    _, _, t = _kg_template_table(spark, sf_dir)
+    return batch_summary(_standin_decisions(t)).select("batch_id", "count", "decisions", "approved")
+
+
+@register("split_samples_events", _applied_sql() + """,
+smp AS (SELECT key, line_id, row_number() OVER (PARTITION BY key ORDER BY md5('logweave:' || CAST(line_id AS VARCHAR)), line_id) AS rn FROM kk),
+s3 AS (SELECT key, line_id, row_number() OVER (PARTITION BY key ORDER BY line_id) AS slot FROM smp WHERE rn <= 200)
+SELECT 'split_' || s3.key || '_' || CAST((s3.slot - 1) % 2 AS VARCHAR) AS cluster_id, CAST(count(*) AS BIGINT) AS samples,
+  min(s3.line_id) AS first_line_id
+FROM s3 JOIN dec ON dec.cluster_id = s3.key WHERE dec.k = 2 GROUP BY 1""")
+def split_samples_events(spark, sf_dir):
+    """L4 + W7: the samples of a split template dealt round-robin to its sub-templates."""
+    from logweave.operators.lifecycle import apply_decisions
+    from logweave.operators.sampling import reservoir_sample, split_round_robin
+
+    _, keyed, t = _kg_template_table(spark, sf_dir)
+    kids = apply_decisions(t, _standin_decisions(t))["split_children"]
+    n_subs = kids.groupBy("original_id").agg(F.count(F.lit(1)).alias("__n"))
+    samples = reservoir_sample(keyed.select("line_id", "line", F.col("key").alias("cluster_id")), 200)
+    s = samples.join(n_subs, samples.cluster_id == n_subs.original_id)
+    dealt = split_round_robin(s, F.col("__n"))
+    j = dealt.join(kids.select("original_id", "sub_index", F.col("cluster_id").alias("child_id")),
+                   ["original_id", "sub_index"])
+    return j.groupBy(F.col("child_id").alias("cluster_id")).agg(F.count(F.lit(1)).alias("samples"),
+                                                               F.min("line_id").alias("first_line_id"))
