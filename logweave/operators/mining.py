@@ -214,7 +214,8 @@ def _seed_rows(seeds: DataFrame) -> DataFrame:
 
 def mine_templates(lines: DataFrame, text_col: str = "processed", id_col: str = "line_id",
                    sim_th: float = DEFAULT_SIM_TH, seeds: DataFrame | None = None,
-                   group_lines: int = DEFAULT_GROUP_LINES, max_levels: int = 3) -> DataFrame:
+                   group_lines: int = DEFAULT_GROUP_LINES, max_levels: int = 3,
+                   bucket_rows: int = 200_000) -> DataFrame:
     """A1: cluster assignment per *distinct* text.
 
     Returns ``(text, key, first_line_id, cluster_id, n)`` (n = lines with this text); join
@@ -244,7 +245,11 @@ def mine_templates(lines: DataFrame, text_col: str = "processed", id_col: str =
         .otherwise(F.array(F.pmod(F.xxhash64("text"), nchunks).cast("int")))))
     # `text` identifies a row, `fold_text` is what gets tokenised (they differ in level 2)
     fold_cols = ["key", "chunk", "text", "fold_text", "first_line_id", "is_seed", "seed_id", "n"]
-    buckets = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    # one applyInPandas call materialises its whole bucket: size buckets from the number of
+    # distinct lines (a footer-only count of the checkpointed table), not from the shuffle
+    # partition count alone, so a call never holds more than about `bucket_rows` lines
+    shuffle_parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    buckets = max(shuffle_parts, -(-d.count() // bucket_rows))
     # a key with one distinct line and no seed is its own cluster: no Python needed
     single = (F.col("key_lines") == 1) & ~F.col("is_seed")
     if seeds is not None:
