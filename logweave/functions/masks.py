@@ -109,20 +109,25 @@ def mask_column(line: Column, masks=MASKS) -> Column:
     return out
 
 
-def mask_only(df: DataFrame, line_col: str = "line", out_col: str = "processed", masks=MASKS) -> DataFrame:
-    """Cheap form: adds ``processed`` only. Null input gives null."""
-    return df.withColumn(out_col, mask_column(F.col(line_col), masks))
+def mask_only(df: DataFrame, line_col: str = "line", out_col: str = "processed", masks=MASKS,
+              only_when: Column | None = None) -> DataFrame:
+    """Cheap form: adds ``processed`` only. Null input gives null. Rows where ``only_when``
+    is false are not masked (NULL), e.g. lines already matched by the fast path."""
+    m = mask_column(F.col(line_col), masks)
+    return df.withColumn(out_col, m if only_when is None else F.when(only_when, m))
 
 
 def mask_lines(df: DataFrame, line_col: str = "line", masks=MASKS,
-               processed_col: str = "processed", extractions_col: str = "extractions") -> DataFrame:
+               processed_col: str = "processed", extractions_col: str = "extractions",
+               only_when: Column | None = None) -> DataFrame:
     """Adds ``processed`` and ``extractions MAP<STRING, ARRAY<STRING>>``.
 
     Stage i extracts from the text of stage i-1, then replaces. Keys with no values are
-    dropped; a null line gives a null ``processed`` and an empty map.
+    dropped; a null line gives a null ``processed`` and an empty map. Rows where
+    ``only_when`` is false skip every mask (NULL results).
     """
     stage_cols = []
-    cur = F.col(line_col)
+    cur = F.col(line_col) if only_when is None else F.when(only_when, F.col(line_col))
     tmp_names = []
     out = df
     per_key: dict[str, list[Column]] = {k: [] for k in EXTRACTION_KEYS}
@@ -140,6 +145,8 @@ def mask_lines(df: DataFrame, line_col: str = "line", masks=MASKS,
     emptymap = F.create_map().cast("map<string,array<string>>")
     extractions = F.when(F.col(line_col).isNull(), emptymap).otherwise(
         F.map_filter(full, lambda k, v: F.size(v) > 0))
+    if only_when is not None:
+        extractions = F.when(only_when, extractions)
     return (out.withColumn(processed_col, cur)
             .withColumn(extractions_col, extractions)
             .drop(*tmp_names))
