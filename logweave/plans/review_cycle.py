@@ -19,6 +19,7 @@ from logweave.operators.lifecycle import apply_decisions, complete_decisions, fa
 from logweave.operators.parse import parse_events
 from logweave.operators.review import classify_requests, label_review_requests, review_new_or_changed, \
     unclassified_templates
+from logweave.session import cut_lineage
 from logweave.sources.rules import DEFAULT_RULES
 from logweave.sources.state import load_state, save_state
 
@@ -37,10 +38,13 @@ def approve(results: DataFrame, templates: DataFrame, requests: DataFrame,
             review_fn: ReviewFn = fallback_decisions, rules=DEFAULT_RULES,
             classifications: DataFrame | None = None, samples: DataFrame | None = None) -> dict[str, DataFrame]:
     """E2 from requests to the new template table, registry and parsed records."""
-    decisions = complete_decisions(requests.select("batch_id", "cluster_id", "template"), review_fn(requests))
+    decisions = cut_lineage(complete_decisions(requests.select("batch_id", "cluster_id", "template"),
+                                               review_fn(requests)))
     applied = apply_decisions(templates, decisions)
-    new_t = applied["templates"]
-    compiled = matchable_templates(new_t, fallback_to_pattern=True)
+    # the new template snapshot is a table of its own: written once, so the registry and
+    # later runs do not carry this run's whole lineage
+    new_t = cut_lineage(applied["templates"])
+    compiled = cut_lineage(matchable_templates(new_t, fallback_to_pattern=True))
     cls = classifications if classifications is not None else \
         new_t.sparkSession.createDataFrame([], "template string, classification string")
     to_classify = classify_requests(unclassified_templates(new_t, cls), samples)

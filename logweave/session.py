@@ -77,9 +77,12 @@ def get_session(master: str | None = None, app: str = "logweave",
     if master:
         b = b.master(master)
         # local runs only: no UI server, loopback driver address
+        # local runs only: no UI server, loopback driver address, and a driver heap sized
+        # for local mode (the driver is the only JVM; Spark's default is 1 GB)
         b = (b.config("spark.ui.enabled", "false")
              .config("spark.driver.host", "127.0.0.1")
-             .config("spark.driver.bindAddress", "127.0.0.1"))
+             .config("spark.driver.bindAddress", "127.0.0.1")
+             .config("spark.driver.memory", os.environ.get("LOGWEAVE_DRIVER_MEMORY", "8g")))
     for k, v in _DEFAULTS.items():
         b = b.config(k, v)
     if shuffle_partitions:
