@@ -36,6 +36,23 @@ LOOSE_CHUNK = 5_000
 MAX_INLINE_TEMPLATES = 2_000
 
 
+# the characters Python's str.split() treats as whitespace (the similarity splits that way)
+_PY_WS = "[\\t\\n\\x0B\\f\\r\\x1C-\\x1F \\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
+
+
+def py_tokens(line: Column) -> Column:
+    """Tokens exactly as Python's ``str.split()`` cuts them."""
+    return F.split(F.regexp_replace(line, f"^{_PY_WS}+|{_PY_WS}+$", ""), f"{_PY_WS}+")
+
+
+def score_bound_ok(lits: Column, toks: Column, threshold: float) -> Column:
+    """Exact prefilter: a literal counts as matched only if it equals a line token, so
+    (literals present among the line's tokens) / (literals) bounds the similarity from
+    above; a candidate below ``threshold`` cannot be the NEAR result."""
+    present = F.size(F.filter(lits, lambda x: F.array_contains(toks, x)))
+    return present >= F.lit(threshold) * F.size(lits) - F.lit(1e-9)
+
+
 def _priority_sorted(cands: Column) -> Column:
     return F.array_sort(cands, lambda a, b: F.when(a["literal_count"] != b["literal_count"],
                                                    b["literal_count"] - a["literal_count"])
@@ -114,7 +131,8 @@ def _loose_expr(chunk, line: Column) -> Column:
 
 def _near_match_inline(lines: DataFrame, compiled: DataFrame, line_col: str = "line",
                        threshold: float = DEFAULT_NEAR_THRESHOLD, only_when: Column | None = None,
-                       chunk_size: int = LOOSE_CHUNK, with_priority: bool = False) -> DataFrame:
+                       chunk_size: int = LOOSE_CHUNK, with_priority: bool = False,
+                       prune: bool = True) -> DataFrame:
     """Inline form: template literals are compiled into the expression (small registries)."""
     rows = (compiled.where(F.col("literal_count") > 0)
             .select("cluster_id", "literal_tokens", "literal_count", "registry_seq")
@@ -139,6 +157,9 @@ def _near_match_inline(lines: DataFrame, compiled: DataFrame, line_col: str = "l
         out = out.withColumn(name, F.when(gate, _loose_expr(chunk, line)).otherwise(F.array()))
         parts.append(F.col(name))
     out = out.withColumn("__cand", F.concat(*parts) if len(parts) > 1 else parts[0])
+    if prune and threshold > 0:
+        toks = py_tokens(line)
+        out = out.withColumn("__cand", F.filter("__cand", lambda c: score_bound_ok(c["lits"], toks, threshold)))
     out = out.withColumn("__scores", F.when(F.size("__cand") > 0, literal_similarities(
         F.transform("__cand", lambda c: c["lits"]), line)))
     best = F.array_max("__scores")
@@ -182,7 +203,7 @@ def _loose_col(lits: Column, line: Column) -> Column:
 
 
 def _near_match_indexed(lines: DataFrame, compiled: DataFrame, line_col: str, threshold: float,
-                        only_when: Column | None, q: int = 3) -> DataFrame:
+                        only_when: Column | None, q: int = 3, prune: bool = True) -> DataFrame:
     """Indexed form for large registries (exact). A template can loosely match a line only
     if the line contains all its literals, hence every q-gram of them: each template is
     indexed on its rarest q-gram (by line frequency) and equi-joined to the lines' distinct
@@ -213,6 +234,8 @@ def _near_match_indexed(lines: DataFrame, compiled: DataFrame, line_col: str, th
                                                  "registry_seq")
     pairs = grams.join(idx, "__g").drop("__g").join(need, "__lid")
     pairs = pairs.where(_loose_col(F.col("literal_tokens"), F.col("__line")))
+    if prune and threshold > 0:
+        pairs = pairs.where(score_bound_ok(F.col("literal_tokens"), py_tokens(F.col("__line")), threshold))
     pairs = pairs.withColumn("__score", literal_similarity(F.col("literal_tokens"), F.col("__line")))
     # best = highest score, then the most specific template (literal count desc, seq asc)
     order = F.struct(F.col("__score").alias("s"), F.col("literal_count").alias("lc"),
@@ -233,15 +256,16 @@ def _near_match_indexed(lines: DataFrame, compiled: DataFrame, line_col: str, th
 
 def near_match(lines: DataFrame, compiled: DataFrame, line_col: str = "line",
                threshold: float = DEFAULT_NEAR_THRESHOLD, only_when: Column | None = None,
-               chunk_size: int = LOOSE_CHUNK, max_inline_templates: int = MAX_INLINE_TEMPLATES) -> DataFrame:
+               chunk_size: int = LOOSE_CHUNK, max_inline_templates: int = MAX_INLINE_TEMPLATES,
+               prune: bool = True) -> DataFrame:
     """J2 + F1 + W2: adds ``near_cluster_id`` and ``similarity`` (NULL below threshold).
 
     Registries up to ``max_inline_templates`` templates with literals (counted first) are
     compiled into the expression; larger ones use the exact q-gram candidate index."""
     n = compiled.where(F.col("literal_count") > 0).count()
     if n <= max_inline_templates:
-        return _near_match_inline(lines, compiled, line_col, threshold, only_when, chunk_size)
-    return _near_match_indexed(lines, compiled, line_col, threshold, only_when)
+        return _near_match_inline(lines, compiled, line_col, threshold, only_when, chunk_size, prune=prune)
+    return _near_match_indexed(lines, compiled, line_col, threshold, only_when, prune=prune)
 
 
 def fast_path(lines: DataFrame, compiled: DataFrame, line_col: str = "line",

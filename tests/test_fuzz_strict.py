@@ -61,3 +61,23 @@ def test_near_match_indexed_equals_inline(spark):
              near_match(df, comp, threshold=th, max_inline_templates=0).collect()}
         assert a == b
         assert any(v[0] is not None for v in a.values())
+
+
+def test_score_bound_prefilter_is_exact(spark):
+    from logweave.operators.matching import near_match
+
+    rnd = random.Random(5)
+    vocab = ["Accepted", "for", "from", "port", "ssh2", "DB", "query", "rows=", "on", "<*>", "login"]
+    words = ["Accepted", "for", "from", "port", "ssh2", "DB", "query", "rows=5", "on", "alice", "login\xa0ok"]
+    templates = [" ".join(rnd.choice(vocab) for _ in range(rnd.randint(2, 7))) for _ in range(50)]
+    lines = [" ".join(rnd.choice(words) for _ in range(rnd.randint(2, 10))) for _ in range(300)]
+    tpl = spark.createDataFrame([(str(i), t, i) for i, t in enumerate(templates)],
+                                "cluster_id string, labeled_template string, registry_seq long")
+    comp = compile_templates(tpl)
+    df = lines_from_strings(spark, lines)
+    for th in (0.85, 0.5):
+        for inline in (1 << 30, 0):
+            got = [{r.line_id: (r.near_cluster_id, r.similarity) for r in
+                    near_match(df, comp, threshold=th, max_inline_templates=inline, prune=p).collect()}
+                   for p in (True, False)]
+            assert got[0] == got[1]
