@@ -178,10 +178,12 @@ def _near_match_inline(lines: DataFrame, compiled: DataFrame, line_col: str = "l
 
 
 def loose_candidates(lines: DataFrame, compiled: DataFrame, line_col: str = "line",
-                     chunk_size: int = LOOSE_CHUNK) -> DataFrame:
+                     chunk_size: int = LOOSE_CHUNK, max_inline_templates: int = MAX_INLINE_TEMPLATES) -> DataFrame:
     """J2 / P5 candidate test: adds ``loose_ids``, the templates (with literals) whose
-    literals all occur in the line in order, most specific first. Templates are a bounded
-    configuration table read once and compiled into the expression."""
+    literals all occur in the line in order, most specific first. Small registries are
+    compiled into the expression; large ones use the exact rarest-q-gram index."""
+    if compiled.where(F.col("literal_count") > 0).count() > max_inline_templates:
+        return _loose_candidates_indexed(lines, compiled, line_col, chunk_size)
     rows = (compiled.where(F.col("literal_count") > 0)
             .select("cluster_id", "literal_tokens", "literal_count", "registry_seq")
             .orderBy(F.desc("literal_count"), F.asc("registry_seq")).collect())
@@ -194,6 +196,47 @@ def loose_candidates(lines: DataFrame, compiled: DataFrame, line_col: str = "lin
     return lines.withColumn("loose_ids", F.transform(cand, lambda c: F.element_at(ids, c["idx"] + 1)))
 
 
+def _loose_candidates_indexed(lines: DataFrame, compiled: DataFrame, line_col: str, chunk_size: int,
+                              q: int = 3) -> DataFrame:
+    """Indexed form of :func:`loose_candidates`: candidate pairs from the rarest-q-gram
+    index, verified exactly, listed per line in specificity order (the list per line is
+    bounded by the registry); templates with only short literals use the inline form."""
+    t = compiled.where(F.col("literal_count") > 0).select(
+        "cluster_id", "literal_tokens", F.col("literal_count").cast("int").alias("literal_count"),
+        F.col("registry_seq").cast("bigint").alias("registry_seq"),
+        F.aggregate("literal_tokens", F.lit(0), lambda m, x: F.greatest(m, F.length(x))).alias("__maxlen"))
+    long_t, short_t = t.where(F.col("__maxlen") >= q), t.where(F.col("__maxlen") < q)
+    need = cut_lineage(lines.select(F.col("line_id").alias("__lid"), F.col(line_col).alias("__line")))
+    grams = need.select("__lid", F.explode(F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length("__line") - q + 1, F.lit(1))),
+        lambda i: F.substring("__line", i, q)))).alias("__g"))
+    freq = grams.groupBy("__g").agg(F.count(F.lit(1)).alias("__fq"))
+    tgrams = long_t.select("cluster_id", F.explode(F.array_distinct(F.flatten(F.transform(
+        F.filter("literal_tokens", lambda x: F.length(x) >= q),
+        lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - q + 1), lambda i: F.substring(x, i, q)))))).alias("__g"))
+    pick = (tgrams.join(freq, "__g", "left")
+            .groupBy("cluster_id").agg(F.min_by("__g", F.coalesce(F.col("__fq"), F.lit(0))).alias("__g")))
+    idx = long_t.join(pick, "cluster_id").select("__g", "cluster_id", "literal_tokens", "literal_count", "registry_seq")
+    pairs = (grams.join(idx, "__g").drop("__g").join(need, "__lid")
+             .where(_loose_col(F.col("literal_tokens"), F.col("__line"))))
+    per = pairs.groupBy("__lid").agg(F.array_sort(F.collect_list(
+        F.struct((-F.col("literal_count")).alias("nlc"), F.col("registry_seq").alias("seq"),
+                 F.col("cluster_id").alias("id")))).alias("__long"))
+    out = lines.join(per, F.col("line_id") == F.col("__lid"), "left").drop("__lid")
+    if short_t.limit(1).count() > 0:
+        rows = short_t.orderBy(F.desc("literal_count"), F.asc("registry_seq")).collect()
+        meta = F.array(*[F.struct(F.lit(-int(r.literal_count)).alias("nlc"), F.lit(int(r.registry_seq)).cast("bigint").alias("seq"),
+                                  F.lit(r.cluster_id).alias("id")) for r in rows])
+        parts = [_loose_expr([(start + i, list(r.literal_tokens)) for i, r in enumerate(rows[start:start + chunk_size])],
+                             F.col(line_col)) for start in range(0, len(rows), chunk_size)]
+        cand = F.concat(*parts) if len(parts) > 1 else parts[0]
+        short = F.transform(cand, lambda c: F.element_at(meta, c["idx"] + 1))
+    else:
+        short = F.array()
+    both = F.array_sort(F.concat(F.coalesce(F.col("__long"), F.array()), short))
+    return out.withColumn("loose_ids", F.transform(both, lambda c: c["id"])).drop("__long")
+
+
 def _loose_col(lits: Column, line: Column) -> Column:
     """All literals occur in order as substrings (column form of the inline test)."""
     pos = F.aggregate(lits, F.lit(1), lambda p, lit: F.when(

@@ -81,3 +81,20 @@ def test_score_bound_prefilter_is_exact(spark):
                     near_match(df, comp, threshold=th, max_inline_templates=inline, prune=p).collect()}
                    for p in (True, False)]
             assert got[0] == got[1]
+
+
+def test_loose_candidates_indexed_equals_inline(spark):
+    from logweave.operators.matching import loose_candidates
+
+    rnd = random.Random(3)
+    vocab = ["Accepted", "for", "from", "port", "ssh2", "ab", "x", "<*>", "DB", "query", "rows="]
+    words = ["Accepted", "for", "from", "port", "ssh2", "ab", "x", "alice", "DB", "query", "rows=5"]
+    templates = [" ".join(rnd.choice(vocab) for _ in range(rnd.randint(1, 5))) for _ in range(50)]
+    lines = [" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 8))) for _ in range(200)]
+    tpl = spark.createDataFrame([(str(i), t, (i * 7) % 53) for i, t in enumerate(templates)],
+                                "cluster_id string, labeled_template string, registry_seq long")
+    comp = compile_templates(tpl)
+    df = lines_from_strings(spark, lines)
+    a = {r.line_id: list(r.loose_ids) for r in loose_candidates(df, comp).collect()}
+    b = {r.line_id: list(r.loose_ids) for r in loose_candidates(df, comp, max_inline_templates=0).collect()}
+    assert a == b and any(a.values())
