@@ -9,11 +9,13 @@
    common with anyone makes no pair at all; sizes must allow the similarity.
 4. Surviving group pairs are expanded to their members and verified on the whole sets.
 
-Hot tokens (more than ``dense`` groups hold one, say a cluster of thousands of near copies)
-never emit all their pairs: two rounds link each holder with a pivot of the token, and
-afterwards only pairs of groups that are still in different components are made. Only the
-components matter to the answer, so no link between different components is lost. Every
-size is treated alike.
+Hot tokens (more than ``dense`` groups hold one: a passage in many documents, a cluster of
+thousands of near copies) take part in step 3 by a longer prefix: groups whose common tokens
+may all be hot are expanded at once and their members' *whole* sets counted, of which a set
+probes with its rarest fifth. That leaves hot tokens only to sets that hold four fifths of
+common tokens. There two rounds link each holder with a pivot of the token, and afterwards
+only nodes still in different components are paired. Only the components matter to the
+answer, so no link between different components is lost.
 
 Two unlike sequences would be taken for equal only if their 64-bit hashes met; sets are
 compared by 128 bits. Intermediate tables are written to the shared checkpoint folder.
@@ -103,6 +105,17 @@ def _whole_sets(batches):
         yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sets, pa.binary())], ["node", "set"])
 
 
+def _explode_sets(batches):
+    """(node, n, set) -> one row per hash of the set."""
+    import pyarrow as pa
+
+    for b in batches:
+        size = np.array(b.column(1))
+        toks = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(2)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(b.column(0)), size)), pa.array(np.repeat(size, size)),
+                                          pa.array(np.concatenate(toks) if toks else np.zeros(0, np.int64))], ["node", "n", "tok"])
+
+
 def _linked(percent: int):
     """(u, v, set of u, set of v) -> the linked (u, v)."""
     def run(batches):
@@ -163,21 +176,16 @@ def join_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     token = nodes.select("node", "n", F.explode("prefix").alias("tok"))
     token = token.join(member.where("node <> g").select("node"), "node", "left_anti").withColumnRenamed("node", "g")
-    shared = token.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
-    least = lambda n: F.greatest(F.lit(1), F.floor(n / 10)).cast("long")  # noqa: E731  spare()
-    token = token.join(shared, "tok").withColumns({
-        "held": F.count("*").over(Window.partitionBy("g")),
-        "rank": F.row_number().over(Window.partitionBy("g").orderBy("df", "tok")),
-    })
-    smallest = F.ceil(percent * F.col("n") / 100)       # the smallest partner a group may have
-    token = cut_lineage(token.where(F.col("held") >= least(smallest))
-                        .withColumn("probes", F.col("rank") <= F.col("held") - least(F.col("n")) + 1))
-    probe = token.where("probes").select("tok", F.col("g").alias("x"), F.col("n").alias("nx"), "df")
-    base = token.select("tok", F.col("g").alias("y"), F.col("n").alias("ny"), F.col("df").alias("dfy"))
-    fits = (F.col("nx") <= F.col("ny")) & (100 * F.col("nx") >= percent * F.col("ny")) & ((F.col("nx") < F.col("ny")) | (F.col("x") < F.col("y")))
+    linkable = F.ceil(percent * F.col("n") / 100)       # the smallest partner a set may have
+    spare_of = lambda n: F.greatest(F.lit(1), F.floor(n / 10)).cast("long")  # noqa: E731  spare()
+    token = _lists(token, "g", spare_of(F.col("n")), spare_of(linkable))
+    probe, base = token.where("probes"), token
+    fits = ((100 * F.col("nx") >= percent * F.col("ny")) & ((F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))))
+    rare = _meet(probe.where(F.col("df") <= dense), base, "g").where(fits).select("x", "y").distinct()
 
     # the whole sets of the classes that can be in a pair at all
-    able = token.select("g").union(member.where("members > 1").select("g")).distinct()
+    crowded = member.where("members > 1")
+    able = token.select("g").union(crowded.select("g")).distinct()
     wanted = member.join(able, "g", "left_semi").select("node", "sig", "id")
     sets = wanted.join(docs, wanted["id"].eqNullSafe(docs["id"])).select("node", "sig", "t").mapInArrow(_whole_sets, "node bigint, set binary")
     sets = cut_lineage(sets.dropDuplicates(["node"]))
@@ -187,33 +195,34 @@ def join_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
                 .join(sets.select(F.col("node").alias("v"), F.col("set").alias("sv")), "v"))
         return both.select("u", "v", "su", "sv").mapInArrow(_linked(percent), "a bigint, b bigint")
 
+    # groups whose common tokens may all be hot: their members' whole sets, rarest tokens first
+    hot = token.where(F.col("df") > dense).groupBy("g", "n").agg(F.count("*").alias("hot")).where(F.col("hot") >= spare_of(linkable))
+    hot = member.join(hot.select("g"), "g", "left_semi").select("node", "n")
+    whole = hot.join(sets, "node").select("node", "n", "set").mapInArrow(_explode_sets, "node bigint, n bigint, tok bigint")
+    whole = _lists(whole, "node", linkable, linkable)
+    whole = whole.unionByName(crowded.select("node", "n", F.xxhash64("g", F.lit("group")).alias("tok"), F.lit(dense + 1).cast("long").alias("df"), F.lit(True).alias("probes")))
+    whole = cut_lineage(whole)
+
     spark = docs.sparkSession
-    links = cut_lineage(spark.createDataFrame([], "a bigint, b bigint"))
-    label = components(links)
-    crowded = member.where("members > 1")
-    hot = token.where(F.col("df") > dense)
-    many = not crowded.isEmpty() or not hot.isEmpty()
-    for turn in range(2 if many else 0):
-        order = F.struct(F.xxhash64("y", F.lit(turn)), "y", "ny")
-        pivot = base.where(F.col("dfy") > dense).groupBy("tok").agg(F.min(order).alias("p")).select("tok", F.col("p.y").alias("p"), F.col("p.ny").alias("np"))
-        star = (hot.join(pivot, "tok").where("g <> p").where((100 * F.col("n") >= percent * F.col("np")) & (100 * F.col("np") >= percent * F.col("n")))
-                .select(F.col("g").alias("u"), F.col("p").alias("v")))
-        own = crowded.groupBy("g").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("p"))
-        inner = crowded.join(own, "g").select(F.col("node").alias("u"), F.col("p.node").alias("v")).where("u <> v")
-        pairs = _apart(star.union(inner).distinct(), label, "u", "v")
-        links = cut_lineage(links.union(verify(pairs)))
+    links = spark.createDataFrame([], "a bigint, b bigint")
+    label = spark.createDataFrame([], "node bigint, root bigint")
+    crowd = whole.where(F.col("df") > dense)
+    for turn in range(0 if crowd.isEmpty() else 2):
+        order = F.struct(F.xxhash64("node", F.lit(turn)), "node", "n")
+        pivot = crowd.groupBy("tok").agg(F.min(order).alias("p")).select("tok", F.col("p.node").alias("v"), F.col("p.n").alias("nv"))
+        star = crowd.where("probes").join(pivot, "tok").where("node <> v").where((100 * F.col("n") >= percent * F.col("nv")) & (100 * F.col("nv") >= percent * F.col("n")))
+        pairs = star.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct()
+        links = cut_lineage(links.union(verify(_apart(pairs, label, "u", "v"))))
         label = components(links)
 
-    # what is still apart: all pairs of rare tokens, of hot tokens only across components
-    rare = probe.where(F.col("df") <= dense).join(base, "tok").where(fits).select("x", "y")
-    frequent = _cross(probe.where(F.col("df") > dense), base.where(F.col("dfy") > dense), fits, label)
-    group_pairs = rare.union(frequent).distinct()
+    # what is still apart: all pairs under rare tokens, under hot ones only across components
     of = member.select("g", "node")
-    expanded = (group_pairs.join(of.select(F.col("g").alias("x"), F.col("node").alias("u")), "x")
-                .join(of.select(F.col("g").alias("y"), F.col("node").alias("v")), "y").select("u", "v"))
-    within = _cross(crowded.select(F.col("g").alias("tok"), F.col("node").alias("x")), crowded.select(F.col("g").alias("tok"), F.col("node").alias("y")),
-                    F.col("x") < F.col("y"), label).select(F.col("x").alias("u"), F.col("y").alias("v"))
-    links = cut_lineage(links.union(verify(_apart(expanded.union(within).distinct(), label, "u", "v"))))
+    pairs = (rare.join(of.select(F.col("g").alias("x"), F.col("node").alias("u")), "x")
+             .join(of.select(F.col("g").alias("y"), F.col("node").alias("v")), "y").select("u", "v"))
+    few = whole.where(F.col("df") <= dense)
+    pairs = pairs.union(_meet(few.where("probes"), few, "node").where(fits).select("x", "y"))
+    pairs = pairs.union(_cross(crowd, label).where(fits).select("x", "y"))
+    links = cut_lineage(links.union(verify(_apart(pairs.distinct(), label, "u", "v"))))
     label = components(links)
 
     named = member.select("node", "sig").join(full, "sig").join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -234,12 +243,37 @@ def _apart(pairs: DataFrame, label: DataFrame, a: str, b: str) -> DataFrame:
     return _named(_named(pairs, label, a, "ra"), label, b, "rb").where("ra <> rb").select(a, b)
 
 
-def _cross(probe: DataFrame, base: DataFrame, fits, label: DataFrame) -> DataFrame:
-    """Pairs (x, y) under one token and in different components; tokens that one component
-    holds alone make no row."""
-    probe, base = _named(probe, label, "x", "rx"), _named(base, label, "y", "ry")
-    mixed = base.groupBy("tok").agg(F.min("ry").alias("lo"), F.max("ry").alias("hi")).where("lo <> hi").select("tok")
-    return probe.join(mixed, "tok", "left_semi").join(base.join(mixed, "tok", "left_semi"), "tok").where(fits & (F.col("rx") != F.col("ry"))).select("x", "y")
+def _lists(token: DataFrame, owner: str, need, partner) -> DataFrame:
+    """(tok, owner, n) -> tokens that two or more owners hold, with ``df`` and ``probes``.
+
+    An owner is linked only if it shares ``need`` of its tokens with a larger set, so its
+    ``need - 1`` most frequent ones may go unprobed; one that holds fewer than ``partner``
+    common tokens can be in no pair and is left out.
+    """
+    shared = token.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
+    token = token.join(shared, "tok").withColumns({
+        "held": F.count("*").over(Window.partitionBy(owner)),
+        "rank": F.row_number().over(Window.partitionBy(owner).orderBy("df", "tok")),
+    })
+    token = token.where(F.col("held") >= partner).withColumn("probes", F.col("rank") <= F.col("held") - need + 1)
+    return cut_lineage(token.select(owner, "n", "tok", "df", "probes"))
+
+
+def _meet(probe: DataFrame, base: DataFrame, owner: str) -> DataFrame:
+    """(x, nx, y, ny) of the owners that meet under a token."""
+    return (probe.select("tok", F.col(owner).alias("x"), F.col("n").alias("nx"))
+            .join(base.select("tok", F.col(owner).alias("y"), F.col("n").alias("ny")), "tok"))
+
+
+def _cross(lists: DataFrame, label: DataFrame) -> DataFrame:
+    """:func:`_meet` of nodes in different components; a token held within one component
+    makes no row."""
+    lists = _named(lists, label, "node", "root")
+    mixed = lists.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("tok")
+    lists = lists.join(mixed, "tok", "left_semi")
+    x = lists.where("probes").select("tok", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
+    y = lists.select("tok", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"))
+    return x.join(y, "tok").where("rx <> ry")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
