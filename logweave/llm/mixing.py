@@ -48,7 +48,8 @@ def targets(sizes: DataFrame, *, weights=WEIGHTS, share: float = 1.5, cap: float
     # the level if this source and all later ones are not full; valid at the first one that isn't
     t = t.withColumn("level", (F.col("total") - F.col("done")) / F.col("left"))
     t = t.withColumn("open", F.col("w") * F.col("level") <= F.col("full"))
-    level = F.min(F.when(F.col("open"), F.struct(F.col("full") / F.col("w"), F.col("level").alias("l")))).over(everything)["l"]
+    # among sources that fill up at one level the first has the highest and right one
+    level = -F.min(F.when(F.col("open"), F.struct((F.col("full") / F.col("w")).alias("at"), (-F.col("level")).alias("l")))).over(everything)["l"]
     return t.withColumn("l", level).select("source", "source_size", F.coalesce(F.least(F.col("full"), F.col("w") * F.col("l")), F.col("full")).alias("target"))
 
 

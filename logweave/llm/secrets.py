@@ -70,8 +70,9 @@ def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", random_do
     """The table of log-likelihood ratios, one sign per transition.
 
     Learned from expected samples of ``random_docs`` documents (values of the fixed patterns)
-    and ``plain_docs`` documents (identifiers), drawn by a hash of the key. Unseen
-    transitions count once, so without any sample the random model is uniform.
+    and ``plain_docs`` documents (identifiers), drawn by a hash of the key. The random
+    model is half uniform; the ordinary one falls back to its single characters. Without any
+    sample every ratio is 0.
     """
     docs = docs.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     total = max(1, docs.count())
@@ -86,12 +87,15 @@ def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", random_do
     pairs = F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: _state(F.substring("w", i, F.lit(1))) * _SIZE + _state(F.substring("w", i + 1, F.lit(1))))
     cells = words.where(F.length("w") > 1).select("random", F.explode(pairs).alias("cell")).groupBy("random", "cell").agg(F.count("*").alias("n"))
     got = {(r.random, r.cell): r.n for r in cells.collect()}  # at most 2 x 4096 rows
+    row = [[sum(got.get((m, a * _SIZE + b), 0) for b in range(_SIZE)) for a in range(_SIZE)] for m in (0, 1)]
+    seen = [sum(got.get((0, a * _SIZE + b), 0) for a in range(_SIZE)) for b in range(_SIZE)]
+    usual = [(n + 0.5) / (sum(seen) + 0.5 * _SIZE) for n in seen]
     out = []
     for a in range(_SIZE):
-        rows = [sum(got.get((m, a * _SIZE + b), 0) for b in range(_SIZE)) for m in (0, 1)]
         for b in range(_SIZE):
-            p = [(got.get((m, a * _SIZE + b), 0) + 1) / (rows[m] + _SIZE) for m in (0, 1)]
-            out.append(chr(min(126, max(33, round(_ZERO + math.log(p[1] / p[0]) / _STEP)))))
+            plain = (got.get((0, a * _SIZE + b), 0) + 8 * usual[b]) / (row[0][a] + 8)
+            random = 0.5 * (got.get((1, a * _SIZE + b), 0) + 1) / (row[1][a] + _SIZE) + 0.5 / _SIZE
+            out.append(chr(min(126, max(33, round(_ZERO + math.log(random / plain) / _STEP)))))
     return "".join(out)
 
 
