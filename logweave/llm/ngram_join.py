@@ -201,14 +201,16 @@ def join_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     whole = hot.join(sets, "node").select("node", "n", "set").mapInArrow(_explode_sets, "node bigint, n bigint, tok bigint")
     whole = _lists(whole, "node", linkable, linkable)
     whole = whole.unionByName(crowded.select("node", "n", F.xxhash64("g", F.lit("group")).alias("tok"), F.lit(dense + 1).cast("long").alias("df"), F.lit(True).alias("probes")))
-    whole = cut_lineage(whole)
+    # a token's first pivot is the holder with the most hot tokens: of a cluster, its least edited copy
+    held_hot = F.sum((F.col("df") > dense).cast("int")).over(Window.partitionBy("node"))
+    whole = cut_lineage(whole.withColumn("hot", held_hot))
 
     spark = docs.sparkSession
     links = spark.createDataFrame([], "a bigint, b bigint")
     label = spark.createDataFrame([], "node bigint, root bigint")
     crowd = whole.where(F.col("df") > dense)
     for turn in range(0 if crowd.isEmpty() else 2):
-        order = F.struct(F.xxhash64("node", F.lit(turn)), "node", "n")
+        order = F.struct((-F.col("hot") if turn == 0 else F.lit(0)).alias("rank"), F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n")
         pivot = crowd.groupBy("tok").agg(F.min(order).alias("p")).select("tok", F.col("p.node").alias("v"), F.col("p.n").alias("nv"))
         star = crowd.where("probes").join(pivot, "tok").where("node <> v").where((100 * F.col("n") >= percent * F.col("nv")) & (100 * F.col("nv") >= percent * F.col("n")))
         pairs = star.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct()
