@@ -48,11 +48,14 @@ def loose_match_expr(literals_sql: str, line_sql: str) -> Column:
 
 def matchable_templates(templates: DataFrame, fallback_to_pattern: bool = False) -> DataFrame:
     """ACTIVE, reviewed templates with a labeled template, compiled on that label.
-    ``fallback_to_pattern=True`` is the keep/reset form (L2): label else pattern."""
+    ``fallback_to_pattern=True`` is the keep/reset form (L2): label else pattern, and the
+    pattern (the reset text) after a reset, whose label describes the old text. An ACTIVE
+    template whose merge or split was refused is not matchable."""
     text = F.nullif(F.col("labeled_template"), F.lit(""))
     if fallback_to_pattern:
-        text = F.coalesce(text, F.nullif(F.col("pattern"), F.lit("")))
-    t = (templates.where((F.col("status") == "ACTIVE") & F.col("decision").isNotNull())
+        pattern = F.nullif(F.col("pattern"), F.lit(""))
+        text = F.when(F.col("decision") == "reset", F.coalesce(pattern, text)).otherwise(F.coalesce(text, pattern))
+    t = (templates.where((F.col("status") == "ACTIVE") & F.col("decision").isin("keep", "reset"))
          .withColumn("__text", text).where(F.col("__text").isNotNull()))
     if "registry_seq" not in t.columns:
         # registry order = registration order (creation time)

@@ -173,6 +173,7 @@ def confirm_merges(templates: DataFrame, results: DataFrame, threshold: int = 10
 # decisions from reviewers
 # ---------------------------------------------------------------------------
 
+# fixed value: the fence of a reply
 _FENCE = r"(?is)```(?:json)?\s*([\s\S]*?)```"
 
 

@@ -136,8 +136,10 @@ def stream_reservoir(lines: DataFrame, k: int = DEFAULT_K, seed: str = DEFAULT_S
 
 
 def stream_merge_hits(results: DataFrame) -> DataFrame:
-    """Running count of NONE lines per cluster (feeds confirm_merges per micro-batch)."""
-    return (results.where(F.col("change_type") == "NONE").groupBy("cluster_id")
+    """Running count of the mined NONE lines per cluster (feeds confirm_merges per
+    micro-batch); lines of the fast path confirm no merge, as in the batch form."""
+    fast = F.coalesce(F.col("fast_path"), F.lit(False)) | F.coalesce(F.col("near_match"), F.lit(False))
+    return (results.where((F.col("change_type") == "NONE") & ~fast).groupBy("cluster_id")
             .agg(F.count(F.lit(1)).alias("hits")))
 
 

@@ -97,3 +97,20 @@ def test_stream_ingest_fast_path_skips_mining(spark):
     assert got[0].fast_path and got[2].fast_path and got[0].cluster_id == "ssh" and got[0].change_type == "NONE"
     assert [got[i].change_type for i in (1, 3)] == ["CREATE", "UPDATE"] and got[3].template == "service nginx <*>"
     assert got[1].ocsf.class_name == "Application Lifecycle"
+
+
+def test_merge_hits_leave_out_fast_path_lines(spark):
+    rows = spark.createDataFrame([("c", "NONE", False, False), ("c", "NONE", True, False), ("c", "NONE", None, True), ("c", "NEW", False, False)],
+                                 "cluster_id string, change_type string, fast_path boolean, near_match boolean")
+    assert [tuple(r) for r in stream_merge_hits(rows).collect()] == [("c", 1)]
+
+
+def test_registry_after_reset_and_refusals(spark):
+    from logweave.operators.compile import matchable_templates
+
+    rows = spark.createDataFrame(
+        [("r", "a <*> <*>", "a <unknown> b", "reset", 1), ("m", "x <*>", "x <n>", "merge", 2), ("s", "y <*>", "y <n>", "split", 3), ("k", "z <*>", "z <n>", "keep", 4)],
+        "cluster_id string, pattern string, labeled_template string, decision string, registry_seq long").selectExpr(
+        "*", "'ACTIVE' as status", "timestamp'2024-01-01 00:00:00' as created_at")
+    got = {r.cluster_id: r["__text"] if "__text" in r.asDict() else None for r in matchable_templates(rows, fallback_to_pattern=True).collect()}
+    assert set(got) == {"r", "k"}
