@@ -76,7 +76,6 @@ def get_session(master: str | None = None, app: str = "logweave",
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
-        # local runs only: no UI server, loopback driver address
         # local runs only: no UI server, loopback driver address, and a driver heap sized
         # for local mode (the driver is the only JVM; Spark's default is 1 GB)
         b = (b.config("spark.ui.enabled", "false")
@@ -102,6 +101,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="logweave-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
