@@ -13,9 +13,13 @@ Hot tokens (more than ``dense`` groups hold one: a passage in many documents, a
 thousands of near copies) take part in step 3 by a longer prefix: groups whose common tokens
 may all be hot are expanded at once and their members' *whole* sets counted, of which a set
 probes with its rarest fifth. That leaves hot tokens only to sets that hold four fifths of
-common tokens. There two rounds link each holder with a pivot of the token, and afterwards
-only nodes still in different components are paired. Only the components matter to the
-answer, so no link between different components is lost.
+common tokens. There two rounds link each holder with a pivot of the token. Holders still in
+different components are not paired under the hot token but under what sets them apart from
+its pivot: with ``d`` the size of a set's symmetric difference from the pivot's and
+``k = (1 - t) / (1 + t)``, two sets are linked when ``d(u, v) <= k (n_u + n_v)``. If v is not
+linked with the pivot, a linked u shares at least ``(d_u + d_v - k (n_u + n_v)) / 2 > 0`` tokens
+of the differences with it, so the differences take the prefix and position filters in turn.
+Only the components matter to the answer, so no link between different components is lost.
 
 Two unlike sequences would be taken for equal only if their 64-bit hashes met; sets are
 compared by 128 bits. Intermediate tables are written to the shared checkpoint folder.
@@ -209,7 +213,8 @@ def join_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     links = spark.createDataFrame([], "a bigint, b bigint")
     label = spark.createDataFrame([], "node bigint, root bigint")
     crowd = whole.where(F.col("df") > dense)
-    for turn in range(0 if crowd.isEmpty() else 2):
+    busy = not crowd.isEmpty()
+    for turn in range(2 if busy else 0):
         order = F.struct((-F.col("hot") if turn == 0 else F.lit(0)).alias("rank"), F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n")
         pivot = crowd.groupBy("tok").agg(F.min(order).alias("p")).select("tok", F.col("p.node").alias("v"), F.col("p.n").alias("nv"))
         star = crowd.where("probes").join(pivot, "tok").where("node <> v").where((100 * F.col("n") >= percent * F.col("nv")) & (100 * F.col("nv") >= percent * F.col("n")))
@@ -223,7 +228,9 @@ def join_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
              .join(of.select(F.col("g").alias("y"), F.col("node").alias("v")), "y").select("u", "v"))
     few = whole.where(F.col("df") <= dense)
     pairs = pairs.union(_meet(few.where("probes"), few, "node").where(fits).select("x", "y"))
-    pairs = pairs.union(_cross(crowd, label).where(fits).select("x", "y"))
+    if busy:
+        direct, met = _beside_pivots(crowd, label, sets, percent)
+        pairs, links = pairs.union(met), links.union(direct)
     links = cut_lineage(links.union(verify(_apart(pairs.distinct(), label, "u", "v"))))
     label = components(links)
 
@@ -267,15 +274,56 @@ def _meet(probe: DataFrame, base: DataFrame, owner: str) -> DataFrame:
             .join(base.select("tok", F.col(owner).alias("y"), F.col("n").alias("ny")), "tok"))
 
 
-def _cross(lists: DataFrame, label: DataFrame) -> DataFrame:
-    """:func:`_meet` of nodes in different components; a token held within one component
-    makes no row."""
-    lists = _named(lists, label, "node", "root")
-    mixed = lists.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("tok")
-    lists = lists.join(mixed, "tok", "left_semi")
-    x = lists.where("probes").select("tok", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-    y = lists.select("tok", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"))
-    return x.join(y, "tok").where("rx <> ry")
+def _differences(batches):
+    """(node, n, p, np, set of node, set of p) -> one row per token of their symmetric difference."""
+    import pyarrow as pa
+
+    for b in batches:
+        d, toks = [], []
+        for x, y in zip(b.column(4), b.column(5)):
+            away = np.setxor1d(np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64), assume_unique=True)
+            d.append(len(away))
+            toks.append(away)
+        d = np.array(d, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(b.column(i)), d)) for i in range(4)] + [
+            pa.array(np.repeat(d, d)), pa.array(np.concatenate(toks) if toks else np.zeros(0, np.int64))], ["node", "n", "p", "np", "d", "tok"])
+
+
+def _beside_pivots(crowd: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links of holders of hot tokens with the tokens' pivots, and the pairs of holders in
+    different components that may be linked (module docstring)."""
+    held = _named(crowd, label, "node", "root")
+    order = F.struct((-F.col("hot")).alias("rank"), F.xxhash64("node", F.lit(0)).alias("h"), "node", "n")
+    hub = held.groupBy("tok").agg(F.min(order).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("probes").alias("probed"))
+    hub = hub.where("lo <> hi and probed").select("tok", F.col("p.node").alias("p"), F.col("p.n").alias("np"))
+    spoke = held.join(hub, "tok").where("node <> p").select("node", "n", "p", "np").distinct()
+    apart = (spoke.join(sets.withColumnRenamed("set", "sn"), "node").join(sets.select(F.col("node").alias("p"), F.col("set").alias("sp")), "p")
+             .select("node", "n", "p", "np", "sn", "sp").mapInArrow(_differences, "node bigint, n bigint, p bigint, np bigint, d bigint, tok bigint"))
+    apart = cut_lineage(apart)
+    more, less = 100 + percent, 100 - percent
+    near = more * F.col("d") <= less * (F.col("n") + F.col("np"))
+    direct = apart.where(near).select(F.greatest("node", "p").alias("a"), F.least("node", "p").alias("b")).distinct()
+
+    shared = apart.groupBy("p", "tok").agg(F.count("*").alias("df")).where("df > 1")
+    mine = Window.partitionBy("p", "node")
+    lists = apart.join(shared, ["p", "tok"]).withColumns({
+        "h": F.count("*").over(mine), "rank": F.row_number().over(mine.orderBy("df", "tok")), "far": ~near})
+    # what a set has alone counts against every partner, the largest of which is n / t
+    lists = lists.where(percent * (F.col("d") - F.col("h")) <= less * F.col("n"))
+    need = F.greatest(F.lit(1), F.ceil((percent * F.col("d") - less * F.col("n")) / percent))
+    lists = lists.withColumn("probes", F.col("far") & (F.col("rank") <= F.col("h") - need + 1))
+    lists = cut_lineage(_named(lists, label, "node", "root").select("p", "tok", "node", "n", "d", "h", "rank", "far", "probes", "root"))
+    mixed = lists.groupBy("p", "tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("probes").alias("probed")).where("lo <> hi and probed").select("p", "tok")
+    lists = lists.join(mixed, ["p", "tok"], "left_semi")
+    v, u = lists.where("probes").alias("v"), lists.alias("u")
+    c = F.col
+    # tokens both can still share from here on, itself included; smaller of the two
+    left = F.least(c("u.h") - c("u.rank"), c("v.h") - c("v.rank")) + 1
+    meet = ((c("u.p") == c("v.p")) & (c("u.tok") == c("v.tok")) & (c("u.root") != c("v.root"))
+            & (100 * c("u.n") >= percent * c("v.n")) & (100 * c("v.n") >= percent * c("u.n"))
+            & (more * (c("u.d") + c("v.d")) - less * (c("u.n") + c("v.n")) <= 2 * more * left))
+    pairs = v.join(u, meet).select(F.least("u.node", "v.node").alias("u"), F.greatest("u.node", "v.node").alias("v"))
+    return direct, pairs
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

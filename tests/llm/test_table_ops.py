@@ -40,6 +40,27 @@ def test_shingles():
     assert ngram_join.shingle_set("É")[0] != ngram_join.shingle_set("é")[0]     # only A-Z are lower-cased
 
 
+def test_join_hot_clusters(spark):
+    """Copies of copies, edited at random: hot tokens, several pivots, links far from them."""
+    rng, texts = np.random.default_rng(5), []
+    for family in range(3):
+        base = [f"w{family}x{i}" for i in range(60)]
+        for _ in range(60):
+            t = list(base)
+            for at in rng.choice(60, rng.integers(0, 5), replace=False):
+                t[at] = f"e{rng.integers(0, 6)}" if rng.random() < 0.7 else f"r{rng.integers(0, 10**6)}"
+            if rng.random() < 0.3:
+                t = t[rng.integers(0, 8):]
+            texts.append(" ".join(t))
+            if rng.random() < 0.4:       # a chain: the next copies start from this one
+                base = t + base[len(t):]
+    want = _components(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert len(set(want)) > 5
+    for dense in (2, 5):
+        assert [r.component_id for r in ngram_join.join_components(docs, dense=dense).orderBy("doc_id").collect()] == want
+
+
 @pytest.mark.parametrize("dense", [1, 40])
 def test_join_brute_force(spark, dense):
     rng = np.random.default_rng(2)
