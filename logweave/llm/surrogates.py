@@ -11,7 +11,8 @@ Detected entities are replaced by keyed surrogates of the same type and format:
   surname alone gets the surname of the full mention, since surnames are mapped on their own.
   Their distinct values are gathered over the whole table and checked for collisions; a
   value that shares its surrogate with another, or meets a real value, is lengthened until
-  none does.
+  none does. Of persons of one surname whose first names draw the same surrogate, all but
+  one get a second, checked part behind a hyphen.
 
 Native: DataFrame functions only. Equal entities have equal surrogates everywhere in the table
 (and in every table under the same key). Texts without a sign of an entity run no costly
@@ -112,9 +113,17 @@ def _kind(e):
 
 
 def _words(e):
-    """The parts of an entity that are mapped on their own: an address, a first name, a surname."""
+    """What is mapped on its own in an entity: an address, a first name, a surname, and the
+    two names together."""
+    parts = F.split(e, " ")
     return (F.when(_kind(e) == "email", F.array(F.lower(e)))
-            .when(_kind(e) == "name", F.slice(F.split(e, " "), 2, 2)).otherwise(F.array().cast("array<string>")))
+            .when((_kind(e) == "name") & (F.size(parts) == 3), F.array(parts[1], F.get(parts, F.lit(2)), F.concat_ws(" ", parts[1], F.get(parts, F.lit(2)))))
+            .when(_kind(e) == "name", F.slice(parts, 2, 1)).otherwise(F.array().cast("array<string>")))
+
+
+def _first_pick(key: str, first):
+    """Place of a first name's surrogate in its list of 16."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(key + "/first/"), first)), 1, 6), 16, 10).cast("int") % 16
 
 
 def _word_surrogate(key: str, word, tries):
@@ -141,12 +150,13 @@ def _replace(key: str, e, tries):
     parts = F.split(e, " ")
     title = F.regexp_replace(parts[0], r"\.$", "")
     def first(w):
-        pick = F.conv(F.substring(F.md5(F.concat(F.lit(key + "/first/"), w)), 1, 6), 16, 10).cast("int") % 16
+        pick = _first_pick(key, w)
         female = title.isin(*FEMALE) | (~title.isin(*MALE) & (F.conv(F.substring(F.md5(F.concat(F.lit(key + "/sex/"), w)), 1, 2), 16, 10).cast("int") % 2 == 0))
         name = lambda g, s: F.get(F.array(*map(F.lit, FIRST[g, s])), pick)
         return F.when(w.rlike(r"^\p{IsCyrillic}"), F.when(female, name("f", "cyrillic")).otherwise(name("m", "cyrillic"))).otherwise(F.when(female, name("f", "latin")).otherwise(name("m", "latin")))
     surname = lambda w: _word_surrogate(key, w, tries(w))
-    person = F.when(F.size(parts) == 3, F.concat_ws(" ", parts[0], first(parts[1]), surname(parts[2]))).otherwise(F.concat_ws(" ", parts[0], surname(F.get(parts, F.lit(1)))))
+    person = F.when(F.size(parts) == 3, F.concat_ws(" ", parts[0], F.when(
+        tries(F.concat_ws(" ", parts[1], parts[2])) > 0, F.concat_ws("-", first(parts[1]), surname(parts[1]))).otherwise(first(parts[1])), surname(parts[2]))).otherwise(F.concat_ws(" ", parts[0], surname(F.get(parts, F.lit(1)))))
     kind = _kind(e)
     return (F.when(kind == "email", _let(F.lower(e), lambda w: _word_surrogate(key, w, tries(w)))).when(kind == "ip", ip).when(kind == "card", _into_format(e, card))
             .when(kind == "ssn", _into_format(e, _digits(key + "/ssn", digits))).when(kind == "phone", _into_format(e, phone)).otherwise(person))
@@ -161,7 +171,8 @@ def _suspect(t):
 
 
 def taken_words(docs: DataFrame, *, text: str, key: str) -> DataFrame:
-    """(word, tries) of the addresses and surnames whose first surrogate is not theirs alone.
+    """(word, tries) of the addresses and names whose first surrogate is not theirs alone;
+    of full names, those whose first name needs its second part.
 
     Of several words with one surrogate the first by code point keeps it; the others, and
     words whose surrogate is itself a word of the table, get the next try. Tries have unlike
@@ -169,8 +180,13 @@ def taken_words(docs: DataFrame, *, text: str, key: str) -> DataFrame:
     """
     t = F.col(text)
     found = docs.where(t.isNotNull() & _suspect(t)).select(F.explode(F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).alias("e"))
-    word = found.where(_kind(F.col("e")).isin("email", "name")).select(F.element_at(_words(F.col("e")), -1).alias("word")).distinct()
+    word = found.where(_kind(F.col("e")).isin("email", "name")).select(F.explode(_words(F.col("e"))).alias("word")).distinct()
     word = cut_lineage(word)
+    name = F.split("word", " ")
+    full = word.where(F.contains(F.col("word"), F.lit(" "))).select("word", name[1].alias("last"), name[0].rlike(r"^\p{IsCyrillic}").alias("script"), _first_pick(key, name[0]).alias("pick"))
+    shared = full.groupBy("last", "script", "pick").agg(F.min("word").alias("owner"))
+    full = full.join(shared, ["last", "script", "pick"]).where("word <> owner").select("word", F.lit(1).alias("tries"))
+    word = word.where(~F.contains(F.col("word"), F.lit(" ")))
     real = word.select(F.col("word").alias("s"))
     open_, out = word.withColumn("tries", F.lit(0)), None
     for t in range(3):
@@ -181,7 +197,7 @@ def taken_words(docs: DataFrame, *, text: str, key: str) -> DataFrame:
         out = open_ if out is None else out.union(open_)
         if open_.isEmpty():
             break
-    return cut_lineage(out.groupBy("word").agg(F.max("tries").alias("tries")))
+    return cut_lineage(out.union(full).groupBy("word").agg(F.max("tries").alias("tries")))
 
 
 def pseudonymise(docs: DataFrame, *, text: str = "text", key: str = "corpus", as_col: str | None = None) -> DataFrame:

@@ -145,3 +145,12 @@ def test_collisions_are_resolved(spark, monkeypatch, columns):
     monkeypatch.setitem(surrogates.SYLLABLES, "latin", ("ba", "ko") * 16)
     docs = spark.range(12).select(F.concat(F.lit("p"), F.col("id").cast("string"), F.lit("@x.example.com")).alias("text"))
     assert surrogates.pseudonymise(docs).select("text").distinct().count() == 12
+
+
+def test_surrogates_keep_persons_of_one_surname_apart(spark):
+    firsts = [a + b for a in ("An", "Be", "Ca", "Do", "El") for b in ("na", "lla", "ra", "ris", "min", "to", "sa", "ko")]
+    docs = spark.createDataFrame([(i, f"Mr {f} Miller met Mr {f} Miller and Mr Miller.") for i, f in enumerate(firsts)], "doc_id long, text string")
+    rows = [[e.surrogate for e in r.entities] for r in surrogates.pseudonymise(docs).collect()]
+    assert len({r[0] for r in rows}) == len(firsts) > 16
+    assert all(r[0] == r[1] and r[0].split()[-1] == r[2].split()[-1] for r in rows)
+    assert all(r[0].split()[1].split("-")[0] in surrogates.FIRST["m", "latin"] for r in rows)
