@@ -525,11 +525,11 @@ SELECT a.cluster_id, a.pattern, a.status, a.merge_target_id,
        CAST(CASE WHEN a.status = 'PENDING_MERGE' THEN a.confirmation_count + coalesce(n.h, 0) ELSE a.confirmation_count END AS INTEGER) AS confirmation_count,
        a.labeled_template, a.decision, a.reasoning
 FROM applied a LEFT JOIN none_hits n ON n.merge_target_id = a.merge_target_id
-WHERE NOT (a.status = 'PENDING_MERGE' AND a.confirmation_count + coalesce(n.h, 0) >= 100000)""")
+WHERE NOT (a.status = 'PENDING_MERGE' AND a.confirmation_count + coalesce(n.h, 0) >= 100)""")
 def lifecycle_confirm_merges(spark, sf_dir):
     """Each later line of a merge target confirms the templates pending into it; a
-    pending template reaching the threshold is deleted. Threshold 100 000 keeps the
-    counts visible at small scale; lines are the key-group clustering's results."""
+    pending template reaching the threshold is deleted. The threshold is the
+    default 100; lines are the key-group clustering's results."""
     from logweave.operators.lifecycle import apply_decisions, confirm_merges
 
     lines, keyed, t = _kg_template_table(spark, sf_dir)
@@ -539,7 +539,7 @@ def lifecycle_confirm_merges(spark, sf_dir):
                .select(F.col("key").alias("cluster_id"), "line_id",
                        F.when(F.col("line_id") == F.col("__first"), "CREATE").otherwise("NONE").alias("change_type"),
                        F.lit(False).alias("fast_path"), F.lit(False).alias("near_match")))
-    return confirm_merges(applied, results, threshold=100_000).select(*_TPL_OUT)
+    return confirm_merges(applied, results, threshold=100).select(*_TPL_OUT)
 
 
 @register("review_items_events", _applied_sql() + """,

@@ -3,8 +3,8 @@
 The test tables hold no logs, so two renderings give rows in the ``log_lines`` schema
 ``(line_id BIGINT, arrival_ts TIMESTAMP, source STRING, line STRING)``:
 
-* :func:`event_log_lines` — one line per ``events`` row, twelve line shapes of a typical
-  auth / web / database / service log. The same SQL text runs in Spark and DuckDB, so the
+* :func:`event_log_lines` — one line per ``events`` row, 21 line shapes of our own
+  (logins, network, web, mail, storage), which between them fire most masks and rules. The same SQL text runs in Spark and DuckDB, so the
   oracle queries read identical input.
 * :func:`document_lines` — ``documents.text`` split on newline, blank lines dropped;
   whole texts, every line. ``line_id = doc_id * 2^24 + position``.
@@ -20,19 +20,28 @@ from pyspark.sql import functions as F
 LINE_ID_DOC_SHIFT = 1 << 24
 
 # Rendering of one events row as a log line (identical strings in Spark SQL and DuckDB).
-EVENT_LINE_SQL = """case cast(event_id % 12 as int)
- when 0 then 'Accepted password for u'||user_id||' from 10.0.'||(user_id%4)||'.'||(user_id%250)||' port '||(1024+event_id%60000)||' ssh2'
- when 1 then 'Failed password for invalid user u'||user_id||' from 198.51.100.'||(user_id%250)||' port '||(1024+event_id%60000)||' ssh2'
- when 2 then 'Connection closed by 10.10.0.'||(user_id%250)||' port '||(1024+event_id%60000)||' [preauth]'
- when 3 then 'GET /health HTTP/1.1 200 '||(event_id%512)||' "kube-probe/1.25"'
- when 4 then 'GET /api/v1/orders/'||event_id||' HTTP/1.1 404 256 "Mozilla/5.0"'
- when 5 then '10.1.0.'||(user_id%250)||' - - "POST /login HTTP/1.1" '||(200+100*(user_id%4))||' '||(event_id%4096)
- when 6 then 'DB connection established host=db-'||(user_id%3)||' port=5432 user=app_user db=production latency='||(event_id%90)||'ms'
- when 7 then 'DB query executed table='||event_type||' rows='||(event_id%100)||' duration='||(event_id%50)||'ms'
- when 8 then 'authentication failed for user u'||user_id||' attempt='||(event_id%5)
- when 9 then 'service nginx '||(case when user_id%2=0 then 'started successfully' else 'stopped' end)
- when 10 then 'ERROR: Timeout connecting to redis://cache:6379 after 5000ms attempt='||(event_id%5)
- else 'Cache hit key=session:s'||event_id||' ttl='||(event_id%3600)||'s' end"""
+EVENT_LINE_SQL = """case cast(event_id % 21 as int)
+ when 0 then 'sshd['||(100+event_id%30000)||']: disconnect of user u'||user_id||' by gateway 172.16.'||(user_id%4)||'.'||(user_id%250)
+ when 1 then '2024-03-01T10:'||(10+event_id%50)||':'||(10+user_id%50)||'Z unauthorized visit of u'||user_id||' at console '||(event_id%9)
+ when 2 then 'switch learned 00:1a:2b:3c:4d:'||(10+event_id%90)||' on uplink '||(user_id%48)
+ when 3 then 'request 7f3c9a10-5d2e-4b61-8333-'||(100000000000+event_id)||' finished in '||(event_id%900)||' steps'
+ when 4 then 'proxy method=POST target https://shop.example.org/item/'||event_id||' branch '||(user_id%7)
+ when 5 then 'mail to user'||user_id||'@example.org queued behind '||(event_id%40)||' others'
+ when 6 then 'database pool opened connection to replica '||(user_id%3)||' on port '||(5000+user_id%9)
+ when 7 then 'service '||event_type||(case when user_id%2=0 then ' started' else ' stopped' end)||' by operator'
+ when 8 then 'rejected password=k'||event_id||' typed at terminal '||(user_id%20)
+ when 9 then 'rotated /srv/data/'||user_id||'/part.log holding '||(event_id%512)||' rows'
+ when 10 then 'firewall noted new connection from 198.51.100.'||(user_id%250)||' toward 10.9.0.'||(event_id%250)
+ when 11 then 'backup of volume '||(user_id%16)||' wrote '||(event_id*64)||' blocks'
+ when 12 then 'sshd accepted key '||(event_id%70)||' of holder u'||user_id
+ when 13 then 'sshd failed key '||(event_id%70)||' check of holder u'||user_id
+ when 14 then 'cache method=GET page '||(event_id%300)||' warm'
+ when 15 then 'query on shelf '||(user_id%30)||' took '||(event_id%50)||' ticks'
+ when 16 then 'database session '||(event_id%200)||' released by replica '||(user_id%3)
+ when 17 then 'badge reader says user u'||user_id||' authenticated'
+ when 18 then 'spawned helper '||(event_id%60)||' for queue '||(user_id%5)
+ when 19 then 'upstream said status=5'||(10+event_id%10)||' after '||(user_id%8)||' hops'
+ else 'CRITICAL fan '||(user_id%12)||' slowed to '||(event_id%3000)||' turns' end"""
 
 # DuckDB views over the same inputs (the oracle registers the raw tables as views).
 EVENT_LINES_SQL = (f"SELECT event_id AS line_id, ts AS arrival_ts, event_type AS source, "

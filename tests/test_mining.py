@@ -7,19 +7,27 @@ from logweave.sources.lines import lines_from_strings
 from logweave.sources.tables import event_log_lines
 
 EXPECTED_EVENT_TEMPLATES = {
-    '<IP> - - "POST /login HTTP/1.1" <*> <*>',
-    "Accepted password for <USERNAME> from <IP> port <PORT> ssh2",
-    "Cache hit <*> ttl=<SIZE>",
-    "Connection closed by <IP> port <PORT> [preauth]",
-    "DB connection established <*> port <PORT> user <USERNAME> db=production latency=<SIZE>",
-    "DB query executed <*> <*> duration=<SIZE>",
-    "ERROR: Timeout connecting to redis://cache:6379 after <SIZE> <*>",
-    "Failed password for invalid user <USERNAME> from <IP> port <PORT> ssh2",
-    'GET /health HTTP/1.1 200 <*> "kube-probe/1.25"',
-    'GET <PATH> HTTP/1.1 404 256 "Mozilla/5.0"',
-    "authentication failed for user <USERNAME> <*>",
-    "service nginx started successfully",
-    "service nginx stopped",
+    "<*> disconnect of user <USERNAME> by gateway <IP>",
+    "<DATETIME> unauthorized visit of <*> at console <*>",
+    "CRITICAL fan <*> slowed to <*> turns",
+    "backup of volume <*> wrote <*> blocks",
+    "badge reader says user <USERNAME> authenticated",
+    "cache method=GET page <*> warm",
+    "database pool opened connection to replica <*> on port <PORT>",
+    "database session <*> released by replica <*>",
+    "firewall noted new connection from <IP> toward <IP>",
+    "mail to <EMAIL> queued behind <*> others",
+    "proxy method=POST target https:/<PATH> branch <*>",
+    "query on shelf <*> took <*> ticks",
+    "rejected password <PASSWORD> typed at terminal <*>",
+    "request <UUID> finished in <*> steps",
+    "rotated <PATH> holding <*> rows",
+    "service <*> <*> by operator",
+    "spawned helper <*> for queue <*>",
+    "sshd accepted key <*> of holder <*>",
+    "sshd failed key <*> check of holder <*>",
+    "switch learned <MAC> on uplink <*>",
+    "upstream said <*> after <*> hops",
 }
 
 
