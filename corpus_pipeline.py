@@ -21,8 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     them. Without labels of both classes all stay."""
     tune(spark)
     docs = docs.select(*COLUMNS)
-    net = toxicity.learn(docs, labels(spark, sf_dir))
-    return toxicity.score(spread(docs), net, as_col="__score").where("__score < 0.5").select(*COLUMNS)
+    out = toxicity.classify(docs, spread(docs), labels(spark, sf_dir), as_col="__score", keep=COLUMNS)
+    return out.where("__score < 0.5").select(*COLUMNS)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

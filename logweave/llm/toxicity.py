@@ -2,14 +2,15 @@
 
 Words are hashed to buckets; each frequent bucket has an embedding. Filters of widths 1, 2
 and 3 slide over the whole text, a text's feature is each filter's maximum, and a logistic
-layer gives the logit. The threshold is calibrated for every language on documents the
-network did not train on; the language is guessed from the words themselves, so label,
-language, source and id of a scored row are never looked at. Scores are shifted so that each
-language's threshold lies at 0.5.
+layer gives the logit. The threshold is calibrated for every language on all labelled
+documents the network did not train on; the language is guessed from the words themselves, so
+label, language, source and id of a scored row are never looked at. Scores are shifted so that
+each language's threshold lies at 0.5.
 
 Scale: a bounded sample of labelled rows is read for training (``per_class`` documents a
-class, ``train_words`` words each) and fits on the driver; scoring is one map over the table
-that keeps the model (a few MB, fixed by ``vocabulary``) in a broadcast.
+class, ``train_words`` words each) and fits on the driver; logits are one map over the table
+that keeps the model (a few MB, fixed by ``vocabulary``) in a broadcast. Thresholds come from
+a histogram of these logits, counted in Spark: its size is fixed by the bins and languages.
 """
 
 from __future__ import annotations
@@ -21,9 +22,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm.common import documents, id_bucket, labels, spread
+from logweave.llm.common import cut_lineage, documents, id_bucket, labels, spread
 
 WIDTHS = (1, 2, 3)
+LOGIT, GUESS = "__logit", "__guess"
+_BINS = 64                # of the histogram, per unit of the logit
+_ENOUGH = 10              # documents of either class for a threshold of one's own
 BUCKETS = 1 << 20
 _CACHE = 400_000
 _EDGE = ".,;:!?\"'()[]{}<>*$%&#|-_«»“”‘’…"
@@ -52,7 +56,6 @@ class Network:
     out_bias: float
     lang: np.ndarray          # [slot, language] log probability of a word
     threshold: np.ndarray     # per language, in logits
-    scale: float = 1.0
 
     def tables(self) -> list[list[np.ndarray]]:
         """Per width and place: the filter outputs of every slot alone."""
@@ -78,23 +81,20 @@ class Network:
     def language(self, ids: np.ndarray) -> int:
         return int(self.lang[ids].sum(0).argmax()) if len(ids) else 0
 
-    def score(self, ids: np.ndarray, tables) -> float:
-        logit = self.features(ids, tables)[0] @ self.out + self.out_bias
-        z = float(np.clip((logit - self.threshold[self.language(ids)]) * self.scale, -30, 30))
-        return 1.0 / (1.0 + float(np.exp(-z)))
+    def logit(self, ids: np.ndarray, tables) -> float:
+        return float(self.features(ids, tables)[0] @ self.out + self.out_bias)
 
 
-def fit(ids: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray, lang: np.ndarray, *, vocabulary: int = 40_000,
+def fit(ids: list[np.ndarray], toxic: np.ndarray, lang: np.ndarray, *, vocabulary: int = 40_000,
         dim: int = 12, filters: int = 12, epochs: int = 6, seed: int = 7) -> Network | None:
-    """Trains on documents of hashed words. Every fifth document calibrates the thresholds.
-    None when one of the classes is missing."""
+    """Trains on documents of hashed words; thresholds are 0. None when one of the classes is
+    missing."""
     if len(set(toxic.tolist())) < 2:
         return None
     rng = np.random.default_rng(seed)
     n = len(ids)
     uniq = [np.unique(x) for x in ids]
-    held = np.arange(n) % 5 == 4
-    train = np.flatnonzero(~held) if (toxic[~held] == 1).any() and (toxic[~held] == 0).any() else np.arange(n)
+    train = np.arange(n)
     df = np.bincount(np.concatenate([uniq[i] for i in train]), minlength=BUCKETS)
     common = np.flatnonzero(df >= 3)
     common = common[np.argsort(-df[common], kind="stable")][:vocabulary]
@@ -173,44 +173,46 @@ def fit(ids: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray, lang: np.n
             np.add.at(g, back, np.concatenate(grads))
             g[rows == 0] = 0
             adagrad(net.embed, sums["e"], g, rows)
-    tables = net.tables()
-    cal = np.flatnonzero(held) if (toxic[held] == 1).sum() >= 10 else np.arange(n)
-    logit = np.array([net.features(docs[i], tables)[0] @ net.out + net.out_bias for i in cal])
-    guess = np.array([net.language(docs[i]) for i in cal])
-    overall = _cut(logit, toxic[cal], weight[cal])
-    for g in range(langs):
-        mine = guess == g
-        enough = (toxic[cal][mine] == 1).sum() >= 10 and (toxic[cal][mine] == 0).sum() >= 10
-        net.threshold[g] = _cut(logit[mine], toxic[cal][mine], weight[cal][mine]) if enough else overall
     return net
 
 
-def _cut(logit: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> float:
-    """The threshold of the best weighted F1, in the middle of its gap."""
-    order = np.argsort(-logit, kind="stable")
-    z, y, w = logit[order], toxic[order], weight[order]
-    hit = np.cumsum(w * y)
-    f1 = 2 * hit / (np.cumsum(w) + (w * y).sum() + 1e-12)
-    f1[:-1][z[:-1] == z[1:]] = -1
+def _cut(bins: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> float:
+    """The threshold of the best F1 of weighted counts per bin, in the middle of its gap."""
+    order = np.argsort(-bins)
+    z, y = bins[order], toxic[order]
+    hit = np.cumsum(y)
+    f1 = 2 * hit / (np.cumsum(y + clean[order]) + y.sum() + 1e-12)
     best = int(f1.argmax())
-    return float((z[best] + z[best + 1]) / 2 if best + 1 < len(z) else z[best] - 0.5)
+    return float((z[best] + z[best + 1] + 1) / 2 if best + 1 < len(z) else z[best] - 0.5 * _BINS) / _BINS
 
 
-def learn(docs: DataFrame, marks: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", mark: str = "toxic",
-          per_class: int = 2500, train_words: int = 3000) -> Network | None:
-    """Network from the labelled rows of ``marks`` (key, mark 0 or 1), joined to ``docs``.
+def _marks(marks: DataFrame, key: str, mark: str) -> DataFrame:
+    """(k, y) of the labelled keys; a key marked both ways is toxic."""
+    marks = marks.select(F.col(key).alias("k"), F.col(mark).cast("int").alias("y")).where("k is not null and y in (0, 1)")
+    return marks.groupBy("k").agg(F.max("y").alias("y"))
+
+
+def train(docs: DataFrame, marks: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", mark: str = "toxic",
+          per_class: int = 2500, train_words: int = 3000) -> tuple[Network | None, DataFrame | None]:
+    """Network without thresholds, and the keys ``k`` that it saw, from the labelled rows of
+    ``marks`` (key, mark 0 or 1), joined to ``docs``.
 
     The sample holds an expected ``per_class`` documents of each class, drawn by a hash of
-    the key, of which the first ``train_words`` words teach. None without both classes.
+    the key, of which the first ``train_words`` words teach. Where it leaves too few labelled
+    rows of a class and language outside (a fifth of those sampled; 20 or half of them, if
+    half is enough for a threshold), the missing ones are held back from training, unless
+    even then too few toxic ones are outside for any threshold. None without both classes.
     """
-    marks = marks.select(F.col(key).alias("k"), F.col(mark).cast("int").alias("y")).where("k is not null and y in (0, 1)")
+    marks = _marks(marks, key, mark)
     sizes = {r.y: r.n for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
-        return None
-    share = F.when(F.col("y") == 1, min(1.0, per_class / sizes[1])).otherwise(min(1.0, per_class / sizes[0]))
-    drawn = marks.where(F.pmod(F.xxhash64("k", F.lit(5)), F.lit(1 << 20)) < share * (1 << 20)).groupBy("k").agg(F.max("y").alias("y"))
+        return None, None
+    part = {y: min(1.0, per_class / sizes[y]) for y in (0, 1)}
+    share = F.when(F.col("y") == 1, part[1]).otherwise(part[0])
+    drawn = marks.where(F.pmod(F.xxhash64("k", F.lit(5)), F.lit(1 << 20)) < share * (1 << 20))
     docs = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
     rows = docs.join(F.broadcast(drawn), "k").select("k", "y", "l", F.coalesce("t", F.lit("")).alias("t"))  # 2 x per_class rows
+    kind = docs.schema["k"].dataType.simpleString()
 
     def hashed(batches):
         import pyarrow as pa
@@ -220,30 +222,71 @@ def learn(docs: DataFrame, marks: DataFrame, *, key: str = "doc_id", text: str =
             got = [buckets(t.split()[:train_words], cache).tobytes() for t in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(got, pa.binary())], ["k", "y", "l", "h"])
 
-    got = sorted(rows.mapInArrow(hashed, f"k {docs.schema['k'].dataType.simpleString()}, y int, l string, h binary").collect(), key=lambda r: (str(r.k), r.h))
-    if len({r.y for r in got}) < 2:
-        return None
+    got = sorted(rows.mapInArrow(hashed, f"k {kind}, y int, l string, h binary").collect(), key=lambda r: (str(r.k), r.h))
+    # shuffled by a fixed order so that the rows held back are a fair draw
+    got = [got[i] for i in np.random.default_rng(3).permutation(len(got))]
+    cells: dict[tuple, dict] = {}
+    for r in got:
+        cells.setdefault((r.y, r.l), {})[r.k] = None
+    held, fresh = set(), 0.0
+    for (y, _), keys in cells.items():
+        outside = len(keys) * (1 / part[y] - 1)
+        want = max(len(keys) / 5, min(len(keys) / 2, 20) if len(keys) >= 2 * _ENOUGH else 0)
+        back = int(max(0, want - outside))
+        held.update(list(keys)[:back])
+        fresh += y * (back + outside)
+    if fresh >= _ENOUGH and len({r.y for r in got if r.k not in held}) == 2:
+        got = [r for r in got if r.k not in held]
     names = sorted({r.l for r in got if r.l is not None})
-    toxic = np.array([r.y for r in got])
-    weight = np.where(toxic == 1, sizes[1] / max(1, (toxic == 1).sum()), sizes[0] / max(1, (toxic == 0).sum()))
-    # shuffled by a fixed order so that the calibration fifth is a fair draw
-    order = np.random.default_rng(3).permutation(len(got))
-    return fit([np.frombuffer(got[i].h, np.int32) for i in order], toxic[order], weight[order],
-               np.array([names.index(got[i].l) if got[i].l is not None else -1 for i in order]))
+    net = fit([np.frombuffer(r.h, np.int32) for r in got], np.array([r.y for r in got]), np.array([names.index(r.l) if r.l is not None else -1 for r in got]))
+    return net, docs.sparkSession.createDataFrame([(k,) for k in {r.k: None for r in got}], f"k {kind}")
+
+
+def calibrate(rows: DataFrame, marks: DataFrame, net: Network | None, seen: DataFrame | None, *, key: str = "doc_id", mark: str = "toxic") -> Network | None:
+    """``net`` with each language's threshold, from the logits of all labelled rows.
+
+    Rows that the network trained on do not count unless there are too few others. Counts per
+    (language, bin, label) are weighted to the labels of the language.
+    """
+    if net is None:
+        return None
+    got = rows.select(F.col(key).alias("k"), LOGIT, GUESS).join(_marks(marks, key, mark), "k").join(F.broadcast(seen.withColumn("seen", F.lit(True))), "k", "left")
+    at = F.floor(F.least(F.greatest(LOGIT, F.lit(-32.0)), F.lit(32.0)) * _BINS).cast("int")
+    table = got.groupBy(F.col(GUESS).alias("g"), at.alias("bin"), "y", F.col("seen").isNull().alias("fresh")).agg(F.count("*").alias("n")).collect()
+    langs, low = len(net.threshold), -32 * _BINS
+    counts = np.zeros((langs, 2, 2, 64 * _BINS + 1))  # language, not trained on, label, bin
+    for r in table:
+        counts[r.g, int(r.fresh), r.y, r.bin - low] += r.n
+    both, fresh = counts.sum(1), counts[:, 1]
+    if fresh[:, 1].sum() < _ENOUGH or not fresh[:, 0].any():
+        fresh = both
+    n = fresh.sum(2)
+    weighted = fresh * (both.sum(2) / np.maximum(n, 1))[..., None]
+
+    def cut(c):
+        used = np.flatnonzero(c.any(0))
+        return _cut(used + low, c[1, used], c[0, used]) if len(used) else 0.0
+
+    overall = cut(weighted.sum(0))
+    own = [cut(weighted[g]) if n[g].min() >= _ENOUGH else overall for g in range(langs)]
+    return dataclasses.replace(net, threshold=np.array(own))
+
+
+def learn(docs: DataFrame, marks: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", mark: str = "toxic", **sample) -> Network | None:
+    """Network with thresholds from the labelled rows; reads the table twice."""
+    net, seen = train(docs, marks, key=key, text=text, lang=lang, mark=mark, **sample)
+    return net and calibrate(logits(docs.select(key, text), net, text=text).drop(text), marks, net, seen, key=key, mark=mark)
 
 
 _WORKER: dict[str, tuple] = {}
 
 
-def score(docs: DataFrame, net: Network | None, *, text: str = "text", as_col: str = "score") -> DataFrame:
-    """All columns of ``docs`` and the score (0 to 1) of every row's whole text; a column of
-    that name is replaced. Null and empty texts are scored as texts without words; without a
-    network every score is 0."""
-    docs = docs.drop(as_col)
-    if net is None:
-        return docs.withColumn(as_col, F.lit(0.0))
+def logits(docs: DataFrame, net: Network, *, text: str = "text") -> DataFrame:
+    """All columns of ``docs``, the logit of every row's whole text and its guessed language.
+    Null and empty texts count as texts without words."""
+    docs = docs.drop(LOGIT, GUESS)
     shared, model_id, at = docs.sparkSession.sparkContext.broadcast(net), uuid.uuid4().hex, docs.columns.index(text)
-    names = [*docs.columns, as_col]
+    names = [*docs.columns, LOGIT, GUESS]
 
     def run(batches):
         import pyarrow as pa
@@ -253,15 +296,44 @@ def score(docs: DataFrame, net: Network | None, *, text: str = "text", as_col: s
             _WORKER[model_id] = (shared.value, shared.value.tables(), {})
         net, tables, cache = _WORKER[model_id]
         for b in batches:
-            out = [net.score(net.slot[buckets((t or "").split(), cache)], tables) for t in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], names)
+            out, guess = [], []
+            for t in b.column(at).to_pylist():
+                ids = net.slot[buckets((t or "").split(), cache)]
+                out.append(net.logit(ids, tables))
+                guess.append(net.language(ids))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64()), pa.array(guess, pa.int32())], names)
+
+    return docs.mapInArrow(run, docs.withColumns({LOGIT: F.lit(0.0), GUESS: F.lit(0)}).schema)
+
+
+def shift(rows: DataFrame, net: Network, as_col: str = "score") -> DataFrame:
+    """``rows`` of ``logits`` with the score (0 to 1, the language's threshold at 0.5) instead."""
+    z = F.col(LOGIT) - F.get(F.array(*[F.lit(float(x)) for x in net.threshold]), F.col(GUESS))
+    z = F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))
+    return rows.withColumn(as_col, 1.0 / (1.0 + F.exp(-z))).drop(LOGIT, GUESS)
 
-    return docs.mapInArrow(run, docs.withColumn(as_col, F.lit(0.0)).schema)
+
+def score(docs: DataFrame, net: Network | None, *, text: str = "text", as_col: str = "score") -> DataFrame:
+    """All columns of ``docs`` and the score of every row's whole text; a column of that name
+    is replaced. Without a network every score is 0."""
+    docs = docs.drop(as_col)
+    return docs.withColumn(as_col, F.lit(0.0)) if net is None else shift(logits(docs, net, text=text), net, as_col)
+
+
+def classify(docs: DataFrame, rows: DataFrame, marks: DataFrame, *, text: str = "text", as_col: str = "score", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``keep`` (columns of ``rows``, doc_id among them) and the score of each row, by a network
+    learned from ``docs`` and ``marks``. The texts of ``rows`` are scored once: the logits are
+    written, calibrate the thresholds and are shifted by them."""
+    net, seen = train(docs, marks, text=text)
+    if net is None:
+        return rows.select(*keep, F.lit(0.0).alias(as_col))
+    out = cut_lineage(logits(rows, net, text=text).select(*keep, LOGIT, GUESS))
+    return shift(out, calibrate(out, marks, net, seen), as_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: toxicity of every document; labels of documents with crc32(id) mod 5 = 0 are held out."""
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
-    net = learn(docs, labels(spark, sf_dir).where(id_bucket("doc_id", 5) != 0))
     rows = spread(docs.select("doc_id", F.coalesce(id_bucket("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "text"))
-    return score(rows, net).select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    out = classify(docs, rows, labels(spark, sf_dir).where(id_bucket("doc_id", 5) != 0), keep=("doc_id", "held_out"))
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

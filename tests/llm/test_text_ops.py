@@ -110,6 +110,21 @@ def test_toxicity(spark, odd, none):
     assert toxicity.score(none, net).count() == 0
 
 
+def test_toxicity_calibrates_on_all_labels(spark):
+    """A language with a handful of rows in the training sample has a threshold of its own."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(1600):
+        lang = "xx" if i % 20 < 2 else "en"
+        words = [f"{lang}{w}" for w in rng.integers(0, 200, 30)]
+        rows.append((i, " ".join([*words, "you", "idiot"] if i % 2 else words), lang, i % 2))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    net = toxicity.learn(docs, docs, per_class=100)
+    assert net.threshold[0] != net.threshold[1]
+    out = toxicity.score(docs, net)
+    assert out.where((F.col("score") >= 0.5) == (F.col("toxic") == 1)).count() >= 1568
+
+
 def _luhn(d):
     return sum(int(c) if i % 2 else sum(map(int, str(2 * int(c)))) for i, c in enumerate(d)) % 10
 
