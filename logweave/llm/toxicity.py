@@ -7,8 +7,8 @@ documents the network did not train on; the language is guessed from the words t
 label, language, source and id of a scored row are never looked at. Scores are shifted so that
 each language's threshold lies at 0.5.
 
-Scale: a bounded sample of labelled rows is read for training (``per_class`` documents a
-class, ``train_words`` words each) and fits on the driver; logits are one map over the table
+Scale: a bounded sample of labelled rows is read for training (whole texts of ``per_class``
+documents a class) and fits on the driver; logits are one map over the table
 that keeps the model (a few MB, fixed by ``vocabulary``) in a broadcast. Thresholds come from
 a histogram of these logits, counted in Spark: its size is fixed by the bins and languages.
 """
@@ -193,12 +193,12 @@ def _marks(marks: DataFrame, key: str, mark: str) -> DataFrame:
 
 
 def train(docs: DataFrame, marks: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", mark: str = "toxic",
-          per_class: int = 2500, train_words: int = 3000) -> tuple[Network | None, DataFrame | None]:
+          per_class: int = 2500) -> tuple[Network | None, DataFrame | None]:
     """Network without thresholds, and the keys ``k`` that it saw, from the labelled rows of
     ``marks`` (key, mark 0 or 1), joined to ``docs``.
 
     The sample holds an expected ``per_class`` documents of each class, drawn by a hash of
-    the key, of which the first ``train_words`` words teach. Where it leaves too few labelled
+    the key, of which all words teach. Where it leaves too few labelled
     rows of a class and language outside (a fifth of those sampled; 20 or half of them, if
     half is enough for a threshold), the missing ones are held back from training, unless
     even then too few toxic ones are outside for any threshold. None without both classes.
@@ -219,7 +219,7 @@ def train(docs: DataFrame, marks: DataFrame, *, key: str = "doc_id", text: str =
 
         cache: dict[str, int] = {}
         for b in batches:
-            got = [buckets(t.split()[:train_words], cache).tobytes() for t in b.column(3).to_pylist()]
+            got = [buckets(t.split(), cache).tobytes() for t in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(got, pa.binary())], ["k", "y", "l", "h"])
 
     got = sorted(rows.mapInArrow(hashed, f"k {kind}, y int, l string, h binary").collect(), key=lambda r: (str(r.k), r.h))

@@ -125,6 +125,15 @@ def test_toxicity_calibrates_on_all_labels(spark):
     assert out.where((F.col("score") >= 0.5) == (F.col("toxic") == 1)).count() >= 1568
 
 
+def test_toxicity_learns_from_whole_texts(spark):
+    """Insults that stand behind the 3000th word teach and calibrate too."""
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join([*(f"w{w}" for w in rng.integers(0, 300, 3100)), *(("you", "idiot") if i % 2 else ())]), "en", i % 2) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    out = toxicity.score(docs, toxicity.learn(docs, docs))
+    assert out.where((F.col("score") >= 0.5) == (F.col("toxic") == 1)).count() >= 117
+
+
 def _luhn(d):
     return sum(int(c) if i % 2 else sum(map(int, str(2 * int(c)))) for i, c in enumerate(d)) % 10
 
