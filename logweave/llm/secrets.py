@@ -1,13 +1,14 @@
 """Secret scans: three fixed patterns, and character Markov models for the rest.
 
 The models are bigram chains over letters, digits and one class of other signs: one of random
-strings (values that the fixed patterns find in sampled documents), one of ordinary
-identifiers (words of sampled documents outside those values). A long run of token
-characters whose mean log-likelihood ratio per transition exceeds ``per_char`` is reported as
-kind ``markov`` unless it overlaps a span of a fixed pattern.
-
-All of it is built-in functions: training is an aggregation to at most 64 x 64 cells per
-model, and the table of ratios travels inside the expression as one string of 4096 signs.
+strings (values that the fixed patterns find), one of ordinary identifiers (words outside
+those values); both count every document. A run of at least 16 token characters whose mean
+log-likelihood ratio per transition exceeds ``per_char`` (below 20 characters: whose sum
+exceeds that of 20 at ``per_char``) is reported as kind ``markov`` unless it overlaps a span of
+a fixed pattern.
+
+All of it is built-in functions: training counts equal words, then aggregates to at most
+64 x 64 cells per model, and the table of ratios travels inside the expression as one string of 4096 signs.
 """
 
 from __future__ import annotations
@@ -24,9 +25,10 @@ KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-LONG = r"[A-Za-z0-9+/_=-]{20,}"
+LONG = r"[A-Za-z0-9+/_=-]{16,}"
 WORD = r"[A-Za-z0-9_-]{6,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+_SURE = 20            # characters from which the mean ratio alone decides
 _SIZE = 64            # states: the alphabet, other signs (63) and an unused one
 _STEP, _ZERO = 0.125, 78  # a ratio r is the sign with code 78 + r / 0.125, kept in 33..126
 _SPANS = "array<struct<kind:int,start:int,end:int>>"
@@ -66,26 +68,22 @@ def _state(c):
     return F.when(at == 0, F.lit(62)).otherwise(at - 1)
 
 
-def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", random_docs: int = 20_000, plain_docs: int = 400) -> str:
+def train(docs: DataFrame, *, text: str = "text") -> str:
     """The table of log-likelihood ratios, one sign per transition.
 
-    Learned from expected samples of ``random_docs`` documents (values of the fixed patterns)
-    and ``plain_docs`` documents (identifiers), drawn by a hash of the key. The random
-    model is half uniform; the ordinary one falls back to its single characters. Without any
-    sample every ratio is 0.
+    Learned from the values of the fixed patterns and the identifiers of all documents. The
+    random model is half uniform; the ordinary one falls back to its single characters.
+    Without documents every ratio is 0.
     """
-    docs = docs.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    total = max(1, docs.count())
-    draw = F.pmod(F.xxhash64("k", F.lit(4)), F.lit(1 << 20))
-    taken = docs.where(draw < int(min(1.0, random_docs / total) * (1 << 20))).withColumn("plain", draw < int(min(1.0, plain_docs / total) * (1 << 20)))
-    spans = taken.withColumn("s", _base(F.col("t")))
+    spans = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("s", _base(F.col("t")))
     values = F.transform("s", lambda x: F.expr("t").substr(x["start"] + 1, x["end"] - x["start"]))
     values = F.transform(values, lambda v: F.regexp_extract(v, r"([A-Za-z0-9+/_.=-]+)$", 1))
-    rest = F.filter(F.regexp_extract_all("t", F.lit(WORD), F.lit(0)), lambda w: ~w.rlike(r"^[0-9a-f]{24,}$|^AKIA") & (F.length(w) < 20))
     words = (spans.where(F.size("s") > 0).select(F.lit(1).alias("random"), F.explode(values).alias("w"))
-             .union(spans.where("plain").select(F.lit(0), F.explode(rest))))
+             .union(spans.select(F.lit(0), F.explode(F.regexp_extract_all("t", F.lit(WORD), F.lit(0))))))
+    words = words.where("length(w) > 1 and (random = 1 or length(w) < 20)").groupBy("random", "w").agg(F.count("*").alias("m"))
+    words = words.where((F.col("random") == 1) | ~F.col("w").rlike(r"^[0-9a-f]{24,}$|^AKIA"))
     pairs = F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: _state(F.substring("w", i, F.lit(1))) * _SIZE + _state(F.substring("w", i + 1, F.lit(1))))
-    cells = words.where(F.length("w") > 1).select("random", F.explode(pairs).alias("cell")).groupBy("random", "cell").agg(F.count("*").alias("n"))
+    cells = words.select("random", "m", F.explode(pairs).alias("cell")).groupBy("random", "cell").agg(F.sum("m").alias("n"))
     got = {(r.random, r.cell): r.n for r in cells.collect()}  # at most 2 x 4096 rows
     row = [[sum(got.get((m, a * _SIZE + b), 0) for b in range(_SIZE)) for a in range(_SIZE)] for m in (0, 1)]
     seen = [sum(got.get((0, a * _SIZE + b), 0) for a in range(_SIZE)) for b in range(_SIZE)]
@@ -120,7 +118,8 @@ def scan(docs: DataFrame, table: str, *, text: str = "text", per_char: float = 0
     docs = docs.withColumn("__c", cand)
     free = lambda x: ~F.exists("__b", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))
     word = lambda x: F.col("__t").substr(x["start"] + 1, x["end"] - x["start"])
-    more = F.filter("__c", lambda x: free(x) & (ratio(word(x), table) > per_char))
+    least = lambda n: F.lit(per_char) * F.greatest(F.lit(1.0), (_SURE - 1) / (n - 1))
+    more = F.filter("__c", lambda x: free(x) & (ratio(word(x), table) > least(x["end"] - x["start"])))
     order = F.array_sort(F.transform(F.concat(F.col("__b"), more), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
     return docs.withColumn("secrets", F.transform(order, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))).drop("__t", "__b", "__c")
 
@@ -132,8 +131,8 @@ def _joined(spans):
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op4: secrets of every document."""
-    docs = documents(spark, sf_dir).select("doc_id", "text")
-    out = scan(spread(docs), train(docs))
+    docs = spread(documents(spark, sf_dir).select("doc_id", "text"))
+    out = scan(docs, train(docs))
     of = lambda k: F.size(F.filter("secrets", lambda x: x["kind"] == k)).cast("long")
     base = F.filter("secrets", lambda x: x["kind"] < 3)
     return out.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"),

@@ -90,6 +90,18 @@ def test_secrets_brute_force(spark, odd, none):
     assert secrets.scan(none, secrets.train(none)).count() == 0
 
 
+def test_secret_models_count_every_document(spark):
+    """Keys do not choose what is learned, and 16 to 19 random characters are scored."""
+    rng = np.random.default_rng(6)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    rows = [(i, " ".join("".join(rng.choice(letters[i % 20:], 8)) for _ in range(5)) + f" token={rng.bytes(9).hex()}") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    table = secrets.train(docs)
+    assert table == secrets.train(docs.withColumn("doc_id", F.col("doc_id") + 10**6))
+    short = spark.createDataFrame([("see Zq8xK2vB7nM4wR9t now or wordsofplainletter",)], "text string")
+    assert [(s.kind, s.start, s.end) for s in secrets.scan(short, table).first().secrets] == [(3, 4, 20)]
+
+
 def test_secret_query_hash(spark):
     r = secrets.query(spark, "/root/testdata/sf0.01").where("n_assign + n_access + n_hex > 0").first()
     base = ",".join(s for s in r.spans.split(",") if not s.startswith("markov"))
