@@ -6,7 +6,7 @@ tilt of the document's size, exp(lambda_s * size / scale_s), held at ``cap``. Th
 has one multiplier a source; guarded Newton steps solve it on the table of
 (source, size, documents), which Spark aggregates once. Rates become whole copies by
 systematic rounding along the documents of a source in order of size, and what rounding left
-over is settled with a few whole documents per source.
+over is settled with whole documents, largest fitting first, until none fits.
 
 Native: DataFrame operations only. Documents of one source and size are numbered in 256
 hashed cells, so a source with a third of all rows is no single task. The driver sees
@@ -85,8 +85,27 @@ def _solve(cells: DataFrame, goal: DataFrame, cap: float, rounds: int = 60, near
     return cells.join(F.broadcast(state), cells["source"].eqNullSafe(state["s"])).select("source", "size", "n", "target", rate(F.col("lam")).alias("rate"))
 
 
+def _settle(open_: DataFrame) -> DataFrame:
+    """(source, size, m, left) -> (source, size, t): how many of ``m`` copies of each size are
+    taken to fill ``left``, largest fitting size first, until none fits.
+
+    A round takes sizes in descending order up to the first that does not fit whole, and as
+    many as fit of that one. What is left halves at least each round, or nothing fits.
+    """
+    down = Window.partitionBy("source").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
+    open_, out = cut_lineage(open_.where("size <= left")), None
+    while out is None or not open_.isEmpty():
+        rest = F.col("left") - F.coalesce(F.sum(F.col("m") * F.col("size")).over(down), F.lit(0))
+        step = open_.withColumn("t", F.greatest(F.lit(0), F.least(F.col("m"), F.floor(rest / F.col("size")))).cast("long"))
+        step = cut_lineage(step.withColumn("left", F.col("left") - F.sum(F.col("t") * F.col("size")).over(Window.partitionBy("source"))))
+        taken = step.where("t > 0").select("source", "size", "t")
+        out = taken if out is None else out.union(taken)
+        open_ = step.select("source", "size", (F.col("m") - F.col("t")).alias("m"), "left").where("m > 0 and size <= left")
+    return out
+
+
 def mix(docs: DataFrame, *, source: str = "source", text: str = "text", key: str = "doc_id",
-        weights=WEIGHTS, share: float = 1.5, cap: float = 2.0, settle: int = 200) -> DataFrame:
+        weights=WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """All columns of ``docs`` and size, source_size, target, rate, copies (0 to ``cap``).
 
     size counts words; null and empty texts have size 0 and one copy. Sources are told apart
@@ -119,20 +138,19 @@ def mix(docs: DataFrame, *, source: str = "source", text: str = "text", key: str
     got = got.select(F.col("d.source"), F.col("d.size"), "k", "h", "i", "target", "rate", F.when(F.col("d.size") == 0, 1).otherwise(copies).cast("long").alias("copies"))
     got = cut_lineage(got)
 
-    # what rounding left: settle each source with whole documents, largest fitting first
+    # what rounding left: copies to add or drop of every size, then of its documents in order
     short = got.groupBy("source").agg((F.first("target") - F.sum(F.col("size") * F.col("copies"))).alias("gap"))
-    near = got.alias("g").join(F.broadcast(short).alias("s"), F.col("g.source").eqNullSafe(F.col("s.source")))
-    can = (F.col("size") > 0) & (F.col("size") <= F.abs("gap")) & F.when(F.col("gap") > 0, F.col("copies") < int(cap)).otherwise(F.col("copies") > 0)
-    best = Window.partitionBy("source").orderBy(F.desc("size"), "k", "h", "i")
-    near = near.where(can).select(F.col("g.source"), "size", "k", "h", "i", "gap").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= settle)
-    lists = near.groupBy("source").agg(F.first(F.abs("gap")).alias("left"), F.first(F.signum("gap")).alias("sign"), F.array_sort(F.collect_list(F.struct("rank", "size", "k", "h", "i"))).alias("c"))
-    step = lambda a, x: F.when(x["size"] <= a["left"], F.struct((a["left"] - x["size"]).alias("left"), F.concat(a["took"], F.array(x["rank"])).alias("took"))).otherwise(a)
-    took = F.aggregate("c", F.struct(F.col("left"), F.array().cast("array<int>").alias("took")), step, lambda a: a["took"])
-    fix = lists.withColumn("took", took).select("source", "sign", F.explode(F.filter("c", lambda x: F.array_contains(F.col("took"), x["rank"]))).alias("x"))
-    fix = fix.select(F.col("source"), F.col("x.size").alias("size"), F.col("x.k").alias("k"), F.col("x.h").alias("h"), F.col("x.i").alias("i"), F.col("sign").cast("long").alias("sign"))
-    same = F.col("g.source").eqNullSafe(F.col("f.source")) & F.col("g.k").eqNullSafe(F.col("f.k")) & (F.col("g.h") == F.col("f.h")) & (F.col("g.i") == F.col("f.i")) & (F.col("g.size") == F.col("f.size"))
-    got = got.alias("g").join(F.broadcast(cut_lineage(fix)).alias("f"), same, "left").select(
-        F.col("g.source"), F.col("g.size"), F.col("g.k"), F.col("g.h"), F.col("g.i"), "target", "rate", (F.col("copies") + F.coalesce("sign", F.lit(0))).alias("copies"))
+    got = got.alias("g").join(F.broadcast(short).alias("s"), F.col("g.source").eqNullSafe(F.col("s.source"))).select("g.*", "gap").withColumn("cell", cell)
+    got = got.withColumn("unit", F.when(F.col("size") == 0, 0).when(F.col("gap") > 0, F.lit(int(cap)) - F.col("copies")).otherwise(F.col("copies")).cast("long"))
+    units = cut_lineage(got.groupBy("source", "size", "cell").agg(F.sum("unit").alias("m"), F.first("gap").alias("gap")).where("m > 0"))
+    took = _settle(units.groupBy("source", "size").agg(F.sum("m").alias("m"), F.first(F.abs("gap")).alias("left")))
+    units = units.withColumn("before", F.coalesce(F.sum("m").over(Window.partitionBy("source", "size").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    fix = units.alias("u").join(took.alias("t"), F.col("u.source").eqNullSafe(F.col("t.source")) & (F.col("u.size") == F.col("t.size"))).select("u.source", "u.size", "cell", (F.col("t") - F.col("before")).alias("want")).where("want > 0")
+    in_cell = Window.partitionBy("source", "size", "cell").orderBy("k", "h", "i").rowsBetween(Window.unboundedPreceding, -1)
+    got = got.withColumn("run", F.coalesce(F.sum("unit").over(in_cell), F.lit(0)))
+    moved = F.greatest(F.lit(0), F.least(F.col("unit"), F.coalesce("want", F.lit(0)) - F.col("run"))) * F.signum("gap").cast("long")
+    same = F.col("g.source").eqNullSafe(F.col("f.source")) & (F.col("g.size") == F.col("f.size")) & (F.col("g.cell") == F.col("f.cell"))
+    got = got.alias("g").join(fix.alias("f"), same, "left").select("g.source", "g.size", "k", "h", "i", "target", "rate", (F.col("copies") + moved).alias("copies"))
 
     # back to the whole rows: equal (key, text) rows are matched by their number
     again = Window.partitionBy("source", "size", "k", "h").orderBy("i")

@@ -114,6 +114,14 @@ def test_mix_meets_targets(spark, odd, none, sf):
     assert mixing.mix(none).count() == 0
 
 
+def test_mix_settles_with_all_documents_it_takes(spark):
+    """One long document rounds up; 2000 short ones make good for it, no fewer."""
+    docs = spark.range(5001).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 0, F.repeat(F.lit("w "), 50_000)).otherwise(F.repeat(F.lit("w "), 10)).alias("text"), F.lit("a").alias("source"))
+    out = mixing.mix(docs, share=1.3)
+    r = out.agg(F.first("target").alias("t"), F.sum(F.col("copies") * F.col("size")).alias("k"), F.min("copies").alias("lo"), F.max("copies").alias("hi"), F.count("*").alias("n")).first()
+    assert abs(r.k - r.t) < 10 and r.n == 5001 and 0 <= r.lo and r.hi <= 2
+
+
 def test_fingerprints_shift_and_batch():
     rng = np.random.default_rng(3)
     text = "".join(rng.choice(list("abcdefgh ijk"), 4000))
