@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from logweave.llm import fingerprint, langid, mixing, ngram_join, packing, perspectives, quality, secrets, surrogates, toxicity
+from logweave.llm import fingerprint, langid, mixing, negatives, ngram_join, packing, perspectives, quality, secrets, surrogates, toxicity
 from logweave.session import tune
 
 
@@ -25,9 +25,11 @@ QUERIES = {
     "op8_chat_perspectives": _job(perspectives.query),
     "op9_pii_surrogates": _job(surrogates.query),
     "op10_pack_hilbert": _job(packing.query),
+    "op11_hard_negatives": _job(negatives.query),
 }
 
 ORACLES = {
     "op2_line_quality": quality.SQL,
     "op8_chat_perspectives": perspectives.SQL,
+    "op11_hard_negatives": negatives.SQL,
 }
