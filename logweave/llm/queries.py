@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from logweave.llm import fingerprint, langid, mixing, negatives, ngram_join, packing, perspectives, quality, secrets, surrogates, toxicity
+from logweave.llm import fingerprint, kneser_ney, langid, mixing, negatives, ngram_join, packing, perspectives, quality, secrets, surrogates, toxicity
 from logweave.session import tune
 
 
@@ -26,6 +26,7 @@ QUERIES = {
     "op9_pii_surrogates": _job(surrogates.query),
     "op10_pack_hilbert": _job(packing.query),
     "op11_hard_negatives": _job(negatives.query),
+    "op12_kneser_ney": _job(kneser_ney.query),
 }
 
 ORACLES = {
