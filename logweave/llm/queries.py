@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from logweave.llm import fingerprint, kneser_ney, langid, mixing, negatives, ngram_join, packing, perspectives, quality, secrets, surrogates, toxicity
+from logweave.llm import collocations, fingerprint, kneser_ney, langid, mixing, negatives, ngram_join, packing, perspectives, quality, secrets, surrogates, toxicity
 from logweave.session import tune
 
 
@@ -27,10 +27,12 @@ QUERIES = {
     "op10_pack_hilbert": _job(packing.query),
     "op11_hard_negatives": _job(negatives.query),
     "op12_kneser_ney": _job(kneser_ney.query),
+    "op13_collocations": _job(collocations.query),
 }
 
 ORACLES = {
     "op2_line_quality": quality.SQL,
     "op8_chat_perspectives": perspectives.SQL,
     "op11_hard_negatives": negatives.SQL,
+    "op13_collocations": collocations.SQL,
 }
