@@ -3,54 +3,61 @@ W3 change_type, W4 version_history).
 
 Algorithm (from the Drain paper: He et al., ICWS 2017, fixed-depth tree): lines are
 grouped by token count and first token (``<*>`` when it contains a digit); inside a group
-each line joins the cluster whose template has the highest share of equal positions
-(template wildcards never count as equal; ties go to more wildcards, then the older
-cluster) when that share is >= ``sim_th``, else it starts a new cluster. Joining a
-cluster turns every differing position of its template into ``<*>``.
+each line, in arrival order, joins the cluster whose template has the highest share of
+equal positions (template wildcards never count as equal; ties go to more wildcards, then
+the older cluster) when that share is >= ``sim_th``, else it starts a new cluster. Joining
+a cluster turns every differing position of its template into ``<*>``.
 
 Spark plan
 ----------
 1. ``groupBy(text)`` -> distinct masked lines with their first ``line_id`` and line count
    (partial aggregation: a line repeated in a third of the input is combined map-side);
    written once to the checkpoint folder.
-2. Key every distinct line; keys holding more than ``group_lines`` distinct lines are
-   hash-split into chunks so no task folds an unbounded group. A key with a single
-   distinct line (and no seed) is its own cluster and never reaches Python.
-3. The other (key, chunk) groups are hash-bucketed and ``groupBy(bucket).applyInPandas``
-   folds each (key, chunk) of the bucket on its own, in ``line_id`` order (numpy
-   similarity kernel), so one Python call serves many small keys.
-4. Keys that were split fold their chunk clusters again, per key, in first-line order
-   (templates are folded like lines), re-chunking while a key still holds more than
-   ``group_lines`` clusters (at most ``max_levels`` levels; then clusters of different
-   chunks stay apart). This hierarchical merge is the one deliberate difference from a
-   strictly sequential fold, and only for oversized keys.
-5. Change types and versions come from the cluster assignment with native aggregates
+2. A key with a single distinct line (and no seed) is its own cluster and never reaches
+   Python. Keys of up to ``group_lines`` distinct lines are hash-bucketed and folded, many
+   keys to a call.
+3. A larger key is folded to a fixed point over its *changes*, and the result is the
+   sequential fold's, line for line. Only a line that creates a cluster or turns a position
+   into a wildcard can influence a later one. So a round folds the changes known so far, in
+   order, into a history of template versions; then every chunk of the key's lines is
+   compared, in parallel, with the versions as of each line's arrival. Lines that would
+   change something although the fold did not see them are added (the earliest ``step`` of a
+   key) and those that changed nothing are left out of the next fold. When no such line
+   exists, all decisions agree with the history they rest on, which makes them those of the
+   sequential fold: by induction, no line can be the first to differ. Everything before a
+   key's earliest addition is final and not compared again. One call holds a chunk of lines,
+   or a key's changes, never a key's lines.
+4. Change types and versions come from the cluster assignment with native aggregates
    (:func:`change_points`), not from the fold: per (cluster, position) the first line
    whose token differs from the cluster's first line is where that position became
    ``<*>``. The template is the position-wise generalisation of the lines seen so far,
    which is what the fold computes, and repeats of a line can never change it.
 
+A cluster's id is the md5 of its creating line's id and text, so it depends on nothing
+else: not on the run, the partitioning or ``group_lines``. Seeds keep their ids.
+
 Deliberate differences from the reference's outside library (documented in README):
 no child limit per tree node, groups keyed purely from the line, repeats share their
-first occurrence's cluster, stable cluster ids = xxhash64(key, ordinal in key) — for a
-merged oversized key, of the key and the cluster's id at the last merge level.
+first occurrence's cluster.
 """
 
 from __future__ import annotations
 
+import bisect
+import hashlib
 import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from logweave.functions.tokens import WILDCARD, tokens
 from logweave.session import cut_lineage
 
 DEFAULT_SIM_TH = 0.4
 DEFAULT_GROUP_LINES = 20_000
+DEFAULT_STEP = 5_000
 
 
 def mining_key(toks: Column) -> Column:
@@ -60,267 +67,345 @@ def mining_key(toks: Column) -> Column:
     return F.concat(F.size(toks).cast("string"), F.lit("|"), first)
 
 
+def cluster_name(line_id, text) -> str:
+    """Id of the cluster that a line creates."""
+    return hashlib.md5(f"{line_id}|{text or ''}".encode("utf-8", "surrogatepass")).hexdigest()
+
+
 # ---------------------------------------------------------------------------
-# the ordered fold (runs inside applyInPandas, one group at a time)
+# the ordered fold (runs inside applyInPandas, one key at a time)
 # ---------------------------------------------------------------------------
 
+class Templates:
+    """Templates of one key as token ids, a row per position; -1 is a wildcard."""
+
+    def __init__(self, width: int):
+        self.width, self.size = width, 0
+        self.vocab: dict[str, int] = {}
+        self.words: list[str] = []
+        self.rows = np.empty((width, 16), np.int32)
+        self.wild = np.empty(16, np.int32)
+
+    def ids(self, toks: list[str]) -> np.ndarray:
+        out = np.empty(self.width, np.int32)
+        for i, t in enumerate(toks):
+            k = self.vocab.get(t)
+            if k is None:
+                k = self.vocab[t] = len(self.words)
+                self.words.append(t)
+            out[i] = k
+        return out
+
+    def put(self, at: int, ids: np.ndarray) -> None:
+        """Sets template ``at``, a new one if it is the next."""
+        if at == len(self.wild):
+            self.rows = np.concatenate([self.rows, np.empty_like(self.rows)], axis=1)
+            self.wild = np.concatenate([self.wild, np.empty_like(self.wild)])
+        self.rows[:, at] = ids
+        self.wild[at] = (ids < 0).sum()
+        self.size = max(self.size, at + 1)
+
+    def read(self, toks: list[str]) -> np.ndarray:
+        """Ids of a template's tokens."""
+        ids = self.ids(toks)
+        ids[[t == WILDCARD for t in toks]] = -1
+        return ids
+
+    def best(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per line of ids the best template (highest share of equal positions, then more
+        wildcards, then the older one) and its equal positions."""
+        k, n = self.size, self.width
+        at, top = np.empty(len(lines), np.int64), np.empty(len(lines), np.int64)
+        step = max(1, 2_000_000 // max(k, 1))
+        for a in range(0, len(lines), step):
+            some = lines[a:a + step]
+            equal = np.zeros((len(some), k), np.int32)
+            for p in range(n):
+                equal += some[:, p, None] == self.rows[p, None, :k]
+            rank = equal * np.int32(n + 1) + self.wild[:k]
+            at[a:a + step] = rank.argmax(axis=1)
+            top[a:a + step] = equal[np.arange(len(some)), at[a:a + step]]
+        return at, top
+
+    def add(self, toks: list[str], sim_th: float) -> tuple[int, str]:
+        """Folds one line: its cluster, and CREATE / UPDATE / NONE."""
+        ids = self.ids(toks)
+        if self.size:
+            at, top = self.best(ids[None, :])
+            at = int(at[0])
+            if self.width == 0 or top[0] / self.width >= sim_th:
+                new = np.where(self.rows[:, at] == ids, ids, -1)
+                if (new == self.rows[:, at]).all():
+                    return at, "NONE"
+                self.put(at, new)
+                return at, "UPDATE"
+        ids[[t == WILDCARD for t in toks]] = -1
+        self.put(self.size, ids)
+        return self.size - 1, "CREATE"
+
+    def text(self, at: int) -> str:
+        return " ".join(WILDCARD if i < 0 else self.words[i] for i in self.rows[:, at])
+
+
 def fold_group(token_lists, sim_th: float, seed_templates=()):
     """Assign each token list (already in arrival order) to a cluster.
 
     Returns (assignment ordinals, final templates as token lists). ``seed_templates`` are
     pre-existing clusters (ordinals 0..k-1), e.g. merge / reset decisions.
     """
-    vocab: dict[str, int] = {}
-    n = len(token_lists[0]) if len(token_lists) else (len(seed_templates[0]) if seed_templates else 0)
-
-    def ids_line(toks):
-        return np.fromiter((vocab.setdefault(t, len(vocab)) for t in toks), dtype=np.int64, count=len(toks))
-
-    def ids_template(toks):
-        return np.fromiter((-1 if t == WILDCARD else vocab.setdefault(t, len(vocab)) for t in toks),
-                           dtype=np.int64, count=len(toks))
-
-    rows = [ids_template(s) for s in seed_templates]
-    tpl = np.vstack(rows) if rows else np.empty((0, n), dtype=np.int64)
-    out = np.empty(len(token_lists), dtype=np.int64)
-    for i, toks in enumerate(token_lists):
-        line = ids_line(toks)
-        best = -1
-        if tpl.shape[0]:
-            if n == 0:
-                best = 0
-            else:
-                sim = (tpl == line).sum(axis=1)
-                params = (tpl == -1).sum(axis=1)
-                top = sim.max()
-                if top / n >= sim_th:
-                    cand = np.flatnonzero(sim == top)
-                    best = int(cand[np.argmax(params[cand])])
-        if best < 0:
-            first = np.where(np.array([t == WILDCARD for t in toks], dtype=bool), -1, line) if n else line
-            tpl = np.vstack([tpl, first.reshape(1, n)])
-            best = tpl.shape[0] - 1
-        else:
-            tpl[best] = np.where(tpl[best] == line, tpl[best], -1)
-        out[i] = best
-    inv = {v: k for k, v in vocab.items()}
-    finals = [[WILDCARD if x < 0 else inv[int(x)] for x in row] for row in tpl]
-    return out, finals
+    ords, _, _, finals = fold_with_kinds(token_lists, sim_th, seed_templates)
+    return np.array(ords, np.int64), [t.split(" ") if t else [] for t in finals]
 
 
 def fold_with_kinds(token_lists, sim_th: float, templates=()):
-    """Streaming form of the fold: clusters start from ``templates`` (state of earlier
-    micro-batches); returns per line (ordinal, CREATE/UPDATE/NONE, template after the line)
-    and the final templates."""
-    tpls = [list(t) for t in templates]
+    """The fold, starting from ``templates``: per line (ordinal, CREATE/UPDATE/NONE, template
+    after the line), and the final templates. All token lists have one length."""
+    token_lists, templates = list(token_lists), list(templates)
+    state = Templates(len((token_lists or templates or [[]])[0]))
+    for i, t in enumerate(templates):
+        state.put(i, state.read(t))
     ords, kinds, after = [], [], []
     for toks in token_lists:
-        n = len(toks)
-        best, best_sim, best_par = -1, -1, -1
-        for i, t in enumerate(tpls):
-            if len(t) != n:
-                continue
-            sim = sum(1 for a, b in zip(t, toks) if a != WILDCARD and a == b)
-            par = sum(1 for a in t if a == WILDCARD)
-            if sim > best_sim or (sim == best_sim and par > best_par):
-                best, best_sim, best_par = i, sim, par
-        if best >= 0 and (n == 0 or best_sim / n >= sim_th):
-            new = [a if a == b else WILDCARD for a, b in zip(tpls[best], toks)]
-            kinds.append("UPDATE" if new != tpls[best] else "NONE")
-            tpls[best] = new
-        else:
-            tpls.append(list(toks))
-            best = len(tpls) - 1
-            kinds.append("CREATE")
-        ords.append(best)
-        after.append(" ".join(tpls[best]))
-    return ords, kinds, after, [" ".join(t) for t in tpls]
-
-
-_FOLD_SCHEMA = T.StructType([
-    T.StructField("key", T.StringType()), T.StructField("chunk", T.IntegerType()),
-    T.StructField("text", T.StringType()), T.StructField("first_line_id", T.LongType()),
-    T.StructField("ordinal", T.IntegerType()), T.StructField("cluster_template", T.StringType()),
-    T.StructField("seed_id", T.StringType()), T.StructField("n", T.LongType()),
-])
+        at, kind = state.add(toks, sim_th)
+        ords.append(at)
+        kinds.append(kind)
+        after.append(state.text(at))
+    return ords, kinds, after, [state.text(i) for i in range(state.size)]
 
 
 _JAVA_WS = " \t\n\x0b\f\r"  # the characters of Java's \\s (tokens() splits on these)
+_SPLIT = re.compile("[" + re.escape(_JAVA_WS) + "]+")
 
 
 def _split(text) -> list[str]:
     if text is None:
         return []
-    return [t for t in re.split("[" + re.escape(_JAVA_WS) + "]+", text.strip(_JAVA_WS)) if t] if text else []
+    return [t for t in _SPLIT.split(text.strip(_JAVA_WS)) if t] if text else []
 
 
-def _fold_fn(sim_th: float):
-    """One call folds every (key, chunk) group of a hash bucket, each on its own.
+# Rows of a key (-1 where a number is missing: pandas reads longs with nulls as floats). SEED and LINE go in; a change (CREATE / UPDATE) of the history is a LINE that
+# also names its cluster and the template after it.
+_ROWS = "key string, at long, text string, kind string, ordinal long, cluster_id string, template string"
+_ASSIGNED = "text string, key string, first_line_id long, cluster_id string, n long"
 
-    Rows are sorted once (group, seeds first, then arrival) and groups are walked as
-    contiguous runs of plain lists; a group of one line with no seed is its own cluster.
-    """
+
+def _frame(kinds: str, *columns) -> pd.DataFrame:
+    """A frame of the schema ``kinds`` from its columns as lists."""
+    names = [c.split() for c in kinds.split(", ")]
+    return pd.DataFrame({n: pd.Series(list(c), dtype="int64" if k == "long" else object) for (n, k), c in zip(names, columns)})
+
+
+def _runs(pdf: pd.DataFrame, by: list[str]):
+    """Row ranges with equal ``by``, of a frame sorted by them."""
+    if len(pdf):
+        new = (pdf[by] != pdf[by].shift()).any(axis=1).to_numpy()
+        at = np.flatnonzero(new)
+        yield from zip(at.tolist(), [*at[1:].tolist(), len(pdf)])
+
+
+def _in_order(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Seeds by ordinal, then lines by arrival (one id: by text)."""
+    return (pdf.assign(__s=(pdf["kind"] != "SEED"), __o=pdf["ordinal"].where(pdf["kind"] == "SEED", 0), __t=pdf["text"].fillna(""))
+            .sort_values(["key", "__s", "__o", "at", "__t"], kind="stable"))
+
+
+def _fold_keys(sim_th: float):
+    """Folds every key of a bucket whole: the cluster of each line."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["key", "chunk", "is_seed", "seed_id", "first_line_id"],
-                              ascending=[True, True, False, True, True], kind="stable")
-        keys, chunks = pdf["key"].tolist(), pdf["chunk"].tolist()
-        texts, firsts = pdf["text"].tolist(), pdf["first_line_id"].tolist()
-        ftexts = pdf["fold_text"].tolist()
-        counts = pdf["n"].tolist()
-        seeds, sids = pdf["is_seed"].tolist(), pdf["seed_id"].tolist()
-        o_key, o_chunk, o_text, o_first, o_ord, o_tpl, o_seed, o_n = [], [], [], [], [], [], [], []
-        i, n = 0, len(keys)
-        while i < n:
-            j = i
-            while j < n and keys[j] == keys[i] and chunks[j] == chunks[i]:
-                j += 1
-            s_idx = [x for x in range(i, j) if seeds[x]]
-            l_idx = [x for x in range(i, j) if not seeds[x]]
-            if l_idx:
-                if len(l_idx) == 1 and not s_idx:
-                    ords, finals = [0], [_split(ftexts[l_idx[0]])]
-                else:
-                    ords, finals = fold_group([_split(ftexts[x]) for x in l_idx], sim_th,
-                                              [_split(ftexts[x]) for x in s_idx])
-                tpl_txt = [" ".join(f) for f in finals]
-                seed_ids = [sids[x] for x in s_idx]
-                for x, o in zip(l_idx, ords):
-                    o = int(o)
-                    o_key.append(keys[x]); o_chunk.append(chunks[x]); o_text.append(texts[x])
-                    o_first.append(firsts[x]); o_ord.append(o); o_tpl.append(tpl_txt[o])
-                    o_seed.append(seed_ids[o] if o < len(seed_ids) else None)
-                    o_n.append(counts[x])
-            i = j
-        return pd.DataFrame({"key": o_key, "chunk": pd.array(o_chunk, dtype="int32"), "text": o_text,
-                             "first_line_id": pd.array(o_first, dtype="int64"),
-                             "ordinal": pd.array(o_ord, dtype="int32"), "cluster_template": o_tpl,
-                             "seed_id": o_seed, "n": pd.array(o_n, dtype="int64")})
+        pdf = _in_order(pdf)
+        keys, at, texts, kinds = (pdf[c].tolist() for c in ("key", "at", "text", "kind"))
+        names, n = pdf["cluster_id"].tolist(), pdf["n"].tolist()
+        rows, found = [], []
+        for a, e in _runs(pdf, ["key"]):
+            state, ids = None, []
+            for i in range(a, e):
+                toks = _split(texts[i])
+                state = state or Templates(len(toks))
+                if kinds[i] == "SEED":
+                    state.put(state.size, state.read(toks))
+                    ids.append(names[i])
+                    continue
+                o, kind = state.add(toks, sim_th)
+                if kind == "CREATE":
+                    ids.append(cluster_name(at[i], texts[i]))
+                rows.append(i)
+                found.append(ids[o])
+        return _frame(_ASSIGNED, *([c[i] for i in rows] for c in (texts, keys, at)), found, [n[i] for i in rows])
     return run
 
 
-def _bucketed_fold(df: DataFrame, sim_th: float, buckets: int) -> DataFrame:
-    b = F.pmod(F.xxhash64("key", "chunk"), F.lit(buckets)).alias("bucket")
-    return df.select(b, "*").groupBy("bucket").applyInPandas(_fold_fn(sim_th), _FOLD_SCHEMA)
+def _fold_changes(sim_th: float):
+    """Folds a key's known and possible changes: seeds and actual changes stay."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = _in_order(pdf)
+        keys, at, texts, kinds, names = (pdf[c].tolist() for c in ("key", "at", "text", "kind", "cluster_id"))
+        out, state, ids = [], None, []
+        for i in range(len(keys)):
+            toks = _split(texts[i])
+            state = state or Templates(len(toks))
+            if kinds[i] == "SEED":
+                state.put(state.size, state.read(toks))
+                ids.append(names[i])
+                out.append((keys[i], at[i], texts[i], "SEED", len(ids) - 1, names[i], texts[i]))
+                continue
+            o, kind = state.add(toks, sim_th)
+            if kind == "CREATE":
+                ids.append(cluster_name(at[i], texts[i]))
+            if kind != "NONE":
+                out.append((keys[i], at[i], texts[i], kind, o, ids[o], state.text(o)))
+        return _frame(_ROWS, *zip(*out)) if out else _frame(_ROWS, *[[]] * 7)
+    return run
+
+
+def _against_history(sim_th: float, step: int | None):
+    """A chunk of a key's lines against the key's history, each as of its arrival. With
+    ``step`` the first lines that would change something and are no changes of the history;
+    without, every line with its cluster."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = _in_order(pdf)
+        key, kinds = pdf["key"].iloc[0], pdf["kind"].to_numpy()
+        past, now = pdf[kinds != "LINE"], pdf[kinds == "LINE"]
+        state, names, changes, made = None, {}, [], {}
+        for at, text, kind, o, name, tpl in zip(*(past[c].tolist() for c in ("at", "text", "kind", "ordinal", "cluster_id", "template"))):
+            toks = _split(tpl)
+            state = state or Templates(len(toks))
+            names[o] = name
+            if kind == "SEED":
+                state.put(o, state.read(toks))
+            else:
+                changes.append((at, text or "", o, state.read(toks)))
+                made[text or ""] = name
+        order = [c[:2] for c in changes]
+        rows = [(a, t) for a, t in zip(now["at"].tolist(), now["text"].tolist()) if step is None or (t or "") not in made]
+        found: list = []
+        i, done = 0, 0
+        while i < len(rows) and (step is None or len(found) < step):
+            upto = bisect.bisect_left(order, (rows[i][0], rows[i][1] or ""))
+            for *_, o, ids in changes[done:upto]:
+                state.put(o, ids)
+            done = upto
+            j = len(rows) if upto == len(order) else bisect.bisect_right(rows, order[upto], key=lambda r: (r[0], r[1] or ""))
+            j = max(min(j, i + 4096), i + 1)
+            if state.size:
+                ids = np.stack([state.ids(_split(t)) for _, t in rows[i:j]])
+                best, top = state.best(ids)
+                joins = (top >= sim_th * state.width) if state.width == 0 else (top / state.width >= sim_th)
+                same = joins & (top == state.width - state.wild[best])
+            else:
+                best, same = np.zeros(j - i, np.int64), np.zeros(j - i, bool)
+            for (at, text), o, ok in zip(rows[i:j], best.tolist(), same.tolist()):
+                if step is None:
+                    found.append((at, text, made.get(text or "") or names[o]))
+                elif not ok:
+                    found.append((at, text))
+            i = j
+        if step is None:
+            return _frame(_ASSIGNED.removesuffix(", n long"), [t for _, t, _ in found], [key] * len(found), [a for a, *_ in found], [c for *_, c in found])
+        found, m = found[:step], min(len(found), step)
+        return _frame(_ROWS, [key] * m, [a for a, _ in found], [t for _, t in found], ["LINE"] * m, [-1] * m, [None] * m, [None] * m)
+    return run
 
 
 def _seed_rows(seeds: DataFrame) -> DataFrame:
-    t = tokens(F.col("template"))
-    return seeds.select(mining_key(t).alias("key"), F.col("template").alias("text"),
-                        F.col("template").alias("fold_text"),
-                        F.lit(-1).cast("bigint").alias("first_line_id"), t.alias("toks"),
-                        F.lit(True).alias("is_seed"), F.col("cluster_id").cast("string").alias("seed_id"),
-                        F.lit(0).cast("bigint").alias("n"))
+    """Seeds as rows of their key, in the order they were created (``created``, else id)."""
+    first = F.col("created") if "created" in seeds.columns else F.lit(None).cast("long")
+    rows = seeds.select(mining_key(tokens(F.col("template"))).alias("key"), "template", F.col("cluster_id").cast("string").alias("cluster_id"), first.alias("c"))
+    # seeds of a key: its clusters so far
+    order = F.row_number().over(Window.partitionBy("key").orderBy(F.col("c").asc_nulls_first(), "cluster_id")) - 1
+    return rows.select("key", F.lit(-1).cast("long").alias("at"), F.col("template").alias("text"), F.lit("SEED").alias("kind"),
+                       order.cast("long").alias("ordinal"), "cluster_id", "template")
+
+
+def _as_lines(d: DataFrame, *more: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    return d.select("key", F.col("first_line_id").alias("at"), "text", F.lit("LINE").alias("kind"), F.lit(-1).cast("long").alias("ordinal"),
+                    none.alias("cluster_id"), none.alias("template"), *more)
+
+
+def _large_keys(d: DataFrame, sizes: DataFrame, seeds: DataFrame | None, sim_th: float, group_lines: int, step: int) -> DataFrame:
+    """(text, key, first_line_id, cluster_id) of the lines of some large keys (module
+    docstring, 3.). ``sizes``: their keys and numbers of distinct lines."""
+    chunks = F.ceil(F.col("key_lines") / F.lit(group_lines)).cast("int")
+    lines = d.join(sizes.withColumn("chunks", chunks), "key")
+    lines = cut_lineage(lines.withColumn("chunk", F.pmod(F.xxhash64("text"), F.col("chunks")).cast("int")).select("key", "chunk", "text", "first_line_id"))
+    everywhere = sizes.select("key", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
+    earliest = Window.partitionBy("key").orderBy("at", "text")
+
+    def first(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("r", F.row_number().over(earliest)).where(F.col("r") <= step).drop("r")
+
+    def compare(some: DataFrame, history: DataFrame, limit: int | None) -> DataFrame:
+        both = _as_lines(some, "chunk").unionByName(history.join(everywhere, "key"))
+        schema = _ROWS if limit else _ASSIGNED.removesuffix(", n long")
+        return both.groupBy("key", "chunk").applyInPandas(_against_history(sim_th, limit), schema)
+
+    more = first(_as_lines(lines))
+    if seeds is not None:
+        more = more.unionByName(seeds.join(sizes.select("key"), "key", "left_semi"))
+    history, active = None, lines
+    while True:
+        rows = more if history is None else more.unionByName(history)
+        history = cut_lineage(rows.groupBy("key").applyInPandas(_fold_changes(sim_th), _ROWS))
+        more = cut_lineage(first(compare(active, history, step)))
+        since = more.groupBy("key").agg(F.min("at").alias("since"))
+        if since.isEmpty():
+            return compare(lines, history, None)
+        active = lines.join(since, "key").where(F.col("first_line_id") >= F.col("since")).drop("since")
 
 
 def mine_templates(lines: DataFrame, text_col: str = "processed", id_col: str = "line_id",
                    sim_th: float = DEFAULT_SIM_TH, seeds: DataFrame | None = None,
-                   group_lines: int = DEFAULT_GROUP_LINES, max_levels: int = 3,
+                   group_lines: int = DEFAULT_GROUP_LINES, step: int = DEFAULT_STEP,
                    bucket_rows: int = 200_000) -> DataFrame:
     """A1: cluster assignment per *distinct* text.
 
     Returns ``(text, key, first_line_id, cluster_id, n)`` (n = lines with this text); join
-    back on ``text`` for per-line results (:func:`assign_lines`). ``seeds(cluster_id, template)`` are existing clusters
-    that lines may join; they keep their ids.
+    back on ``text`` for per-line results (:func:`assign_lines`). ``seeds(cluster_id,
+    template[, created])`` are existing clusters that lines may join; they keep their ids and
+    come before all lines, ordered by ``created`` (the id of the creating line): mining a
+    second batch from the templates of the first gives what one run over both gives.
+
+    ``group_lines`` (distinct lines of a key folded in one call, or compared in one) and
+    ``step`` (changes added to a key in a round) only deal out the work: the result is that
+    of one sequential fold whatever they are.
     """
     # no null filter here: it would be pushed below the projection that computes the text
     # (the mask chain) and evaluate it twice; a null text folds as an empty line instead
     d = lines.groupBy(F.col(text_col).alias("text")).agg(F.min(id_col).alias("first_line_id"),
                                                          F.count(F.lit(1)).alias("n"))
-    d = d.withColumn("toks", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")))
-    d = d.select(mining_key(F.col("toks")).alias("key"), "text", F.col("text").alias("fold_text"),
-                 "first_line_id", "toks", F.lit(False).alias("is_seed"), F.lit(None).cast("string").alias("seed_id"),
-                 "n")
-    if seeds is not None:
-        d = d.unionByName(_seed_rows(seeds))
-    # the distinct lines feed the key counts, the fold and the level-2 merge: written once to
-    # the checkpoint folder so the input (and its mask chain) is evaluated exactly once
-    d = cut_lineage(d)
-    # chunks per key: one per `group_lines` distinct lines (key counts: partial aggregate)
-    kc = d.where(~F.col("is_seed")).groupBy("key").agg(F.count(F.lit(1)).alias("key_lines"))
-    d = d.join(kc, "key")
-    nchunks = F.greatest(F.ceil(F.col("key_lines") / F.lit(group_lines)), F.lit(1)).cast("int")
-    # seeds go to every chunk of their key, each line to one chunk by hash
-    d = d.withColumn("chunk", F.explode(
-        F.when(F.col("is_seed"), F.sequence(F.lit(0), nchunks - 1))
-        .otherwise(F.array(F.pmod(F.xxhash64("text"), nchunks).cast("int")))))
-    # `text` identifies a row, `fold_text` is what gets tokenised (they differ in level 2)
-    fold_cols = ["key", "chunk", "text", "fold_text", "first_line_id", "is_seed", "seed_id", "n"]
-    # one applyInPandas call materialises its whole bucket: size buckets from the number of
-    # distinct lines (a footer-only count of the checkpointed table), not from the shuffle
-    # partition count alone, so a call never holds more than about `bucket_rows` lines
-    shuffle_parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    buckets = max(shuffle_parts, -(-d.count() // bucket_rows))
-    # a key with one distinct line and no seed is its own cluster: no Python needed
-    single = (F.col("key_lines") == 1) & ~F.col("is_seed")
+    toks = F.coalesce(tokens(F.col("text")), F.array().cast("array<string>"))
+    # the distinct lines feed the key counts and the folds: written once to the checkpoint
+    # folder so the input (and its mask chain) is evaluated exactly once
+    d = cut_lineage(d.select(mining_key(toks).alias("key"), "text", F.col("first_line_id").cast("long").alias("first_line_id"), "n"))
+    sizes = d.groupBy("key").agg(F.count(F.lit(1)).alias("key_lines"))
+    d = d.join(sizes, "key")
+    start = None
+    single = F.col("key_lines") == 1
     if seeds is not None:
-        seeded_keys = d.where("is_seed").select("key", F.lit(True).alias("has_seed")).distinct()
-        d = d.join(seeded_keys, "key", "left")
+        start = cut_lineage(_seed_rows(seeds))
+        d = d.join(start.select("key", F.lit(True).alias("has_seed")).distinct(), "key", "left")
         single = single & F.col("has_seed").isNull()
-    singles = d.where(single).select(
-        "key", "chunk", "text", "first_line_id", F.lit(0).cast("int").alias("ordinal"),
-        F.array_join("toks", " ").alias("cluster_template"), F.lit(None).cast("string").alias("seed_id"), "n")
-    l1 = _bucketed_fold(d.where(~single).select(*fold_cols), sim_th, buckets).unionByName(singles)
-
-    # levels 2..: keys that were split fold their chunk clusters again (templates folded
-    # like lines, in first-line order, with the key's seeds). A key still holding more than
-    # `group_lines` clusters is re-chunked (a fresh hash per level), so no group ever exceeds
-    # `group_lines`; after `max_levels` levels, clusters of different chunks stay apart.
-    split_keys = kc.where(F.col("key_lines") > group_lines).select("key")
-    if split_keys.limit(1).count() == 0:  # no oversized key: level 1 is final
-        own = F.lower(F.hex(F.xxhash64(F.col("key"), F.col("ordinal"))))
-        return l1.select("text", "key", "first_line_id", F.coalesce(F.col("seed_id"), own).alias("cluster_id"),
-                         F.coalesce("n", F.lit(0)).alias("n"))
-    items = cut_lineage(
-        l1.where(F.col("seed_id").isNull()).join(split_keys, "key")
-        .groupBy("key", "chunk", "ordinal")
-        .agg(F.first("cluster_template").alias("tpl"), F.min("first_line_id").alias("first_line_id"))
-        .select("key", F.concat_ws("#", F.col("chunk").cast("string"), F.col("ordinal").cast("string")).alias("id"),
-                "tpl", "first_line_id"))
-    mapping = items.select("key", F.col("id").alias("id0"), F.col("id").alias("cur"),
-                           F.lit(None).cast("string").alias("seed_up"))
-    seed_rows = _seed_rows(seeds).join(split_keys, "key") if seeds is not None else None
-    for level in range(2, max_levels + 2):
-        if items.limit(1).count() == 0:
-            break
-        cnt = items.groupBy("key").agg(F.count(F.lit(1)).alias("__c"))
-        nch = F.greatest(F.ceil(F.col("__c") / F.lit(group_lines)), F.lit(1)).cast("int")
-        it = items.join(cnt, "key").withColumn("__n", nch)
-        last = level == max_levels + 1
-        lines_in = it.select("key", F.pmod(F.xxhash64("id", F.lit(level)), F.col("__n")).cast("int").alias("chunk"),
-                             F.col("id").alias("text"), F.col("tpl").alias("fold_text"), "first_line_id",
-                             F.lit(False).alias("is_seed"), F.lit(None).cast("string").alias("seed_id"),
-                             F.lit(0).cast("bigint").alias("n"))
-        fold_in = lines_in
-        if seed_rows is not None:
-            chunks = it.select("key", "__n").distinct()
-            fold_in = fold_in.unionByName(
-                seed_rows.join(chunks, "key")
-                .select("key", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("chunk"), "text",
-                        "fold_text", "first_line_id", "is_seed", "seed_id", "n"))
-        folded = _bucketed_fold(fold_in, sim_th, buckets)
-        new_id = F.concat(F.lit(f"{level}:"), F.col("chunk").cast("string"), F.lit("#"), F.col("ordinal").cast("string"))
-        step = cut_lineage(folded.select("key", F.col("text").alias("cur"), new_id.alias("new"),
-                                         F.col("seed_id").alias("seed_new"), "cluster_template", "first_line_id"))
-        mapping = cut_lineage(
-            mapping.join(step.select("key", "cur", "new", "seed_new"), ["key", "cur"], "left")
-            .select("key", "id0", F.coalesce("new", "cur").alias("cur"),
-                    F.coalesce("seed_up", "seed_new").alias("seed_up")))
-        items = (step.where(F.col("seed_new").isNull())
-                 .groupBy("key", F.col("new").alias("id"))
-                 .agg(F.first("cluster_template").alias("tpl"), F.min("first_line_id").alias("first_line_id")))
-        more = cnt.where(F.col("__c") > group_lines).limit(1).count() > 0
-        if not more or last:
-            break
-        items = cut_lineage(items)
-    ck = F.split("id0", "#")
-    l2map = mapping.select("key", ck[0].cast("int").alias("chunk"), ck[1].cast("int").alias("ordinal"),
-                           F.col("cur").alias("merged_id"), F.col("seed_up").alias("seed2"))
-
-    a = l1.join(l2map, ["key", "chunk", "ordinal"], "left")
-    own = F.when(F.col("merged_id").isNotNull(), F.xxhash64(F.col("key"), F.col("merged_id"))).otherwise(
-        F.xxhash64(F.col("key"), F.col("ordinal")))
-    cid = F.coalesce(F.col("seed_id"), F.col("seed2"), F.lower(F.hex(own)))
-    return a.select("text", "key", "first_line_id", cid.alias("cluster_id"), F.coalesce("n", F.lit(0)).alias("n"))
+    # a key with one distinct line and no seed is its own cluster: no Python needed
+    named = F.md5(F.concat(F.col("first_line_id").cast("string"), F.lit("|"), F.coalesce("text", F.lit(""))))
+    singles = d.where(single).select("text", "key", "first_line_id", named.alias("cluster_id"), "n")
+    # one applyInPandas call materialises its whole bucket: size buckets from the number of
+    # distinct lines, so a call never holds more than about `bucket_rows` lines
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    buckets = max(parts, -(-d.count() // bucket_rows))
+    small = d.where(~single & (F.col("key_lines") <= group_lines))
+    rows = _as_lines(small, "n")
+    if start is not None:
+        # seeds of keys without lines start nothing
+        rows = rows.unionByName(start.join(small.select("key").distinct(), "key", "left_semi").withColumn("n", F.lit(0).cast("long")))
+    folded = rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).groupBy("bucket").applyInPandas(_fold_keys(sim_th), _ASSIGNED)
+    out = folded.unionByName(singles)
+    large = cut_lineage(sizes.where(F.col("key_lines") > group_lines))
+    if large.isEmpty():
+        return out
+    lines_of = d.join(large.select("key"), "key", "left_semi")
+    found = _large_keys(lines_of.select("key", "text", "first_line_id"), large, start, sim_th, group_lines, step)
+    n = lines_of.select(F.col("text").alias("__t"), "n")
+    return out.unionByName(found.join(n, found["text"].eqNullSafe(n["__t"])).select("text", "key", "first_line_id", "cluster_id", "n"))
 
 
 # ---------------------------------------------------------------------------

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from logweave.functions.masks import mask_only
-from logweave.operators.mining import change_points, fold_group, mine_templates, template_of_cluster
+from logweave.operators.mining import change_points, cluster_name, fold_group, mine_templates, template_of_cluster
 from logweave.plans.ingest import ingest
 from logweave.sources.lines import lines_from_strings
 from logweave.sources.tables import event_log_lines
@@ -111,20 +111,83 @@ def test_template_of_cluster(spark):
     assert got == {"c": "a <*> c", "d": "z"}
 
 
-def test_multi_level_merge_of_oversized_key(spark):
-    from logweave.sources.lines import lines_from_strings
-
-    similar = [f"user u{i} logged in from host h{i % 13}" for i in range(60)]
-    m = mine_templates(lines_from_strings(spark, similar).withColumnRenamed("line", "processed"), group_lines=5)
-    assert m.select("cluster_id").distinct().count() == 1  # same as a sequential fold
-    words = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta", "iota", "kappa", "lambda", "mu"]
-    prose = [" ".join(["The"] + [words[(i * 7 + j * 5 + i * j) % 12] + str(i) for j in range(5)]) for i in range(60)]
-    lines = lines_from_strings(spark, prose).withColumnRenamed("line", "processed")
-    m2 = mine_templates(lines, group_lines=5)
-    assert m2.count() == 60
-    lc, vers = change_points(m2)
-    latest = {r.cluster_id: r.template for r in vers.groupBy("cluster_id").agg(
-        F.max_by("template", "version").alias("template")).collect()}
-    for r in m2.collect():
-        a, b = r.text.split(), latest[r.cluster_id].split()
-        assert len(a) == len(b) and all(y == "<*>" or x == y for x, y in zip(a, b))
+def _shapes(n, shapes, width, seed):
+    """Distinct lines of one key: shapes of fixed words, some of which a line replaces."""
+    import random
+
+    rng = random.Random(seed)
+    words = [f"{a}{b}" for a in "bcdfghklmnprst" for b in ("a", "e", "i", "o", "u", "ar", "en", "is")]
+    kinds = [[rng.choice(words) for _ in range(width)] for _ in range(shapes)]
+    out, i = {}, 0
+    while len(out) < n:
+        # later lines use more of the shapes, so clusters are created all along
+        kind = rng.choice(kinds[:3 + len(out) * shapes // n])
+        toks = [w if rng.random() < 0.72 else rng.choice(words) + (str(i) if rng.random() < 0.5 else "") for w in kind]
+        out[" ".join(["evt", *toks])] = None
+        i += 1
+    return list(out)
+
+
+def _names(texts):
+    """Cluster id per line by the sequential fold."""
+    bf, _ = brute_force_fold(texts)
+    made = {}
+    for i, (t, (c, _)) in enumerate(zip(texts, bf)):
+        made.setdefault(c, cluster_name(i, t))
+    return {t: made[c] for t, (c, _) in zip(texts, bf)}
+
+
+def _numbered(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "line_id long, processed string").repartition(5)
+
+
+def test_large_key_equals_the_sequential_fold(spark):
+    texts = _shapes(1500, 60, 7, 1)
+    want = _names(texts)
+    assert len(set(want.values())) > 100
+    for group_lines, step in ((5000, 5000), (200, 1000), (90, 250)):
+        got = {r.text: r.cluster_id for r in mine_templates(_numbered(spark, texts), group_lines=group_lines, step=step).collect()}
+        assert got == want, (group_lines, step)
+    m = mine_templates(_numbered(spark, texts), group_lines=90, step=300)
+    lc, _ = change_points(m)
+    kinds = {r.text: r.change_type for r in lc.collect()}
+    assert kinds == {t: k for t, (_, k) in zip(texts, brute_force_fold(texts)[0])}
+
+
+def test_settings_do_not_matter_on_fifty_thousand_lines_of_one_key(spark):
+    texts = _shapes(50_000, 40, 8, 2)
+    ords, finals = fold_group([t.split() for t in texts], 0.4)
+    made = {}
+    for i, o in enumerate(ords):
+        made.setdefault(o, cluster_name(i, texts[i]))
+    want = {t: made[o] for t, o in zip(texts, ords)}
+    lines = _numbered(spark, texts)
+    for group_lines, step in ((20_000, 5_000), (9_000, 2_000)):
+        got = {r.text: r.cluster_id for r in mine_templates(lines, group_lines=group_lines, step=step).collect()}
+        assert got == want, group_lines
+    assert len(finals) > 50
+
+
+def test_two_batches_equal_one_run(spark):
+    """The second batch starts from the clusters of the first; ids are those of the creating lines."""
+    texts = _shapes(1200, 40, 6, 3)
+    want = _names(texts)
+    lines = _numbered(spark, texts)
+    for cut, group_lines in ((700, 5000), (500, 60)):
+        one = mine_templates(lines.where(F.col("line_id") < cut), group_lines=group_lines)
+        _, vers = change_points(one)
+        made = one.groupBy("cluster_id").agg(F.min("first_line_id").alias("created"))
+        seeds = vers.groupBy("cluster_id").agg(F.max_by("template", "version").alias("template")).join(made, "cluster_id")
+        two = mine_templates(lines.where(F.col("line_id") >= cut), seeds=seeds, group_lines=group_lines)
+        got = {r.text: r.cluster_id for r in one.union(two).collect()}
+        assert got == want
+
+
+def test_odd_lines_and_empty_input(spark):
+    texts = ["", " ", "a", "1 x", "2 x", "<*> x", "a b c", "a b c d", "a b c", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "line_id long, processed string")
+    got = {r.text: (r.cluster_id, r.n) for r in mine_templates(rows).collect()}
+    assert got["1 x"][0] == got["2 x"][0] == got["<*> x"][0] and got["a b c"][1] == 2 and len(got) == 9
+    for group_lines in (1, 2):
+        assert {r.text: (r.cluster_id, r.n) for r in mine_templates(rows, group_lines=group_lines).collect()} == got
+    assert mine_templates(rows.limit(0)).count() == 0
