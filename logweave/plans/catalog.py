@@ -297,8 +297,37 @@ def coverage_events(spark, sf_dir):
     return R.coverage(res)
 
 
-# default threshold: no SQL form (ordered fold); checked by tests against a brute-force fold
-@register("mine_event_templates")
+# The default threshold in SQL: the sequential fold as a recursion over the lines of all keys,
+# with each key's templates and ids as lists.
+_MINE_SQL = r"""WITH RECURSIVE m AS ({masked}),
+k AS (SELECT line_id, processed, regexp_split_to_array(regexp_replace(processed, '^\s+|\s+$', '', 'g'), '\s+') AS toks FROM m),
+kk AS (SELECT *, CAST(len(toks) AS VARCHAR) || '|' || CASE WHEN regexp_matches(toks[1], '\d') THEN '<*>' ELSE toks[1] END AS key FROM k),
+d AS (SELECT key, processed AS text, any_value(toks) AS toks, min(line_id) AS line_id, count(*) AS n FROM kk GROUP BY key, processed),
+o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY line_id, text) AS rn FROM d),
+f AS (
+  SELECT key, rn, [toks] AS tpl, [md5(line_id || '|' || text)] AS ids, 1 AS pick, n FROM o WHERE rn = 1
+  UNION ALL
+  SELECT key, rn,
+    CASE WHEN pick > 0 THEN list_transform(tpl, lambda t, i: CASE WHEN i = pick THEN list_transform(t, lambda x, p: CASE WHEN x = toks[p] THEN x ELSE '<*>' END) ELSE t END)
+         ELSE list_append(tpl, toks) END,
+    CASE WHEN pick > 0 THEN ids ELSE list_append(ids, md5(line_id || '|' || text)) END,
+    CASE WHEN pick > 0 THEN pick ELSE len(ids) + 1 END, n
+  FROM (SELECT *, CASE WHEN (list_max(score) // (len(toks) + 1)) >= 0.4 * len(toks) THEN list_position(score, list_max(score)) ELSE 0 END AS pick
+    FROM (SELECT f.key, o.rn, f.tpl, f.ids, o.toks, o.line_id, o.text, o.n,
+        list_transform(f.tpl, lambda t: len(list_filter(list_zip(t, o.toks), lambda z: z[1] <> '<*>' AND z[1] = z[2])) * (len(t) + 1)
+                                        + len(list_filter(t, lambda x: x = '<*>'))) AS score
+      FROM f JOIN o ON o.key = f.key AND o.rn = f.rn + 1))),
+last AS (SELECT key, max_by(tpl, rn) AS tpl, max_by(ids, rn) AS ids FROM f GROUP BY key),
+sizes AS (SELECT key, pick, sum(n) AS lines FROM f GROUP BY key, pick)
+SELECT ids[pick] AS cluster_id, key, array_to_string(tpl[pick], ' ') AS template, CAST(lines AS BIGINT) AS lines
+FROM sizes JOIN last USING (key)"""
+
+
+def _mine_sql(src: str) -> str:
+    return _MINE_SQL.format(masked=_masked_sql(src))
+
+
+@register("mine_event_templates", _mine_sql(EVENT_LINES_SQL))
 def mine_event_templates(spark, sf_dir):
     """A1 (sim_th 0.4) on all event lines: final template and line count per cluster."""
     from logweave.plans.ingest import ingest
@@ -308,7 +337,7 @@ def mine_event_templates(spark, sf_dir):
     return out.cluster_templates.join(out.cluster_lines, "cluster_id").select("cluster_id", "key", "template", "lines")
 
 
-@register("mine_document_templates")
+@register("mine_document_templates", _mine_sql(DOCUMENT_LINES_SQL))
 def mine_document_templates(spark, sf_dir):
     """A1 on every line of every document (prose: nearly one key per line)."""
     from logweave.plans.ingest import ingest
