@@ -23,16 +23,25 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logweave.llm.common import cut_lineage, documents, spread
+from logweave.llm.hashstore import find
+from logweave.llm.words import byte_class, hashes, slices, spans, text_bytes
 
 _HASHED, _DIMS, _BITS = 1024, 3, 10
-_CACHE = 400_000
+_CACHE = 3_000_000      # parts a worker keeps
+_BYTES = 4_000_000      # of text tokenised together (a longer text alone)
+_PART = ~byte_class((10, 10), (32, 32))
+_ALNUM = byte_class((48, 57), (65, 90), (97, 122))
+_SIGNS = byte_class((33, 38), (40, 47), (58, 64), (91, 96), (123, 126))     # ASCII signs but the apostrophe
 
 
 class _Tokens:
-    """Ids of texts, by the ids of their space-separated parts.
+    """Ids of texts, by the ids of their parts.
 
     The tokenizer never joins across a space or a line feed, so a text's ids are those of
-    its parts in order; each distinct part is encoded once while it stays in the cache.
+    its parts in order. One that also splits words from ASCII signs (by its pre-tokenizer's
+    pattern) has its parts cut there, apostrophes aside, and one that lower-cases has them
+    compared without case: far fewer distinct parts. Each is encoded once while it stays in
+    the cache, sorted hashes with the places of the ids in one array.
     """
 
     def __init__(self, path: str):
@@ -40,27 +49,55 @@ class _Tokens:
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
-        self.kind = np.dtype("<u2" if self.encoder.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {"": b""}
-        rng = np.random.default_rng(11)
         size = self.encoder.get_vocab_size()
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.size = size
+        self.fold = "Lowercase()" in str(self.encoder.normalizer)
+        signs = r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" in str(self.encoder.pre_tokenizer).replace("\\\\", "\\")
+        self.between = (_ALNUM, _SIGNS) if signs else None
+        self._clear()
+        rng = np.random.default_rng(11)
         at, sign = rng.integers(0, _HASHED, size), rng.choice([-1.0, 1.0], size)
         self.project = (sign[:, None] * rng.normal(size=(_HASHED, _DIMS))[at]).astype(np.float32)
 
-    def ids(self, texts: list[str], end: int) -> list[bytes]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > _CACHE:
-            self.known = {"": b""}
-        new = list({p for ps in parts for p in ps}.difference(self.known))
-        for p, e in zip(new, self.encoder.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[p] = np.array(e.ids, self.kind).tobytes()
-        last = np.array([end], self.kind).tobytes()
-        return [b"".join(map(self.known.__getitem__, ps)) + last for ps in parts]
-
-    def vector(self, ids: np.ndarray) -> np.ndarray:
-        """Unit-variance projection of the square roots of the id counts."""
-        seen, count = np.unique(ids, return_counts=True)
-        return np.sqrt(count) @ self.project[seen] / np.sqrt(len(ids))
+    def _clear(self):
+        self.keys, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, self.kind)
+
+    def _learn(self, keys: np.ndarray, parts: list[str]) -> None:
+        ids = [e.ids for e in self.encoder.encode_batch_fast(parts, add_special_tokens=False)]
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        at = len(self.flat) + np.cumsum(n) - n
+        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), self.kind, int(n.sum()))])
+        keys, at, n = np.concatenate([self.keys, keys]), np.concatenate([self.at, at]), np.concatenate([self.n, n])
+        order = np.argsort(keys)
+        self.keys, self.at, self.n = keys[order], at[order], n[order]
+
+    def ids(self, data: np.ndarray, bounds: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some texts, each with ``end`` behind it, and how many each has."""
+        start, stop = spans(data, bounds, _PART, self.between)
+        keys, first, inv = np.unique(hashes(data, start, stop, self.fold), return_index=True, return_inverse=True)
+        if len(self.keys) > _CACHE:
+            self._clear()
+        new = np.flatnonzero(find(self.keys, keys) < 0)
+        if len(new):
+            self._learn(keys[new], [data[a:e].tobytes().decode("utf-8", "replace") for a, e in zip(start[first[new]], stop[first[new]])])
+        place = find(self.keys, keys)
+        n, at = self.n[place][inv], self.at[place][inv]
+        text = np.searchsorted(bounds[1:], start, "right")
+        total = int(n.sum())
+        ahead = np.cumsum(n) - n
+        out = np.full(total + len(bounds) - 1, end, self.kind)
+        step = np.arange(total)
+        out[step + np.repeat(text, n)] = self.flat[step + np.repeat(at - ahead, n)]
+        return out, np.bincount(text, n, len(bounds) - 1).astype(np.int64) + 1
+
+    def vectors(self, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Per text the unit-variance projection of the square roots of its id counts."""
+        pair, count = np.unique(np.repeat(np.arange(len(n), dtype=np.uint64), n) * np.uint64(self.size) + ids, return_counts=True)
+        text, seen = pair // np.uint64(self.size), (pair % np.uint64(self.size)).astype(np.int64)
+        first = np.searchsorted(text, np.arange(len(n), dtype=np.uint64))
+        return np.add.reduceat(np.sqrt(count)[:, None] * self.project[seen], first, axis=0) / np.sqrt(n)[:, None]
 
 
 @functools.lru_cache(maxsize=1)
@@ -108,19 +145,14 @@ def _encode(path: str, end: int):
 
         tokens = _tokens(path)
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            a = 0
-            while a < len(texts):
-                e, size = a, 0
-                while e < len(texts) and (e == a or size < 4_000_000):   # characters at a time
-                    size += len(texts[e])
-                    e += 1
-                ids = tokens.ids(texts[a:e], end)
-                arrays = [np.frombuffer(x, tokens.kind) for x in ids]
-                keys = _curve(np.stack([tokens.vector(x) for x in arrays]))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, e - a), pa.array([len(x) for x in arrays], pa.int64()), pa.array(keys, pa.int64()),
-                                                  pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["id", "n", "curve", "tie", "ids"])
-                a = e
+            data, bounds = text_bytes(b.column(1))
+            for a, e in slices(bounds, _BYTES):
+                ids, n = tokens.ids(data[bounds[a]:bounds[e]], bounds[a:e + 1] - bounds[a], end)
+                ends = np.concatenate([[0], np.cumsum(n) * tokens.kind.itemsize])
+                raw = pa.Array.from_buffers(pa.large_binary(), e - a, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids)])
+                tie = [zlib.crc32(x.as_buffer()) for x in raw]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, e - a), pa.array(n), pa.array(_curve(tokens.vectors(ids, n)), pa.int64()),
+                                                  pa.array(tie, pa.int64()), raw.cast(pa.binary())], ["id", "n", "curve", "tie", "ids"])
     return run
 
 

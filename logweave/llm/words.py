@@ -1,7 +1,7 @@
 """Words of whole texts as 64-bit hashes, an Arrow column at a time.
 
 A word's hash sums a random number per byte times an odd number per place, and mixes the sum
-with the length. A-Z count as a-z. Two words are taken for one only if 64 bits meet.
+with the length. A-Z count as a-z unless told otherwise. Two words are taken for one only if 64 bits meet.
 """
 
 from __future__ import annotations
@@ -10,7 +10,8 @@ import numpy as np
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 _STEP = 1_000_000       # bytes hashed at a time
-_BYTE = np.random.default_rng(20).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_EXACT = np.random.default_rng(20).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE = _EXACT.copy()
 _BYTE[65:91] = _BYTE[97:123]
 
 
@@ -46,19 +47,26 @@ def text_bytes(col) -> tuple[np.ndarray, np.ndarray]:
     return data[ends[0]:ends[-1]], ends - ends[0]
 
 
-def spans(data: np.ndarray, bounds: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of ``word`` bytes; a text's end ends its last word."""
+def spans(data: np.ndarray, bounds: np.ndarray, word: np.ndarray, between: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of ``word`` bytes; a text's end ends its last word. Runs are
+    also cut where a byte of one class of ``between`` meets one of the other."""
     w = word[data]
     first, last = w.copy(), w.copy()
     first[1:] &= ~w[:-1]
     last[:-1] &= ~w[1:]
     a, b = bounds[:-1][bounds[:-1] < len(w)], bounds[1:][bounds[1:] > 0] - 1
     first[a], last[b] = w[a], w[b]
+    if between:
+        x, y = between[0][data], between[1][data]
+        cut = (x[:-1] & y[1:] | y[:-1] & x[1:]) & w[:-1] & w[1:]
+        first[1:] |= cut
+        last[:-1] |= cut
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span."""
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool = True) -> np.ndarray:
+    """64-bit hash of each span; without ``fold`` A-Z and a-z differ."""
+    table = _BYTE if fold else _EXACT
     out = np.empty(len(start), np.uint64)
     size = end - start
     ahead = np.concatenate([[0], np.cumsum(size)])
@@ -71,7 +79,7 @@ def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
             place = np.arange(ahead[e] - ahead[a]) - np.repeat(at, n)
             byte = data[place + np.repeat(start[a:e], n)]
             times = _PLACE[place] if n.max() <= len(_PLACE) else mix((place + 1).astype(np.uint64)) | np.uint64(1)
-            out[a:e] = mix(np.add.reduceat(_BYTE[byte] * times, at) + n.astype(np.uint64) * _K)
+            out[a:e] = mix(np.add.reduceat(table[byte] * times, at) + n.astype(np.uint64) * _K)
             a = e
     return out
 
