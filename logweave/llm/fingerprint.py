@@ -7,9 +7,10 @@ whose name is a hash of its content. Where a phrase ends depends only on a bound
 neighbourhood, so equal substrings get equal names inside, whatever their offset. The
 fingerprint keeps the smallest names of two levels; likeness compares these samples.
 
-Scale: parsing is one vectorised pass over each task's texts in blocks. The neighbour of a
-document is found on range-sorted ids: within a partition by a window, across partitions
-through the table of partition heads, one row per partition.
+Scale: texts are shuffled once, into ranges of ids, and sorted inside their partition; one
+iterator parses them in blocks with the next row at hand. What is missing then is the row
+after each partition's last: the partitions' first and last texts, one row per partition,
+are compared in a second step. Results are written once, texts are not.
 """
 
 from __future__ import annotations
@@ -130,59 +131,90 @@ def _edit(text: str, other: str) -> str:
     return text[:len(text) - third] + other[:third]
 
 
-def next_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, t, o): each row's text and that of the next row by descending key, ties by text;
-    the last row's next is the first. Null keys come last, null texts count as empty."""
-    rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    spark = docs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
-    order = [F.desc_nulls_last("id"), F.col("t")]
-    # a partition's number follows the order of its rows
-    dealt = rows.repartitionByRange(parts, *order).withColumn("p", F.spark_partition_id())
-    dealt = cut_lineage(dealt)
-    heads = dealt.groupBy("p").agg(F.min_by("t", F.struct(F.col("id").isNull(), -F.coalesce("id", F.lit(0)), "t")).alias("head"))
-    around = Window.orderBy("p")     # one row per partition
-    heads = heads.withColumn("o", F.coalesce(F.lead("head").over(around), F.first("head").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))).select("p", "o")
-    inside = Window.partitionBy("p").orderBy(*order)
-    rows = dealt.withColumn("n", F.lead("t").over(inside))
-    return rows.join(heads, "p").select("id", "t", F.coalesce("n", "o").alias("o"))
-
-
-def _run(batches):
+def _compared(ids, own: list[str], other: list[str]):
+    """Batches of results for texts and the texts after them."""
     import hashlib
 
     import pyarrow as pa
 
-    for b in batches:
-        ids, ts, os_ = b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()
+    a = 0
+    while a < len(own):
+        e, size = a, 0
+        while e < len(own) and (e == a or size < 400_000):    # characters at a time
+            size += 2 * len(own[e]) + len(other[e])
+            e += 1
+        x, y = own[a:e], other[a:e]
+        edited = [_edit(t, o) for t, o in zip(x, y)]
+        # within a sorted block the next row's fingerprint is mostly at hand
+        seen = dict.fromkeys(x + y + edited)
+        seen = dict(zip(seen, fingerprints(list(seen))))
         cols: list[list] = [[] for _ in range(6)]
-        a = 0
-        while a < len(ts):
-            e, size = a, 0
-            while e < len(ts) and (e == a or size < 400_000):    # characters at a time
-                size += 2 * len(ts[e]) + len(os_[e])
-                e += 1
-            own, other = ts[a:e], os_[a:e]
-            edited = [_edit(x, y) for x, y in zip(own, other)]
-            # within a sorted block the next row's fingerprint is mostly at hand
-            seen = dict.fromkeys(own + other + edited)
-            seen = dict(zip(seen, fingerprints(list(seen))))
-            for x, y, z in zip(own, other, edited):
-                f, g = seen[x], seen[z]
-                for c, v in zip(cols, (len(x), hashlib.sha256(z.encode("utf-8", "surrogatepass")).hexdigest(), f, g, likeness(f, g), likeness(f, seen[y]))):
-                    c.append(v)
-            a = e
+        for t, o, z in zip(x, y, edited):
+            f, g = seen[t], seen[z]
+            for c, v in zip(cols, (len(t), hashlib.sha256(z.encode("utf-8", "surrogatepass")).hexdigest(), f, g, likeness(f, g), likeness(f, seen[o]))):
+                c.append(v)
         kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-        yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+        empty = [pa.nulls(e - a, k) for k in (pa.int32(), pa.string(), pa.string())]
+        yield pa.RecordBatch.from_arrays([ids.slice(a, e - a), *(pa.array(c, k) for c, k in zip(cols, kinds)), *empty], _NAMES)
+        a = e
+
+
+_RESULTS = "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_NAMES = ["doc_id", *(c.split()[0] for c in _RESULTS.split(", ")), "part", "head", "last"]
+
+
+def _along(batches):
+    """Rows (id, t) of a sorted partition: results of all but its last one, and a row with the
+    partition's number, its first text, and its last id and text."""
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    part = TaskContext.get().partitionId()
+    head, held = None, None         # the row before: its id (an array of one) and text
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ids, ts = b.column(0), b.column(1).to_pylist()
+        if held is None:
+            head = ts[0]
+            own, of = ts[:-1], ids.slice(0, len(ts) - 1)
+        else:
+            own, of = [held[1], *ts[:-1]], pa.concat_arrays([held[0], ids.slice(0, len(ts) - 1)])
+            ts = [held[1], *ts]
+        yield from _compared(of, own, ts[1:])
+        held = (ids.slice(len(ids) - 1), ts[-1])
+    if held is not None:
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+        yield pa.RecordBatch.from_arrays([held[0], *(pa.nulls(1, k) for k in kinds), pa.array([part], pa.int32()), pa.array([head]), pa.array([held[1]])], _NAMES)
+
+
+def _ends(batches):
+    """(id, t, o): the partitions' last rows, with the next partition's first text."""
+    for b in batches:
+        for r in _compared(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            yield r.select(_NAMES[:7])
 
 
 def compare_edits(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: fingerprint of the text, of the text whose last third is replaced by the start
-    of the next row's, and both likenesses. Empty texts have fingerprint ``-`` and are like
-    each other only. Texts are parsed whole."""
+    of the next row's, and both likenesses. The next row is that of the next smaller key (rows
+    of one key go by their texts' hashes and texts, null keys come last), after the last the
+    first; a repeated key is a row of its own. Null texts are empty; empty texts have
+    fingerprint ``-`` and are like each other only. Texts are parsed whole.
+    """
     kind = docs.schema[key].dataType.simpleString()
-    return next_texts(docs, key=key, text=text).select("id", "t", "o").mapInArrow(
-        _run, f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
+    # the bounds come from keys and hashes; texts take part in the order inside a partition only
+    order = [F.desc_nulls_last("id"), F.col("h")]
+    dealt = rows.withColumn("h", F.xxhash64("t")).repartitionByRange(parts, *order).sortWithinPartitions(*order, "t")
+    made = cut_lineage(dealt.select("id", "t").mapInArrow(_along, f"doc_id {kind}, {_RESULTS}, part int, head string, last string"))
+    ends = made.where("part is not null").select(F.col("doc_id").alias("id"), F.col("last").alias("t"), "part", "head")
+    around = Window.orderBy("part")     # one row per partition
+    first = F.first("head").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    ends = ends.withColumn("o", F.coalesce(F.lead("head").over(around), first)).select("id", "t", "o")
+    ends = ends.mapInArrow(_ends, f"doc_id {kind}, {_RESULTS}")
+    return made.where("part is null").select(ends.columns).union(ends)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -133,6 +133,27 @@ def test_fingerprints_shift_and_batch():
     assert fingerprint.fingerprints(["a" * 50])[0] != fingerprint.fingerprints(["a" * 51])[0]
 
 
+def test_edits_brute_force(spark, odd):
+    """Next rows and edits over several partitions, with repeated and null ids and a long text."""
+    import hashlib
+
+    rng = np.random.default_rng(5)
+    rows = [(int(i), "".join(rng.choice(list("abcé  \n"), int(rng.integers(0, 60))))) for i in rng.permutation(300)]
+    rows += [(7, "same"), (7, "same"), (None, "n"), (None, None), (301, ""), (302, "x y " * 300_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = fingerprint.compare_edits(docs).collect()
+    h = {r.t: r.h for r in spark.createDataFrame([(t or "",) for _, t in rows], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), h[r[1]], r[1]))
+    want = []
+    for (i, t), (_, o) in zip(order, order[1:] + order[:1]):
+        z = t[:len(t) - len(t) // 3] + o[:len(t) // 3]
+        f, g, n = fingerprint.fingerprints([t, z, o])
+        want.append((i, len(t), hashlib.sha256(z.encode()).hexdigest(), f, g, fingerprint.likeness(f, g), fingerprint.likeness(f, n)))
+    assert collections.Counter(map(tuple, got)) == collections.Counter(want)
+    one = docs.where("doc_id = 301")
+    assert [tuple(r)[:2] for r in fingerprint.compare_edits(one).collect()] == [(301, 0)]
+
+
 def test_phrase_names_are_local():
     rng = np.random.default_rng(4)
     s = rng.integers(0, 50, 3000).astype(np.uint64)
