@@ -22,46 +22,64 @@ of the differences with it, so the differences take the prefix and position filt
 Only the components matter to the answer, so no link between different components is lost.
 
 Two unlike sequences would be taken for equal only if their 64-bit hashes met; sets are
-compared by 128 bits. Intermediate tables are written to the shared checkpoint folder.
+compared by 128 bits.
+
+Scale: no table holds texts, and whole sets are written only for classes that a candidate
+pair or a hot token names. Classes get their numbers from sorted signatures in the shared
+folder (``hashstore``); the prefixes are hashed again in a second map, which sends (token,
+class) pairs sorted and byte by byte, some five bytes each, and only tokens of two classes or
+more come back. The wanted sets lie in one file per map task, and pairs are verified by
+mapping the two places: pairs are shuffled as numbers, sets never.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+import os
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from logweave.llm import hashstore as H
 from logweave.llm.common import cut_lineage, documents, spread
+from logweave.llm.words import byte_class, hashes, mix, slices, spans, text_bytes
 
-_CACHE = 400_000      # word hashes a worker keeps
-_WORDS: dict[bytes, int] = {}
+_WORD = ~byte_class((9, 13), (32, 32))
+_BYTES = 6_000_000      # of text looked at together (a longer text alone)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_PART = 40              # a class's number: its part, then its place there in 40 bits
+
+
+def shingle_sets(data: np.ndarray, bounds: np.ndarray, k: int = 5) -> list[np.ndarray]:
+    """Of each text the sorted distinct hashes of its word k-grams (A-Z lower-cased); of the
+    whole sequence when it has fewer words; empty without words."""
+    start, end = spans(data, bounds, _WORD)
+    words = np.diff(np.searchsorted(start, bounds))
+    n = np.where(words > 0, np.maximum(words - k + 1, 1), 0)
+    ends = np.cumsum(n)
+    if not len(start):
+        return [np.zeros(0, np.uint64)] * len(n)
+    h = hashes(data, start, end)
+    at = np.repeat(np.cumsum(words) - words - ends + n, n) + np.arange(ends[-1])
+    take = np.repeat(np.minimum(words, k), n)
+    short = take.min() < k
+    with np.errstate(over="ignore"):
+        g = take.astype(np.uint64)
+        for i in range(k):
+            step = (g ^ (g >> np.uint64(29))) * _MIX + h[np.minimum(at + i, len(h) - 1)]
+            g = np.where(i < take, step, g) if short else step
+        g = (g ^ (g >> np.uint64(32))) * _MIX
+        g ^= g >> np.uint64(29)
+    return [np.unique(x) for x in np.split(g, ends[:-1])]
 
 
 def shingle_set(text: str | None, k: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of the word k-grams of a text (A-Z lower-cased); of the whole
-    sequence when it has fewer words; empty without words."""
-    import xxhash
+    import pyarrow as pa
 
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII case and white space only
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(_WORDS) > _CACHE:
-        _WORDS.clear()
-    for w in set(words).difference(_WORDS):
-        _WORDS[w] = xxhash.xxh64_intdigest(w)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-    n = max(1, len(h) - k + 1)
-    take = min(k, len(h))
-    with np.errstate(over="ignore"):
-        g = np.full(n, np.uint64(take))
-        for i in range(take):
-            g = (g ^ (g >> np.uint64(29))) * _MIX + h[i:i + n]
-        g = (g ^ (g >> np.uint64(32))) * _MIX
-        g ^= g >> np.uint64(29)
-    return np.unique(g)
+    return shingle_sets(*text_bytes(pa.array([text], pa.string())), k)[0]
 
 
 def spare(n: int) -> int:
@@ -73,70 +91,238 @@ def prefix_length(n: int, percent: int) -> int:
     return n - math.ceil(percent * n / 100) + spare(n)
 
 
-def _prefixes(percent: int):
+def _prefix(g: np.ndarray, percent: int) -> np.ndarray:
+    return g[:prefix_length(len(g), percent)] if len(g) else g
+
+
+def _sliced(batches):
+    """(rows of some texts, their sets); the text is the last column."""
+    for b in batches:
+        data, bounds = text_bytes(b.column(b.num_columns - 1))
+        for a, e in slices(bounds, _BYTES):
+            yield b.slice(a, e - a), shingle_sets(data[bounds[a]:bounds[e]], bounds[a:e + 1] - bounds[a])
+
+
+def _describe(percent: int):
+    """(id, text key, text) -> the set's size and signature, the prefix's signature."""
     def run(batches):
         import pyarrow as pa
         import xxhash
 
+        for b, sets in _sliced(batches):
+            sig = [xxhash.xxh3_128_digest(g.tobytes()) for g in sets]
+            pk = [xxhash.xxh3_128_digest(_prefix(g, percent).tobytes()) for g in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(g) for g in sets], pa.int64()), pa.array(sig, pa.binary()), pa.array(pk, pa.binary())],
+                                             ["id", "text_key", "n", "sig", "pk"])
+    return run
+
+
+def _halves(sig: list[bytes]) -> np.ndarray:
+    """Signatures as rows of two numbers."""
+    return np.frombuffer(b"".join(sig), ">u8").astype(np.uint64).reshape(-1, 2)
+
+
+def _part_column(parts: int):
+    """The part of a signature, by its first 32 bits, as ``hashstore.part_of`` has it."""
+    upper = F.conv(F.hex(F.substring("sig", 1, 4)), 16, 10).cast("long")
+    return F.shiftright(upper * parts, 32).cast("int")
+
+
+def _number(root: str):
+    """Rows (part, sig, n, pk, rep) sorted by them: writes the part's signatures, and its
+    classes' representatives, and gives each class its number."""
+    def run(batches):
+        import pyarrow as pa
+
+        part, sig, rep, out = None, [], [], []
+
+        def done():
+            both = _halves(sig)
+            H.write(root, "sig", part, both[:, 0].copy())
+            H.write(root, "rest", part, both[:, 1].copy())
+            H.write(root, "rep", part, np.array([-1 if r is None else r for r in rep], np.int64))
+            H.write(root, "void", part, np.array([r is None for r in rep]))
+
         for b in batches:
-            n, sig, key, prefix = [], [], [], []
-            for t in b.column(1).to_pylist():
-                g = shingle_set(t)
-                p = g[:prefix_length(len(g), percent)] if len(g) else g
-                n.append(len(g))
-                sig.append(xxhash.xxh3_128_digest(g.tobytes()))
-                key.append(xxhash.xxh3_128_digest(p.tobytes()))
-                prefix.append(p.view(np.int64))
-            ends = np.cumsum([0, *map(len, prefix)])
-            values = pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(key, pa.binary()),
-                                              pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], ["id", "n", "sig", "pk", "prefix"])
+            nodes = []
+            for p, s, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(4).to_pylist()):
+                if p != part and sig:
+                    done()
+                    sig, rep = [], []
+                part = p
+                nodes.append((p << _PART) | len(sig))
+                sig.append(s)
+                rep.append(r)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), *(b.column(i) for i in (1, 2, 3, 4))], ["node", "sig", "n", "pk", "rep"])
+        if sig:
+            done()
     return run
 
 
-def _whole_sets(batches):
-    """(node, sig, text) -> (node, set) where the text is the one the node was made of."""
-    import pyarrow as pa
+def _nodes(root: str, parts: int, sets: list[np.ndarray]) -> np.ndarray:
+    """The classes' numbers of some sets, -1 for empty ones."""
     import xxhash
 
-    for b in batches:
-        node, sets = [], []
-        for v, sig, t in zip(*(b.column(i).to_pylist() for i in range(3))):
-            g = shingle_set(t)
-            if xxhash.xxh3_128_digest(g.tobytes()) == sig:
-                node.append(v)
-                sets.append(g.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sets, pa.binary())], ["node", "set"])
+    out = np.full(len(sets), -1, np.int64)
+    full = [i for i, g in enumerate(sets) if len(g)]
+    if not full:
+        return out
+    sig = _halves([xxhash.xxh3_128_digest(sets[i].tobytes()) for i in full])
+    order = np.lexsort((sig[:, 1], sig[:, 0]))
+    place = np.array(full)[order]
+    sig = sig[order]
+    for p, a, e in H.runs(H.part_of(sig[:, 0], parts)):
+        keys, rest = H.read(root, "sig", p), H.read(root, "rest", p)
+        at = np.searchsorted(keys, sig[a:e, 0])
+        for j in np.flatnonzero(rest[at] != sig[a:e, 1]):      # two sets that share 64 bits
+            while rest[at[j]] != sig[a + j, 1]:
+                at[j] += 1
+        out[place[a:e]] = (p << _PART) | at
+    return out
+
+
+def _send_prefixes(root: str, parts: int, percent: int):
+    def run(batches):
+        import pyarrow as pa
+
+        for _, sets in _sliced(batches):
+            node = _nodes(root, parts, sets)
+            own, first = np.unique(node, return_index=True)    # a class once
+            first = first[own >= 0]
+            if not len(first):
+                continue
+            heads = [_prefix(sets[i], percent) for i in first]
+            tok = mix(np.concatenate(heads))
+            holder = np.repeat(node[first], [len(h) for h in heads])
+            order = np.argsort(tok)
+            tok, holder = tok[order], holder[order]
+            for p, a, e in H.runs(H.part_of(tok, parts)):
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([H.planes(tok[a:e])], pa.binary()), pa.array([H.planes(holder[a:e])], pa.binary())], ["part", "tok", "node"])
+    return run
 
 
-def _explode_sets(batches):
-    """(node, n, set) -> one row per hash of the set."""
+def _shared(batches):
+    """(tok, node) of the tokens that two classes or more hold."""
     import pyarrow as pa
 
+    def kept(toks, nodes):
+        tok, node = np.concatenate(toks), np.concatenate(nodes)
+        order = np.lexsort((node, tok))
+        tok, node = tok[order], node[order]
+        new = np.ones(len(tok), bool)
+        new[1:] = (tok[1:] != tok[:-1]) | (node[1:] != node[:-1])
+        tok, node = tok[new], node[new]
+        many = np.zeros(len(tok), bool)
+        same = tok[1:] == tok[:-1]
+        many[1:] |= same
+        many[:-1] |= same
+        return pa.RecordBatch.from_arrays([pa.array(tok[many].view(np.int64)), pa.array(node[many])], ["tok", "node"])
+
+    part, toks, nodes = None, [], []
     for b in batches:
-        size = np.array(b.column(1))
-        toks = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(2)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(b.column(0)), size)), pa.array(np.repeat(size, size)),
-                                          pa.array(np.concatenate(toks) if toks else np.zeros(0, np.int64))], ["node", "n", "tok"])
+        for p, t, v in zip(*(b.column(i).to_pylist() for i in range(3))):
+            if p != part and toks:
+                yield kept(toks, nodes)
+                toks, nodes = [], []
+            part = p
+            toks.append(H.unplanes(t, "u8"))
+            nodes.append(H.unplanes(v, "i8"))
+    if toks:
+        yield kept(toks, nodes)
+
+
+def _store_wanted(root: str):
+    """Nodes, sorted, of a part each: the places that are wanted."""
+    def run(batches):
+        import pyarrow as pa
+
+        part, held = None, []
+        for b in batches:
+            for p, a, e in H.runs(np.asarray(b.column(0)) >> _PART):
+                if p != part and held:
+                    H.write(root, "want", part, np.concatenate(held))
+                    held = []
+                part = p
+                held.append(np.asarray(b.column(0))[a:e])
+            yield pa.RecordBatch.from_arrays([b.column(0)], ["node"])
+        if held:
+            H.write(root, "want", part, np.concatenate(held))
+    return run
+
+
+def _write_sets(root: str, parts: int):
+    """Appends the wanted classes' sets to the task's file, each from its representative's
+    text: (node, file, at)."""
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        file, done, nodes, at = TaskContext.get().partitionId(), 0, [], []
+        os.makedirs(root, exist_ok=True)
+        own = f"{_file(root, file)}.{uuid.uuid4().hex}"
+        with open(own, "wb") as out:
+            for b, sets in _sliced(batches):
+                for v, i, g in zip(_nodes(root, parts, sets).tolist(), b.column(0).to_pylist(), sets):
+                    if v < 0:
+                        continue
+                    p, place = v >> _PART, v & ((1 << _PART) - 1)
+                    if H.find(H.read(root, "want", p), np.array([v]))[0] < 0:
+                        continue
+                    if (i is None) == bool(H.read(root, "void", p)[place]) and (i is None or i == H.read(root, "rep", p)[place]):
+                        out.write(g.tobytes())
+                        nodes.append(v)
+                        at.append(done)
+                        done += len(g)
+        os.replace(own, _file(root, file))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([file] * len(nodes), pa.int32()), pa.array(at, pa.int64())], ["node", "file", "at"])
+    return run
+
+
+def _file(root: str, file: int) -> str:
+    return os.path.join(root, f"sets-{file}")
+
+
+@functools.lru_cache(maxsize=4096)
+def _mapped(root: str, file: int) -> np.ndarray:
+    return np.memmap(_file(root, file), np.uint64, "r")
+
+
+def _read_set(root: str, file: int, at: int, n: int) -> np.ndarray:
+    return _mapped(root, file)[at:at + n]
+
+
+def _explode_sets(root: str):
+    """(node, n, file, at) -> one row per hash of the set."""
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            size = np.asarray(b.column(1))
+            for a in range(0, len(size), 256):
+                n = size[a:a + 256]
+                toks = [_read_set(root, f, x, m) for f, x, m in zip(b.column(2).slice(a, 256).to_pylist(), b.column(3).slice(a, 256).to_pylist(), n.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(b.column(0))[a:a + 256], n)), pa.array(np.repeat(n, n)),
+                                                  pa.array(np.concatenate(toks).view(np.int64))], ["node", "n", "tok"])
+    return run
 
 
-def _linked(percent: int):
-    """(u, v, set of u, set of v) -> the linked (u, v)."""
+def _linked(root: str, percent: int):
+    """(u, v, place of u's set, place of v's) -> the linked (u, v)."""
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            u, v = b.column(0).to_pylist(), b.column(1).to_pylist()
+            rows = list(zip(*(b.column(i).to_pylist() for i in range(8))))
             ok = []
-            for i, (x, y) in enumerate(zip(b.column(2), b.column(3))):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            for u, v, fu, au, nu, fv, av, nv in rows:
+                x, y = _read_set(root, fu, au, nu), _read_set(root, fv, av, nv)
                 if len(x) > len(y):
                     x, y = y, x
                 at = np.searchsorted(y, x)
                 both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
                 if 100 * both >= percent * (len(x) + len(y) - both):
-                    ok.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([u[i] for i in ok], pa.int64()), pa.array([v[i] for i in ok], pa.int64())], ["a", "b"])
+                    ok.append((u, v))
+            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in ok], pa.int64()), pa.array([v for _, v in ok], pa.int64())], ["a", "b"])
     return run
 
 
@@ -162,54 +348,62 @@ def components(edges: DataFrame) -> DataFrame:
 
 def join_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = 80, dense: int = 40) -> DataFrame:
     """One row per row of ``docs``: key, n_shingles, component_id (the smallest key reachable
-    by links), class_id (the smallest key with an equal set; the own key when it is empty).
+    by links), class_id (the smallest key with an equal set; the own key when it is empty),
+    group_id (a number of the component, which two components never share even where their
+    rows share keys; null for empty sets) and text_key (xxhash64 of the text).
 
     Null and word-less texts have no shingles and link with nothing. Rows with a null key
     join their text's class; repeated rows give repeated results.
     """
-    docs = docs.select(F.col(key).alias("id"), F.col(text).alias("t"))
-    made = spread(docs).mapInArrow(_prefixes(percent), "id bigint, n bigint, sig binary, pk binary, prefix array<bigint>")
-    made = cut_lineage(made)
-    rows = made.select("id", "n", "sig")
-    full = rows.where("n > 0").groupBy("sig").agg(F.min("id").alias("rep"))
-    # one row per distinct set, with a node number that is fixed by being written
-    nodes = made.where("n > 0").dropDuplicates(["sig"]).withColumn("node", F.monotonically_increasing_id())
-    nodes = cut_lineage(nodes)
+    spark = docs.sparkSession
+    docs = spread(docs.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("text_key"), F.col(text).alias("t")))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * docs.rdd.getNumPartitions())
+    root = H.folder(spark)
+    rows = cut_lineage(docs.mapInArrow(_describe(percent), "id bigint, text_key bigint, n bigint, sig binary, pk binary"))
+    sets = rows.where("n > 0").groupBy("sig").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("pk").alias("pk"))
+    sets = sets.select(_part_column(parts).alias("part"), "sig", "n", "pk", "rep").repartitionById(parts, "part").sortWithinPartitions("part", "sig")
+    nodes = cut_lineage(sets.mapInArrow(_number(root), "node bigint, sig binary, n bigint, pk binary, rep bigint"))
     group = nodes.groupBy("n", "pk").agg(F.min("node").alias("g"), F.count("*").alias("members"))
-    member = cut_lineage(nodes.select("node", "n", "pk", "id", "sig").join(group, ["n", "pk"]).drop("pk"))
+    member = cut_lineage(nodes.join(group, ["n", "pk"]).select("node", "n", "g", "members"))
 
-    token = nodes.select("node", "n", F.explode("prefix").alias("tok"))
-    token = token.join(member.where("node <> g").select("node"), "node", "left_anti").withColumnRenamed("node", "g")
+    texts = docs.select("id", "t")
+    sent = texts.mapInArrow(_send_prefixes(root, parts, percent), "part int, tok binary, node binary").repartitionById(parts, "part").sortWithinPartitions("part")
+    token = sent.mapInArrow(_shared, "tok bigint, node bigint").join(member.where("node = g").select("node", "n"), "node").withColumnRenamed("node", "g")
+    token = cut_lineage(token)
     linkable = F.ceil(percent * F.col("n") / 100)       # the smallest partner a set may have
     spare_of = lambda n: F.greatest(F.lit(1), F.floor(n / 10)).cast("long")  # noqa: E731  spare()
     token = _lists(token, "g", spare_of(F.col("n")), spare_of(linkable))
     probe, base = token.where("probes"), token
     fits = ((100 * F.col("nx") >= percent * F.col("ny")) & ((F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))))
-    rare = _meet(probe.where(F.col("df") <= dense), base, "g").where(fits).select("x", "y").distinct()
+    rare = cut_lineage(_meet(probe.where(F.col("df") <= dense), base, "g").where(fits).select("x", "y").distinct())
 
-    # the whole sets of the classes that can be in a pair at all
+    # groups whose common tokens may all be hot: their members' whole sets, rarest tokens first
     crowded = member.where("members > 1")
-    able = token.select("g").union(crowded.select("g")).distinct()
-    wanted = member.join(able, "g", "left_semi").select("node", "sig", "id")
-    sets = wanted.join(docs, wanted["id"].eqNullSafe(docs["id"])).select("node", "sig", "t").mapInArrow(_whole_sets, "node bigint, set binary")
-    sets = cut_lineage(sets.dropDuplicates(["node"]))
+    hot = token.where(F.col("df") > dense).groupBy("g", "n").agg(F.count("*").alias("hot")).where(F.col("hot") >= spare_of(linkable))
+    hot = cut_lineage(member.join(hot.select("g"), "g", "left_semi").select("node", "n"))
+
+    # the whole sets of the classes that a pair, a group or a hot token names
+    paired = rare.select(F.col("x").alias("g")).union(rare.select("y")).distinct()
+    wanted = member.join(paired, "g", "left_semi").select("node").union(crowded.select("node")).union(hot.select("node")).distinct()
+    wanted = wanted.repartitionById(parts, F.shiftright("node", _PART).cast("int")).sortWithinPartitions("node")
+    cut_lineage(wanted.mapInArrow(_store_wanted(root), "node bigint"))
+    lies = cut_lineage(texts.mapInArrow(_write_sets(root, parts), "node bigint, file int, at bigint").dropDuplicates(["node"]))
+    lies = cut_lineage(lies.join(member.select("node", "n"), "node"))
+
+    def place(col: str) -> DataFrame:
+        return lies.select(F.col("node").alias(col), F.col("file").alias(f"f{col}"), F.col("at").alias(f"a{col}"), F.col("n").alias(f"n{col}"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        both = (pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("su")), "u")
-                .join(sets.select(F.col("node").alias("v"), F.col("set").alias("sv")), "v"))
-        return both.select("u", "v", "su", "sv").mapInArrow(_linked(percent), "a bigint, b bigint")
+        both = pairs.join(place("u"), "u").join(place("v"), "v").select("u", "v", "fu", "au", "nu", "fv", "av", "nv")
+        return both.mapInArrow(_linked(root, percent), "a bigint, b bigint")
 
-    # groups whose common tokens may all be hot: their members' whole sets, rarest tokens first
-    hot = token.where(F.col("df") > dense).groupBy("g", "n").agg(F.count("*").alias("hot")).where(F.col("hot") >= spare_of(linkable))
-    hot = member.join(hot.select("g"), "g", "left_semi").select("node", "n")
-    whole = hot.join(sets, "node").select("node", "n", "set").mapInArrow(_explode_sets, "node bigint, n bigint, tok bigint")
+    whole = hot.join(lies.select("node", "file", "at"), "node").select("node", "n", "file", "at").mapInArrow(_explode_sets(root), "node bigint, n bigint, tok bigint")
     whole = _lists(whole, "node", linkable, linkable)
     whole = whole.unionByName(crowded.select("node", "n", F.xxhash64("g", F.lit("group")).alias("tok"), F.lit(dense + 1).cast("long").alias("df"), F.lit(True).alias("probes")))
     # a token's first pivot is the holder with the most hot tokens: of a cluster, its least edited copy
     held_hot = F.sum((F.col("df") > dense).cast("int")).over(Window.partitionBy("node"))
     whole = cut_lineage(whole.withColumn("hot", held_hot))
 
-    spark = docs.sparkSession
     links = spark.createDataFrame([], "a bigint, b bigint")
     label = spark.createDataFrame([], "node bigint, root bigint")
     crowd = whole.where(F.col("df") > dense)
@@ -229,17 +423,18 @@ def join_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     few = whole.where(F.col("df") <= dense)
     pairs = pairs.union(_meet(few.where("probes"), few, "node").where(fits).select("x", "y"))
     if busy:
-        direct, met = _beside_pivots(crowd, label, sets, percent)
+        direct, met = _beside_pivots(crowd, label, place, root, percent)
         pairs, links = pairs.union(met), links.union(direct)
     links = cut_lineage(links.union(verify(_apart(pairs.distinct(), label, "u", "v"))))
     label = components(links)
 
-    named = member.select("node", "sig").join(full, "sig").join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = nodes.select("node", "sig", "rep").join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest_id = named.groupBy("root").agg(F.min("rep").alias("component"))
-    named = named.join(smallest_id, "root").select("sig", "rep", "component")
-    out = rows.where("n > 0").join(named, "sig").select("id", "n", "component", "rep")
-    return out.union(rows.where("n = 0").select("id", "n", "id", "id")).select(
-        F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("rep").alias("class_id"))
+    named = named.join(smallest_id, "root").select("sig", "rep", "component", "root")
+    out = rows.where("n > 0").join(named, "sig").select("id", "n", "component", "rep", "root", "text_key")
+    return out.union(rows.where("n = 0").select("id", "n", "id", "id", F.lit(None).cast("long"), "text_key")).select(
+        F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("rep").alias("class_id"),
+        F.col("root").alias("group_id"), "text_key")
 
 
 def _named(df: DataFrame, label: DataFrame, col: str, out: str) -> DataFrame:
@@ -274,22 +469,24 @@ def _meet(probe: DataFrame, base: DataFrame, owner: str) -> DataFrame:
             .join(base.select("tok", F.col(owner).alias("y"), F.col("n").alias("ny")), "tok"))
 
 
-def _differences(batches):
-    """(node, n, p, np, set of node, set of p) -> one row per token of their symmetric difference."""
-    import pyarrow as pa
+def _differences(root: str):
+    """(node, n, p, np, place of node's set, place of p's) -> one row per token of their
+    symmetric difference."""
+    def run(batches):
+        import pyarrow as pa
 
-    for b in batches:
-        d, toks = [], []
-        for x, y in zip(b.column(4), b.column(5)):
-            away = np.setxor1d(np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64), assume_unique=True)
-            d.append(len(away))
-            toks.append(away)
-        d = np.array(d, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(b.column(i)), d)) for i in range(4)] + [
-            pa.array(np.repeat(d, d)), pa.array(np.concatenate(toks) if toks else np.zeros(0, np.int64))], ["node", "n", "p", "np", "d", "tok"])
+        for b in batches:
+            for a in range(0, b.num_rows, 256):
+                some = b.slice(a, 256)
+                toks = [np.setxor1d(_read_set(root, fu, au, nu), _read_set(root, fv, av, nv), assume_unique=True)
+                        for nu, nv, fu, au, fv, av in zip(*(some.column(i).to_pylist() for i in (1, 3, 4, 5, 6, 7)))]
+                d = np.array([len(t) for t in toks], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(some.column(i)), d)) for i in range(4)] + [
+                    pa.array(np.repeat(d, d)), pa.array(np.concatenate(toks).view(np.int64))], ["node", "n", "p", "np", "d", "tok"])
+    return run
 
 
-def _beside_pivots(crowd: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _beside_pivots(crowd: DataFrame, label: DataFrame, place, root: str, percent: int) -> tuple[DataFrame, DataFrame]:
     """Links of holders of hot tokens with the tokens' pivots, and the pairs of holders in
     different components that may be linked (module docstring)."""
     held = _named(crowd, label, "node", "root")
@@ -297,8 +494,8 @@ def _beside_pivots(crowd: DataFrame, label: DataFrame, sets: DataFrame, percent:
     hub = held.groupBy("tok").agg(F.min(order).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("probes").alias("probed"))
     hub = hub.where("lo <> hi and probed").select("tok", F.col("p.node").alias("p"), F.col("p.n").alias("np"))
     spoke = held.join(hub, "tok").where("node <> p").select("node", "n", "p", "np").distinct()
-    apart = (spoke.join(sets.withColumnRenamed("set", "sn"), "node").join(sets.select(F.col("node").alias("p"), F.col("set").alias("sp")), "p")
-             .select("node", "n", "p", "np", "sn", "sp").mapInArrow(_differences, "node bigint, n bigint, p bigint, np bigint, d bigint, tok bigint"))
+    apart = (spoke.join(place("node").drop("nnode"), "node").join(place("p").drop("np"), "p")
+             .select("node", "n", "p", "np", "fnode", "anode", "fp", "ap").mapInArrow(_differences(root), "node bigint, n bigint, p bigint, np bigint, d bigint, tok bigint"))
     apart = cut_lineage(apart)
     more, less = 100 + percent, 100 - percent
     near = more * F.col("d") <= less * (F.col("n") + F.col("np"))
@@ -328,4 +525,4 @@ def _beside_pivots(crowd: DataFrame, label: DataFrame, sets: DataFrame, percent:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: near-duplicate component of every document."""
-    return join_components(documents(spark, sf_dir).select("doc_id", "text"))
+    return join_components(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", "class_id")
