@@ -241,3 +241,15 @@ def test_pipeline_stages(spark, sf, odd):
     mixed = P.mix_sources(spark, odd, sf)
     assert mixed.columns == list(P.COLUMNS) and P.hide_private(spark, odd, sf).count() == odd.count()
     assert P.pack(spark, mixed, sf).agg(F.sum("length")).first()[0] > 0
+
+
+def test_one_of_each_keeps_unlike_rows_of_one_id(spark, sf, none):
+    import corpus_pipeline as P
+
+    a = " ".join(f"a{i}" for i in range(40))
+    rows = [(1, a), (1, " ".join(f"b{i}" for i in range(40))), (2, ""), (2, "one two three"), (3, a + " more"), (3, a + " more"), (4, a), (None, a), (5, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id or 0, r.text) for r in P.one_of_each(spark, docs, sf).collect()), key=str)
+    assert got == sorted([(1, a), (1, rows[1][1]), (2, ""), (2, "one two three"), (0, a), (5, None)], key=str)
+    for stage in (P.drop_toxic, P.one_of_each, P.hide_private, P.mix_sources, P.pack):
+        assert stage(spark, none, sf).count() == 0
