@@ -26,18 +26,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate component; among repeated
-    rows of that id the first by text. Documents with null id or without words all stay."""
+    """One document of each near-duplicate component: the smallest id, of its rows the one
+    with the smallest text hash. Rows that share an id but no component are told apart by
+    their texts. Documents with null id or without words all stay."""
     tune(spark)
-    docs = docs.select(*COLUMNS)
-    found = ngram_join.join_components(docs).where("component_id = doc_id").select(F.col("doc_id").alias("__id"), (F.col("n_shingles") > 0).alias("__set")).distinct()
-    kept = docs.join(found, docs["doc_id"] == found["__id"])
-    # rows that share an id: one of those with words stays, word-less ones all do
-    many = kept.where("__set").groupBy("__id").agg(F.min("text").alias("__text"), F.count("*").alias("__n")).where("__n > 1")
-    single = kept.where("__set").join(many.select("__id"), "__id", "left_anti")
-    first = kept.where("__set").join(many, (kept["__id"] == many["__id"]) & (kept["text"] == many["__text"])).dropDuplicates(["doc_id"])
-    bare = kept.where("not __set")
-    return single.select(*COLUMNS).union(first.select(*COLUMNS)).union(bare.select(*COLUMNS)).union(docs.where("doc_id is null"))
+    docs = docs.select(*COLUMNS).withColumn("__text", F.xxhash64("text"))
+    found = ngram_join.join_components(docs).where("doc_id is not null and group_id is not null")
+    # the component's first document, and which of its rows' texts it is
+    first = found.groupBy("group_id").agg(F.min(F.struct("doc_id", "text_key")).alias("f")).select(F.col("f.doc_id").alias("__id"), F.col("f.text_key").alias("__key")).distinct()
+    kept = docs.join(first, (F.col("doc_id") == F.col("__id")) & (F.col("__text") == F.col("__key")), "left_semi").dropDuplicates(["doc_id", "__text"])
+    bare = docs.where(F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    return kept.select(*COLUMNS).union(bare.select(*COLUMNS))
 
 
 def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
