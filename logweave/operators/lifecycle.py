@@ -155,18 +155,27 @@ def apply_decisions(templates: DataFrame, decisions: DataFrame) -> dict[str, Dat
 
 def confirm_merges(templates: DataFrame, results: DataFrame, threshold: int = 100) -> DataFrame:
     """Every mining-path NONE line of target T adds one confirmation to each template
-    pending into T; a pending template reaching ``threshold`` is deleted.
+    pending into T; a pending template reaching ``threshold`` is deleted. Where the table has
+    a ``staged_at`` time, only lines that arrived after it count.
     Hits are counted per target with a partial aggregate (a hot target is combined
-    map-side), then joined to the pending templates."""
-    hits = (results.where((F.col("change_type") == "NONE") & ~F.coalesce(F.col("fast_path"), F.lit(False))
-                          & ~F.coalesce(F.col("near_match"), F.lit(False)))
-            .groupBy(F.col("cluster_id").alias("merge_target_id")).agg(F.count(F.lit(1)).alias("__hits")))
-    t = templates.join(hits, "merge_target_id", "left")
+    map-side), then joined to the pending templates; with staging times, per target and
+    template over the lines of the pending targets alone."""
+    mined = ((F.col("change_type") == "NONE") & ~F.coalesce(F.col("fast_path"), F.lit(False))
+             & ~F.coalesce(F.col("near_match"), F.lit(False)))
     pending = F.col("status") == STATUS_PENDING
+    if "staged_at" in templates.columns:
+        waits = templates.where(pending).select(F.col("cluster_id").alias("__p"), F.col("merge_target_id").alias("__t"), F.col("staged_at").alias("__s"))
+        hits = (results.where(mined).join(waits, (F.col("cluster_id") == F.col("__t")) & (F.col("__s").isNull() | (F.col("arrival_ts") > F.col("__s"))))
+                .groupBy(F.col("__p").alias("cluster_id")).agg(F.count(F.lit(1)).alias("__hits")))
+        t = templates.join(hits, "cluster_id", "left")
+    else:
+        hits = results.where(mined).groupBy(F.col("cluster_id").alias("merge_target_id")).agg(F.count(F.lit(1)).alias("__hits"))
+        t = templates.join(hits, "merge_target_id", "left")
     cnt = F.when(pending, F.col("confirmation_count") + F.coalesce(F.col("__hits"), F.lit(0))).otherwise(
         F.col("confirmation_count")).cast("int")
-    t = t.withColumn("confirmation_count", cnt)
-    return t.where(~(pending & (F.col("confirmation_count") >= threshold))).select(*TEMPLATE_COLS)
+    # as in the stream, a merge is confirmed by a line: counts alone delete nothing
+    done = pending & (cnt >= threshold) & F.col("__hits").isNotNull()
+    return t.where(~F.coalesce(done, F.lit(False))).withColumn("confirmation_count", cnt).select(*TEMPLATE_COLS)
 
 
 # ---------------------------------------------------------------------------
