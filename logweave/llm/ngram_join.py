@@ -501,9 +501,9 @@ def _beside_pivots(crowd: DataFrame, label: DataFrame, place, root: str, percent
     near = more * F.col("d") <= less * (F.col("n") + F.col("np"))
     direct = apart.where(near).select(F.greatest("node", "p").alias("a"), F.least("node", "p").alias("b")).distinct()
 
-    shared = apart.groupBy("p", "tok").agg(F.count("*").alias("df")).where("df > 1")
     mine = Window.partitionBy("p", "node")
-    lists = apart.join(shared, ["p", "tok"]).withColumns({
+    shared = apart.withColumn("df", F.count("*").over(Window.partitionBy("p", "tok"))).where("df > 1")
+    lists = shared.withColumns({
         "h": F.count("*").over(mine), "rank": F.row_number().over(mine.orderBy("df", "tok")), "far": ~near})
     # what a set has alone counts against every partner, the largest of which is n / t
     lists = lists.where(percent * (F.col("d") - F.col("h")) <= less * F.col("n"))
