@@ -148,21 +148,35 @@ def _compared(ids, own: list[str], other: list[str]):
         # within a sorted block the next row's fingerprint is mostly at hand
         seen = dict.fromkeys(x + y + edited)
         seen = dict(zip(seen, fingerprints(list(seen))))
-        cols: list[list] = [[] for _ in range(6)]
+        cols: list[list] = [[] for _ in range(8)]
         for t, o, z in zip(x, y, edited):
             f, g = seen[t], seen[z]
-            for c, v in zip(cols, (len(t), hashlib.sha256(z.encode("utf-8", "surrogatepass")).hexdigest(), f, g, likeness(f, g), likeness(f, seen[o]))):
+            names = [bytes.fromhex(h) for p in (f, g) for h in p.split("-")]
+            for c, v in zip(cols, (len(t), hashlib.sha256(z.encode("utf-8", "surrogatepass")).digest(), *names, likeness(f, g), likeness(f, seen[o]))):
                 c.append(v)
-        kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
         empty = [pa.nulls(e - a, k) for k in (pa.int32(), pa.string(), pa.string())]
-        yield pa.RecordBatch.from_arrays([ids.slice(a, e - a), *(pa.array(c, k) for c, k in zip(cols, kinds)), *empty], _NAMES)
+        yield pa.RecordBatch.from_arrays([ids.slice(a, e - a), *(pa.array(c, k) for c, k in zip(cols, _kinds())), *empty], _NAMES)
         a = e
 
 
-_RESULTS = "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+# hashes as bytes: half of what their digits take where results are written
+_RESULTS = "n_chars bigint, sha binary, low binary, high binary, edited_low binary, edited_high binary, near_edited double, near_next double"
 _NAMES = ["doc_id", *(c.split()[0] for c in _RESULTS.split(", ")), "part", "head", "last"]
 
 
+def _kinds():
+    import pyarrow as pa
+
+    return [{"bigint": pa.int64(), "binary": pa.binary(), "double": pa.float64()}[c.split()[1]] for c in _RESULTS.split(", ")]
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    """The results with their hashes as digits."""
+    digits = lambda c: F.lower(F.hex(c))
+    return df.select("doc_id", "n_chars", digits("sha").alias("edited_sha256"), F.concat(digits("low"), F.lit("-"), digits("high")).alias("fingerprint"),
+                     F.concat(digits("edited_low"), F.lit("-"), digits("edited_high")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 def _along(batches):
     """Rows (id, t) of a sorted partition: results of all but its last one, and a row with the
     partition's number, its first text, and its last id and text."""
@@ -184,15 +198,14 @@ def _along(batches):
         yield from _compared(of, own, ts[1:])
         held = (ids.slice(len(ids) - 1), ts[-1])
     if held is not None:
-        kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-        yield pa.RecordBatch.from_arrays([held[0], *(pa.nulls(1, k) for k in kinds), pa.array([part], pa.int32()), pa.array([head]), pa.array([held[1]])], _NAMES)
+        yield pa.RecordBatch.from_arrays([held[0], *(pa.nulls(1, k) for k in _kinds()), pa.array([part], pa.int32()), pa.array([head]), pa.array([held[1]])], _NAMES)
 
 
 def _ends(batches):
     """(id, t, o): the partitions' last rows, with the next partition's first text."""
     for b in batches:
         for r in _compared(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()):
-            yield r.select(_NAMES[:7])
+            yield r.select(_NAMES[:9])
 
 
 def compare_edits(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -214,7 +227,7 @@ def compare_edits(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -
     first = F.first("head").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     ends = ends.withColumn("o", F.coalesce(F.lead("head").over(around), first)).select("id", "t", "o")
     ends = ends.mapInArrow(_ends, f"doc_id {kind}, {_RESULTS}")
-    return made.where("part is null").select(ends.columns).union(ends)
+    return _shown(made.where("part is null").select(ends.columns).union(ends))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
