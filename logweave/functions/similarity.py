@@ -31,32 +31,6 @@ def char_similarity_py(a, b) -> float:
     return difflib.SequenceMatcher(None, a, b).ratio()
 
 
-@F.pandas_udf(T.DoubleType())
-def literal_similarity(literal_tokens: pd.Series, line: pd.Series) -> pd.Series:
-    return pd.Series([literal_similarity_py(a, b) for a, b in zip(literal_tokens, line)], dtype="float64")
-
-
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def literal_similarities(candidates: pd.Series, line: pd.Series) -> pd.Series:
-    """Scores of one line against each candidate's literal tokens (array in, array out)."""
-    out = []
-    for cands, ln in zip(candidates, line):
-        if cands is None:
-            out.append([])
-            continue
-        toks = ln.split() if ln is not None else []
-        row = []
-        for lits in cands:
-            lits = list(lits) if lits is not None else []
-            if not lits:
-                row.append(0.0)
-                continue
-            sm = difflib.SequenceMatcher(None, lits, toks, autojunk=False)
-            row.append(sum(b.size for b in sm.get_matching_blocks()) / len(lits))
-        out.append(row)
-    return pd.Series(out)
-
-
 @F.pandas_udf(T.DoubleType())
 def char_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([char_similarity_py(x, y) for x, y in zip(a, b)], dtype="float64")

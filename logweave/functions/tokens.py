@@ -7,6 +7,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WILDCARD = "<*>"
+# fixed value: the characters at which Python's ``str.split()`` cuts, as a Java / RE2 class
+PY_SPACE = r"[\t\n\x0B\f\r\x1C-\x1F \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 # A token is a wildcard iff the whole token is "<...>" with no '>' inside.
 WILDCARD_TOKEN_RE = r"^<[^>]*>$"
 
@@ -35,9 +37,10 @@ LABEL_VOCAB = (
 
 
 def tokens(text: Column) -> Column:
-    """Whitespace tokens, leading/trailing whitespace ignored; '' gives []."""
-    stripped = F.regexp_replace(text, r"^\s+|\s+$", "")
-    return F.when(stripped == "", F.array().cast("array<string>")).otherwise(F.split(stripped, r"\s+"))
+    """Whitespace tokens (as ``str.split()`` cuts them), leading/trailing whitespace
+    ignored; '' gives []."""
+    stripped = F.regexp_replace(text, f"^{PY_SPACE}+|{PY_SPACE}+$", "")
+    return F.when(stripped == "", F.array().cast("array<string>")).otherwise(F.split(stripped, f"{PY_SPACE}+"))
 
 
 def token_count(text: Column) -> Column:

@@ -14,11 +14,9 @@ its size is counted before broadcasting, and beyond ``max_broadcast_templates``
 join runs as a shuffle join (AQE splits skewed token-count partitions).
 
 Near match (J2/F1/W2). Lines with no strict match are tested against every template
-that has literals: all literals must occur in order as substrings (native ``locate``
-fold); survivors are scored with the token-level ``SequenceMatcher`` (Arrow pandas UDF);
-the best score wins, earlier (more specific) templates win ties; NEAR when >= threshold.
-Template literals are shipped inside the expression in chunks (configuration-sized, like
-the rule table), so this pass is also shuffle-free.
+that has literals: all literals must occur in order as substrings, and the best token-level
+``SequenceMatcher`` score wins; NEAR when >= threshold. The registry's index and the one pass a
+line are in ``near``.
 """
 
 from __future__ import annotations
@@ -26,32 +24,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logweave.functions.similarity import literal_similarities, literal_similarity
-from logweave.functions.tokens import tokens
-from logweave.session import cut_lineage
+from logweave.functions.tokens import PY_SPACE, tokens
+from logweave.operators.near import SHARD, best_near, candidate_ids
 
 DEFAULT_NEAR_THRESHOLD = 0.85
 MAX_BROADCAST_TEMPLATES = 200_000
-LOOSE_CHUNK = 5_000
-MAX_INLINE_TEMPLATES = 2_000
-
-
-# the characters Python's str.split() treats as whitespace (the similarity splits that way)
-_PY_WS = "[\\t\\n\\x0B\\f\\r\\x1C-\\x1F \\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
-
-
-def py_tokens(line: Column) -> Column:
-    """Tokens exactly as Python's ``str.split()`` cuts them."""
-    return F.split(F.regexp_replace(line, f"^{_PY_WS}+|{_PY_WS}+$", ""), f"{_PY_WS}+")
-
-
-def score_bound_ok(lits: Column, toks: Column, threshold: float) -> Column:
-    """Exact prefilter: a literal counts as matched only if it equals a line token, so
-    (literals present among the line's tokens) / (literals) bounds the similarity from
-    above; a candidate below ``threshold`` cannot be the NEAR result."""
-    present = F.size(F.filter(lits, lambda x: F.array_contains(toks, x)))
-    return present >= F.lit(threshold) * F.size(lits) - F.lit(1e-9)
-
 
 def _priority_sorted(cands: Column) -> Column:
     return F.array_sort(cands, lambda a, b: F.when(a["literal_count"] != b["literal_count"],
@@ -87,7 +64,7 @@ def strict_match(lines: DataFrame, compiled: DataFrame, line_col: str = "line",
                  max_broadcast_templates: int = MAX_BROADCAST_TEMPLATES) -> DataFrame:
     """J1 + W1: adds ``exact_cluster_id``, ``exact_literal_count``, ``matched_fields``."""
     line = F.col(line_col)
-    stripped = F.regexp_replace(line, r"^\s+|\s+$", "")
+    stripped = F.regexp_replace(line, f"^{PY_SPACE}+|{PY_SPACE}+$", "")
     ws_ok = (line == stripped) | (line == F.concat(stripped, F.lit("\n")))
     x = lines.withColumn("__toks", tokens(line)).withColumn("__ws_ok", ws_ok)
     x = x.withColumn("__n", F.size("__toks"))
@@ -115,211 +92,26 @@ def strict_match(lines: DataFrame, compiled: DataFrame, line_col: str = "line",
             .drop("__toks", "__ws_ok", "__n", "__f", "__c1", "__c2", "__best"))
 
 
-def _loose_expr(chunk, line: Column) -> Column:
-    """Array of (idx, literals) for templates of ``chunk`` whose literals occur in order."""
-    cands = F.array(*[F.struct(F.lit(i).alias("idx"),
-                               F.array(*[F.lit(t) for t in lits]).alias("lits"))
-                      for i, lits in chunk])
-
-    def found(c):
-        pos = F.aggregate(c["lits"], F.lit(1), lambda p, lit: F.when(
-            (p > 0) & (F.instr(F.substring(line, p, 1 << 30), lit) > 0),
-            p + F.instr(F.substring(line, p, 1 << 30), lit) - 1 + F.length(lit)).otherwise(F.lit(0)))
-        return pos > 0
-    return F.filter(cands, found)
-
-
-def _near_match_inline(lines: DataFrame, compiled: DataFrame, line_col: str = "line",
-                       threshold: float = DEFAULT_NEAR_THRESHOLD, only_when: Column | None = None,
-                       chunk_size: int = LOOSE_CHUNK, with_priority: bool = False,
-                       prune: bool = True) -> DataFrame:
-    """Inline form: template literals are compiled into the expression (small registries)."""
-    rows = (compiled.where(F.col("literal_count") > 0)
-            .select("cluster_id", "literal_tokens", "literal_count", "registry_seq")
-            .orderBy(F.desc("literal_count"), F.asc("registry_seq")).collect())
-    line = F.col(line_col)
-    gate = only_when if only_when is not None else F.lit(True)
-    if not rows:
-        out = lines.withColumn("near_cluster_id", F.lit(None).cast("string")).withColumn(
-            "similarity", F.lit(None).cast("double"))
-        if with_priority:
-            out = out.withColumn("near_literal_count", F.lit(None).cast("int")).withColumn(
-                "near_seq", F.lit(None).cast("bigint"))
-        return out
-    ids = [r.cluster_id for r in rows]
-    lcs = [int(r.literal_count) for r in rows]
-    seqs = [int(r.registry_seq) if r.registry_seq is not None else 0 for r in rows]
-    out = lines
-    parts = []
-    for start in range(0, len(rows), chunk_size):
-        chunk = [(start + i, list(r.literal_tokens)) for i, r in enumerate(rows[start:start + chunk_size])]
-        name = f"__loose{start}"
-        out = out.withColumn(name, F.when(gate, _loose_expr(chunk, line)).otherwise(F.array()))
-        parts.append(F.col(name))
-    out = out.withColumn("__cand", F.concat(*parts) if len(parts) > 1 else parts[0])
-    if prune and threshold > 0:
-        toks = py_tokens(line)
-        out = out.withColumn("__cand", F.filter("__cand", lambda c: score_bound_ok(c["lits"], toks, threshold)))
-    out = out.withColumn("__scores", F.when(F.size("__cand") > 0, literal_similarities(
-        F.transform("__cand", lambda c: c["lits"]), line)))
-    best = F.array_max("__scores")
-    first_best = F.array_position("__scores", best)  # earliest = most specific on ties
-    idx = F.when(F.size("__cand") > 0, F.try_element_at("__cand", first_best.cast("int"))["idx"])
-    id_arr = F.array(*[F.lit(i) for i in ids])
-    ok = best >= F.lit(threshold)
-    out = (out.withColumn("near_cluster_id", F.when(ok, F.try_element_at(id_arr, (idx + 1).cast("int"))))
-           .withColumn("similarity", F.when(ok, best)))
-    if with_priority:
-        out = (out.withColumn("near_literal_count", F.when(ok, F.try_element_at(
-                   F.array(*[F.lit(v) for v in lcs]), (idx + 1).cast("int"))))
-               .withColumn("near_seq", F.when(ok, F.try_element_at(
-                   F.array(*[F.lit(v).cast("bigint") for v in seqs]), (idx + 1).cast("int")))))
-    return out.drop("__cand", "__scores", *[f"__loose{s}" for s in range(0, len(rows), chunk_size)])
-
-
-def loose_candidates(lines: DataFrame, compiled: DataFrame, line_col: str = "line",
-                     chunk_size: int = LOOSE_CHUNK, max_inline_templates: int = MAX_INLINE_TEMPLATES) -> DataFrame:
+def loose_candidates(lines: DataFrame, compiled: DataFrame, line_col: str = "line", shard: int = SHARD) -> DataFrame:
     """J2 / P5 candidate test: adds ``loose_ids``, the templates (with literals) whose
-    literals all occur in the line in order, most specific first. Small registries are
-    compiled into the expression; large ones use the exact rarest-q-gram index."""
-    if compiled.where(F.col("literal_count") > 0).count() > max_inline_templates:
-        return _loose_candidates_indexed(lines, compiled, line_col, chunk_size)
-    rows = (compiled.where(F.col("literal_count") > 0)
-            .select("cluster_id", "literal_tokens", "literal_count", "registry_seq")
-            .orderBy(F.desc("literal_count"), F.asc("registry_seq")).collect())
-    if not rows:
-        return lines.withColumn("loose_ids", F.array().cast("array<string>"))
-    ids = F.array(*[F.lit(r.cluster_id) for r in rows])
-    parts = [_loose_expr([(start + i, list(r.literal_tokens)) for i, r in enumerate(rows[start:start + chunk_size])],
-                         F.col(line_col)) for start in range(0, len(rows), chunk_size)]
-    cand = F.concat(*parts) if len(parts) > 1 else parts[0]
-    return lines.withColumn("loose_ids", F.transform(cand, lambda c: F.element_at(ids, c["idx"] + 1)))
-
-
-def _loose_candidates_indexed(lines: DataFrame, compiled: DataFrame, line_col: str, chunk_size: int,
-                              q: int = 3) -> DataFrame:
-    """Indexed form of :func:`loose_candidates`: candidate pairs from the rarest-q-gram
-    index, verified exactly, listed per line in specificity order (the list per line is
-    bounded by the registry); templates with only short literals use the inline form."""
-    t = compiled.where(F.col("literal_count") > 0).select(
-        "cluster_id", "literal_tokens", F.col("literal_count").cast("int").alias("literal_count"),
-        F.col("registry_seq").cast("bigint").alias("registry_seq"),
-        F.aggregate("literal_tokens", F.lit(0), lambda m, x: F.greatest(m, F.length(x))).alias("__maxlen"))
-    long_t, short_t = t.where(F.col("__maxlen") >= q), t.where(F.col("__maxlen") < q)
-    need = cut_lineage(lines.select(F.col("line_id").alias("__lid"), F.col(line_col).alias("__line")))
-    grams = need.select("__lid", F.explode(F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length("__line") - q + 1, F.lit(1))),
-        lambda i: F.substring("__line", i, q)))).alias("__g"))
-    freq = grams.groupBy("__g").agg(F.count(F.lit(1)).alias("__fq"))
-    tgrams = long_t.select("cluster_id", F.explode(F.array_distinct(F.flatten(F.transform(
-        F.filter("literal_tokens", lambda x: F.length(x) >= q),
-        lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - q + 1), lambda i: F.substring(x, i, q)))))).alias("__g"))
-    pick = (tgrams.join(freq, "__g", "left")
-            .groupBy("cluster_id").agg(F.min_by("__g", F.coalesce(F.col("__fq"), F.lit(0))).alias("__g")))
-    idx = long_t.join(pick, "cluster_id").select("__g", "cluster_id", "literal_tokens", "literal_count", "registry_seq")
-    pairs = (grams.join(idx, "__g").drop("__g").join(need, "__lid")
-             .where(_loose_col(F.col("literal_tokens"), F.col("__line"))))
-    per = pairs.groupBy("__lid").agg(F.array_sort(F.collect_list(
-        F.struct((-F.col("literal_count")).alias("nlc"), F.col("registry_seq").alias("seq"),
-                 F.col("cluster_id").alias("id")))).alias("__long"))
-    out = lines.join(per, F.col("line_id") == F.col("__lid"), "left").drop("__lid")
-    if short_t.limit(1).count() > 0:
-        rows = short_t.orderBy(F.desc("literal_count"), F.asc("registry_seq")).collect()
-        meta = F.array(*[F.struct(F.lit(-int(r.literal_count)).alias("nlc"), F.lit(int(r.registry_seq)).cast("bigint").alias("seq"),
-                                  F.lit(r.cluster_id).alias("id")) for r in rows])
-        parts = [_loose_expr([(start + i, list(r.literal_tokens)) for i, r in enumerate(rows[start:start + chunk_size])],
-                             F.col(line_col)) for start in range(0, len(rows), chunk_size)]
-        cand = F.concat(*parts) if len(parts) > 1 else parts[0]
-        short = F.transform(cand, lambda c: F.element_at(meta, c["idx"] + 1))
-    else:
-        short = F.array()
-    both = F.array_sort(F.concat(F.coalesce(F.col("__long"), F.array()), short))
-    return out.withColumn("loose_ids", F.transform(both, lambda c: c["id"])).drop("__long")
-
-
-def _loose_col(lits: Column, line: Column) -> Column:
-    """All literals occur in order as substrings (column form of the inline test)."""
-    pos = F.aggregate(lits, F.lit(1), lambda p, lit: F.when(
-        (p > 0) & (F.instr(F.substring(line, p, 1 << 30), lit) > 0),
-        p + F.instr(F.substring(line, p, 1 << 30), lit) - 1 + F.length(lit)).otherwise(F.lit(0)))
-    return (F.size(lits) > 0) & (pos > 0)
-
-
-def _near_match_indexed(lines: DataFrame, compiled: DataFrame, line_col: str, threshold: float,
-                        only_when: Column | None, q: int = 3, prune: bool = True) -> DataFrame:
-    """Indexed form for large registries (exact). A template can loosely match a line only
-    if the line contains all its literals, hence every q-gram of them: each template is
-    indexed on its rarest q-gram (by line frequency) and equi-joined to the lines' distinct
-    q-grams; candidates are verified with the exact in-order test and scored, and the best
-    template per line is an aggregate over candidate pairs already partitioned by line id.
-    Templates whose literals are all shorter than q use the inline form."""
-    t = compiled.where(F.col("literal_count") > 0).select(
-        "cluster_id", "literal_tokens", F.col("literal_count").cast("int").alias("literal_count"),
-        F.col("registry_seq").cast("bigint").alias("registry_seq"),
-        F.aggregate("literal_tokens", F.lit(0), lambda m, x: F.greatest(m, F.length(x))).alias("__maxlen"))
-    long_t = t.where(F.col("__maxlen") >= q)
-    short_t = t.where(F.col("__maxlen") < q)
-    gate = only_when if only_when is not None else F.lit(True)
-    # the lines to test feed both the gram frequencies and the probe: materialise once
-    need = cut_lineage(lines.where(gate).select(F.col("line_id").alias("__lid"), F.col(line_col).alias("__line")))
-    grams = need.select("__lid", F.explode(F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length("__line") - q + 1, F.lit(1))),
-        lambda i: F.substring("__line", i, q)))).alias("__g"))
-    # every q-gram of every literal must occur in a matching line: index each template on
-    # its rarest one (line frequency, a partial aggregate over distinct grams)
-    freq = grams.groupBy("__g").agg(F.count(F.lit(1)).alias("__fq"))
-    tgrams = long_t.select("cluster_id", F.explode(F.array_distinct(F.flatten(F.transform(
-        F.filter("literal_tokens", lambda x: F.length(x) >= q),
-        lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - q + 1), lambda i: F.substring(x, i, q)))))).alias("__g"))
-    pick = (tgrams.join(freq, "__g", "left")
-            .groupBy("cluster_id").agg(F.min_by("__g", F.coalesce(F.col("__fq"), F.lit(0))).alias("__g")))
-    idx = long_t.join(pick, "cluster_id").select("__g", "cluster_id", "literal_tokens", "literal_count",
-                                                 "registry_seq")
-    pairs = grams.join(idx, "__g").drop("__g").join(need, "__lid")
-    pairs = pairs.where(_loose_col(F.col("literal_tokens"), F.col("__line")))
-    if prune and threshold > 0:
-        pairs = pairs.where(score_bound_ok(F.col("literal_tokens"), py_tokens(F.col("__line")), threshold))
-    pairs = pairs.withColumn("__score", literal_similarity(F.col("literal_tokens"), F.col("__line")))
-    # best = highest score, then the most specific template (literal count desc, seq asc)
-    order = F.struct(F.col("__score").alias("s"), F.col("literal_count").alias("lc"),
-                     (-F.col("registry_seq")).alias("ns"), F.col("cluster_id").alias("id"))
-    best = pairs.groupBy("__lid").agg(F.max(order).alias("__bl"))
-    out = lines.join(best, F.col("line_id") == F.col("__lid"), "left").drop("__lid")
-    out = _near_match_inline(out, short_t, line_col, 0.0, only_when, with_priority=True)
-    short = F.when(F.col("near_cluster_id").isNotNull(), F.struct(
-        F.col("similarity").alias("s"), F.col("near_literal_count").alias("lc"),
-        (-F.col("near_seq")).alias("ns"), F.col("near_cluster_id").alias("id")))
-    win = F.greatest(F.col("__bl"), short)
-    out = out.withColumn("__win", win).drop("near_cluster_id", "similarity", "near_literal_count", "near_seq")
-    ok = F.col("__win.s") >= F.lit(threshold)
-    return (out.withColumn("near_cluster_id", F.when(ok, F.col("__win.id")))
-            .withColumn("similarity", F.when(ok, F.col("__win.s")))
-            .drop("__bl", "__win"))
+    literals all occur in the line in order, most specific first."""
+    return candidate_ids(lines, compiled, F.col(line_col), shard)
 
 
 def near_match(lines: DataFrame, compiled: DataFrame, line_col: str = "line",
-               threshold: float = DEFAULT_NEAR_THRESHOLD, only_when: Column | None = None,
-               chunk_size: int = LOOSE_CHUNK, max_inline_templates: int = MAX_INLINE_TEMPLATES,
-               prune: bool = True) -> DataFrame:
-    """J2 + F1 + W2: adds ``near_cluster_id`` and ``similarity`` (NULL below threshold).
-
-    Registries up to ``max_inline_templates`` templates with literals (counted first) are
-    compiled into the expression; larger ones use the exact q-gram candidate index."""
-    n = compiled.where(F.col("literal_count") > 0).count()
-    if n <= max_inline_templates:
-        return _near_match_inline(lines, compiled, line_col, threshold, only_when, chunk_size, prune=prune)
-    return _near_match_indexed(lines, compiled, line_col, threshold, only_when, prune=prune)
+               threshold: float = DEFAULT_NEAR_THRESHOLD, only_when: Column | None = None, shard: int = SHARD) -> DataFrame:
+    """J2 + F1 + W2: adds ``near_cluster_id`` and ``similarity`` (NULL below threshold); the
+    best score wins, then the more specific, the earlier and the smaller id. Lines that
+    ``only_when`` leaves out are not looked at."""
+    line = F.col(line_col) if only_when is None else F.when(only_when, F.col(line_col))
+    return best_near(lines, compiled, line, threshold, shard)
 
 
 def fast_path(lines: DataFrame, compiled: DataFrame, line_col: str = "line",
-              threshold: float = DEFAULT_NEAR_THRESHOLD,
-              max_inline_templates: int = MAX_INLINE_TEMPLATES) -> DataFrame:
-    """U1 dispatch: exactly one row per line with ``match_kind`` EXACT / NEAR / NONE.
-    Works on streaming lines too (stream-static joins; pass a large
-    ``max_inline_templates`` there, the indexed near pass needs a batch input)."""
+              threshold: float = DEFAULT_NEAR_THRESHOLD) -> DataFrame:
+    """U1 dispatch: exactly one row per line with ``match_kind`` EXACT / NEAR / NONE."""
     s = strict_match(lines, compiled, line_col)
-    n = near_match(s, compiled, line_col, threshold, only_when=F.col("exact_cluster_id").isNull(),
-                   max_inline_templates=max_inline_templates)
+    n = near_match(s, compiled, line_col, threshold, only_when=F.col("exact_cluster_id").isNull())
     kind = (F.when(F.col("exact_cluster_id").isNotNull(), "EXACT")
             .when(F.col("near_cluster_id").isNotNull(), "NEAR").otherwise("NONE"))
     return (n.withColumn("match_kind", kind)

@@ -45,7 +45,6 @@ from __future__ import annotations
 
 import bisect
 import hashlib
-import re
 
 import numpy as np
 import pandas as pd
@@ -173,14 +172,9 @@ def fold_with_kinds(token_lists, sim_th: float, templates=()):
     return ords, kinds, after, [state.text(i) for i in range(state.size)]
 
 
-_JAVA_WS = " \t\n\x0b\f\r"  # the characters of Java's \\s (tokens() splits on these)
-_SPLIT = re.compile("[" + re.escape(_JAVA_WS) + "]+")
-
-
 def _split(text) -> list[str]:
-    if text is None:
-        return []
-    return [t for t in _SPLIT.split(text.strip(_JAVA_WS)) if t] if text else []
+    """Tokens as the column function ``tokens`` cuts them."""
+    return text.split() if text else []
 
 
 # Rows of a key (-1 where a number is missing: pandas reads longs with nulls as floats). SEED and LINE go in; a change (CREATE / UPDATE) of the history is a LINE that

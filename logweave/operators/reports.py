@@ -141,6 +141,43 @@ def pipeline_counters(results: DataFrame, decisions: DataFrame | None = None) ->
     return out.unionByName(zeros)
 
 
+def interval_counters(results: DataFrame, interval: str = "60 seconds", time_col: str = "arrival_ts") -> DataFrame:
+    """(interval_start, counter, value): the counters of ``pipeline_counters`` that results
+    give, per event-time interval; lines without a time have a null interval."""
+    fast, near = F.coalesce(F.col("fast_path"), F.lit(False)), F.coalesce(F.col("near_match"), F.lit(False))
+    mining = ~fast & ~near
+    sums = {
+        "logs_ingested": F.count(F.lit(1)),
+        "templates_created": F.count_if(F.col("change_type") == "CREATE"),
+        "templates_updated": F.count_if(F.col("change_type") == "UPDATE"),
+        "ocsf_matched": F.count_if(mining & F.col("ocsf").isNotNull()),
+        "ocsf_unmatched": F.count_if(mining & F.col("ocsf").isNull()),
+        "fast_path_hits": F.count_if(fast),
+        "near_match_queued": F.count_if(near),
+    }
+    # two aggregates: `window` drops rows without a time
+    at = results.withColumn("interval_start", F.window(F.col(time_col).cast("timestamp"), interval)["start"])
+    untimed = results.where(F.col(time_col).isNull()).withColumn("interval_start", F.lit(None).cast("timestamp"))
+    by = at.unionByName(untimed).groupBy("interval_start").agg(*(v.alias(k) for k, v in sums.items()))
+    pairs = F.array(*[F.struct(F.lit(c).alias("counter"), F.col(c).cast("bigint").alias("value")) for c in sums])
+    return by.select("interval_start", F.explode(pairs).alias("kv")).select("interval_start", "kv.counter", "kv.value")
+
+
+def counter_snapshots(counters: DataFrame, interval: str = "60 seconds") -> DataFrame:
+    """(interval_start, counter, value) with the running value of all counters at the end
+    of every interval from the first to the last one, also of those without lines. Counters of
+    the reviewer's side stay 0 here."""
+    timed = counters.where("interval_start is not null")
+    sums = timed.groupBy("interval_start", "counter").agg(F.sum("value").alias("value"))
+    # one row per interval
+    span = timed.agg(F.min("interval_start").alias("a"), F.max("interval_start").alias("b")).where("a is not null")
+    spine = span.select(F.explode(F.expr(f"sequence(a, b, interval {interval})")).alias("interval_start"))
+    every = spine.select("interval_start", F.explode(F.lit(list(COUNTERS))).alias("counter"))
+    w = Window.partitionBy("counter").orderBy("interval_start")
+    return (every.join(sums, ["interval_start", "counter"], "left")
+            .withColumn("value", F.sum(F.coalesce("value", F.lit(0))).over(w).cast("bigint")).select("interval_start", "counter", "value"))
+
+
 def cluster_sizes(results: DataFrame) -> DataFrame:
     """Lines seen per cluster (reservoir counts): exact and mining paths."""
     return (results.where(_has_cluster(F.col("cluster_id")) & ~F.coalesce(F.col("near_match"), F.lit(False)))

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logweave.functions import masks as M
@@ -412,6 +412,37 @@ def strict_match_event_lines(spark, sf_dir):
                     F.coalesce(_render_map(F.col("matched_fields")), F.lit("")).alias("fields"))
 
 
+# Every other template is approved: its lines take the fast path, the others are mined.
+_REGISTRY_SQL = _KEY_TPL_SQL.replace("WHERE lt.ws_ok AND", "WHERE ct.seq % 2 = 0 AND lt.ws_ok AND").format(
+    masked=M.sql_mask_chain(EVENT_LINES_SQL, "line_id", with_extractions=False), src=EVENT_LINES_SQL)
+
+
+def _registry_ingest_sql() -> str:
+    rest = f"SELECT * FROM ({EVENT_LINES_SQL}) WHERE line_id NOT IN (SELECT line_id FROM ({_REGISTRY_SQL}))"
+    return _kg_sql(rest) + f"""SELECT line_id, key, true AS fast_path, 'NONE' AS change_type, '' AS template, fields FROM ({_REGISTRY_SQL})
+UNION ALL SELECT line_id, key, false, change_type, template, '' FROM r0"""
+
+
+def _registry_result(results):
+    from logweave.functions.tokens import tokens
+    from logweave.operators.mining import mining_key
+
+    key = F.when(F.col("fast_path"), F.col("cluster_id")).otherwise(mining_key(tokens(F.col("processed"))))
+    return results.select("line_id", key.alias("key"), "fast_path", "change_type", F.when(F.col("fast_path"), "").otherwise(F.col("template")).alias("template"),
+                          F.coalesce(_render_map(F.col("matched_fields")), F.lit("")).alias("fields"))
+
+
+@register("ingest_registry_events", _registry_ingest_sql())
+def ingest_registry_events(spark, sf_dir):
+    """J5 + U1: ingest with an approved registry; exact lines carry their template's fields,
+    the others are mined (threshold 0)."""
+    from logweave.plans.ingest import ingest
+
+    lines, compiled = _key_templates(spark, sf_dir)
+    out = ingest(lines, compiled=compiled.where("registry_seq % 2 = 0"), sim_th=0.0, near_threshold=1.1)
+    return _registry_result(out.results)
+
+
 @register("near_match_event_lines")
 def near_match_event_lines(spark, sf_dir):
     """U1 dispatch (J1 strict, then J2 loose + F1 similarity >= 0.85) of every raw line:
@@ -746,18 +777,120 @@ def stream_metrics_events(spark, sf_dir):
     return r.groupBy("window_start").agg(F.max_by("logs_ingested", "batch_id").alias("logs_ingested"))
 
 
-@register("stream_mine_events")
+STREAM_PARTS = 4
+
+
+def _as_stream(spark, lines, id_col="line_id", parts=STREAM_PARTS):
+    """``lines`` as a file stream: equal ranges of the id, written one after the other, one a
+    micro-batch."""
+    from logweave.streaming.ingest import stream_dir
+
+    base = stream_dir(spark, "lines")
+    lines = cut_lineage(lines)
+    part = F.floor((F.col(id_col) - F.col("__lo")) * parts / (F.col("__hi") - F.col("__lo") + 1))
+    ends = lines.agg(F.min(id_col).alias("__lo"), F.max(id_col).alias("__hi"))
+    dealt = cut_lineage(lines.crossJoin(F.broadcast(ends)).withColumn("__part", part.cast("int")).drop("__lo", "__hi"))   # one row of bounds
+    for i in range(parts):
+        dealt.where(F.col("__part") == i).drop("__part").coalesce(1).write.parquet(f"{base}/part{i}")
+    return spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(base)
+
+
+def _event_stream_lines(spark, sf_dir):
+    return event_log_lines(spark, sf_dir).withColumn("arrival_ts", F.col("arrival_ts").cast("timestamp"))
+
+
+@register("stream_mine_events", _mine_sql(EVENT_LINES_SQL))
 def stream_mine_events(spark, sf_dir):
-    """R1 + R2: stateful streaming mining of the event lines (state = cluster templates
-    per key, RocksDB-compatible); per cluster the latest template and its line count."""
+    """R2: the first half of the event lines mined as a batch, the second half by a stateful
+    stream (four micro-batches) that starts from the batch's clusters; template and lines of
+    every cluster, the templates from the stream's state."""
     from logweave.functions.masks import mask_only
-    from logweave.streaming.ingest import event_line_stream, run_to_completion, stream_dir, stream_mine
-
+    from logweave.operators.mining import change_points, mine_templates
+    from logweave.streaming.ingest import run_to_completion, stream_dir
+    from logweave.streaming.stateful import cluster_table, clusters_in_state, mine_stream
+
+    masked = cut_lineage(mask_only(event_log_lines(spark, sf_dir)).select("line_id", "line", "processed"))
+    half = masked.agg(F.floor((F.min("line_id") + F.max("line_id")) / 2).alias("h")).first().h
+    first = cut_lineage(mine_templates(masked.where(F.col("line_id") <= half)))
+    clusters = cut_lineage(cluster_table(first, change_points(first)[1]))
     base = stream_dir(spark, "mine")
-    run_to_completion(stream_mine(mask_only(event_line_stream(spark, sf_dir))), f"{base}/out", f"{base}/ckpt")
-    r = spark.read.parquet(f"{base}/out")
-    return r.groupBy("cluster_id", "key").agg(F.max_by("template", "line_id").alias("template"),
-                                            F.count(F.lit(1)).alias("lines"))
+    src = _as_stream(spark, masked.where(F.col("line_id") > half))
+    run_to_completion(mine_stream(src, clusters=clusters), f"{base}/out", f"{base}/ckpt")
+    lines = (first.select("cluster_id", F.col("n").alias("lines")).unionByName(spark.read.parquet(f"{base}/out").select("cluster_id", F.lit(1).cast("long").alias("lines")))
+             .groupBy("cluster_id").agg(F.sum("lines").alias("lines")))
+    return clusters_in_state(spark, f"{base}/ckpt").select("cluster_id", "key", "template").join(lines, "cluster_id")
+
+
+@register("stream_ingest_events", _registry_ingest_sql())
+def stream_ingest_events(spark, sf_dir):
+    """R1 + R8: four micro-batches of event lines against the template snapshot behind the
+    state pointer; the rest mined from the clusters of the micro-batches before."""
+    from logweave.operators.lifecycle import TEMPLATE_COLS
+    from logweave.sources.state import save_state
+    from logweave.streaming.ingest import stream_dir, stream_ingest
+
+    _, compiled = _key_templates(spark, sf_dir)
+    none = F.lit(None).cast("string")
+    approved = compiled.where("registry_seq % 2 = 0").select(
+        "cluster_id", F.col("labeled_template").alias("pattern"), F.lit("ACTIVE").alias("status"), none.alias("merge_target_id"), F.lit(0).alias("confirmation_count"),
+        F.timestamp_seconds("registry_seq").alias("created_at"), "labeled_template", F.lit("keep").alias("decision"), none.alias("reasoning"))
+    base = stream_dir(spark, "ingest")
+    save_state(spark, f"{base}/state", {"templates": approved.select(*TEMPLATE_COLS)})
+    src = _as_stream(spark, _event_stream_lines(spark, sf_dir))
+    stream_ingest(src, f"{base}/out", f"{base}/ckpt", state_root=f"{base}/state", sim_th=0.0, near_threshold=1.1).awaitTermination()
+    return _registry_result(spark.read.parquet(f"{base}/out"))
+
+
+def _counters_sql() -> str:
+    lines = {"logs_ingested": "true", "templates_created": "change_type = 'CREATE'", "templates_updated": "change_type = 'UPDATE'",
+             "ocsf_matched": "rule_order IS NOT NULL", "ocsf_unmatched": "rule_order IS NULL"}
+    per = " UNION ALL ".join(f"SELECT d, '{c}' AS counter, count(*) FILTER (WHERE {w}) AS v FROM x GROUP BY d" for c, w in lines.items())
+    names = ", ".join(f"'{c}'" for c in R.COUNTERS)
+    return _kg_sql() + f""", x AS (SELECT r.*, date_trunc('day', e.ts) AS d FROM r JOIN events e ON e.event_id = r.line_id),
+spine AS (SELECT unnest(range(min(d), max(d) + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS d FROM x),
+every AS (SELECT d, unnest([{names}]) AS counter FROM spine),
+per AS ({per})
+SELECT strftime(every.d, '%Y-%m-%d') AS interval_start, every.counter,
+  CAST(sum(coalesce(v, 0)) OVER (PARTITION BY every.counter ORDER BY every.d) AS BIGINT) AS value
+FROM every LEFT JOIN per ON per.d = every.d AND per.counter = every.counter"""
+
+
+@register("stream_counters_events", _counters_sql())
+def stream_counters_events(spark, sf_dir):
+    """Running values of all counters at the end of every day, from the counters that four
+    micro-batches of the streaming ingest left (threshold 0)."""
+    from logweave.operators.reports import counter_snapshots
+    from logweave.streaming.ingest import stream_dir, stream_ingest
+
+    base = stream_dir(spark, "counters")
+    src = _as_stream(spark, _event_stream_lines(spark, sf_dir))
+    stream_ingest(src, f"{base}/out", f"{base}/ckpt", sim_th=0.0, interval="1 day").awaitTermination()
+    snaps = counter_snapshots(spark.read.parquet(f"{base}/out-counters"), "1 day")
+    return snaps.select(F.date_format("interval_start", "yyyy-MM-dd").alias("interval_start"), "counter", "value")
+
+
+@register("stream_confirm_merges_events", _kg_sql() + f""", keys AS (
+  SELECT key, row_number() OVER (ORDER BY min(line_id)) AS rk FROM r0 GROUP BY key),
+span AS (SELECT min(line_id) AS lo, max(line_id) AS hi FROM r0),
+h AS (SELECT r0.key, r0.line_id, keys.rk, row_number() OVER (PARTITION BY r0.key ORDER BY floor((r0.line_id - lo) * {STREAM_PARTS} / (hi - lo + 1)), e.ts, r0.line_id) AS rn
+  FROM r0 JOIN keys ON keys.key = r0.key JOIN events e ON e.event_id = r0.line_id, span
+  WHERE change_type = 'NONE' AND e.ts > TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(keys.rk AS INTEGER)))
+SELECT 'dup_' || key AS cluster_id, key AS merge_target_id, CAST(40 AS INTEGER) AS confirmations, line_id AS confirmed_by FROM h WHERE rn = 40 - rk % 5""")
+def stream_confirm_merges_events(spark, sf_dir):
+    """A merge pending into every mining key, staged a day after the one before; deletions
+    over four micro-batches of mined lines, with the line that confirmed each."""
+    from logweave.streaming.ingest import run_to_completion, stream_dir
+    from logweave.streaming.stateful import confirm_stream
+
+    _, res = _ingest_key_groups(spark, sf_dir)
+    res = cut_lineage(res.select("line_id", F.col("arrival_ts").cast("timestamp").alias("arrival_ts"), F.col("key").alias("cluster_id"), "change_type", "fast_path", "near_match"))
+    rank = F.row_number().over(Window.orderBy("first"))    # one row per mining key
+    pending = res.groupBy("cluster_id").agg(F.min("line_id").alias("first")).withColumn("rk", rank).select(
+        F.concat(F.lit("dup_"), "cluster_id").alias("cluster_id"), F.col("cluster_id").alias("merge_target_id"), (F.col("rk") % 5).alias("confirmation_count"),
+        F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(rk)").alias("staged_at"))
+    base = stream_dir(spark, "confirm")
+    run_to_completion(confirm_stream(_as_stream(spark, res), cut_lineage(pending), 40), f"{base}/out", f"{base}/ckpt")
+    return spark.read.parquet(f"{base}/out")
 
 
 @register("stream_reservoir_events", """WITH m AS ({masked}),
@@ -880,10 +1013,8 @@ def approve_and_remine_events(spark, sf_dir):
 
 @register("near_match_document_lines")
 def near_match_document_lines(spark, sf_dir):
-    """U1 dispatch of every raw document line against the position-wise templates of the
-    mining keys holding at least two distinct masked lines (a key with one line is just
-    that line): per match kind the line count and mean similarity. Large template sets take
-    the q-gram candidate index of the near-match pass."""
+    """U1 dispatch of every raw document line against the position-wise templates of all its
+    mining keys: per match kind the line count and mean similarity."""
     from logweave.operators.matching import fast_path
 
     lines, compiled = _doc_templates(spark, sf_dir)
@@ -892,33 +1023,31 @@ def near_match_document_lines(spark, sf_dir):
 
 
 def _doc_templates(spark, sf_dir):
-    """Position-wise templates of the document mining keys with >= 2 distinct masked lines,
-    registry order = first line of the key (derived by Spark from the table)."""
+    """Position-wise templates of all document mining keys, registry order = first line of the
+    key (derived by Spark from the table)."""
     from logweave.functions.tokens import tokens
     from logweave.operators.compile import compile_templates
     from logweave.operators.mining import mining_key, template_of_cluster
 
     lines = document_lines(spark, sf_dir)
     keyed = M.mask_only(lines).withColumn("key", mining_key(tokens(F.col("processed"))))
-    multi = (keyed.groupBy("key").agg(F.count_distinct("processed").alias("__d"), F.min("line_id").alias("registry_seq"))
-             .where(F.col("__d") >= 2))
-    tpl = template_of_cluster(keyed.join(multi.select("key"), "key"), "key", "processed")
-    compiled = cut_lineage(compile_templates(tpl.join(multi.select(F.col("key").alias("cluster_id"), "registry_seq"),
-                                                      "cluster_id"), "template"))
+    tpl = template_of_cluster(keyed, "key", "processed")
+    seq = keyed.groupBy(F.col("key").alias("cluster_id")).agg(F.min("line_id").alias("registry_seq"))
+    compiled = cut_lineage(compile_templates(tpl.join(seq, "cluster_id"), "template"))
     return lines, compiled
 
 
 _LOOSE_SQL = """WITH m AS ({masked}),
 k AS (SELECT line_id, processed, regexp_split_to_array(regexp_replace(processed, '^\\s+|\\s+$', '', 'g'), '\\s+') AS toks FROM m),
 kk AS (SELECT *, CAST(len(toks) AS VARCHAR) || '|' || CASE WHEN regexp_matches(toks[1], '\\d') THEN '<*>' ELSE toks[1] END AS key FROM k),
-mk AS (SELECT key, min(line_id) AS seq FROM kk GROUP BY key HAVING count(DISTINCT processed) >= 2),
+mk AS (SELECT key, min(line_id) AS seq FROM kk GROUP BY key),
 p AS (SELECT kk.key, unnest(toks) AS tok, unnest(range(1, len(toks) + 1)) AS pos FROM kk JOIN mk ON mk.key = kk.key),
 f AS (SELECT key, pos, CASE WHEN min(tok) = max(tok) THEN min(tok) ELSE '<*>' END AS tok FROM p GROUP BY key, pos),
 tl AS (SELECT f.key, list(f.tok ORDER BY f.pos) FILTER (WHERE NOT regexp_matches(f.tok, '^<[^>]*>$')) AS lits FROM f GROUP BY f.key),
-tp AS (SELECT tl.key, tl.lits, len(tl.lits) AS lc, mk.seq FROM tl JOIN mk ON mk.key = tl.key WHERE len(tl.lits) > 0),
+tp AS (SELECT tl.key, tl.lits, list_sort(tl.lits, 'DESC')[1] AS one, tl.lits[-1] AS last, len(tl.lits) AS lc, mk.seq FROM tl JOIN mk ON mk.key = tl.key WHERE len(tl.lits) > 0),
 ln AS ({src}),
 pr AS (SELECT ln.line_id, tp.key, tp.lc, tp.seq FROM ln, tp
-       WHERE list_reduce(tp.lits, lambda acc, x: CASE WHEN acc > 0 AND instr(substr(ln.line, acc), x) > 0
+       WHERE contains(ln.line, tp.last) AND contains(ln.line, tp.one) AND list_reduce(tp.lits, lambda acc, x: CASE WHEN acc > 0 AND instr(substr(ln.line, acc), x) > 0
                           THEN acc + instr(substr(ln.line, acc), x) - 1 + length(x) ELSE 0 END, 1) > 0)
 SELECT ln.line_id, CAST(count(pr.key) AS INTEGER) AS n_loose, arg_min(pr.key, [-pr.lc, pr.seq]) AS first_loose
 FROM ln LEFT JOIN pr ON pr.line_id = ln.line_id GROUP BY ln.line_id"""

@@ -72,7 +72,12 @@ def ingest(lines: DataFrame, compiled: DataFrame | None = None, rules=DEFAULT_RU
     mined = cut_lineage(mine_templates(mined_in, sim_th=sim_th, seeds=seeds, group_lines=group_lines))
     line_changes, versions = change_points(mined, seeds)
     # one label per template version; the per-cluster version list is bounded by token count
-    vl = versions.withColumn("ocsf", label_column(F.col("template"), rules))
+    asof_versions = versions
+    if seeds is not None:
+        # a seeded cluster's lines before its first change here have the seed's template
+        known = seeds.select("cluster_id", F.lit(0).alias("version"), "template", F.lit(-1 << 62).alias("trigger_line_id"))
+        asof_versions = versions.unionByName(known.join(mined.select("cluster_id").distinct(), "cluster_id", "left_semi"))
+    vl = asof_versions.withColumn("ocsf", label_column(F.col("template"), rules))
     vs = vl.groupBy("cluster_id").agg(F.array_sort(F.collect_list(
         F.struct("trigger_line_id", "template", "ocsf"))).alias("__vers"))
     lc = (line_changes.select(F.col("text").alias("__text"), F.col("cluster_id").alias("__mcid"),

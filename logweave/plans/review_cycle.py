@@ -60,7 +60,8 @@ def restart(spark, root: str, rules=DEFAULT_RULES) -> dict[str, DataFrame] | Non
         return None
     templates = st["templates"]
     out = dict(st)
-    out["compiled"] = matchable_templates(templates)
+    # the registry that `approve` compiled: a reset template by its reset text
+    out["compiled"] = matchable_templates(templates, fallback_to_pattern=True)
     if "samples" in st:
         out["parsed"] = parse_events(None, templates, rules, st.get("classifications"), st["samples"])
     return out

@@ -1,13 +1,12 @@
 """Structured Streaming forms.
 
-R1 stream_ingest   readStream lines -> per micro-batch: hot-reloaded rules and template
-                   snapshot (R8), fast path, masks, stateful mining (R2), labels -> sink.
-R2 stream_mine     ``applyInPandasWithState`` keyed by the mining key; the state is the
-                   key's cluster templates, so clusters carry across micro-batches. Only one
-                   key's lines of one micro-batch are in a call (bounded by the trigger size).
+R1 stream_ingest   readStream lines -> per micro-batch: rules and template snapshot read anew
+                   (R8), fast path, masks, mining from the clusters so far, labels -> tables
+                   with a partition per micro-batch that a replay replaces, and counters (R6).
+R2, R4             keyed state that starts from tables: see ``stateful``.
 R3 stream_reservoir keyed state with the k smallest sample ranks per cluster (same rank
                    as the batch sampler, so batch and stream samples agree).
-R4 stream_merge_hits running NONE-line hits per cluster (streaming aggregate).
+   stream_merge_hits running NONE-line hits per cluster (streaming aggregate).
 R5 inflight_dedup  ``dropDuplicatesWithinWatermark`` on the template (admit once per TTL).
 R6 stream_metrics  counters per 60 s event-time window with a watermark.
 R7 queue_latest    latest status per queue item (``max_by`` over an append-only log).
@@ -26,10 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from logweave.functions.masks import mask_only
-from logweave.functions.tokens import tokens
-from logweave.operators.mining import DEFAULT_SIM_TH, _split, fold_with_kinds, mining_key
-from logweave.operators.normalize import label_column
+from logweave.operators.mining import DEFAULT_SIM_TH
 from logweave.operators.sampling import DEFAULT_K, DEFAULT_SEED
 from logweave.session import checkpoint_dir
 from logweave.sources.rules import DEFAULT_RULES, read_rules_file
@@ -40,14 +36,6 @@ LINE_SCHEMA = T.StructType([
     T.StructField("source", T.StringType()), T.StructField("line", T.StringType()),
 ])
 
-MINE_OUT = T.StructType([
-    T.StructField("line_id", T.LongType()), T.StructField("key", T.StringType()),
-    T.StructField("ordinal", T.IntegerType()), T.StructField("change_type", T.StringType()),
-    T.StructField("template", T.StringType()), T.StructField("line", T.StringType()),
-])
-MINE_STATE = T.StructType([T.StructField("templates", T.ArrayType(T.StringType()))])
-
-
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -75,29 +63,6 @@ def event_line_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int =
                      F.col("event_type").alias("source"), F.expr(EVENT_LINE_SQL).alias("line"))
 
 
-def _mine_state_fn(sim_th: float):
-    def run(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("line_id", kind="stable")
-        prior = list(state.get[0]) if state.exists else []
-        ords, kinds, after, finals = fold_with_kinds([_split(t) for t in pdf["processed"]], sim_th,
-                                                     [_split(t) for t in prior])
-        state.update((finals,))
-        yield pd.DataFrame({"line_id": pdf["line_id"].values, "key": [key[0]] * len(pdf),
-                            "ordinal": pd.array(ords, dtype="int32"), "change_type": kinds, "template": after,
-                            "line": pdf["line"].values})
-    return run
-
-
-def stream_mine(masked: DataFrame, sim_th: float = DEFAULT_SIM_TH) -> DataFrame:
-    """R2: stateful mining of a stream of masked lines; adds cluster_id (stable across
-    micro-batches: xxhash64 of key and ordinal, as in the batch miner)."""
-    keyed = masked.select("line_id", "processed", "line",
-                          mining_key(F.coalesce(tokens(F.col("processed")), F.array().cast("array<string>"))).alias("key"))
-    out = keyed.groupBy("key").applyInPandasWithState(
-        _mine_state_fn(sim_th), MINE_OUT, MINE_STATE, "append", GroupStateTimeout.NoTimeout)
-    return out.withColumn("cluster_id", F.lower(F.hex(F.xxhash64(F.col("key"), F.col("ordinal")))))
-
-
 def _rank(seed: str, line_id: int) -> str:
     return hashlib.md5(f"{seed}:{line_id}".encode()).hexdigest()
 
@@ -136,8 +101,8 @@ def stream_reservoir(lines: DataFrame, k: int = DEFAULT_K, seed: str = DEFAULT_S
 
 
 def stream_merge_hits(results: DataFrame) -> DataFrame:
-    """Running count of the mined NONE lines per cluster (feeds confirm_merges per
-    micro-batch); lines of the fast path confirm no merge, as in the batch form."""
+    """Running count of the mined NONE lines per cluster (what confirms merges, see
+    ``stateful.confirm_stream``); lines of the fast path confirm no merge, as in the batch form."""
     fast = F.coalesce(F.col("fast_path"), F.lit(False)) | F.coalesce(F.col("near_match"), F.lit(False))
     return (results.where((F.col("change_type") == "NONE") & ~fast).groupBy("cluster_id")
             .agg(F.count(F.lit(1)).alias("hits")))
@@ -162,44 +127,64 @@ def queue_latest(log: DataFrame) -> DataFrame:
     return log.groupBy("item_id").agg(F.max_by("status", "ts").alias("status"), F.max("ts").alias("ts"))
 
 
+#: Clusters that a micro-batch created or changed.
+_CLUSTERS = "cluster_id string, template string, created long, batch_id long"
+
+
+def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
+    """One partition per micro-batch, replaced as a whole: a replay leaves the table as it was."""
+    (df.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("batch_id").parquet(path))
+
+
+def clusters_before(spark: SparkSession, path: str, batch_id: int | None = None) -> DataFrame:
+    """(cluster_id, template, created) of a stream's clusters before a micro-batch (now, without)."""
+    c = spark.read.schema(_CLUSTERS).parquet(path)
+    if batch_id is not None:
+        c = c.where(F.col("batch_id") < batch_id)
+    last = F.max_by(F.struct("template", "created"), "batch_id").alias("last")
+    return c.groupBy("cluster_id").agg(last).select("cluster_id", "last.template", "last.created")
+
+
 def stream_ingest(lines: DataFrame, out_path: str, ckpt: str, rules_path: str | None = None,
-                  compiled: DataFrame | None = None, sim_th: float = DEFAULT_SIM_TH,
-                  near_threshold: float = 0.85, trigger: dict | None = None):
-    """R1 (+R2, R8): the streaming form of ``plans.ingest``.
-
-    Lines first meet the approved-template snapshot ``compiled`` (stream-static joins, read
-    when the query starts; a new snapshot takes effect on restart, the mining state carries
-    over): EXACT and NEAR lines are emitted directly and never mined, like the reference's
-    fast path. NONE lines are masked and mined with keyed state (R2). Each micro-batch
-    re-reads the rule file (hot reload, R8), labels the template and appends to
-    ``out_path``."""
-    from logweave.operators.matching import fast_path
-
-    cols = ["line_id", "line", "cluster_id", "change_type", "template", "fast_path", "near_match", "similarity"]
-    rest, direct = lines, None
-    if compiled is not None:
-        fp = fast_path(lines, compiled, threshold=near_threshold, max_inline_templates=1 << 30)
-        rest = fp.where(F.col("match_kind") == "NONE").select(*lines.columns)
-        tpl = compiled.select(F.col("cluster_id").alias("__cid"), F.col("labeled_template").alias("__tpl"))
-        direct = (fp.where(F.col("match_kind") != "NONE")
-                  .join(tpl, F.col("cluster_id") == F.col("__cid"), "left")
-                  .select("line_id", "line", "cluster_id",
-                          F.when(F.col("match_kind") == "EXACT", "NONE").otherwise("NEAR_MATCH").alias("change_type"),
-                          F.when(F.col("match_kind") == "EXACT", F.col("__tpl")).alias("template"),
-                          (F.col("match_kind") == "EXACT").alias("fast_path"),
-                          (F.col("match_kind") == "NEAR").alias("near_match"), "similarity"))
-    mined = stream_mine(mask_only(rest), sim_th).select(
-        "line_id", "line", "cluster_id", "change_type", "template", F.lit(False).alias("fast_path"),
-        F.lit(False).alias("near_match"), F.lit(None).cast("double").alias("similarity"))
-    out_stream = mined.unionByName(direct.select(*cols)) if direct is not None else mined
+                  compiled: DataFrame | None = None, state_root: str | None = None, sim_th: float = DEFAULT_SIM_TH,
+                  near_threshold: float = 0.85, interval: str = "60 seconds", trigger: dict | None = None):
+    """``plans.ingest`` over a stream of lines, one micro-batch after the other.
+
+    Each micro-batch reads anew the rule file (R8) and, with ``state_root``, the latest
+    template snapshot behind its pointer (R8; ``compiled`` fixes the registry instead), takes
+    the fast path, and mines the rest from the clusters of the micro-batches before it, a
+    table (no operator state). It writes three tables, a partition per micro-batch that a
+    replay replaces: ``out_path`` (all result columns of ``ingest``), ``out_path``-clusters
+    (what it created or changed) and ``out_path``-counters (counters per event-time interval).
+    A replayed micro-batch sees the clusters it saw first, so its rows come out equal."""
+    from logweave.operators.compile import matchable_templates
+    from logweave.operators.reports import interval_counters
+    from logweave.plans.ingest import ingest
+    from logweave.session import cut_lineage
+    from logweave.sources.state import load_state
+
+    spark = lines.sparkSession
+    clusters = f"{out_path}-clusters"
+    spark.createDataFrame([], _CLUSTERS).write.mode("ignore").partitionBy("batch_id").parquet(clusters)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         rules = read_rules_file(rules_path) if rules_path else DEFAULT_RULES
-        out = batch.withColumn("ocsf", F.when(~F.col("near_match"), label_column(F.col("template"), rules)))
-        out.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_path)
-
-    use_rocksdb(lines.sparkSession)
-    w = out_stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt)
+        registry = compiled
+        if registry is None and state_root is not None:
+            saved = load_state(spark, state_root)
+            if saved is not None and "templates" in saved:
+                registry = cut_lineage(matchable_templates(saved["templates"], fallback_to_pattern=True))
+        seeds = cut_lineage(clusters_before(spark, clusters, batch_id))
+        out = ingest(batch, compiled=registry, rules=rules, sim_th=sim_th, seeds=seeds, near_threshold=near_threshold)
+        _write_batch(out.results, out_path, batch_id)
+        made = out.versions.groupBy("cluster_id").agg(F.max_by("template", "version").alias("template"), F.min("trigger_line_id").alias("first"))
+        made = made.join(seeds.select("cluster_id", "created"), "cluster_id", "left").select("cluster_id", "template", F.coalesce("created", "first").alias("created"))
+        _write_batch(made, clusters, batch_id)
+        results = spark.read.parquet(out_path).where(F.col("batch_id") == batch_id)
+        _write_batch(interval_counters(results, interval), f"{out_path}-counters", batch_id)
+
+    w = lines.writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt)
     w = w.trigger(**(trigger or {"availableNow": True}))
     return w.start()
 

@@ -11,7 +11,8 @@ from logweave.plans.ingest import ingest
 from logweave.sources.lines import read_log_lines
 from logweave.sources.state import load_state, save_state, state_exists
 from logweave.sources.tables import event_log_lines
-from logweave.streaming.ingest import LINE_SCHEMA, inflight_dedup, queue_latest, run_to_completion, stream_mine
+from logweave.streaming.ingest import LINE_SCHEMA, inflight_dedup, queue_latest, run_to_completion
+from logweave.streaming.stateful import mine_stream
 
 
 def test_stream_mining_equals_batch_across_microbatches(spark, sf):
@@ -24,7 +25,7 @@ def test_stream_mining_equals_batch_across_microbatches(spark, sf):
         spark.createDataFrame(part, LINE_SCHEMA).coalesce(1).write.parquet(f"{d}/in/part{i}")
     src = (spark.readStream.schema(LINE_SCHEMA).option("maxFilesPerTrigger", 1)
            .option("recursiveFileLookup", "true").parquet(f"{d}/in"))
-    run_to_completion(stream_mine(mask_only(src)), f"{d}/out", f"{d}/ckpt")
+    run_to_completion(mine_stream(mask_only(src)), f"{d}/out", f"{d}/ckpt")
     s = {r.line_id: r for r in spark.read.parquet(f"{d}/out").collect()}
     b = {r.line_id: r for r in ingest(lines, with_extractions=False).results.collect()}
     assert len(s) == len(b) == len(rows)
@@ -146,3 +147,26 @@ def test_restart_from_snapshot(spark):
     # the service name comes straight from the raw line
     assert [(r.cluster_id, r.ocsf_class, r.service) for r in parsed] == [("c1", "Unknown", "nginx")]
     assert restart(spark, tempfile.mkdtemp(prefix="lw-empty-")) is None
+
+
+def test_restart_compiles_what_approve_compiled(spark):
+    """A reset template is compiled on its reset text before and after a restart."""
+    from logweave.plans.review_cycle import approve, restart, snapshot
+
+    root = tempfile.mkdtemp(prefix="lw-approve-")
+    t = _tpl(spark, [("c1", "a <*> b"), ("c2", "x <*>"), ("c3", "y <*>")])
+    results = spark.createDataFrame([(1, "a 1 b", "c1", "a <*> b", "CREATE")], "line_id long, line string, cluster_id string, template string, change_type string") \
+        .withColumn("arrival_ts", F.current_timestamp())
+    samples = spark.createDataFrame([("c1", 1, 1, "a 1 b")], "cluster_id string, slot int, line_id long, line string")
+
+    def review(requests):
+        cols = "batch_id string, cluster_id string, decision string, merge_into_cluster_id string, merged_template string, sub_templates array<string>, reset_template string, labeled_template string, reasoning string"
+        return spark.createDataFrame([("b", "c1", "reset", None, None, None, "a <*> <*>", "a <unknown> b", "r"), ("b", "c2", "keep", None, None, None, None, "x <count>", "r")], cols)
+
+    requests = t.where("cluster_id <> 'c3'").select(F.lit("b").alias("batch_id"), "cluster_id", F.col("pattern").alias("template"))
+    done = approve(results, t, requests, review_fn=review, samples=samples)
+    before = {r.cluster_id: r.labeled_template for r in done["compiled"].collect()}
+    versions = spark.createDataFrame([], "cluster_id string, version int, template string, trigger_line_id long")
+    assert snapshot(spark, root, done["templates"], versions, samples, samples.groupBy("cluster_id").count())
+    after = {r.cluster_id: r.labeled_template for r in restart(spark, root)["compiled"].collect()}
+    assert before == after == {"c1": "a <*> <*>", "c2": "x <count>"}
