@@ -3,8 +3,9 @@
 The test tables hold no logs, so two renderings give rows in the ``log_lines`` schema
 ``(line_id BIGINT, arrival_ts TIMESTAMP, source STRING, line STRING)``:
 
-* :func:`event_log_lines` — one line per ``events`` row, 21 line shapes of our own
-  (logins, network, web, mail, storage), which between them fire most masks and rules. The same SQL text runs in Spark and DuckDB, so the
+* :func:`event_log_lines` — one line per ``events`` row, 35 line shapes of our own
+  (logins, network, web, mail, storage), which between them fire every mask, every rule that
+  can win and every event field. The same SQL text runs in Spark and DuckDB, so the
   oracle queries read identical input.
 * :func:`document_lines` — ``documents.text`` split on newline, blank lines dropped;
   whole texts, every line. ``line_id = doc_id * 2^24 + position``.
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 LINE_ID_DOC_SHIFT = 1 << 24
 
 # Rendering of one events row as a log line (identical strings in Spark SQL and DuckDB).
-EVENT_LINE_SQL = """case cast(event_id % 21 as int)
+EVENT_LINE_SQL = """case cast(event_id % 35 as int)
  when 0 then 'sshd['||(100+event_id%30000)||']: disconnect of user u'||user_id||' by gateway 172.16.'||(user_id%4)||'.'||(user_id%250)
  when 1 then '2024-03-01T10:'||(10+event_id%50)||':'||(10+user_id%50)||'Z unauthorized visit of u'||user_id||' at console '||(event_id%9)
  when 2 then 'switch learned 00:1a:2b:3c:4d:'||(10+event_id%90)||' on uplink '||(user_id%48)
@@ -28,7 +29,7 @@ EVENT_LINE_SQL = """case cast(event_id % 21 as int)
  when 4 then 'proxy method=POST target https://shop.example.org/item/'||event_id||' branch '||(user_id%7)
  when 5 then 'mail to user'||user_id||'@example.org queued behind '||(event_id%40)||' others'
  when 6 then 'database pool opened connection to replica '||(user_id%3)||' on port '||(5000+user_id%9)
- when 7 then 'service '||event_type||(case when user_id%2=0 then ' started' else ' stopped' end)||' by operator'
+ when 7 then 'a daemon service '||event_type||(case when user_id%2=0 then ' started' else ' stopped' end)||' by operator'
  when 8 then 'rejected password=k'||event_id||' typed at terminal '||(user_id%20)
  when 9 then 'rotated /srv/data/'||user_id||'/part.log holding '||(event_id%512)||' rows'
  when 10 then 'firewall noted new connection from 198.51.100.'||(user_id%250)||' toward 10.9.0.'||(event_id%250)
@@ -41,7 +42,21 @@ EVENT_LINE_SQL = """case cast(event_id % 21 as int)
  when 17 then 'badge reader says user u'||user_id||' authenticated'
  when 18 then 'spawned helper '||(event_id%60)||' for queue '||(user_id%5)
  when 19 then 'upstream said status=5'||(10+event_id%10)||' after '||(user_id%8)||' hops'
- else 'CRITICAL fan '||(user_id%12)||' slowed to '||(event_id%3000)||' turns' end"""
+ when 20 then 'CRITICAL fan '||(user_id%12)||' slowed to '||(event_id%3000)||' turns'
+ when 21 then 'Mon Jan '||(10+event_id%20)||' 08:15:'||(10+user_id%50)||' 2024 door '||(event_id%50)||' opened'
+ when 22 then '[Abc Xyz '||(10+event_id%20)||' 09:30:'||(10+user_id%50)||' 2024] relay '||(user_id%9)||' armed'
+ when 23 then '2024.05.'||(10+event_id%20)||' 11:22:'||(10+user_id%50)||' probe '||(event_id%40)||' awake'
+ when 24 then 'clock read 12:'||(10+event_id%50)||':'||(10+user_id%50)||' on tower '||(user_id%6)
+ when 25 then 'neighbor fe80:0:0:0:202:b3ff:fe1e:'||(1000+event_id%9000)||' joined ring '||(user_id%4)
+ when 26 then 'authentication failed for holder'||user_id||' from 192.0.2.'||(event_id%250)||' to 198.51.100.'||(user_id%250)||' port '||(2000+event_id%500)
+ when 27 then '10.1.2.'||(event_id%250)||' asked 10.9.8.'||(user_id%250)||' "GET /shelf/'||(event_id%90)||' HTTP/1.1" 200 '||(500+event_id%4000)
+ when 28 then 'a query took table='||event_type||' database=shop'||(user_id%5)||' user=clerk'||user_id||' host=db'||(user_id%3)||'.local rows='||(event_id%700)||' duration='||(event_id%90)||'ms'
+ when 29 then 'worker pid='||(100+event_id%9000)||' nested deep'
+ when 30 then 'fault at 0x00'||(1000+event_id%9000)||' of build 00112233445566778899 in ring '||(user_id%9)
+ when 31 then 'fetch http://shop.example.org?item='||event_id||' came late'
+ when 32 then 'ticket '||(10000000+event_id)||' printed at desk '||(user_id%12)
+ when 33 then 'client called DELETE /api/{id} for basket '||(event_id%30)
+ else 'login success for guest'||user_id||' at kiosk '||(event_id%9) end"""
 
 # DuckDB views over the same inputs (the oracle registers the raw tables as views).
 EVENT_LINES_SQL = (f"SELECT event_id AS line_id, ts AS arrival_ts, event_type AS source, "

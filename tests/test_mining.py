@@ -8,26 +8,40 @@ from logweave.sources.tables import event_log_lines
 
 EXPECTED_EVENT_TEMPLATES = {
     "<*> disconnect of user <USERNAME> by gateway <IP>",
+    "<DATETIME> probe <*> awake",
     "<DATETIME> unauthorized visit of <*> at console <*>",
+    "<IP> asked <IP> \"GET <PATH> HTTP/1.1\" 200 <*>",
+    "<TIMESTAMP> door <*> opened",
     "CRITICAL fan <*> slowed to <*> turns",
+    "[<TIMESTAMP>] relay <*> armed",
+    "a daemon service <*> <*> by operator",
+    "a query took <*> <*> user <USERNAME> <*> <*> duration=<SIZE>",
+    "authentication failed for <USERNAME> from <IP> to <IP> port <PORT>",
     "backup of volume <*> wrote <*> blocks",
     "badge reader says user <USERNAME> authenticated",
     "cache method=GET page <*> warm",
+    "client called DELETE /api/{id} for basket <*>",
+    "clock read <TIME> on tower <*>",
     "database pool opened connection to replica <*> on port <PORT>",
     "database session <*> released by replica <*>",
+    "fault at <ADDR> of build <HEX> in ring <*>",
+    "fetch <URL> came late",
     "firewall noted new connection from <IP> toward <IP>",
+    "login success for <USERNAME> at kiosk <*>",
     "mail to <EMAIL> queued behind <*> others",
+    "neighbor <IPV6> joined ring <*>",
     "proxy method=POST target https:/<PATH> branch <*>",
     "query on shelf <*> took <*> ticks",
     "rejected password <PASSWORD> typed at terminal <*>",
     "request <UUID> finished in <*> steps",
     "rotated <PATH> holding <*> rows",
-    "service <*> <*> by operator",
     "spawned helper <*> for queue <*>",
     "sshd accepted key <*> of holder <*>",
     "sshd failed key <*> check of holder <*>",
     "switch learned <MAC> on uplink <*>",
+    "ticket <NUM> printed at desk <*>",
     "upstream said <*> after <*> hops",
+    "worker pid <PID> nested deep",
 }
 
 
