@@ -470,7 +470,7 @@ def _meet(probe: DataFrame, base: DataFrame, owner: str) -> DataFrame:
 
 
 def _differences(root: str):
-    """(node, n, p, np, place of node's set, place of p's) -> one row per token of their
+    """(node, n, p, np, root, place of node's set, place of p's) -> one row per token of their
     symmetric difference."""
     def run(batches):
         import pyarrow as pa
@@ -479,10 +479,10 @@ def _differences(root: str):
             for a in range(0, b.num_rows, 256):
                 some = b.slice(a, 256)
                 toks = [np.setxor1d(_read_set(root, fu, au, nu), _read_set(root, fv, av, nv), assume_unique=True)
-                        for nu, nv, fu, au, fv, av in zip(*(some.column(i).to_pylist() for i in (1, 3, 4, 5, 6, 7)))]
+                        for nu, nv, fu, au, fv, av in zip(*(some.column(i).to_pylist() for i in (1, 3, 5, 6, 7, 8)))]
                 d = np.array([len(t) for t in toks], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(some.column(i)), d)) for i in range(4)] + [
-                    pa.array(np.repeat(d, d)), pa.array(np.concatenate(toks).view(np.int64))], ["node", "n", "p", "np", "d", "tok"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(some.column(i)), d)) for i in range(5)] + [
+                    pa.array(np.repeat(d, d)), pa.array(np.concatenate(toks).view(np.int64))], ["node", "n", "p", "np", "root", "d", "tok"])
     return run
 
 
@@ -493,25 +493,26 @@ def _beside_pivots(crowd: DataFrame, label: DataFrame, place, root: str, percent
     order = F.struct((-F.col("hot")).alias("rank"), F.xxhash64("node", F.lit(0)).alias("h"), "node", "n")
     hub = held.groupBy("tok").agg(F.min(order).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("probes").alias("probed"))
     hub = hub.where("lo <> hi and probed").select("tok", F.col("p.node").alias("p"), F.col("p.n").alias("np"))
-    spoke = held.join(hub, "tok").where("node <> p").select("node", "n", "p", "np").distinct()
-    apart = (spoke.join(place("node").drop("nnode"), "node").join(place("p").drop("np"), "p")
-             .select("node", "n", "p", "np", "fnode", "anode", "fp", "ap").mapInArrow(_differences(root), "node bigint, n bigint, p bigint, np bigint, d bigint, tok bigint"))
+    spoke = held.join(hub, "tok").where("node <> p").select("node", "n", "p", "np", "root").distinct()
+    spoke = spoke.join(place("node").drop("nnode"), "node").join(place("p").drop("np"), "p").select("node", "n", "p", "np", "root", "fnode", "anode", "fp", "ap")
+    # dealt out evenly: a pivot may have very many holders around it
+    spoke = spoke.repartition(int(crowd.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    apart = spoke.mapInArrow(_differences(root), "node bigint, n bigint, p bigint, np bigint, root bigint, d bigint, tok bigint")
     apart = cut_lineage(apart)
     more, less = 100 + percent, 100 - percent
     near = more * F.col("d") <= less * (F.col("n") + F.col("np"))
     direct = apart.where(near).select(F.greatest("node", "p").alias("a"), F.least("node", "p").alias("b")).distinct()
 
-    mine = Window.partitionBy("p", "node")
-    shared = apart.withColumn("df", F.count("*").over(Window.partitionBy("p", "tok"))).where("df > 1")
+    mine, under = Window.partitionBy("p", "node"), Window.partitionBy("p", "tok")
+    shared = apart.withColumns({"df": F.count("*").over(under), "lo": F.min("root").over(under), "hi": F.max("root").over(under)}).where("df > 1")
     lists = shared.withColumns({
         "h": F.count("*").over(mine), "rank": F.row_number().over(mine.orderBy("df", "tok")), "far": ~near})
     # what a set has alone counts against every partner, the largest of which is n / t
     lists = lists.where(percent * (F.col("d") - F.col("h")) <= less * F.col("n"))
     need = F.greatest(F.lit(1), F.ceil((percent * F.col("d") - less * F.col("n")) / percent))
     lists = lists.withColumn("probes", F.col("far") & (F.col("rank") <= F.col("h") - need + 1))
-    lists = cut_lineage(_named(lists, label, "node", "root").select("p", "tok", "node", "n", "d", "h", "rank", "far", "probes", "root"))
-    mixed = lists.groupBy("p", "tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("probes").alias("probed")).where("lo <> hi and probed").select("p", "tok")
-    lists = lists.join(mixed, ["p", "tok"], "left_semi")
+    # only tokens of different components make pairs
+    lists = cut_lineage(lists.where("lo <> hi").select("p", "tok", "node", "n", "d", "h", "rank", "probes", "root"))
     v, u = lists.where("probes").alias("v"), lists.alias("u")
     c = F.col
     # tokens both can still share from here on, itself included; smaller of the two
