@@ -97,26 +97,27 @@ class Pieces:
                 if whole.any():
                     yield i, m, (rows if whole.all() else rows[whole]), (at if whole.all() else at[whole])
 
-    def forward(self, codes: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log-likelihood [word, language], alpha [position, word, language]).
+    def forward(self, codes: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict]:
+        """(log-likelihood [word, language], alpha [position, word, language], divisors).
 
         ``p`` holds the piece probabilities times ``_SCALE`` per character; alpha is
-        rescaled at every 32nd position, so a word of any length stays in range.
+        divided at every 32nd position (``divisors`` by position), so a word of any length
+        stays in range.
         """
         n, langs = codes.shape[1], p.shape[1]
         alpha = np.zeros((n + 1, len(codes), langs))
         alpha[0] = 1.0
         log = np.full((len(codes), langs), -n * np.log(_SCALE))
-        done = 0
+        done, by = 0, {}
         for i, m, rows, at in self.arcs(codes):
             if i != done:
                 done = i
                 if i % 32 == 0:
-                    top = np.maximum(alpha[i], 1e-290)
+                    by[i] = top = np.maximum(alpha[i], 1e-290)
                     log += np.log(top)
                     alpha[i:i + self.longest + 1] /= top
             alpha[i + m, rows] += alpha[i, rows] * p[at]
-        return log + np.log(np.maximum(alpha[n], 1e-300)), alpha
+        return log + np.log(np.maximum(alpha[n], 1e-300)), alpha, by
 
     def em(self, words: list[str], counts: np.ndarray, rounds: int) -> np.ndarray:
         """Log probability per node for one language."""
@@ -129,18 +130,23 @@ class Pieces:
             expect = np.zeros(size)
             for n_of, codes in groups:
                 q = (p * scale)[:, None]
-                if codes.shape[1] > 32:      # the rescaled sums of long words carry no counts
-                    continue
-                _, alpha = self.forward(codes, q)
+                _, alpha, by = self.forward(codes, q)
                 n = codes.shape[1]
                 beta = np.zeros((n + 1, len(codes)))
                 beta[n] = 1.0
-                arcs = list(self.arcs(codes))
-                for i, m, rows, at in reversed(arcs):
-                    beta[i, rows] += q[at, 0] * beta[i + m, rows]
-                z = np.maximum(beta[0], 1e-300)
-                for i, m, rows, at in arcs:
-                    got = alpha[i, rows, 0] * q[at, 0] * beta[i + m, rows] / z[rows] * n_of[rows]
+                # beta takes the divisors of alpha that lie between its two ends
+                arcs = []
+                for i, m, rows, at in self.arcs(codes):
+                    w = q[at, 0]
+                    for s in range(i // 32 * 32 + 32, i + m + 1, 32):
+                        if s in by:
+                            w = w / by[s][rows, 0]
+                    arcs.append((i, m, rows, at, w))
+                for i, m, rows, _, w in reversed(arcs):
+                    beta[i, rows] += w * beta[i + m, rows]
+                z = np.maximum(alpha[n, :, 0], 1e-300)
+                for i, m, rows, at, w in arcs:
+                    got = alpha[i, rows, 0] * w * beta[i + m, rows] / z[rows] * n_of[rows]
                     expect += np.bincount(at, got, size)
             p = np.where(self.final, expect + 0.01, 0.0)
             p /= p.sum()
@@ -218,12 +224,12 @@ def _scores(path: str, model_id: str, shared) -> _Scores:
 
 
 def learn(docs: DataFrame, path: str, *, text: str = "text", lang: str = "lang", key: str = "doc_id",
-          docs_per_lang: int = 1000, chars_per_doc: int = 20_000, rounds: int = 4) -> list[tuple[str, float, bytes]]:
+          docs_per_lang: int = 1000, rounds: int = 4) -> list[tuple[str, float, bytes]]:
     """One (language, log prior, piece log probabilities) per language of ``docs``.
 
     ``docs_per_lang`` is the expected sample per language, drawn by a hash of the key (all
-    documents where a language has fewer); of a sampled document the first
-    ``chars_per_doc`` characters teach. Rows with null text or language teach nothing.
+    documents where a language has fewer); the whole texts of the sampled documents teach.
+    Rows with null text or language teach nothing.
     """
     import pandas as pd
 
@@ -240,7 +246,7 @@ def learn(docs: DataFrame, path: str, *, text: str = "text", lang: str = "lang",
         for b in batches:
             seen: dict[tuple[str, str], int] = {}
             for t, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for w in _words(t[:chars_per_doc]):
+                for w in _words(t):
                     seen[g, w] = seen.get((g, w), 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["l", "w", "n"])
 

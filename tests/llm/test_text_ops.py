@@ -35,6 +35,31 @@ def test_forward_sums_all_segmentations():
         assert np.isclose(p.forward(codes, scaled)[0][0, 0], np.log(brute(codes[0].tolist())))
 
 
+def test_langid_long_runs_teach():
+    """One round over runs of 3 to 150 letters equals unscaled forward and backward sums."""
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdeinorst"), n)) for n in (3, 31, 32, 33, 64, 100, 150)]
+    n_of = np.arange(1, len(words) + 1, dtype=float)
+    pieces = langid._pieces(PIECES)
+    got = np.exp(pieces.em(words, n_of, 1))
+    known = pieces.final.nonzero()[0]
+    q = np.where(pieces.final, 1.0 / len(known), 0.0) * langid._SCALE ** pieces.depth.astype(float)
+    expect = np.zeros(len(q))
+    for at, codes in pieces.encode(words).values():
+        for row, c in zip(at, codes):
+            arcs = [(i, i + m, int(k[0])) for i, m, _, k in pieces.arcs(c[None, :])]
+            a, b = np.zeros(len(c) + 1, np.longdouble), np.zeros(len(c) + 1, np.longdouble)
+            a[0] = b[-1] = 1
+            for i, j, k in sorted(arcs):
+                a[j] += a[i] * q[k]
+            for i, j, k in sorted(arcs, reverse=True):
+                b[i] += b[j] * q[k]
+            for i, j, k in arcs:
+                expect[k] += float(a[i] * q[k] * b[j] / a[-1] * n_of[row])
+    want = np.where(pieces.final, expect + 0.01, 0.0)
+    assert np.allclose(got, np.maximum(want / want.sum(), 1e-300), rtol=1e-5)
+
+
 def test_langid_odd_rows(spark, odd, none, sf):
     model = langid.learn(odd, PIECES)
     rows = langid.predict(odd, model, PIECES, keep=("doc_id", "lang")).collect()
