@@ -13,6 +13,7 @@ Two forms:
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -28,6 +29,8 @@ class Mask:
     group: int = 0        # group holding the extracted value (0 = whole match)
     sql_pattern: str | None = None      # RE2 form when Java's needs lookahead
     sql_replacement: str | None = None  # RE2 replacement paired with sql_pattern
+    needs: tuple[str, ...] = ()  # texts that every match contains
+    hint: str | None = None      # regex found in every match, cheap to search
 
 
 # ---------------------------------------------------------------------------
@@ -36,49 +39,49 @@ class Mask:
 # ---------------------------------------------------------------------------
 MASKS: tuple[Mask, ...] = (
     Mask("M1", r"\b(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}\s+\d{4}",
-         "<TIMESTAMP>", "TIMESTAMP"),
+         "<TIMESTAMP>", "TIMESTAMP", needs=(":",), hint=r":\d\d:"),
     Mask("M2", r"\[\w{3}\s+\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}\s+\d{4}\]",
-         "[<TIMESTAMP>]", "TIMESTAMP"),
+         "[<TIMESTAMP>]", "TIMESTAMP", needs=("[", ":"), hint=r":\d\d:"),
     Mask("M3", r"\b\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})?\b",
-         "<DATETIME>", "TIMESTAMP"),
+         "<DATETIME>", "TIMESTAMP", needs=("-", ":"), hint=r":\d\d:"),
     Mask("M4", r"\b\d{4}\.\d{2}\.\d{2}\s+\d{2}:\d{2}:\d{2}(?:\.\d+)?\b",
-         "<DATETIME>", "TIMESTAMP"),
+         "<DATETIME>", "TIMESTAMP", needs=(".", ":"), hint=r":\d\d:"),
     Mask("M5", r"\b\d{2}:\d{2}:\d{2}(?:\.\d+)?\b",
-         "<TIME>", "TIMESTAMP"),
+         "<TIME>", "TIMESTAMP", needs=(":",), hint=r":\d\d:"),
     Mask("M6", r"\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b",
-         "<IPV6>", "IP"),
+         "<IPV6>", "IP", needs=(":",), hint=r":[0-9a-fA-F]{1,4}:"),
     Mask("M7", r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b",
-         "<IP>", "IP"),
+         "<IP>", "IP", needs=(".",), hint=r"\.\d{1,3}\."),
     Mask("M8", r"\b(?:[0-9a-fA-F]{2}[:\-]){5}[0-9a-fA-F]{2}\b",
-         "<MAC>", "MAC"),
+         "<MAC>", "MAC", hint=r"[:\-][0-9a-fA-F]{2}[:\-]"),
     Mask("M9", r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b",
-         "<UUID>", "ID"),
+         "<UUID>", "ID", needs=("-",), hint=r"-[0-9a-fA-F]{4}-"),
     Mask("M10", r"\b[0-9a-fA-F]{16,}\b",
-         "<HEX>", "ID"),
+         "<HEX>", "ID", hint=r"[0-9a-fA-F]{16}"),
     Mask("M11", r"\bport[= ](\d{1,5})\b",
-         "port <PORT>", "PORT"),
+         "port <PORT>", "PORT", needs=("port",)),
     Mask("M12", r"\bfor\s+([a-zA-Z][a-zA-Z0-9_.\-]{1,32})\s+(?=from|at|on|\()",
          "for <USERNAME> ", "USERNAME", 1,
          sql_pattern=r"\bfor\s+([a-zA-Z][a-zA-Z0-9_.\-]{1,32})\s+(from|at|on|\()",
-         sql_replacement=r"for <USERNAME> \2"),
+         sql_replacement=r"for <USERNAME> \2", needs=("for",), hint=r"for\s"),
     Mask("M13", r"\buser[= ]([a-zA-Z][a-zA-Z0-9_.\-]{1,32})\b",
-         "user <USERNAME>", "USERNAME", 1),
+         "user <USERNAME>", "USERNAME", 1, needs=("user",), hint=r"user[= ]"),
     Mask("M14", r"\bpassword=\S+",
-         "password <PASSWORD>", "PASSWORD"),
+         "password <PASSWORD>", "PASSWORD", needs=("password=",)),
     Mask("M15", r"\bpid[= ](\d+)\b",
-         "pid <PID>", "PID"),
+         "pid <PID>", "PID", needs=("pid",), hint=r"pid[= ]"),
     Mask("M16", r"\b0x[0-9a-fA-F]{4,}\b",
-         "<ADDR>", "ADDR"),
+         "<ADDR>", "ADDR", needs=("0x",)),
     Mask("M17", r"(?:/[\w.\-]+){2,}",
-         "<PATH>", "PATH"),
+         "<PATH>", "PATH", needs=("/",)),
     Mask("M18", r"https?://\S+",
-         "<URL>", "URL"),
+         "<URL>", "URL", needs=("http", "://")),
     Mask("M19", r"\b[\w.+-]+@[\w-]+\.[a-zA-Z]{2,}\b",
-         "<EMAIL>", "EMAIL"),
+         "<EMAIL>", "EMAIL", needs=("@",)),
     Mask("M20", r"\b\d{7,}\b",
-         "<NUM>", "NUM"),
+         "<NUM>", "NUM", hint=r"\d{7}"),
     Mask("M21", r"\b\d+(?:\.\d+)?(?:ms|us|ns|s|KB|MB|GB|TB|B)\b",
-         "<SIZE>", "SIZE"),
+         "<SIZE>", "SIZE", hint=r"\d(?:ms|us|ns|s|[KMGT]?B)"),
 )
 
 # Extraction keys in the order they first occur in MASKS.
@@ -92,13 +95,36 @@ def _java_replacement(text: str) -> str:
     return text.replace("\\", "\\\\").replace("$", "\\$")
 
 
+def _may_match(text: Column, mask: Mask) -> Column | None:
+    """False only where the mask finds nothing: plain searches instead of the regex, which
+    most lines then never run."""
+    tests = [text.contains(x) for x in mask.needs] + ([text.rlike(mask.hint)] if mask.hint else [])
+    return functools.reduce(lambda a, b: a & b, tests) if tests else None
+
+
+def _once(text: Column, fn) -> Column:
+    """``fn`` of a text that the expression names once, however often ``fn`` uses it: the
+    chain of masks stays one expression that grows with the number of masks."""
+    return F.get(F.transform(F.array(text), fn), 0)
+
+
 def apply_mask(text: Column, mask: Mask) -> Column:
-    return F.regexp_replace(text, F.lit(mask.pattern), F.lit(_java_replacement(mask.placeholder)))
+    def put(x: Column) -> Column:
+        return F.regexp_replace(x, F.lit(mask.pattern), F.lit(_java_replacement(mask.placeholder)))
+
+    if not (mask.needs or mask.hint):
+        return put(text)
+    return _once(text, lambda x: F.when(_may_match(x, mask), put(x)).otherwise(x))
 
 
 def extract_mask(text: Column, mask: Mask) -> Column:
     """All values the mask removes from ``text`` (group ``mask.group`` of each match)."""
-    return F.regexp_extract_all(text, F.lit(mask.pattern), F.lit(mask.group))
+    def take(x: Column) -> Column:
+        return F.regexp_extract_all(x, F.lit(mask.pattern), F.lit(mask.group))
+
+    if not (mask.needs or mask.hint):
+        return take(text)
+    return _once(text, lambda x: F.when(_may_match(x, mask) | x.isNull(), take(x)).otherwise(F.array().cast("array<string>")))
 
 
 def mask_column(line: Column, masks=MASKS) -> Column:

@@ -4,17 +4,21 @@ The rule set is configuration (bounded by the rule file), so labelling is a sing
 projection: ``coalesce(when(text rlike '(?i)p1', label1), when(... p2 ...), ...)``.
 Coalesce evaluates its children in order and stops at the first non-null, so the cost per
 row is "regexes until the first hit", like the reference's loop; the patterns are
-literals, compiled once per task. No join, no shuffle.
+literals, compiled once per task. A regex of the default rules runs only where the words it
+cannot do without occur (plain searches in the lower-cased text). No join, no shuffle.
 
 ``label_distinct`` is the form for template tables (label each distinct template once).
 """
 
 from __future__ import annotations
 
+import functools
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logweave.sources.rules import DEFAULT_RULES, rules_as_list
+from logweave.sources.rules import DEFAULT_RULES, RULE_WORDS, rules_as_list
 
 LABEL_FIELDS = ("rule_order", "class_uid", "class_name", "activity_id", "activity_name",
                 "severity_id", "category_uid", "category_name", "matched_rule")
@@ -42,9 +46,20 @@ def label_column(text: Column, rules=DEFAULT_RULES) -> Column:
             "struct<rule_order:int,class_uid:int,class_name:string,activity_id:int,"
             "activity_name:string,severity_id:int,category_uid:int,category_name:string,"
             "matched_rule:string>")
-    branches = [F.when(text.rlike("(?i)" + r.pattern), _label_struct(i + 1, r))
-                for i, r in enumerate(rs)]
-    return F.coalesce(*branches) if len(branches) > 1 else branches[0]
+
+    def found(x: Column, r) -> Column:
+        # (?i) folds ASCII letters only, which ``lower`` folds too
+        hit = x["t"].rlike("(?i)" + r.pattern)
+        words = RULE_WORDS.get(r.pattern)
+        if not words:
+            return hit
+        return functools.reduce(or_, (functools.reduce(and_, (x["low"].contains(w) for w in ws)) for ws in words)) & hit
+
+    def first(x: Column) -> Column:
+        branches = [F.when(found(x, r), _label_struct(i + 1, r)) for i, r in enumerate(rs)]
+        return F.coalesce(*branches) if len(branches) > 1 else branches[0]
+
+    return F.get(F.transform(F.array(F.struct(text.alias("t"), F.lower(text).alias("low"))), first), 0)
 
 
 def normalize(df: DataFrame, text_col: str = "template", rules=DEFAULT_RULES,

@@ -73,23 +73,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_parallelism(df: DataFrame, key: str) -> DataFrame:
-    """Spread a scan over at least ``defaultParallelism`` tasks.
+def ensure_parallelism(df: DataFrame, *keys) -> DataFrame:
+    """Deal a scan evenly over at least four tasks a core.
 
-    The work per line (21 regex masks, 20 rule regexes, event extraction) is CPU-bound;
-    a small input file is a single split and would run as one task. Large inputs already
-    have more splits than cores and are left as they are (no extra shuffle). Hash
-    partitioning on the id keeps the layout deterministic for task retries.
+    The work per line (masks, rules, event extraction) is CPU-bound and a scan's tasks are as
+    uneven as the files' row groups: a file of one group is one task that has rows and many
+    that have none. Hash partitioning keeps the layout deterministic for task retries; ``keys``
+    tell all unlike rows apart, so rows that share an id are dealt out too.
     """
-    n = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < n:
-        return df.repartition(n, key)
-    return df
+    n = max(df.rdd.getNumPartitions(), 4 * df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
 
 
 def event_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = ensure_parallelism(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type"),
-                            "event_id")
+                            "event_id", "ts", "user_id", "event_type")
     return ev.select(
         F.col("event_id").alias("line_id"),
         F.col("ts").alias("arrival_ts"),
@@ -99,7 +97,7 @@ def event_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = ensure_parallelism(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
+    docs = ensure_parallelism(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id", F.xxhash64("text"))
     x = docs.select("doc_id", "source", F.posexplode(F.split(F.col("text"), "\n", -1)).alias("pos", "line"))
     return (x.where(F.col("line").rlike(r"\S"))
             .select((F.col("doc_id") * F.lit(LINE_ID_DOC_SHIFT) + F.col("pos")).alias("line_id"),
