@@ -31,6 +31,11 @@ def char_similarity_py(a, b) -> float:
     return difflib.SequenceMatcher(None, a, b).ratio()
 
 
+@F.pandas_udf(T.DoubleType())
+def literal_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([literal_similarity_py(x, y) for x, y in zip(a, b)], dtype="float64")
+
+
 @F.pandas_udf(T.DoubleType())
 def char_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([char_similarity_py(x, y) for x, y in zip(a, b)], dtype="float64")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.functions.tokens import PY_SPACE, tokens
-from logweave.operators.near import SHARD, best_near, candidate_ids
+from logweave.operators.near import LITERALS, SHARD, best_near, candidate_ids
 
 DEFAULT_NEAR_THRESHOLD = 0.85
 MAX_BROADCAST_TEMPLATES = 200_000
@@ -69,15 +69,23 @@ def strict_match(lines: DataFrame, compiled: DataFrame, line_col: str = "line",
     x = lines.withColumn("__toks", tokens(line)).withColumn("__ws_ok", ws_ok)
     x = x.withColumn("__n", F.size("__toks"))
     lookup = templates_by_token_count(compiled)
-    n_templates = compiled.count()  # bounded config table: a cheap, explicit size check
-    if n_templates <= max_broadcast_templates:
-        lookup = F.broadcast(lookup)
+    # explicit size checks, one a lookup: templates that start with a wildcard are few
+    first_wild = F.get(F.col("tpl_tokens"), 0).rlike(r"^<[^>]*>$")
+    sizes = compiled.agg(F.count(F.lit(1)).alias("n"), F.count_if(first_wild).alias("wild"), F.coalesce(F.sum("literal_count"), F.lit(0)).alias("literals")).first()
     # two lookups per line, each on a unique key (no row multiplication): templates whose
     # first token equals the line's first token, and templates starting with a wildcard
     x = x.withColumn("__f", F.coalesce(F.get(F.col("__toks"), 0), F.lit("")))
     lit_first = lookup.where(F.col("__f") != "<*>").withColumnRenamed("__cands", "__c1")
     wild_first = lookup.where(F.col("__f") == "<*>").select("__n", F.col("__cands").alias("__c2"))
+    if sizes.n <= max_broadcast_templates and sizes.literals <= LITERALS:
+        lit_first = F.broadcast(lit_first)
+    else:
+        x = x.drop("__toks")        # cut anew behind the shuffle, which carries the lines alone
+    if sizes.wild <= max_broadcast_templates:
+        wild_first = F.broadcast(wild_first)
     j = x.join(lit_first, ["__n", "__f"], "left").join(wild_first, "__n", "left")
+    if "__toks" not in j.columns:
+        j = j.withColumn("__toks", tokens(line))
     both = F.concat(F.coalesce(F.col("__c1"), F.array()), F.coalesce(F.col("__c2"), F.array()))
     hit = F.filter(_priority_sorted(both), lambda c: F.forall(
         F.zip_with(c["lits"], F.col("__toks"), lambda a, b: a.isNull() | (a == b)), lambda ok: ok))

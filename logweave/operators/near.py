@@ -12,6 +12,10 @@ shard is broadcast to the workers, where it is indexed once:
   Aho-Corasick automaton over those finds the ones that occur in the line in one pass.
 
 Both are exact: what they leave out cannot match.
+
+A near match against more than ``SHARD`` templates or ``LITERALS`` literals takes the same
+rule as joins (:func:`_best_joined`): templates under their rarest literals meet the tokens of
+the distinct lines, so no worker, broadcast or driver holds the registry.
 """
 
 from __future__ import annotations
@@ -24,9 +28,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logweave.functions.similarity import literal_similarity_py
+from logweave.functions.similarity import literal_similarity, literal_similarity_py
+from logweave.functions.tokens import tokens
+from logweave.operators.compile import loose_match_expr
+from logweave.session import cut_lineage
 
 SHARD = 200_000
+LITERALS = 1_000_000
 _BUILT: dict = {}
 
 
@@ -103,11 +111,16 @@ def _index(shared, threshold: float) -> _Index:
     return _BUILT[key]
 
 
+def _registry(compiled: DataFrame) -> DataFrame:
+    """The registry's templates with literals."""
+    return compiled.where(F.col("literal_count") > 0).select(
+        "cluster_id", "literal_tokens", F.col("literal_count").cast("int").alias("n"), F.coalesce(F.col("registry_seq").cast("long"), F.lit(0)).alias("seq"))
+
+
 def _shards(compiled: DataFrame, size: int):
     """Broadcasts (name, rows) of the registry's templates with literals, at most about ``size``
     each. The name tells a worker which index it has built."""
-    t = compiled.where(F.col("literal_count") > 0).select(
-        "cluster_id", "literal_tokens", F.col("literal_count").cast("int").alias("n"), F.coalesce(F.col("registry_seq").cast("long"), F.lit(0)).alias("seq"))
+    t = _registry(compiled)
     shards = max(1, -(-t.count() // size))
     for i in range(shards):
         some = t if shards == 1 else t.where(F.pmod(F.xxhash64("cluster_id"), F.lit(shards)) == i)
@@ -147,8 +160,37 @@ def _better(a: Column, b: Column) -> Column:
     return F.when(b["score"].isNull(), a).when(a["score"].isNull(), b).when(first | (even & (a["id"] <= b["id"])), a).otherwise(b)
 
 
+def _best_joined(lines: DataFrame, compiled: DataFrame, line: Column, threshold: float) -> DataFrame:
+    """``best_near`` for a registry of any size. Of templates with the same literals the earliest
+    with the smallest id wins every line, so one stands for all; each distinct line is looked
+    up once."""
+    first = F.min(F.struct("seq", "cluster_id")).alias("f")
+    n = F.size("literal_tokens")
+    # 1e-9: the score is a quotient
+    need = F.greatest(F.ceil(F.lit(threshold) * n - F.lit(1e-9)).cast("int"), F.lit(1))
+    kinds = _registry(compiled).groupBy("literal_tokens").agg(first).select("literal_tokens", "f", n.alias("n"), need.alias("need"))
+    kinds = cut_lineage(kinds.withColumn("c", F.monotonically_increasing_id()))
+    held = kinds.select(F.explode(F.array_distinct("literal_tokens")).alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("held"))
+    rare = F.array_sort(F.collect_list(F.struct("held", "tok")))        # a template's literals
+    under = kinds.select("c", "n", "need", F.explode("literal_tokens").alias("tok")).join(held, "tok").groupBy("c", "n", "need").agg(rare.alias("rare"))
+    under = under.select("c", F.explode(F.array_distinct(F.slice("rare", 1, F.col("n") - F.col("need") + 1)["tok"])).alias("tok"))
+    texts = cut_lineage(lines.select(line.alias("__t")).where("__t is not null").distinct().withColumn("k", F.monotonically_increasing_id()))
+    pairs = texts.select("k", F.explode(F.array_distinct(tokens(F.col("__t")))).alias("tok")).join(under, "tok").select("k", "c").distinct()
+    full = pairs.join(kinds, "c").join(texts, "k").where(loose_match_expr("literal_tokens", "__t"))
+    scored = full.withColumn("__s", literal_similarity(F.col("literal_tokens"), F.col("__t"))).where(F.col("__s") >= threshold)
+    best = scored.groupBy("__t").agg(F.min(F.struct((-F.col("__s")).alias("s"), (-F.col("n")).alias("n"), "f.seq", "f.cluster_id")).alias("b"))
+    best = cut_lineage(best.select("__t", F.col("b.cluster_id").alias("near_cluster_id"), (-F.col("b.s")).alias("similarity")))
+    if best.count() <= SHARD:
+        best = F.broadcast(best)
+    return lines.withColumn("__near", line).join(best, F.col("__near") == F.col("__t"), "left").drop("__near", "__t")
+
+
 def best_near(lines: DataFrame, compiled: DataFrame, line: Column, threshold: float, shard: int = SHARD) -> DataFrame:
     """Adds ``near_cluster_id`` and ``similarity`` of the best template; null below the threshold."""
+    if threshold > 0:
+        size = _registry(compiled).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("literals")).first()
+        if size.n > shard or size.literals > LITERALS:
+            return _best_joined(lines, compiled, line, threshold)
     out, names = lines, []
     for i, shared in enumerate(_shards(compiled, shard)):
         names.append(f"__near{i}")

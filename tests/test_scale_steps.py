@@ -57,3 +57,27 @@ def test_one_row_group_is_dealt_evenly(spark, tmp_path):
     for lines in (event_log_lines(spark, str(tmp_path)), document_lines(spark, str(tmp_path))):
         sizes = [r["count"] for r in lines.groupBy(F.spark_partition_id()).count().collect()]
         assert max(sizes) < 0.3 * sum(sizes)
+
+
+def test_joined_near_match_equals_the_index(spark, monkeypatch):
+    from logweave.operators import near
+    from logweave.operators.compile import compile_templates
+    from logweave.operators.matching import near_match, strict_match
+
+    rng = random.Random(3)
+    words = ["a", "bb", "ccc", "d", "ee", "f1", "gg", "<*>", "<ip>", "é"]
+    tpl = [(str(i % 70), " ".join(rng.choice(words) for _ in range(rng.randint(0, 9))), i % 11) for i in range(120)] + [("x", "a bb <*> ccc", 1), ("y", "a bb <ip> ccc", 0)]
+    comp = compile_templates(spark.createDataFrame(tpl, "cluster_id string, labeled_template string, registry_seq long"))
+    lines = [" ".join(rng.choice(words) + rng.choice(["", "", "x"]) for _ in range(rng.randint(0, 12))) for _ in range(200)] + [None, "", "a bb q ccc", "a bb q ccc"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "line_id long, line string")
+    for s in (0.85, 0.5):
+        want = near_match(df, comp, threshold=s).collect()
+        got = near_match(df, comp, threshold=s, shard=3).collect()
+        with monkeypatch.context() as m:
+            m.setattr(near, "_shards", None)                # nothing is broadcast
+            assert len(near_match(df, comp, threshold=s, shard=3).collect()) == len(lines)
+        assert {(r.line_id, r.near_cluster_id, r.similarity) for r in got} == {(r.line_id, r.near_cluster_id, r.similarity) for r in want}
+        assert sum(r.similarity is not None for r in want) > 20
+    a = strict_match(df, comp).select("line_id", "exact_literal_count").collect()
+    b = strict_match(df, comp, max_broadcast_templates=0).select("line_id", "exact_literal_count").collect()
+    assert sorted(a, key=str) == sorted(b, key=str)
