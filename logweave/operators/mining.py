@@ -411,8 +411,9 @@ def template_of_cluster(df: DataFrame, cluster_col: str = "cluster_id", text_col
     Grouping is on (cluster, position): partial aggregation, and the per-cluster list is
     bounded by the token count, never by the number of lines."""
     x = df.select(F.col(cluster_col).alias("cluster_id"), F.posexplode(tokens(F.col(text_col))).alias("pos", "tok"))
-    g = x.groupBy("cluster_id", "pos").agg(F.min("tok").alias("lo"), F.max("tok").alias("hi"))
-    g = g.select("cluster_id", "pos", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.lit(WILDCARD)).alias("tok"))
+    # unlike tokens first: a hash aggregate, where least and greatest strings need a sort of all
+    g = x.distinct().groupBy("cluster_id", "pos").agg(F.min("tok").alias("lo"), F.count(F.lit(1)).alias("unlike"))
+    g = g.select("cluster_id", "pos", F.when(F.col("unlike") == 1, F.col("lo")).otherwise(F.lit(WILDCARD)).alias("tok"))
     t = g.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("pos", "tok"))).alias("pt"))
     return t.select("cluster_id", F.array_join(F.transform("pt", lambda p: p["tok"]), " ").alias("template"),
                     F.size("pt").alias("token_count"))

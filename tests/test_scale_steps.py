@@ -1,6 +1,7 @@
 """Steps that decide how queries grow: each gives the plain form's rows."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -81,3 +82,13 @@ def test_joined_near_match_equals_the_index(spark, monkeypatch):
     a = strict_match(df, comp).select("line_id", "exact_literal_count").collect()
     b = strict_match(df, comp, max_broadcast_templates=0).select("line_id", "exact_literal_count").collect()
     assert sorted(a, key=str) == sorted(b, key=str)
+
+
+def test_template_is_hashed_down_to_unlike_tokens_first(spark):
+    from logweave.operators.mining import template_of_cluster
+
+    df = spark.createDataFrame([("k", f"a {i} c") for i in range(50)] + [("k", "a 1 c"), ("l", "x"), ("m", "")], "cluster_id string, processed string")
+    t = template_of_cluster(df)
+    assert {(r.cluster_id, r.template, r.token_count) for r in t.collect()} == {("k", "a <*> c", 3), ("l", "x", 1)}
+    plan = t._jdf.queryExecution().sparkPlan().toString()
+    assert re.search(r"HashAggregate\(keys=\[[^\]]*pos#\d+, tok#\d+\], functions=\[\]", plan)
