@@ -29,7 +29,7 @@ from logweave.operators.mining import DEFAULT_SIM_TH
 from logweave.operators.sampling import DEFAULT_K, DEFAULT_SEED
 from logweave.session import checkpoint_dir
 from logweave.sources.rules import DEFAULT_RULES, read_rules_file
-from logweave.sources.tables import EVENT_LINE_SQL
+from logweave.sources.tables import EVENT_LINE_SQL, ensure_parallelism
 
 LINE_SCHEMA = T.StructType([
     T.StructField("line_id", T.LongType()), T.StructField("arrival_ts", T.TimestampType()),
@@ -175,6 +175,8 @@ def stream_ingest(lines: DataFrame, out_path: str, ckpt: str, rules_path: str |
             saved = load_state(spark, state_root)
             if saved is not None and "templates" in saved:
                 registry = cut_lineage(matchable_templates(saved["templates"], fallback_to_pattern=True))
+        # a micro-batch of one file is one task: its lines are dealt out before the masks
+        batch = ensure_parallelism(batch, "line_id", F.xxhash64("line"))
         seeds = cut_lineage(clusters_before(spark, clusters, batch_id))
         out = ingest(batch, compiled=registry, rules=rules, sim_th=sim_th, seeds=seeds, near_threshold=near_threshold)
         _write_batch(out.results, out_path, batch_id)

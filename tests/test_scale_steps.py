@@ -84,6 +84,19 @@ def test_joined_near_match_equals_the_index(spark, monkeypatch):
     assert sorted(a, key=str) == sorted(b, key=str)
 
 
+def test_micro_batch_is_dealt_out(spark, tmp_path, monkeypatch):
+    from logweave.plans import ingest as plan
+    from logweave.streaming.ingest import LINE_SCHEMA, stream_ingest
+
+    rows = spark.range(600).select(F.col("id").alias("line_id"), F.timestamp_seconds("id").alias("arrival_ts"), F.lit("s").alias("source"), F.concat(F.lit("job "), F.col("id") % 3, F.lit(" done")).alias("line"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
+    sizes, real = [], plan.ingest
+    monkeypatch.setattr(plan, "ingest", lambda batch, **kw: (sizes.extend(r["count"] for r in batch.groupBy(F.spark_partition_id()).count().collect()), real(batch, **kw))[1])
+    stream_ingest(spark.readStream.schema(LINE_SCHEMA).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/ckpt").awaitTermination()
+    assert sum(sizes) == 600 and max(sizes) < 300
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 600
+
+
 def test_template_is_hashed_down_to_unlike_tokens_first(spark):
     from logweave.operators.mining import template_of_cluster
 
