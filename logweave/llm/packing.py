@@ -55,6 +55,7 @@ class _Tokens:
         self.fold = "Lowercase()" in str(self.encoder.normalizer)
         signs = r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" in str(self.encoder.pre_tokenizer).replace("\\\\", "\\")
         self.between = (_ALNUM, _SIGNS) if signs else None
+        self.added = [t.content.encode() for t in self.encoder.get_added_tokens_decoder().values()]
         self._clear()
         rng = np.random.default_rng(11)
         at, sign = rng.integers(0, _HASHED, size), rng.choice([-1.0, 1.0], size)
@@ -73,10 +74,38 @@ class _Tokens:
         order = np.argsort(keys)
         self.keys, self.at, self.n = keys[order], at[order], n[order]
 
-    def ids(self, data: np.ndarray, bounds: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    def ids(self, texts: list[str], end: int) -> list[bytes]:
+        """Each text's ids with ``end`` behind them, as bytes of ``kind``."""
+        import pyarrow as pa
+
+        ids, n = self.ids_of(*text_bytes(pa.array(texts, pa.string())), end)
+        return [x.tobytes() for x in np.split(ids, np.cumsum(n)[:-1])]
+
+    def _with_added(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Numbers of the texts in which an added token's text occurs."""
+        raw, places = data.tobytes(), []
+        for t in self.added:
+            at = raw.find(t)
+            while at >= 0:
+                places.append(at)
+                at = raw.find(t, at + 1)
+        return np.unique(np.searchsorted(bounds[1:], places, "right"))
+
+    def ids_of(self, data: np.ndarray, bounds: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of some texts, each with ``end`` behind it, and how many each has."""
         start, stop = spans(data, bounds, _PART, self.between)
-        keys, first, inv = np.unique(hashes(data, start, stop, self.fold), return_index=True, return_inverse=True)
+        keys = hashes(data, start, stop, self.fold)
+        odd = self._with_added(data, bounds)
+        if len(odd):
+            # texts that spell an added token keep their signs joined and their case
+            a, e = spans(data, bounds, _PART)
+            rest = ~np.isin(np.searchsorted(bounds[1:], start, "right"), odd)
+            here = np.isin(np.searchsorted(bounds[1:], a, "right"), odd)
+            start, stop = np.concatenate([start[rest], a[here]]), np.concatenate([stop[rest], e[here]])
+            keys = np.concatenate([keys[rest], hashes(data, a[here], e[here], False)])
+            order = np.argsort(start)
+            start, stop, keys = start[order], stop[order], keys[order]
+        keys, first, inv = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.keys) > _CACHE:
             self._clear()
         new = np.flatnonzero(find(self.keys, keys) < 0)
@@ -147,7 +176,7 @@ def _encode(path: str, end: int):
         for b in batches:
             data, bounds = text_bytes(b.column(1))
             for a, e in slices(bounds, _BYTES):
-                ids, n = tokens.ids(data[bounds[a]:bounds[e]], bounds[a:e + 1] - bounds[a], end)
+                ids, n = tokens.ids_of(data[bounds[a]:bounds[e]], bounds[a:e + 1] - bounds[a], end)
                 ends = np.concatenate([[0], np.cumsum(n) * tokens.kind.itemsize])
                 raw = pa.Array.from_buffers(pa.large_binary(), e - a, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids)])
                 tie = [zlib.crc32(x.as_buffer()) for x in raw]
