@@ -28,7 +28,8 @@ from logweave.llm.words import byte_class, hashes, slices, spans, text_bytes
 
 _HASHED, _DIMS, _BITS = 1024, 3, 10
 _CACHE = 3_000_000      # parts a worker keeps
-_BYTES = 4_000_000      # of text tokenised together (a longer text alone)
+_LEARN = 10_000         # parts encoded together: an encoding is some 100 times its part
+_BYTES = 1_000_000      # of text tokenised together (a longer text alone)
 _PART = ~byte_class((10, 10), (32, 32))
 _ALNUM = byte_class((48, 57), (65, 90), (97, 122))
 _SIGNS = byte_class((33, 38), (40, 47), (58, 64), (91, 96), (123, 126))     # ASCII signs but the apostrophe
@@ -66,10 +67,14 @@ class _Tokens:
         self.flat = np.zeros(0, self.kind)
 
     def _learn(self, keys: np.ndarray, parts: list[str]) -> None:
-        ids = [e.ids for e in self.encoder.encode_batch_fast(parts, add_special_tokens=False)]
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat, n = [self.flat], []
+        for a in range(0, len(parts), _LEARN):
+            ids = [e.ids for e in self.encoder.encode_batch_fast(parts[a:a + _LEARN], add_special_tokens=False)]
+            n.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flat.append(np.fromiter((i for x in ids for i in x), self.kind, int(n[-1].sum())))
+        n = np.concatenate(n)
         at = len(self.flat) + np.cumsum(n) - n
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), self.kind, int(n.sum()))])
+        self.flat = np.concatenate(flat)
         keys, at, n = np.concatenate([self.keys, keys]), np.concatenate([self.at, at]), np.concatenate([self.n, n])
         order = np.argsort(keys)
         self.keys, self.at, self.n = keys[order], at[order], n[order]

@@ -253,3 +253,20 @@ def test_one_of_each_keeps_unlike_rows_of_one_id(spark, sf, none):
     assert got == sorted([(1, a), (1, rows[1][1]), (2, ""), (2, "one two three"), (0, a), (5, None)], key=str)
     for stage in (P.drop_toxic, P.one_of_each, P.hide_private, P.mix_sources, P.pack):
         assert stage(spark, none, sf).count() == 0
+
+
+def test_few_parts_are_encoded_together():
+    """An encoding is some hundred times its part: a slice's new parts never go in one call."""
+    tokens = packing._Tokens(TOKENS)
+    real, sizes = tokens.encoder, []
+
+    class Encoder:
+        def encode_batch_fast(self, parts, **kw):
+            sizes.append(len(parts))
+            return real.encode_batch_fast(parts, **kw)
+
+    tokens.encoder = Encoder()
+    text = " ".join(f"w{i}x" for i in range(25_000))
+    (ids,) = tokens.ids([text], 2)
+    assert np.frombuffer(ids, tokens.kind).tolist() == real.encode(text, add_special_tokens=False).ids + [2]
+    assert max(sizes) <= packing._LEARN and len(sizes) > 2
