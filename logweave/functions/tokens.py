@@ -36,11 +36,21 @@ LABEL_VOCAB = (
 )
 
 
+#: Found in every text that is not printable ASCII and blanks alone.
+ODD = "[^!-~ ]"
+
+
 def tokens(text: Column) -> Column:
     """Whitespace tokens (as ``str.split()`` cuts them), leading/trailing whitespace
-    ignored; '' gives []."""
-    stripped = F.regexp_replace(text, f"^{PY_SPACE}+|{PY_SPACE}+$", "")
-    return F.when(stripped == "", F.array().cast("array<string>")).otherwise(F.split(stripped, f"{PY_SPACE}+"))
+    ignored; '' gives []. A text of printable ASCII is cut at blanks, which is no regex."""
+    cut = F.when(text.rlike(ODD), F.split(text, PY_SPACE)).otherwise(F.split(text, " "))
+    return F.array_remove(cut, "")
+
+
+def bare(text: Column) -> Column:
+    """True without whitespace at either end."""
+    odd = text.rlike(f"^{PY_SPACE}") | text.rlike(f"{PY_SPACE}\\z")
+    return ~F.when(text.rlike(ODD), odd).otherwise(text.startswith(" ") | text.endswith(" "))
 
 
 def token_count(text: Column) -> Column:

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logweave.functions.tokens import PY_SPACE, tokens
+from logweave.functions.tokens import bare, tokens
 from logweave.operators.near import LITERALS, SHARD, best_near, candidate_ids
 
 DEFAULT_NEAR_THRESHOLD = 0.85
@@ -64,8 +64,8 @@ def strict_match(lines: DataFrame, compiled: DataFrame, line_col: str = "line",
                  max_broadcast_templates: int = MAX_BROADCAST_TEMPLATES) -> DataFrame:
     """J1 + W1: adds ``exact_cluster_id``, ``exact_literal_count``, ``matched_fields``."""
     line = F.col(line_col)
-    stripped = F.regexp_replace(line, f"^{PY_SPACE}+|{PY_SPACE}+$", "")
-    ws_ok = (line == stripped) | (line == F.concat(stripped, F.lit("\n")))
+    # one line feed at the end is no part of the line
+    ws_ok = bare(line) | (line.endswith("\n") & bare(F.substr(line, F.lit(1), F.length(line) - 1)))
     x = lines.withColumn("__toks", tokens(line)).withColumn("__ws_ok", ws_ok)
     x = x.withColumn("__n", F.size("__toks"))
     lookup = templates_by_token_count(compiled)

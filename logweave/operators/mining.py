@@ -408,10 +408,19 @@ def mine_templates(lines: DataFrame, text_col: str = "processed", id_col: str =
 
 def template_of_cluster(df: DataFrame, cluster_col: str = "cluster_id", text_col: str = "processed") -> DataFrame:
     """A2: position-wise template per cluster: the token when all rows agree, else '<*>'.
-    Grouping is on (cluster, position): partial aggregation, and the per-cluster list is
-    bounded by the token count, never by the number of lines."""
-    x = df.select(F.col(cluster_col).alias("cluster_id"), F.posexplode(tokens(F.col(text_col))).alias("pos", "tok"))
-    # unlike tokens first: a hash aggregate, where least and greatest strings need a sort of all
+    Every row is compared with one of its cluster's longest rows and gives no more than the
+    positions where they differ: what is grouped grows with the clusters and their token
+    counts, not with the tokens of all lines. ``df`` is read twice."""
+    rows = df.select(F.col(cluster_col).alias("cluster_id"), tokens(F.col(text_col)).alias("toks"))
+    longest = F.max_by(text_col, F.size(tokens(F.col(text_col))))
+    # written, so that its size decides how the lines meet it
+    one = cut_lineage(df.groupBy(F.col(cluster_col).alias("cluster_id")).agg(longest.alias("text")))
+    one = one.select("cluster_id", tokens(F.col("text")).alias("t0")).where(F.size("t0") > 0)
+    far = one.select(F.col("cluster_id").alias("__c"), "t0")
+    both = rows.join(far, F.col("cluster_id").eqNullSafe(F.col("__c")))
+    differs = F.filter(F.sequence(F.lit(0), F.size("toks") - 1), lambda i: F.get(F.col("toks"), i) != F.get(F.col("t0"), i))
+    unlike = both.where(F.size("toks") > 0).select("cluster_id", F.explode(differs).alias("pos"), F.lit(None).cast("string").alias("tok"))
+    x = one.select("cluster_id", F.posexplode("t0").alias("pos", "tok")).unionByName(unlike)
     g = x.distinct().groupBy("cluster_id", "pos").agg(F.min("tok").alias("lo"), F.count(F.lit(1)).alias("unlike"))
     g = g.select("cluster_id", "pos", F.when(F.col("unlike") == 1, F.col("lo")).otherwise(F.lit(WILDCARD)).alias("tok"))
     t = g.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("pos", "tok"))).alias("pt"))

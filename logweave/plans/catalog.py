@@ -359,7 +359,8 @@ def _key_templates(spark, sf_dir):
     from logweave.operators.mining import mining_key, template_of_cluster
 
     lines = event_log_lines(spark, sf_dir)
-    keyed = M.mask_only(lines).withColumn("key", mining_key(tokens(F.col("processed"))))
+    # masked once: the templates and their first lines read the written texts
+    keyed = cut_lineage(M.mask_only(lines).select("line_id", "processed", mining_key(tokens(F.col("processed"))).alias("key")))
     tpl = template_of_cluster(keyed, "key", "processed")
     seq = keyed.groupBy(F.col("key").alias("cluster_id")).agg(F.min("line_id").alias("registry_seq"))
     # derived once and written to the checkpoint folder: both passes (strict, near) and
@@ -495,7 +496,8 @@ def _kg_template_table(spark, sf_dir):
     from logweave.operators.mining import mining_key, template_of_cluster
 
     lines = event_log_lines(spark, sf_dir)
-    keyed = M.mask_only(lines).withColumn("key", mining_key(tokens(F.col("processed"))))
+    # masked once: the templates, their first lines and whatever follows read the written lines
+    keyed = cut_lineage(M.mask_only(lines).withColumn("key", mining_key(tokens(F.col("processed")))))
     tpl = template_of_cluster(keyed, "key", "processed")
     first = keyed.groupBy(F.col("key").alias("cluster_id")).agg(
         F.min_by("arrival_ts", "line_id").cast("timestamp").alias("created_at"))
@@ -1030,7 +1032,8 @@ def _doc_templates(spark, sf_dir):
     from logweave.operators.mining import mining_key, template_of_cluster
 
     lines = document_lines(spark, sf_dir)
-    keyed = M.mask_only(lines).withColumn("key", mining_key(tokens(F.col("processed"))))
+    # masked once: the templates and their first lines read the written texts
+    keyed = cut_lineage(M.mask_only(lines).select("line_id", "processed", mining_key(tokens(F.col("processed"))).alias("key")))
     tpl = template_of_cluster(keyed, "key", "processed")
     seq = keyed.groupBy(F.col("key").alias("cluster_id")).agg(F.min("line_id").alias("registry_seq"))
     compiled = cut_lineage(compile_templates(tpl.join(seq, "cluster_id"), "template"))

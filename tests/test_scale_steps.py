@@ -105,3 +105,35 @@ def test_template_is_hashed_down_to_unlike_tokens_first(spark):
     assert {(r.cluster_id, r.template, r.token_count) for r in t.collect()} == {("k", "a <*> c", 3), ("l", "x", 1)}
     plan = t._jdf.queryExecution().sparkPlan().toString()
     assert re.search(r"HashAggregate\(keys=\[[^\]]*pos#\d+, tok#\d+\], functions=\[\]", plan)
+
+
+def test_tokens_and_bare_ends_equal_python(spark):
+    from logweave.functions.tokens import bare, tokens
+
+    rng = random.Random(5)
+    odd = [*"\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0       　", "​", "\x00", "\x7f", "é", "😀"]
+    texts = ["".join(rng.choice(odd if rng.random() < 0.4 else [" ", "a", "x~", "\n"]) for _ in range(rng.randint(0, 7))) for _ in range(3000)] + [None, "", " ", "a b", "\n"]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    got = df.select("t", tokens(F.col("t")).alias("k"), bare(F.col("t")).alias("b"))
+    for r in got.collect():
+        assert r.k == (None if r.t is None else r.t.split()) and r.b == (None if r.t is None else r.t == r.t.strip())
+    # printable ASCII is cut without a regex over the white space of all scripts
+    assert "rlike" in got._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_templates_group_differences_not_tokens(spark):
+    """200 equal rows of 30 tokens: what is grouped are the 30 positions, one time."""
+    from logweave.operators.mining import template_of_cluster
+
+    rows = [("k", " ".join(["a"] * 29 + [str(i % 2)])) for i in range(200)] + [("k", "a b"), (None, "x y"), (None, "x z"), ("e", ""), ("n", None)]
+    t = template_of_cluster(spark.createDataFrame(rows, "cluster_id string, processed string"))
+    assert {(r.cluster_id, r.template) for r in t.collect()} == {("k", " ".join(["a", "<*>", *["a"] * 27, "<*>"])), (None, "x <*>")}
+    plan = t._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and plan.count("explode(") == 2
+
+
+def _writes(monkeypatch, module):
+    """Counts the tables that ``module`` writes."""
+    seen, real = [], module.cut_lineage
+    monkeypatch.setattr(module, "cut_lineage", lambda df: (seen.append(df.columns), real(df))[1])
+    return seen
