@@ -970,7 +970,8 @@ def near_match_queue_events(spark, sf_dir):
 
     lines, compiled = _key_templates(spark, sf_dir)
     _, _, t = _kg_template_table(spark, sf_dir)
-    r = fast_path(lines, compiled, threshold=0.5)
+    # matched once: the queue, its requests, the resolution and the counts read the result
+    r = cut_lineage(fast_path(lines, compiled, threshold=0.5).select("line_id", "line", "arrival_ts", "cluster_id", "similarity", "match_kind"))
     res = r.select("line_id", "line", "arrival_ts", "cluster_id", "similarity",
                    (F.col("match_kind") == "NEAR").alias("near_match"))
     items = near_match_enqueue(res)
