@@ -137,3 +137,30 @@ def _writes(monkeypatch, module):
     seen, real = [], module.cut_lineage
     monkeypatch.setattr(module, "cut_lineage", lambda df: (seen.append(df.columns), real(df))[1])
     return seen
+
+
+def test_event_lines_are_masked_once(spark, tmp_path, monkeypatch):
+    from logweave.plans import catalog
+
+    ev = spark.range(300).select(F.col("id").alias("event_id"), F.timestamp_seconds("id").alias("ts"), (F.col("id") % 50).alias("user_id"), F.lit("a").alias("event_type"))
+    ev.write.parquet(f"{tmp_path}/events.parquet")
+    seen = _writes(monkeypatch, catalog)
+    _, keyed, t = catalog._kg_template_table(spark, str(tmp_path))
+    assert any("processed" in c and "key" in c for c in seen)
+    for df in (keyed, t):
+        assert "regexp_replace" not in df._jdf.queryExecution().optimizedPlan().toString()
+    seen.clear()
+    catalog._key_templates(spark, str(tmp_path))
+    assert any("processed" in c and "key" in c for c in seen)
+
+
+def test_registry_lines_are_matched_once(spark, monkeypatch):
+    from logweave.operators.compile import compile_templates
+    from logweave.plans import ingest as plan
+
+    comp = compile_templates(spark.createDataFrame([("c", "job <*> done", 1)], "cluster_id string, labeled_template string, registry_seq long"))
+    lines = spark.createDataFrame([(i, f"job {i} done" if i % 2 else f"task {i} over") for i in range(20)], "line_id long, line string")
+    seen = _writes(monkeypatch, plan)
+    out = plan.ingest(lines, compiled=comp, near_threshold=1.1, with_extractions=False)
+    assert any("match_kind" in c for c in seen)
+    assert sorted((r.line_id, r.fast_path) for r in out.results.collect()) == [(i, i % 2 == 1) for i in range(20)]
