@@ -58,6 +58,7 @@ class _Miner(StatefulProcessor):
             state.put(int(o), state.read(toks))
             names[int(o)] = (entry[0], entry[2])
         changed, seen, out = set(), {}, []
+        now: dict = {}      # texts of the templates as they are
         for line_id, text, line in zip(new["line_id"].tolist(), map(_text, new["processed"]), map(_text, new["line"])):
             if text in seen:                     # a repeat stays with its first occurrence
                 at, kind = seen[text], "NONE"
@@ -70,7 +71,9 @@ class _Miner(StatefulProcessor):
                 names[at] = (cluster_name(line_id, text), line_id)
             if kind != "NONE":
                 changed.add(at)
-            out.append((line_id, key[0], names[at][0], kind, state.text(at), line))
+            if kind != "NONE" or at not in now:
+                now[at] = state.text(at)
+            out.append((line_id, key[0], names[at][0], kind, now[at], line))
         for at in sorted(changed):
             self.clusters.updateValue((at,), (names[at][0], state.text(at), int(names[at][1])))
         yield pd.DataFrame({c.split()[0]: pd.Series([r[i] for r in out], dtype="int64" if i == 0 else object) for i, c in enumerate(_MINED.split(", "))})
