@@ -100,10 +100,12 @@ def strict_match(lines: DataFrame, compiled: DataFrame, line_col: str = "line",
             .drop("__toks", "__ws_ok", "__n", "__f", "__c1", "__c2", "__best"))
 
 
-def loose_candidates(lines: DataFrame, compiled: DataFrame, line_col: str = "line", shard: int = SHARD) -> DataFrame:
+def loose_candidates(lines: DataFrame, compiled: DataFrame, line_col: str = "line", shard: int = SHARD,
+                     ids: bool = True) -> DataFrame:
     """J2 / P5 candidate test: adds ``loose_ids``, the templates (with literals) whose
-    literals all occur in the line in order, most specific first."""
-    return candidate_ids(lines, compiled, F.col(line_col), shard)
+    literals all occur in the line in order, most specific first; without ``ids`` their number
+    ``n_loose`` and the first of them, ``first_loose``."""
+    return candidate_ids(lines, compiled, F.col(line_col), shard, ids)
 
 
 def near_match(lines: DataFrame, compiled: DataFrame, line_col: str = "line",

@@ -13,9 +13,9 @@ shard is broadcast to the workers, where it is indexed once:
 
 Both are exact: what they leave out cannot match.
 
-A near match against more than ``SHARD`` templates or ``LITERALS`` literals takes the same
-rule as joins (:func:`_best_joined`): templates under their rarest literals meet the tokens of
-the distinct lines, so no worker, broadcast or driver holds the registry.
+Against more than ``SHARD`` templates or ``LITERALS`` literals both take the same rule as joins
+(:func:`_best_joined`, :func:`_candidates_joined`): templates under their rarest literals meet
+the tokens of the distinct lines, so no worker, broadcast or driver holds the registry.
 """
 
 from __future__ import annotations
@@ -204,11 +204,83 @@ def best_near(lines: DataFrame, compiled: DataFrame, line: Column, threshold: fl
     return out.drop(*names, *(f"__best{i}" for i in range(len(names) - 1)))
 
 
-def candidate_ids(lines: DataFrame, compiled: DataFrame, line: Column, shard: int = SHARD) -> DataFrame:
-    """Adds ``loose_ids``: the templates whose literals occur in order, most specific first."""
+#: Lengths of the pieces by which literals and tokens meet: a literal goes by its first piece
+#: of the greatest length that it has, so a token of n characters has at most n of each.
+_PIECES = (1, 2, 3, 4, 8)
+_CHUNK = 256
+
+
+def _holders(lits: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(lit, tok): the tokens that contain a literal."""
+    by = [F.when(F.length("lit") >= n, F.substring("lit", 1, n)) for n in reversed(_PIECES)]
+    lits = lits.select("lit", F.coalesce(*by).alias("piece"))
+    # long tokens in chunks that overlap by what a piece may cross
+    at = F.sequence(F.lit(0), F.floor((F.length("tok") - 1) / _CHUNK))
+    parts = vocab.select("tok", F.explode(F.transform(at, lambda i: F.substr(F.col("tok"), (i * _CHUNK + 1).cast("int"), F.lit(_CHUNK + max(_PIECES) - 1)))).alias("part"))
+
+    def cut(n: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.length("part") - (n - 1)), lambda i: F.substr(F.col("part"), i, F.lit(n)))
+        return F.when(F.length("part") >= n, every).otherwise(F.array().cast("array<string>"))
+
+    cuts = map(cut, _PIECES)
+    pieces = parts.select("tok", F.explode(F.array_distinct(F.concat(*cuts))).alias("piece"))
+    return pieces.join(lits, "piece").where(F.contains("tok", "lit")).select("lit", "tok").distinct()
+
+
+def _candidates_joined(lines: DataFrame, compiled: DataFrame, line: Column, ids: bool) -> DataFrame:
+    """``candidate_ids`` for a registry of any size. Literals and tokens hold no white space, so
+    a literal occurs in a line when it occurs in one of its tokens. Templates with the same
+    literals are one kind; of a kind's three rarest literals the one that fewest lines contain
+    leads the lines to it, and only these pairs are searched in order. Each distinct line is
+    looked up once."""
+    t = _registry(compiled)
+    first = F.min(F.struct("seq", "cluster_id")).alias("f")
+    kinds = t.groupBy("literal_tokens").agg(first, F.count(F.lit(1)).alias("m")).withColumn("n", F.size("literal_tokens"))
+    kinds = cut_lineage(kinds.withColumn("c", F.monotonically_increasing_id()))
+    texts = cut_lineage(lines.select(line.alias("__t")).where("__t is not null").distinct().withColumn("k", F.monotonically_increasing_id()))
+    toks = texts.select("k", F.explode(F.array_distinct(tokens(F.col("__t")))).alias("tok"))
+    vocab = cut_lineage(toks.groupBy("tok").agg(F.count(F.lit(1)).alias("lines")))
+    of = kinds.select("c", F.explode(F.array_distinct("literal_tokens")).alias("lit"))
+    held = of.groupBy("lit").agg(F.count(F.lit(1)).alias("held"))
+    rare = F.slice(F.array_sort(F.collect_list(F.struct("held", (-F.length("lit")).alias("len"), "lit"))), 1, 3)     # a template's literals
+    some = cut_lineage(of.join(held, "lit").groupBy("c").agg(rare.alias("r")).select("c", F.explode(F.col("r")["lit"]).alias("lit")))
+    inside = cut_lineage(_holders(some.select("lit").distinct(), vocab))
+    reach = inside.join(vocab, "tok").groupBy("lit").agg(F.sum("lines").alias("reach"))
+    under = some.join(reach, "lit", "left").groupBy("c").agg(F.min(F.struct(F.coalesce("reach", F.lit(0)).alias("reach"), "lit")).alias("b"))
+    # a literal that no line contains: its kinds have no candidates
+    under = cut_lineage(under.where("b.reach > 0").select("c", F.col("b.lit").alias("lit")))
+    leads = toks.join(inside.join(under.select("lit").distinct(), "lit", "left_semi"), "tok").select("k", "lit").distinct()
+    pairs = leads.join(under, "lit").select("k", "c").join(kinds.select("c", "n", "m", "f", "literal_tokens"), "c")
+    alone = pairs.where("n = 1").drop("literal_tokens")
+    full = pairs.where("n > 1").join(texts, "k").where(loose_match_expr("literal_tokens", "__t")).select(alone.columns)
+    found = alone.unionByName(full)
+    if ids:
+        # written in a line's own row: as many as it has candidates
+        who = t.join(kinds.select("c", "literal_tokens"), "literal_tokens").select("c", "seq", "cluster_id")
+        hits = found.select("k", "c", "n").join(who, "c").groupBy("k").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("nlc"), "seq", "cluster_id"))).alias("__ids"))
+        hits = hits.select("k", F.col("__ids")["cluster_id"].alias("loose_ids"))
+    else:
+        hits = found.groupBy("k").agg(F.sum("m").cast("int").alias("n_loose"), F.min(F.struct((-F.col("n")).alias("nlc"), "f.seq", "f.cluster_id")).alias("__first"))
+        hits = hits.select("k", "n_loose", F.col("__first.cluster_id").alias("first_loose"))
+    out = lines.withColumn("__line", line).join(texts.join(hits, "k").drop("k"), F.col("__line") == F.col("__t"), "left").drop("__line", "__t")
+    if ids:
+        return out.withColumn("loose_ids", F.coalesce("loose_ids", F.array().cast("array<string>")))
+    return out.withColumn("n_loose", F.coalesce("n_loose", F.lit(0)))
+
+
+def candidate_ids(lines: DataFrame, compiled: DataFrame, line: Column, shard: int = SHARD, ids: bool = True) -> DataFrame:
+    """Adds ``loose_ids``: the templates whose literals occur in order, most specific first;
+    without ``ids`` their number ``n_loose`` and the first of them, ``first_loose``. A registry
+    of more than ``shard`` templates or ``LITERALS`` literals is met by joins."""
+    size = _registry(compiled).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("literals")).first()
+    if size.n > shard or size.literals > LITERALS:
+        return _candidates_joined(lines, compiled, line, ids)
     out, names = lines, []
     for i, shared in enumerate(_shards(compiled, shard)):
         names.append(f"__loose{i}")
         out = out.withColumn(names[-1], _ids_udf(shared)(line))
     every = F.array_sort(F.concat(*map(F.col, names))) if len(names) > 1 else F.col(names[0])
-    return out.withColumn("loose_ids", F.transform(every, lambda c: c["id"])).drop(*names)
+    out = out.withColumn("loose_ids", F.transform(every, lambda c: c["id"])).drop(*names)
+    if ids:
+        return out
+    return out.withColumn("n_loose", F.size("loose_ids")).withColumn("first_loose", F.get(F.col("loose_ids"), 0)).drop("loose_ids")

@@ -1065,8 +1065,7 @@ def loose_match_document_lines(spark, sf_dir):
     from logweave.operators.matching import loose_candidates
 
     lines, compiled = _doc_templates(spark, sf_dir)
-    r = loose_candidates(lines, compiled)
-    return r.select("line_id", F.size("loose_ids").alias("n_loose"), F.get(F.col("loose_ids"), 0).alias("first_loose"))
+    return loose_candidates(lines, compiled, ids=False).select("line_id", "n_loose", "first_loose")
 
 
 @register("classify_requests_events", _applied_sql() + """,

@@ -164,3 +164,26 @@ def test_registry_lines_are_matched_once(spark, monkeypatch):
     out = plan.ingest(lines, compiled=comp, near_threshold=1.1, with_extractions=False)
     assert any("match_kind" in c for c in seen)
     assert sorted((r.line_id, r.fast_path) for r in out.results.collect()) == [(i, i % 2 == 1) for i in range(20)]
+
+
+def test_joined_candidates_equal_trying_every_template(spark, monkeypatch):
+    from logweave.operators import near
+    from logweave.operators.compile import compile_templates
+    from logweave.operators.matching import loose_candidates
+
+    rng = random.Random(7)
+    words = ["a", "bb", "abc", "bcdefgh", "bcdefghij", "é", "éa", "<*>", "<ip>", "x" * 300 + "abc", "zabc"]
+    tpl = [(str(i), " ".join(rng.choice(words) for _ in range(rng.randint(0, 4))), i % 11) for i in range(90)] + [("x", "x" * 260, 1), ("y", "abc", 0), ("y", "abc", 0)]
+    comp = compile_templates(spark.createDataFrame(tpl, "cluster_id string, labeled_template string, registry_seq long"))
+    lines = [rng.choice([" ", "\t", " "]).join(rng.choice(words) + rng.choice(["", "", "qabcdefghijk"]) for _ in range(rng.randint(0, 7))) for _ in range(150)] + [None, "", "abc", "abc", "xx" * 150]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "line_id long, line string")
+    rows = comp.where("literal_count > 0").select("cluster_id", "literal_tokens", "literal_count", "registry_seq").collect()
+    rows.sort(key=lambda r: (-r.literal_count, r.registry_seq, r.cluster_id))
+    want = {i: [r.cluster_id for r in rows if x is not None and near.in_order(r.literal_tokens, x)] for i, x in enumerate(lines)}
+    assert {r.line_id: r.loose_ids for r in loose_candidates(df, comp).collect()} == want
+    with monkeypatch.context() as m:
+        m.setattr(near, "_shards", None)                    # nothing is broadcast
+        assert {r.line_id: r.loose_ids for r in loose_candidates(df, comp, shard=3).collect()} == want
+        got = loose_candidates(df, comp, shard=3, ids=False).collect()
+    assert {r.line_id: (r.n_loose, r.first_loose) for r in got} == {i: (len(x), x[0] if x else None) for i, x in want.items()}
+    assert len(got) == len(lines) and sum(map(len, want.values())) > 500
