@@ -65,9 +65,6 @@ def ingest(lines: DataFrame, compiled: DataFrame | None = None, rules=DEFAULT_RU
     # them too); the regex chain is guarded by the match kind
     guard = none if compiled is not None and label_on != "masked" else None
     masked = (mask_lines(fp, only_when=guard) if with_extractions else mask_only(fp, only_when=guard))
-    if compiled is not None:
-        # matched and masked once: the mining and the results read the written lines
-        masked = cut_lineage(masked)
     mined_in = masked.where(none).select("line_id", "processed")
     # the assignment (one row per distinct masked line) feeds several branches: write it
     # once to the shared checkpoint folder so the fold never re-runs, even after an
