@@ -36,13 +36,14 @@ LABEL_VOCAB = (
 )
 
 
-#: Found in every text that is not printable ASCII and blanks alone.
-ODD = "[^!-~ ]"
+#: Found in every text with a character of PY_SPACE other than the blank (and at control
+#: characters). What is no space comes first, as ranges: a character is settled by one or two.
+ODD = r"[^!-~ \xA1-\u167F\u1681-\u1FFF\u200B-\u2027\u202A-\u202E\u2030-\u205E\u2060-\u2FFF\u3001-\x{10FFFF}]"
 
 
 def tokens(text: Column) -> Column:
     """Whitespace tokens (as ``str.split()`` cuts them), leading/trailing whitespace
-    ignored; '' gives []. A text of printable ASCII is cut at blanks, which is no regex."""
+    ignored; '' gives []. A text whose only spaces are blanks is cut at them, which is no regex."""
     cut = F.when(text.rlike(ODD), F.split(text, PY_SPACE)).otherwise(F.split(text, " "))
     return F.array_remove(cut, "")
 

@@ -57,6 +57,7 @@ from logweave.session import cut_lineage
 DEFAULT_SIM_TH = 0.4
 DEFAULT_GROUP_LINES = 20_000
 DEFAULT_STEP = 5_000
+_ONE_CALL = 100_000     # template tokens compared with a line in one numpy call
 
 
 def mining_key(toks: Column) -> Column:
@@ -115,6 +116,12 @@ class Templates:
         wildcards, then the older one) and its equal positions."""
         k, n = self.size, self.width
         at, top = np.empty(len(lines), np.int64), np.empty(len(lines), np.int64)
+        if len(lines) == 1 and k * n <= _ONE_CALL:
+            # few numbers: numpy's calls would cost more than its work
+            equal = (self.rows[:, :k] == lines[0][:, None]).sum(axis=0, dtype=np.int32)
+            at[0] = (equal * np.int32(n + 1) + self.wild[:k]).argmax()
+            top[0] = equal[at[0]]
+            return at, top
         step = max(1, 2_000_000 // max(k, 1))
         for a in range(0, len(lines), step):
             some = lines[a:a + step]
@@ -350,7 +357,7 @@ def _large_keys(d: DataFrame, sizes: DataFrame, seeds: DataFrame | None, sim_th:
 def mine_templates(lines: DataFrame, text_col: str = "processed", id_col: str = "line_id",
                    sim_th: float = DEFAULT_SIM_TH, seeds: DataFrame | None = None,
                    group_lines: int = DEFAULT_GROUP_LINES, step: int = DEFAULT_STEP,
-                   bucket_rows: int = 200_000) -> DataFrame:
+                   bucket_rows: int = 20_000) -> DataFrame:
     """A1: cluster assignment per *distinct* text.
 
     Returns ``(text, key, first_line_id, cluster_id, n)`` (n = lines with this text); join
@@ -367,10 +374,10 @@ def mine_templates(lines: DataFrame, text_col: str = "processed", id_col: str =
     # (the mask chain) and evaluate it twice; a null text folds as an empty line instead
     d = lines.groupBy(F.col(text_col).alias("text")).agg(F.min(id_col).alias("first_line_id"),
                                                          F.count(F.lit(1)).alias("n"))
-    toks = F.coalesce(tokens(F.col("text")), F.array().cast("array<string>"))
+    d = d.withColumn("toks", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")))
     # the distinct lines feed the key counts and the folds: written once to the checkpoint
     # folder so the input (and its mask chain) is evaluated exactly once
-    d = cut_lineage(d.select(mining_key(toks).alias("key"), "text", F.col("first_line_id").cast("long").alias("first_line_id"), "n"))
+    d = cut_lineage(d.select(mining_key(F.col("toks")).alias("key"), "text", F.col("first_line_id").cast("long").alias("first_line_id"), "n"))
     sizes = d.groupBy("key").agg(F.count(F.lit(1)).alias("key_lines"))
     d = d.join(sizes, "key")
     start = None
@@ -383,7 +390,8 @@ def mine_templates(lines: DataFrame, text_col: str = "processed", id_col: str =
     named = F.md5(F.concat(F.col("first_line_id").cast("string"), F.lit("|"), F.coalesce("text", F.lit(""))))
     singles = d.where(single).select("text", "key", "first_line_id", named.alias("cluster_id"), "n")
     # one applyInPandas call materialises its whole bucket: size buckets from the number of
-    # distinct lines, so a call never holds more than about `bucket_rows` lines
+    # distinct lines, so a call never holds more than about `bucket_rows` lines. A bucket is a
+    # task: by their bytes alone AQE would put them together, as many as one task to a core or fewer
     parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     buckets = max(parts, -(-d.count() // bucket_rows))
     small = d.where(~single & (F.col("key_lines") <= group_lines))
@@ -391,7 +399,8 @@ def mine_templates(lines: DataFrame, text_col: str = "processed", id_col: str =
     if start is not None:
         # seeds of keys without lines start nothing
         rows = rows.unionByName(start.join(small.select("key").distinct(), "key", "left_semi").withColumn("n", F.lit(0).cast("long")))
-    folded = rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).groupBy("bucket").applyInPandas(_fold_keys(sim_th), _ASSIGNED)
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")).repartitionById(buckets, "bucket")
+    folded = rows.groupBy("bucket").applyInPandas(_fold_keys(sim_th), _ASSIGNED)
     out = folded.unionByName(singles)
     large = cut_lineage(sizes.where(F.col("key_lines") > group_lines))
     if large.isEmpty():

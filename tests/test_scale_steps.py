@@ -175,3 +175,37 @@ def test_joined_candidates_equal_trying_every_template(spark, monkeypatch):
         got = loose_candidates(df, comp, shard=3, ids=False).collect()
     assert {r.line_id: (r.n_loose, r.first_loose) for r in got} == {i: (len(x), x[0] if x else None) for i, x in want.items()}
     assert len(got) == len(lines) and sum(map(len, want.values())) > 500
+
+
+def test_folds_of_small_keys_are_dealt_out(spark):
+    from logweave.operators.mining import mine_templates
+
+    lines = spark.range(4000).select(F.col("id").alias("line_id"), F.concat_ws(" ", F.concat(F.lit("k"), F.char((F.col("id") % 40) + 97)), F.col("id").cast("string"), F.lit("é x")).alias("processed"))
+    out = mine_templates(lines, bucket_rows=100)
+    rows = out.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in rows) == 4000
+    assert len(rows) >= 15 and max(r["count"] for r in rows) <= 1000
+
+
+def test_one_line_is_compared_in_one_call_as_in_many():
+    import numpy as np
+
+    from logweave.operators import mining
+
+    rng, state = np.random.default_rng(4), mining.Templates(6)
+    for i in range(300):
+        state.put(i, rng.integers(-1, 4, 6).astype(np.int32))
+    lines = rng.integers(0, 5, (200, 6)).astype(np.int32)
+    at, top = state.best(lines)
+    for line, a, t in zip(lines, at, top):
+        a1, t1 = state.best(line[None, :])
+        assert (a1[0], t1[0]) == (a, t)
+
+
+def test_texts_with_blanks_alone_need_no_regex_to_be_cut(spark):
+    from logweave.functions import tokens as T
+
+    rows = [(c, f"a{chr(c)}b{chr(c)}") for c in [*range(1, 0xD800), *range(0xE000, 0x10000), 0x10000, 0x1F600, 0x10FFFF]]
+    got = spark.createDataFrame(rows, "c int, t string").select("c", "t", T.tokens(F.col("t")).alias("x"), T.bare(F.col("t")).alias("bare"), F.col("t").rlike(T.ODD).alias("odd")).collect()
+    assert [r.c for r in got if r.x != r.t.split() or r.bare != (r.t == r.t.strip())] == []
+    assert not [r.c for r in got if r.odd and r.c > 0xA0 and not chr(r.c).isspace()]
