@@ -999,7 +999,7 @@ def approve_and_remine_events(spark, sf_dir):
     from logweave.plans.review_cycle import approve, review_batch
 
     lines = event_log_lines(spark, sf_dir)
-    out = ingest(lines, with_extractions=False)
+    out = ingest(lines, with_extractions=False, mask_once=True)
     # each stage's output is a table of its own (results, samples, templates): writing them
     # to the checkpoint folder keeps later plans small and survives executor loss
     res = cut_lineage(out.results)

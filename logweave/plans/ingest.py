@@ -39,10 +39,12 @@ def ingest(lines: DataFrame, compiled: DataFrame | None = None, rules=DEFAULT_RU
            sim_th: float = DEFAULT_SIM_TH, seeds: DataFrame | None = None,
            near_threshold: float = DEFAULT_NEAR_THRESHOLD, with_extractions: bool = True,
            group_lines: int = DEFAULT_GROUP_LINES, match_on: str = "raw",
-           label_on: str = "template") -> IngestOutput:
+           label_on: str = "template", mask_once: bool = False) -> IngestOutput:
     """``match_on``: 'raw' (default, as the reference) or 'processed' (match the masked
     line, so masks that change the token count cannot defeat the fast path).
-    ``label_on``: 'template' (default, as the reference), 'masked' or 'line' (per line)."""
+    ``label_on``: 'template' (default, as the reference), 'masked' or 'line' (per line).
+    ``mask_once``: the masked lines are written and read for both passes, not masked in each;
+    for callers that need the results (with extractions the copy costs more than the masks)."""
     if match_on not in ("raw", "processed") or label_on not in ("template", "masked", "line"):
         raise ValueError("match_on in {raw, processed}, label_on in {template, masked, line}")
     if compiled is not None:
@@ -65,6 +67,8 @@ def ingest(lines: DataFrame, compiled: DataFrame | None = None, rules=DEFAULT_RU
     # them too); the regex chain is guarded by the match kind
     guard = none if compiled is not None and label_on != "masked" else None
     masked = (mask_lines(fp, only_when=guard) if with_extractions else mask_only(fp, only_when=guard))
+    if mask_once:
+        masked = cut_lineage(masked)
     mined_in = masked.where(none).select("line_id", "processed")
     # the assignment (one row per distinct masked line) feeds several branches: write it
     # once to the shared checkpoint folder so the fold never re-runs, even after an

@@ -209,3 +209,14 @@ def test_texts_with_blanks_alone_need_no_regex_to_be_cut(spark):
     got = spark.createDataFrame(rows, "c int, t string").select("c", "t", T.tokens(F.col("t")).alias("x"), T.bare(F.col("t")).alias("bare"), F.col("t").rlike(T.ODD).alias("odd")).collect()
     assert [r.c for r in got if r.x != r.t.split() or r.bare != (r.t == r.t.strip())] == []
     assert not [r.c for r in got if r.odd and r.c > 0xA0 and not chr(r.c).isspace()]
+
+
+def test_lines_masked_once_give_the_same_results(spark, sf):
+    from logweave.plans.ingest import ingest
+    from logweave.sources.tables import event_log_lines
+
+    lines = event_log_lines(spark, sf)
+    once, twice = (ingest(lines, with_extractions=False, mask_once=m).results.drop("extractions", "matched_fields") for m in (True, False))
+    assert once.exceptAll(twice).count() == twice.exceptAll(once).count() == 0
+    assert "regexp_replace" not in once._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" in twice._jdf.queryExecution().optimizedPlan().toString()
