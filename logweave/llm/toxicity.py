@@ -8,7 +8,7 @@ label, language, source and id of a scored row are never looked at. Scores are s
 each language's threshold lies at 0.5.
 
 Scale: a bounded sample of labelled rows is read for training (whole texts of ``per_class``
-documents a class) and fits on the driver; logits are one map over the table
+documents a class) and one task learns from it; logits are one map over the table
 that keeps the model (a few MB, fixed by ``vocabulary``) in a broadcast. Thresholds come from
 a histogram of these logits, counted in Spark: its size is fixed by the bins and languages.
 """
@@ -16,6 +16,7 @@ a histogram of these logits, counted in Spark: its size is fixed by the bins and
 from __future__ import annotations
 
 import dataclasses
+import pickle
 import uuid
 
 import numpy as np
@@ -222,12 +223,28 @@ def train(docs: DataFrame, marks: DataFrame, *, key: str = "doc_id", text: str =
             got = [buckets(t.split(), cache).tobytes() for t in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(got, pa.binary())], ["k", "y", "l", "h"])
 
-    got = sorted(rows.mapInArrow(hashed, f"k {kind}, y int, l string, h binary").collect(), key=lambda r: (str(r.k), r.h))
+    def taught(batches):
+        import pyarrow as pa
+
+        rows = [r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(4)))]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_teach(rows, part))], pa.binary())], ["net"])
+
+    # the sample is bounded; one task learns from it, so that the driver holds the network alone
+    one = rows.mapInArrow(hashed, f"k {kind}, y int, l string, h binary").repartition(1).mapInArrow(taught, "net binary")
+    got = one.first()
+    net, keys = pickle.loads(got.net) if got else (None, [])
+    return net, docs.sparkSession.createDataFrame([(k,) for k in keys], f"k {kind}")
+
+
+def _teach(rows: list[tuple], part: dict[int, float]) -> tuple[Network | None, list]:
+    """Network and the keys it saw from the drawn rows (key, label, language, hashed words);
+    ``part``: the share of a label's keys that was drawn."""
+    got = sorted(rows, key=lambda r: (str(r[0]), r[3]))
     # shuffled by a fixed order so that the rows held back are a fair draw
     got = [got[i] for i in np.random.default_rng(3).permutation(len(got))]
     cells: dict[tuple, dict] = {}
-    for r in got:
-        cells.setdefault((r.y, r.l), {})[r.k] = None
+    for k, y, lang, _ in got:
+        cells.setdefault((y, lang), {})[k] = None
     held, fresh = set(), 0.0
     for (y, _), keys in cells.items():
         outside = len(keys) * (1 / part[y] - 1)
@@ -235,11 +252,11 @@ def train(docs: DataFrame, marks: DataFrame, *, key: str = "doc_id", text: str =
         back = int(max(0, want - outside))
         held.update(list(keys)[:back])
         fresh += y * (back + outside)
-    if fresh >= _ENOUGH and len({r.y for r in got if r.k not in held}) == 2:
-        got = [r for r in got if r.k not in held]
-    names = sorted({r.l for r in got if r.l is not None})
-    net = fit([np.frombuffer(r.h, np.int32) for r in got], np.array([r.y for r in got]), np.array([names.index(r.l) if r.l is not None else -1 for r in got]))
-    return net, docs.sparkSession.createDataFrame([(k,) for k in {r.k: None for r in got}], f"k {kind}")
+    if fresh >= _ENOUGH and len({y for k, y, *_ in got if k not in held}) == 2:
+        got = [r for r in got if r[0] not in held]
+    names = sorted({r[2] for r in got if r[2] is not None})
+    net = fit([np.frombuffer(r[3], np.int32) for r in got], np.array([r[1] for r in got]), np.array([names.index(r[2]) if r[2] is not None else -1 for r in got]))
+    return net, list({r[0]: None for r in got})
 
 
 def calibrate(rows: DataFrame, marks: DataFrame, net: Network | None, seen: DataFrame | None, *, key: str = "doc_id", mark: str = "toxic") -> Network | None:

@@ -215,3 +215,16 @@ def test_surrogates_keep_persons_of_one_surname_apart(spark):
     assert len({r[0] for r in rows}) == len(firsts) > 16
     assert all(r[0] == r[1] and r[0].split()[-1] == r[2].split()[-1] for r in rows)
     assert all(r[0].split()[1].split("-")[0] in surrogates.FIRST["m", "latin"] for r in rows)
+
+
+def test_toxicity_network_is_not_trained_on_the_driver(spark, monkeypatch):
+    def driver(*a, **k):
+        raise AssertionError("trained on the driver")
+
+    monkeypatch.setattr(toxicity, "fit", driver)
+    docs = spark.createDataFrame([(i, ("vile bad " if i % 2 else "kind good ") + f"word{i % 7}", "en") for i in range(60)], "doc_id long, text string, lang string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    net, seen = toxicity.train(docs, marks)
+    assert net is not None and 0 < seen.count() <= 60
+    net, seen = toxicity.train(docs.where("doc_id > 100"), marks)
+    assert net is None and seen.count() == 0
