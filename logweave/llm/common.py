@@ -12,7 +12,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Java / RE2 class of the characters that end a word.
 SPACE = r"[\x20\x09-\x0D]+"
 
-__all__ = ["WORD", "SPACE", "cut_lineage", "documents", "id_bucket", "labels", "spread", "tune"]
+__all__ = ["WORD", "SPACE", "cut_lineage", "documents", "id_bucket", "labels", "spread", "spread_over", "tune"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,5 +34,11 @@ def spread(df: DataFrame) -> DataFrame:
     A scan that already has a split per core is returned as it is, so a large table is
     never shuffled for this.
     """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    return spread_over(df)[0]
+
+
+def spread_over(df: DataFrame) -> tuple[DataFrame, int]:
+    """``spread`` and the result's number of partitions. Asking a repartitioned table for its
+    number would shuffle it."""
+    want, have = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    return (df.repartition(want), want) if have < want else (df, have)

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logweave.llm import hashstore as H
-from logweave.llm.common import cut_lineage, documents, spread
+from logweave.llm.common import cut_lineage, documents, spread_over
 from logweave.llm.words import byte_class, hashes, mix, slices, spans, text_bytes
 
 _WORD = ~byte_class((9, 13), (32, 32))
@@ -356,8 +356,8 @@ def join_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     join their text's class; repeated rows give repeated results.
     """
     spark = docs.sparkSession
-    docs = spread(docs.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("text_key"), F.col(text).alias("t")))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * docs.rdd.getNumPartitions())
+    docs, dealt = spread_over(docs.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("text_key"), F.col(text).alias("t")))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * dealt)
     root = H.folder(spark)
     rows = cut_lineage(docs.mapInArrow(_describe(percent), "id bigint, text_key bigint, n bigint, sig binary, pk binary"))
     sets = rows.where("n > 0").groupBy("sig").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("pk").alias("pk"))
@@ -387,7 +387,7 @@ def join_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     wanted = member.join(paired, "g", "left_semi").select("node").union(crowded.select("node")).union(hot.select("node")).distinct()
     wanted = wanted.repartitionById(parts, F.shiftright("node", _PART).cast("int")).sortWithinPartitions("node")
     cut_lineage(wanted.mapInArrow(_store_wanted(root), "node bigint"))
-    lies = cut_lineage(texts.mapInArrow(_write_sets(root, parts), "node bigint, file int, at bigint").dropDuplicates(["node"]))
+    lies = texts.mapInArrow(_write_sets(root, parts), "node bigint, file int, at bigint").dropDuplicates(["node"])
     lies = cut_lineage(lies.join(member.select("node", "n"), "node"))
 
     def place(col: str) -> DataFrame:
@@ -404,8 +404,7 @@ def join_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     held_hot = F.sum((F.col("df") > dense).cast("int")).over(Window.partitionBy("node"))
     whole = cut_lineage(whole.withColumn("hot", held_hot))
 
-    links = spark.createDataFrame([], "a bigint, b bigint")
-    label = spark.createDataFrame([], "node bigint, root bigint")
+    links = label = None        # none yet
     crowd = whole.where(F.col("df") > dense)
     busy = not crowd.isEmpty()
     for turn in range(2 if busy else 0):
@@ -413,7 +412,8 @@ def join_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         pivot = crowd.groupBy("tok").agg(F.min(order).alias("p")).select("tok", F.col("p.node").alias("v"), F.col("p.n").alias("nv"))
         star = crowd.where("probes").join(pivot, "tok").where("node <> v").where((100 * F.col("n") >= percent * F.col("nv")) & (100 * F.col("nv") >= percent * F.col("n")))
         pairs = star.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct()
-        links = cut_lineage(links.union(verify(_apart(pairs, label, "u", "v"))))
+        found = verify(_apart(pairs, label, "u", "v"))
+        links = cut_lineage(links.union(found) if links is not None else found)
         label = components(links)
 
     # what is still apart: all pairs under rare tokens, under hot ones only across components
@@ -425,7 +425,8 @@ def join_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     if busy:
         direct, met = _beside_pivots(crowd, label, place, root, percent)
         pairs, links = pairs.union(met), links.union(direct)
-    links = cut_lineage(links.union(verify(_apart(pairs.distinct(), label, "u", "v"))))
+    found = verify(_apart(pairs.distinct(), label, "u", "v"))
+    links = cut_lineage(links.union(found) if links is not None else found)
     label = components(links)
 
     named = nodes.select("node", "sig", "rep").join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -442,8 +443,10 @@ def _named(df: DataFrame, label: DataFrame, col: str, out: str) -> DataFrame:
     return df.join(got, col, "left").withColumn(out, F.coalesce(out, col))
 
 
-def _apart(pairs: DataFrame, label: DataFrame, a: str, b: str) -> DataFrame:
-    """Pairs whose ends are in different components."""
+def _apart(pairs: DataFrame, label: DataFrame | None, a: str, b: str) -> DataFrame:
+    """Pairs whose ends are in different components; without labels each is its own."""
+    if label is None:
+        return pairs.where(F.col(a) != F.col(b)).select(a, b)
     return _named(_named(pairs, label, a, "ra"), label, b, "rb").where("ra <> rb").select(a, b)
 
 

@@ -118,10 +118,11 @@ def cut_lineage(df):
     DataFrame reads the files, so later stages and task retries after an executor loss never
     recompute the upstream plan. (``Dataset.checkpoint`` would compute the plan twice: once
     for its eager count and once more to write the checkpoint files.) Never localCheckpoint.
+    The schema is known, so no job reads it from the files: jobs cost the driver memory.
     """
     import uuid
 
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -2,6 +2,7 @@
 import collections
 import os
 import sys
+import uuid
 import zlib
 
 import numpy as np
@@ -270,3 +271,46 @@ def test_few_parts_are_encoded_together():
     (ids,) = tokens.ids([text], 2)
     assert np.frombuffer(ids, tokens.kind).tolist() == real.encode(text, add_special_tokens=False).ids + [2]
     assert max(sizes) <= packing._LEARN and len(sizes) > 2
+
+
+def _jobs(spark, act) -> int:
+    """Jobs that ``act`` starts."""
+    sc, group = spark.sparkContext, uuid.uuid4().hex
+    sc.setJobGroup(group, group)
+    try:
+        act()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    return len(sc.statusTracker().getJobIdsForGroup(group))
+
+
+def test_lineage_cut_is_one_job(spark, odd):
+    from logweave.session import cut_lineage
+
+    got = []
+    assert _jobs(spark, lambda: got.append(cut_lineage(odd))) == 1
+    assert [(f.name, f.dataType, f.nullable) for f in got[0].schema] == [(f.name, f.dataType, True) for f in odd.schema]
+    assert sorted(map(repr, got[0].collect())) == sorted(map(repr, odd.collect()))
+    assert cut_lineage(odd.limit(0)).count() == 0
+
+
+def test_counting_dealt_tasks_starts_no_job(spark):
+    from logweave.llm.common import spread, spread_over
+
+    few, many = spark.range(0, 10, 1, 1), spark.range(0, 10, 1, 64)
+    want = spark.sparkContext.defaultParallelism
+    got = []
+    assert _jobs(spark, lambda: got.extend([spread_over(few), spread_over(many)])) == 0
+    assert [n for _, n in got] == [want, max(want, 64)]
+    assert got[0][0].rdd.getNumPartitions() == spread(few).rdd.getNumPartitions() == want
+
+
+def test_pairs_without_labels_join_nothing(spark):
+    from logweave.llm import ngram_join
+
+    pairs = spark.createDataFrame([(1, 2), (3, 3), (None, 4)], "u long, v long")
+    none = spark.createDataFrame([], "node long, root long")
+    got = ngram_join._apart(pairs, None, "u", "v")
+    assert got.collect() == ngram_join._apart(pairs, none, "u", "v").collect() == [(1, 2)]
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
