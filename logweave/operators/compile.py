@@ -29,9 +29,11 @@ def compile_templates(templates: DataFrame, text_col: str = "labeled_template",
         return F.when(t.rlike(WILDCARD_TOKEN_RE),
                       F.when(inner.isin(*NO_FIELD_LABELS), F.lit("")).otherwise(inner))
 
-    return (c.withColumn("is_wild", F.transform("tpl_tokens", lambda t: t.rlike(WILDCARD_TOKEN_RE)))
-            .withColumn("label_paths", F.transform("tpl_tokens", path_of))
-            .withColumn("literal_tokens", F.filter("tpl_tokens", lambda t: ~t.rlike(WILDCARD_TOKEN_RE)))
+    # most templates of prose have no wildcard: their tokens need no regex
+    some = F.col("labeled_template").contains("<")
+    return (c.withColumn("is_wild", F.when(some, F.transform("tpl_tokens", lambda t: t.rlike(WILDCARD_TOKEN_RE))).otherwise(F.transform("tpl_tokens", lambda t: F.lit(False))))
+            .withColumn("label_paths", F.when(some, F.transform("tpl_tokens", path_of)).otherwise(F.transform("tpl_tokens", lambda t: F.lit(None).cast("string"))))
+            .withColumn("literal_tokens", F.when(some, F.filter("tpl_tokens", lambda t: ~t.rlike(WILDCARD_TOKEN_RE))).otherwise(F.col("tpl_tokens")))
             .withColumn("n_tokens", F.size("tpl_tokens"))
             .withColumn("literal_count", F.size("literal_tokens")))
 

@@ -55,6 +55,8 @@ from logweave.functions.tokens import WILDCARD, tokens
 from logweave.session import cut_lineage
 
 DEFAULT_SIM_TH = 0.4
+#: Clusters whose ids are broadcast.
+FEW_CLUSTERS = 1_000_000
 DEFAULT_GROUP_LINES = 20_000
 DEFAULT_STEP = 5_000
 _ONE_CALL = 100_000     # template tokens compared with a line in one numpy call
@@ -415,26 +417,44 @@ def mine_templates(lines: DataFrame, text_col: str = "processed", id_col: str =
 # A2 / A3: templates of given clusters
 # ---------------------------------------------------------------------------
 
-def template_of_cluster(df: DataFrame, cluster_col: str = "cluster_id", text_col: str = "processed") -> DataFrame:
+def template_of_cluster(df: DataFrame, cluster_col: str = "cluster_id", text_col: str = "processed",
+                        least: str | None = None, written: bool = False) -> DataFrame:
     """A2: position-wise template per cluster: the token when all rows agree, else '<*>'.
-    Every row is compared with one of its cluster's longest rows and gives no more than the
-    positions where they differ: what is grouped grows with the clusters and their token
-    counts, not with the tokens of all lines. ``df`` is read twice."""
-    rows = df.select(F.col(cluster_col).alias("cluster_id"), tokens(F.col(text_col)).alias("toks"))
-    longest = F.max_by(text_col, F.size(tokens(F.col(text_col))))
+    A cluster of one text is that text. Every row of another is compared with one of its
+    cluster's longest rows and gives no more than the positions where they differ: what is
+    grouped grows with these clusters and their token counts, not with the tokens of all lines.
+    Shuffles carry texts, cut where they are compared. ``df`` is read twice. ``least``: a column
+    of which the result keeps the cluster's least value. ``written``: the result reads tables."""
+    kept = [least] if least else []
+    rows = df.select(F.col(cluster_col).alias("cluster_id"), F.col(text_col).alias("text"), *kept)
+    longest = F.max_by("text", F.size(tokens(F.col("text"))))
+    texts = F.when(F.col("text").isNotNull(), F.xxhash64("text"))
     # written, so that its size decides how the lines meet it
-    one = cut_lineage(df.groupBy(F.col(cluster_col).alias("cluster_id")).agg(longest.alias("text")))
-    one = one.select("cluster_id", tokens(F.col("text")).alias("t0")).where(F.size("t0") > 0)
-    far = one.select(F.col("cluster_id").alias("__c"), "t0")
-    both = rows.join(far, F.col("cluster_id").eqNullSafe(F.col("__c")))
+    one = cut_lineage(rows.groupBy("cluster_id").agg(longest.alias("text"), F.coalesce(F.min(texts) < F.max(texts), F.lit(False)).alias("varies"), *[F.min(c).alias(c) for c in kept]))
+    same = one.where(~F.col("varies")).select("cluster_id", *kept, tokens(F.col("text")).alias("t0")).where(F.size("t0") > 0)
+    many = one.where("varies")
+    size = one.agg(F.count(F.lit(1)).alias("n"), F.count_if("varies").alias("vary")).first()
+    rows = rows.select("cluster_id", "text")
+    if size.vary < size.n and size.vary <= FEW_CLUSTERS:
+        # lines of other clusters stay out of the shuffle
+        ids = F.broadcast(many.select(F.xxhash64("cluster_id").alias("__h")).distinct())
+        rows = rows.join(ids, F.xxhash64("cluster_id") == F.col("__h"), "left_semi")
+    far = many.select(F.col("cluster_id").alias("__c"), F.col("text").alias("__one"), *kept)
+    both = rows.join(far, F.col("cluster_id").eqNullSafe(F.col("__c"))).select("cluster_id", *kept, tokens(F.col("text")).alias("toks"), tokens(F.col("__one")).alias("t0"))
     differs = F.filter(F.sequence(F.lit(0), F.size("toks") - 1), lambda i: F.get(F.col("toks"), i) != F.get(F.col("t0"), i))
-    unlike = both.where(F.size("toks") > 0).select("cluster_id", F.explode(differs).alias("pos"), F.lit(None).cast("string").alias("tok"))
-    x = one.select("cluster_id", F.posexplode("t0").alias("pos", "tok")).unionByName(unlike)
-    g = x.distinct().groupBy("cluster_id", "pos").agg(F.min("tok").alias("lo"), F.count(F.lit(1)).alias("unlike"))
-    g = g.select("cluster_id", "pos", F.when(F.col("unlike") == 1, F.col("lo")).otherwise(F.lit(WILDCARD)).alias("tok"))
-    t = g.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("pos", "tok"))).alias("pt"))
-    return t.select("cluster_id", F.array_join(F.transform("pt", lambda p: p["tok"]), " ").alias("template"),
-                    F.size("pt").alias("token_count"))
+    unlike = both.where(F.size("toks") > 0).select("cluster_id", *kept, "t0", F.explode(differs).alias("pos"))
+    unlike = unlike.select("cluster_id", *kept, "pos", F.get(F.col("t0"), F.col("pos")).alias("tok")).distinct()
+    # both dealt by cluster: a position's and a cluster's rows are grouped where they lie
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = many.select("cluster_id", *kept, "text").repartition(n, "cluster_id").select("cluster_id", *kept, F.posexplode(tokens(F.col("text"))).alias("pos", "tok"))
+    g = x.unionByName(unlike.repartition(n, "cluster_id")).groupBy("cluster_id", *kept, "pos").agg(F.min("tok").alias("lo"), F.count(F.lit(1)).alias("unlike"))
+    g = g.select("cluster_id", *kept, "pos", F.when(F.col("unlike") == 1, F.col("lo")).otherwise(F.lit(WILDCARD)).alias("tok"))
+    t = g.groupBy("cluster_id", *kept).agg(F.array_sort(F.collect_list(F.struct("pos", "tok"))).alias("pt"))
+    t = t.select("cluster_id", *kept, F.array_join(F.transform("pt", lambda p: p["tok"]), " ").alias("template"))
+    if written:
+        t = cut_lineage(t)      # the clusters of one text are in a table already
+    t = t.unionByName(same.select("cluster_id", *kept, F.array_join("t0", " ").alias("template")))
+    return t.withColumn("token_count", F.size(tokens(F.col("template"))))
 
 
 def list_clusters(templates: DataFrame) -> DataFrame:

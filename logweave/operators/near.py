@@ -13,9 +13,11 @@ shard is broadcast to the workers, where it is indexed once:
 
 Both are exact: what they leave out cannot match.
 
-Against more than ``SHARD`` templates or ``LITERALS`` literals both take the same rule as joins
-(:func:`_best_joined`, :func:`_candidates_joined`): templates under their rarest literals meet
-the tokens of the distinct lines, so no worker, broadcast or driver holds the registry.
+A registry of more than ``SHARD`` templates or ``LITERALS`` literals is written as sorted arrays
+that the workers map (``store``): lines are searched where they are, nothing is shuffled but the
+templates. Where the shared folder cannot be mapped, and for all ids of a line's candidates, the
+same rule runs as joins (:func:`_best_joined`, :func:`_candidates_joined`): templates under their
+rarest literals meet the tokens of the distinct lines.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 
 from logweave.functions.similarity import literal_similarity, literal_similarity_py
 from logweave.functions.tokens import tokens
+from logweave.operators import store
 from logweave.operators.compile import loose_match_expr
 from logweave.session import cut_lineage
 
@@ -190,7 +193,11 @@ def best_near(lines: DataFrame, compiled: DataFrame, line: Column, threshold: fl
     if threshold > 0:
         size = _registry(compiled).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("literals")).first()
         if size.n > shard or size.literals > LITERALS:
-            return _best_joined(lines, compiled, line, threshold)
+            root = store.write(_registry(compiled), size.literals)
+            if root is None:
+                return _best_joined(lines, compiled, line, threshold)
+            out = lines.withColumn("__best", store.best_udf(root, threshold)(line))
+            return out.withColumn("near_cluster_id", F.col("__best.id")).withColumn("similarity", F.col("__best.score")).drop("__best")
     out, names = lines, []
     for i, shared in enumerate(_shards(compiled, shard)):
         names.append(f"__near{i}")
@@ -271,10 +278,14 @@ def _candidates_joined(lines: DataFrame, compiled: DataFrame, line: Column, ids:
 def candidate_ids(lines: DataFrame, compiled: DataFrame, line: Column, shard: int = SHARD, ids: bool = True) -> DataFrame:
     """Adds ``loose_ids``: the templates whose literals occur in order, most specific first;
     without ``ids`` their number ``n_loose`` and the first of them, ``first_loose``. A registry
-    of more than ``shard`` templates or ``LITERALS`` literals is met by joins."""
+    of more than ``shard`` templates or ``LITERALS`` literals is mapped, or met by joins."""
     size = _registry(compiled).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("literals")).first()
     if size.n > shard or size.literals > LITERALS:
-        return _candidates_joined(lines, compiled, line, ids)
+        root = None if ids else store.write(_registry(compiled), size.literals)
+        if root is None:
+            return _candidates_joined(lines, compiled, line, ids)
+        out = lines.withColumn("__loose", store.loose_udf(root)(line))
+        return out.withColumn("n_loose", F.col("__loose.n")).withColumn("first_loose", F.col("__loose.id")).drop("__loose")
     out, names = lines, []
     for i, shared in enumerate(_shards(compiled, shard)):
         names.append(f"__loose{i}")

@@ -1035,10 +1035,9 @@ def _doc_templates(spark, sf_dir):
     lines = document_lines(spark, sf_dir)
     # masked once: the templates and their first lines read the written texts
     keyed = cut_lineage(M.mask_only(lines).select("line_id", "processed", mining_key(tokens(F.col("processed"))).alias("key")))
-    tpl = template_of_cluster(keyed, "key", "processed")
-    seq = keyed.groupBy(F.col("key").alias("cluster_id")).agg(F.min("line_id").alias("registry_seq"))
-    compiled = cut_lineage(compile_templates(tpl.join(seq, "cluster_id"), "template"))
-    return lines, compiled
+    tpl = template_of_cluster(keyed, "key", "processed", least="line_id", written=True)
+    # the texts are written; what is compiled from them is larger and made where it is read
+    return lines, compile_templates(tpl.withColumnRenamed("line_id", "registry_seq"), "template")
 
 
 _LOOSE_SQL = """WITH m AS ({masked}),

@@ -220,3 +220,94 @@ def test_lines_masked_once_give_the_same_results(spark, sf):
     assert once.exceptAll(twice).count() == twice.exceptAll(once).count() == 0
     assert "regexp_replace" not in once._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace" in twice._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_of_a_large_registry_are_searched_where_they_are(spark, monkeypatch):
+    """No pair of a line and a template is shuffled: the registry is mapped."""
+    import difflib
+
+    from logweave.operators import near, store
+    from logweave.operators.compile import compile_templates
+    from logweave.operators.matching import loose_candidates, near_match
+
+    rng = random.Random(17)
+    long = "https://a.example.org/shelf/" + "q" * 40
+    words = ["a", "bb", "abc", "bcdefgh", "é", "😀x", "<*>", "<ip>", "x" * 90 + "end", long + "/1", long + "/2", "z" * 17, "ab\u200bc"]
+    tpl = [(str(i), " ".join(rng.choice(words) for _ in range(rng.randint(0, 8))), i % 7 or None) for i in range(200)] + [("d", "a bb", 3), ("c", "a bb", 3), ("e", "a bb", 9)]
+    comp = compile_templates(spark.createDataFrame(tpl, "cluster_id string, labeled_template string, registry_seq long"))
+    lines = [rng.choice([" ", "\t", "\xa0", "  "]).join(rng.choice(["", "", "y", "zz"]) + rng.choice(words) + rng.choice(["", "", "q"]) for _ in range(rng.randint(0, 10))) for _ in range(250)] + [None, "", "a bb", "a bb"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "line_id long, line string")
+    rows = [(r.cluster_id, r.literal_tokens, r.registry_seq or 0) for r in comp.where("literal_count > 0").collect()]
+    rows.sort(key=lambda r: (-len(r[1]), r[2], r[0]))
+    holds = {i: [r for r in rows if x is not None and near.in_order(r[1], x)] for i, x in enumerate(lines)}
+    monkeypatch.setattr(store, "PART", 50)
+    got = loose_candidates(df, comp, shard=3, ids=False)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    assert {r.line_id: (r.n_loose, r.first_loose) for r in got.collect()} == {i: (len(x), x[0][0] if x else None) for i, x in holds.items()}
+    assert sum(map(len, holds.values())) > 500
+    # what a worker remembers may be dropped and learnt anew
+    one = store.Store(store.write(near._registry(comp), 500))
+    monkeypatch.setattr(store, "TOKENS", 5)
+    monkeypatch.setattr(store, "HELD", 20)
+    for i, x in enumerate(lines):
+        if x is not None:
+            one.learn([x])
+            assert one.loose(x) == (len(holds[i]), holds[i][0][0] if holds[i] else None)
+    for th in (0.85, 0.4):
+        want = {}
+        for i, some in holds.items():
+            best = (None, None)
+            for cid, lits, _ in some:
+                blocks = difflib.SequenceMatcher(None, lits, lines[i].split(), autojunk=False).get_matching_blocks()
+                score = sum(b.size for b in blocks) / len(lits)
+                if score >= th and (best[1] is None or score > best[1]):
+                    best = (cid, score)
+            want[i] = best
+        got = near_match(df, comp, threshold=th, shard=3)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Exchange" not in plan
+        assert {r.line_id: (r.near_cluster_id, r.similarity) for r in got.collect()} == want
+        assert sum(x[0] is not None for x in want.values()) > 20
+
+
+def test_registry_without_a_mapped_folder_is_joined(spark, monkeypatch):
+    from logweave.operators import store
+    from logweave.operators.compile import compile_templates
+    from logweave.operators.matching import loose_candidates
+
+    comp = compile_templates(spark.createDataFrame([("1", "a <*> b", 1), ("2", "b", 2)], "cluster_id string, labeled_template string, registry_seq long"))
+    df = spark.createDataFrame([(1, "xa yb"), (2, "b"), (3, "c")], "line_id long, line string")
+    monkeypatch.setattr(store, "checkpoint_dir", lambda s: "s3a://bucket/x")
+    assert sorted((r.line_id, r.n_loose, r.first_loose) for r in loose_candidates(df, comp, shard=1, ids=False).collect()) == [(1, 2, "1"), (2, 1, "2"), (3, 0, None)]
+
+
+def test_pieces_of_leads_are_windows_of_their_tokens():
+    from logweave.operators import store
+
+    rng = random.Random(9)
+    toks = ["".join(rng.choice("abé😀") for _ in range(rng.randint(1, 80))) for _ in range(60)]
+    seen = {}
+    for h, own in store.windows(toks):
+        for x, i in zip(h.tolist(), own.tolist()):
+            seen.setdefault(i, set()).add(x)
+    for i, t in enumerate(toks):
+        for _ in range(20):
+            a = rng.randrange(len(t))
+            assert store.piece(t[a:rng.randint(a + 1, len(t))]) in seen[i]
+
+
+def test_clusters_of_one_text_are_not_grouped_by_position(spark, tmp_path):
+    """Their text is the template: their tokens are neither exploded nor shuffled."""
+    from logweave.operators import mining
+
+    rows = [(f"k{i}", " ".join(f"w{i}_{j}" for j in range(50)), i) for i in range(40)] + [("two", "a b  c", 7), ("two", "a x c", 5), ("two", "a b", None), ("z", None, 1), ("e", " ", 2), ("n", "p q", None)]
+    df = spark.createDataFrame(rows, "cluster_id string, processed string, line_id long")
+    t = mining.template_of_cluster(df, least="line_id", written=True)
+    want = {(f"k{i}", rows[i][1], 50, i) for i in range(40)} | {("two", "a <*> c", 3, 5), ("n", "p q", 2, None)}
+    assert {(r.cluster_id, r.template, r.token_count, r.line_id) for r in t.collect()} == want
+    plain = mining.template_of_cluster(df)
+    assert {(r.cluster_id, r.template, r.token_count) for r in plain.collect()} == {x[:3] for x in want}
+    # the rows that are exploded come from the cluster that varies
+    plan = plain._jdf.queryExecution().optimizedPlan().toString()
+    assert all("varies" in part for part in plan.split("Generate ")[1:])
