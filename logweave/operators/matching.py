@@ -41,16 +41,24 @@ def templates_by_token_count(compiled: DataFrame) -> DataFrame:
     """One lookup row per (token count, first token) with its templates, most specific
     first. Templates whose first token is a wildcard sit under the key '<*>'."""
     first_wild = F.get(F.col("tpl_tokens"), 0).rlike(r"^<[^>]*>$")
+    some = F.exists("tpl_tokens", lambda t: t.startswith("<"))
     c = compiled.select(
         "n_tokens",
         F.when(F.size("tpl_tokens") == 0, F.lit("")).when(first_wild, F.lit("<*>"))
         .otherwise(F.get(F.col("tpl_tokens"), 0)).alias("first"),
+        # shuffled as texts, of which the arrays below are several times the size
         F.struct(F.col("literal_count").cast("int").alias("literal_count"), "registry_seq", "cluster_id",
-                 F.transform("tpl_tokens", lambda t: F.when(~t.rlike(r"^<[^>]*>$"), t)).alias("lits"),
-                 "label_paths").alias("t"))
+                 F.array_join("tpl_tokens", " ").alias("text"), F.when(some, F.col("label_paths")).alias("label_paths")).alias("t"))
     g = c.groupBy("n_tokens", "first").agg(F.collect_list("t").alias("cands"))
+
+    def cut(t: Column) -> Column:
+        toks = F.array_remove(F.split(t["text"], " "), "")
+        lits = F.when(t["label_paths"].isNull(), toks).otherwise(F.transform(toks, lambda x: F.when(~x.rlike(r"^<[^>]*>$"), x)))
+        return F.struct(t["literal_count"].alias("literal_count"), t["registry_seq"].alias("registry_seq"), t["cluster_id"].alias("cluster_id"), lits.alias("lits"),
+                        F.coalesce(t["label_paths"], F.transform(toks, lambda x: F.lit(None).cast("string"))).alias("label_paths"))
+
     return g.select(F.col("n_tokens").alias("__n"), F.col("first").alias("__f"),
-                    _priority_sorted(F.col("cands")).alias("__cands"))
+                    _priority_sorted(F.transform("cands", cut)).alias("__cands"))
 
 
 def _dedupe_last(entries: Column) -> Column:

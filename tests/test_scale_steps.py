@@ -311,3 +311,17 @@ def test_clusters_of_one_text_are_not_grouped_by_position(spark, tmp_path):
     # the rows that are exploded come from the cluster that varies
     plan = plain._jdf.queryExecution().optimizedPlan().toString()
     assert all("varies" in part for part in plan.split("Generate ")[1:])
+
+
+def test_strict_lookup_shuffles_texts(spark):
+    """What meets by token count and first token is the templates' texts; arrays are made behind."""
+    from logweave.operators.compile import compile_templates
+    from logweave.operators.matching import strict_match, templates_by_token_count
+
+    comp = compile_templates(spark.createDataFrame([("1", "a <x> b", 1), ("2", "a c b", 2), ("3", "<*> c <y>", 3), ("4", "a <x> <x>", 0), ("5", "", 9), ("6", "a <x", 1)], "cluster_id string, labeled_template string, registry_seq long"))
+    plan = templates_by_token_count(comp)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lits" not in plan.split("Aggregate", 1)[1].split("\n", 1)[1]       # below the grouping
+    df = spark.createDataFrame([(1, "a q b"), (2, "a c b"), (3, "z c w"), (4, "a q r"), (5, ""), (6, "a <x"), (7, None), (8, " a c b"), (9, "a  <x>\tb")], "line_id long, line string")
+    want = {1: ("1", {"x": "q"}), 2: ("2", {}), 3: ("3", {"y": "w"}), 4: ("4", {"x": "r"}), 5: ("5", {}), 6: ("6", {}), 7: (None, None), 8: (None, None), 9: ("1", {"x": "<x>"})}
+    for most in (200_000, 0):
+        assert {r.line_id: (r.exact_cluster_id, r.matched_fields) for r in strict_match(df, comp, max_broadcast_templates=most).collect()} == want
