@@ -271,7 +271,7 @@ def near_match_enqueue(results: DataFrame) -> DataFrame:
 
 def complete_near_match_decisions(items: DataFrame, returned: DataFrame) -> DataFrame:
     """One decision per pending item; missing -> new_template_send_to_drain."""
-    it = items.where(F.col("status") == "pending").select("item_id")
+    it = items.where(F.col("status") == "pending").select("item_id").distinct()
     j = it.join(returned.dropDuplicates(["item_id"]), "item_id", "left")
     return j.select("item_id", F.coalesce("decision", F.lit("new_template_send_to_drain")).alias("decision"),
                     "corrected_template", F.coalesce("reasoning", F.lit("not_returned_by_llm")).alias("reasoning"))
@@ -295,7 +295,7 @@ def near_match_resolve(items: DataFrame, decisions: DataFrame, templates: DataFr
     t = templates.join(relabel, "cluster_id", "left")
     new_templates = t.select(*[F.coalesce(F.col("__label"), F.col(c)).alias(c) if c == "labeled_template" else F.col(c)
                                for c in TEMPLATE_COLS])
-    remine = j.where(redo).select("line_id", "line")
+    remine = j.where(redo).select("line_id", F.col("added_at").alias("arrival_ts"), "line", "candidate_cluster_id")
     return {"items": new_items, "templates": new_templates, "remine_lines": remine,
             "recompile_ids": relabel.select("cluster_id")}
 

@@ -962,29 +962,47 @@ def review_requests_events(spark, sf_dir):
 @register("near_match_queue_events")
 def near_match_queue_events(spark, sf_dir):
     """U1 -> L9 -> J9 -> P27 -> J11 -> L10: near matches (threshold 0.5) queued, given
-    context and request texts, completed with the default decision and resolved; per
-    candidate template, the items and the lines sent back to mining."""
-    from logweave.operators.lifecycle import complete_near_match_decisions, near_match_enqueue, near_match_resolve
+    context (template and samples) and request texts, completed with the default decision and
+    resolved; the lines sent back are mined from the known templates (threshold 0.4), their new
+    templates registered and the lines sampled. Lines per dispatch kind; per candidate template,
+    the items, the lines sent back to mining and what became of them."""
+    from logweave.operators.lifecycle import (add_templates, complete_near_match_decisions, near_match_enqueue,
+                                              near_match_resolve, new_templates_from_results)
     from logweave.operators.matching import fast_path
     from logweave.operators.review import near_match_context, near_match_review_requests
+    from logweave.operators.sampling import reservoir_sample
+    from logweave.plans.ingest import ingest
 
     lines, compiled = _key_templates(spark, sf_dir)
-    _, _, t = _kg_template_table(spark, sf_dir)
+    _, keyed, t = _kg_template_table(spark, sf_dir)
     # matched once: the queue, its requests, the resolution and the counts read the result
     r = cut_lineage(fast_path(lines, compiled, threshold=0.5).select("line_id", "line", "arrival_ts", "cluster_id", "similarity", "match_kind"))
     res = r.select("line_id", "line", "arrival_ts", "cluster_id", "similarity",
                    (F.col("match_kind") == "NEAR").alias("near_match"))
     items = near_match_enqueue(res)
-    ctx = near_match_context(items, t)
-    req = near_match_review_requests(ctx)
+    samples = reservoir_sample(keyed.select("line_id", "line", F.col("key").alias("cluster_id")), 200)
+    ctx = near_match_context(items, t, samples)
+    req = near_match_review_requests(ctx).dropDuplicates(["item_id"])
     empty = spark.createDataFrame([], "item_id string, decision string, corrected_template string, reasoning string")
     out = near_match_resolve(items, complete_near_match_decisions(items, empty), t)
-    kinds = r.groupBy("match_kind").agg(F.count(F.lit(1)).alias("lines"))
-    queued = (out["items"].join(req, "item_id", "left")
-              .agg(F.count(F.lit(1)).alias("items"), F.count_if(F.col("status") == "rejected").alias("sent_to_mining"),
-                   F.count(F.col("request")).alias("requests")))
-    # one row per dispatch kind; the queue counters (one row) are attached to the NEAR row
-    return kinds.join(queued.withColumn("match_kind", F.lit("NEAR")), "match_kind", "full")
+    # as the reference: a line sent back meets no registry, is mined, registered and sampled
+    again = ingest(out["remine_lines"], seeds=t.select("cluster_id", F.col("pattern").alias("template")), with_extractions=False, mask_once=True).results
+    again = cut_lineage(again.select("line_id", "arrival_ts", "line", "candidate_cluster_id", "cluster_id", "template", "change_type"))
+    known = add_templates(out["templates"], new_templates_from_results(again)).where(F.col("status") == "ACTIVE")
+    candidate = F.col("candidate_cluster_id")
+    exact = r.where(F.col("match_kind") == "EXACT").select("line_id", "line", "cluster_id")
+    sampled = reservoir_sample(exact.withColumn("candidate_cluster_id", F.lit(None).cast("string")).unionByName(again.select("line_id", "line", "cluster_id", candidate)), 200)
+    sampled = sampled.where(candidate.isNotNull()).groupBy(candidate).agg(F.count(F.lit(1)).alias("sampled"))
+    change = F.col("change_type")
+    mined = again.join(known.select("cluster_id", F.lit(True).alias("known")), "cluster_id", "left").groupBy(candidate).agg(
+        F.count_if(change == "CREATE").alias("created"), F.count_if(change == "UPDATE").alias("updated"),
+        F.count_if(change == "NONE").alias("unchanged"), F.count_distinct(F.when(F.col("known"), F.col("cluster_id"))).alias("templates"))
+    queued = out["items"].join(req, "item_id", "left").groupBy(candidate).agg(
+        F.count(F.lit(1)).alias("items"), F.count_if(F.col("status") == "rejected").alias("sent_to_mining"), F.count(F.col("request")).alias("requests"))
+    near = queued.join(mined, "candidate_cluster_id", "left").join(sampled, "candidate_cluster_id", "left").fillna(0, ["created", "updated", "unchanged", "templates", "sampled"])
+    # the candidates' counters are attached to the rows of the NEAR lines
+    kinds = r.groupBy("match_kind", F.when(F.col("match_kind") == "NEAR", F.col("cluster_id")).alias("candidate_cluster_id")).agg(F.count(F.lit(1)).alias("lines"))
+    return kinds.join(near.withColumn("match_kind", F.lit("NEAR")), ["match_kind", "candidate_cluster_id"], "left")
 
 
 @register("approve_and_remine_events")
